@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,11 +19,12 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     top = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as made:
-        path = Path(made) / "factloom-package.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-            for source in sorted(top.rglob("*.py")):
-                out.write(source, source.relative_to(top.parent))
-        # addPyFile copies the zip into a folder of the driver that lives as long as the context.
-        sc.addPyFile(str(path))
+    # The driver serves the zip from where it lies, so it stays until the driver ends.
+    made = tempfile.mkdtemp(prefix="factloom-package-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    path = Path(made).resolve() / "factloom-package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(top.rglob("*.py")):
+            out.write(source, source.relative_to(top.parent))
+    sc.addPyFile(str(path))
     _SHIPPED.add(sc.applicationId)
