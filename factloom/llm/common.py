@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     if known:
         return known
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster") and not given:
+    if not given and sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="factloom-"))
     return sc.getCheckpointDir()

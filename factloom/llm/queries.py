@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, quality_rules
+from factloom.llm import bpe, chat, exact_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secrets, simhash, substring_dedup
 from factloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,5 +21,46 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality_rules": op2_quality_rules}
-SQL: dict[str, str] = {}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes."""
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document, by a new ledger of blobs."""
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of neighbouring conversations, a row for each turn."""
+    return chat.preference_rows(chat.neighbours_as_pairs(table(spark, sf_dir, "conversations")))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document."""
+    return exact_dedup.group_equal(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-likelihood of every document under a network trained on all of them."""
+    return lm_scoring.score_by_own_corpus(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every document that repeat what an earlier document holds."""
+    return substring_dedup.removals(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_mixing, op4_secrets, op5_preferences, op6_simhash, op7_exact_dedup, op8_lm_scoring, op9_substring_dedup, op10_quality_classifier)}
+SQL = {"op3_mixing": mixing.SQL, "op5_preferences": chat.SQL, "op7_exact_dedup": exact_dedup.SQL}
