@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from factloom.plans import coverage, filtering
+from factloom.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+MODULES = (coverage, filtering)
+QUERIES: dict[str, Query] = {k: f for m in MODULES for k, f in m.CATALOGUE.queries.items()}
+SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.CATALOGUE.sql.items()}
