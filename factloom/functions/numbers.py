@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,12 +17,17 @@ _UNSIGNED = rf"\d[\d{DIGIT_SPACES}]*(?:[.,]\d+)?"
 _SIGNED = rf"[{DASHES}]?{_UNSIGNED}"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often it stands in the result."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def parse_number(token: Column | str) -> Column:
     """A number's text as a double: spaces between digits go; a comma is decimal unless a dot is there as well."""
     t = F.regexp_replace(F.trim(column(token)), f"^[{DASHES}]", "-")
     t = F.regexp_replace(t, f"[{DIGIT_SPACES}]", "")
-    t = F.when(t.contains(".") & t.contains(","), F.replace(t, F.lit(","), F.lit(""))).otherwise(F.replace(t, F.lit(","), F.lit(".")))
-    return F.when(t.rlike(r"\A-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"), t.try_cast("double"))
+    t = let(t, lambda x: F.when(x.contains("."), F.replace(x, F.lit(","), F.lit(""))).otherwise(F.replace(x, F.lit(","), F.lit("."))))
+    return let(t, lambda x: F.when(x.rlike(r"\A-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"), x.try_cast("double")))
 
 
 def numbers(text: Column | str) -> Column:
@@ -37,16 +44,17 @@ def number_tokens(text: Column | str) -> Column:
 
 def detect_range(text: Column | str) -> Column:
     """(lo, hi) of `от X до Y`, `X..Y` or `X–Y`, in this order of preference, else NULL. A single negative number is none."""
-    t = normalize_spaces(text)
-
-    def by(pattern: str) -> Column:
-        a, b = parse_number(F.regexp_extract(t, pattern, 1)), parse_number(F.regexp_extract(t, pattern, 2))
-        return F.when(a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
-
-    return F.coalesce(
-        by(rf"(?iu)от\s*({_SIGNED})\s*до\s*({_SIGNED})"),
-        by(rf"({_SIGNED})\s*\.{{2,}}\s*({_UNSIGNED})"),
-        by(rf"({_SIGNED})\s*[{DASHES}]\s*({_SIGNED})"),
+    def by(t: Column, pattern: str) -> Column:
+        ends = F.transform(F.array(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)), parse_number)
+        return let(F.filter(ends, lambda x: x.isNotNull()), lambda x: F.when(F.size(x) == 2, F.struct(F.array_min(x).alias("lo"), F.array_max(x).alias("hi"))))
+
+    return let(
+        normalize_spaces(text),
+        lambda t: F.coalesce(
+            by(t, rf"(?iu)от\s*({_SIGNED})\s*до\s*({_SIGNED})"),
+            by(t, rf"({_SIGNED})\s*\.{{2,}}\s*({_UNSIGNED})"),
+            by(t, rf"({_SIGNED})\s*[{DASHES}]\s*({_SIGNED})"),
+        ),
     )
 
 
@@ -67,20 +75,21 @@ def raw_interval(value: Column | str, operator: Column | str, zero_delta: Column
     `=` and comparisons take the first number even of a range; an empty or unknown operator takes the range if there is one.
     """
     op = F.lower(F.trim(F.coalesce(column(operator), F.lit(""))))
-    text = column(value)
-    rng, nums = detect_range(text), numbers(text)
-    first, nothing = F.try_element_at(nums, F.lit(1)), F.lit(None).cast("double")
-    second = F.try_element_at(nums, F.lit(2))
-    v = F.coalesce(first, rng["lo"])
-    whole = interval(rng["lo"], rng["hi"])
-    delta = zero_delta if zero_delta is not None else nothing
+    delta = zero_delta if zero_delta is not None else F.lit(None).cast("double")
+    read = F.struct(op.alias("op"), detect_range(value).alias("rng"), numbers(value).alias("nums"), delta.alias("delta"))
+    return let(read, lambda x: _by_operator(x["op"], x["rng"], x["nums"], x["delta"]))
+
+
+def _by_operator(op: Column, rng: Column, nums: Column, delta: Column) -> Column:
+    nothing = F.lit(None).cast("double")
+    v, second = F.coalesce(F.try_element_at(nums, F.lit(1)), rng["lo"]), F.try_element_at(nums, F.lit(2))
     return (
-        F.when(rng.isNotNull() & ~op.isin("<", "<=", ">", ">=", "~", "="), whole)
+        F.when(rng.isNotNull() & ~op.isin("<", "<=", ">", ">=", "~", "="), interval(rng["lo"], rng["hi"]))
         .when(v.isNull(), F.lit(None))
         .when(op.isin("<", "<="), interval(nothing, v))
         .when(op.isin(">", ">="), interval(v, nothing))
         .when(op == "=", interval(v, v))
-        .when(op == "~", approximate(v, delta))
+        .when(op == "~", let(F.struct(v.alias("v"), delta.alias("d")), lambda x: approximate(x["v"], x["d"])))
         .when((op == "range") & second.isNotNull(), interval(F.least(v, second), F.greatest(v, second)))
         .when(op == "range", interval(v, v, F.lit("a range of a single number")))
         .otherwise(interval(v, v))

@@ -138,9 +138,9 @@ def file_name_facts(stem: Column | str) -> Column:
     parts = F.split(column(stem), "_")
     low = F.transform(parts, F.lower)
     return F.struct(
-        F.element_at(F.filter(low, lambda p: p.isin(*DOC_TYPES)), -1).alias("doc_type"),
-        F.element_at(F.filter(low, lambda p: p.isin("ru", "en")), -1).alias("lang"),
-        F.element_at(F.filter(parts, lambda p: p.rlike(r"\A(19|20)\d{2}\z")), -1).cast("int").alias("year"),
+        F.try_element_at(F.filter(low, lambda p: p.isin(*DOC_TYPES)), F.lit(-1)).alias("doc_type"),
+        F.try_element_at(F.filter(low, lambda p: p.isin("ru", "en")), F.lit(-1)).alias("lang"),
+        F.try_element_at(F.filter(parts, lambda p: p.rlike(r"\A(19|20)\d{2}\z")), F.lit(-1)).cast("int").alias("year"),
     )
 
 
