@@ -55,12 +55,12 @@ def bounded_search(edges: DataFrame, starts: DataFrame, depth: int = 2, most: in
     join of the frontier, unrolled: the plan has no loop and no collect.
     """
     steps = both_ways(edges.where(F.col("rel_type").isin(*TRAVERSED)).select("src_key", "dst_key"))
-    reached = starts.select("node_key").distinct().withColumn("depth", F.lit(0).cast("long"))
+    front = starts.select("node_key").distinct()
+    reached = front.select("node_key", F.lit(0).cast("long").alias("depth"))
     for level in range(1, min(max(depth, 0), MOST_DEPTH) + 1):
-        front = reached.where(F.col("depth") == level - 1).select(F.col("node_key").alias("key"))
-        new = steps.join(front, "key", "left_semi").select(F.col("other").alias("node_key"), F.lit(level).cast("long").alias("depth"))
-        reached = reached.union(new).groupBy("node_key").agg(F.min("depth").alias("depth"))
-    return reached.orderBy("depth", "node_key").limit(most)
+        front = steps.join(front.withColumnRenamed("node_key", "key"), "key", "left_semi").select(F.col("other").alias("node_key")).distinct()
+        reached = reached.union(front.select("node_key", F.lit(level).cast("long").alias("depth")))
+    return reached.groupBy("node_key").agg(F.min("depth").alias("depth")).orderBy("depth", "node_key").limit(most)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ WORDS_ONLY_SCORE = 0.60
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """chunk_id, term, tf and dl (the chunk's number of terms). One shuffle, after counting within each map task."""
-    terms = tokens(text_col)
-    exploded = chunks.select(F.col(id_col).alias("chunk_id"), F.size(terms).cast("long").alias("dl"), F.explode(terms).alias("term"))
+    # Counted before they are exploded: what stands beside explode is computed anew for each term.
+    held = chunks.select(F.col(id_col).alias("chunk_id"), tokens(text_col).alias("terms")).select("chunk_id", F.size("terms").cast("long").alias("dl"), "terms")
+    exploded = held.select("chunk_id", "dl", F.explode("terms").alias("term"))
     return exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
