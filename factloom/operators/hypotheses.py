@@ -59,7 +59,7 @@ def grounded(verified: DataFrame) -> DataFrame:
 def magnitude(text: Column) -> Column:
     """A fifth of the first number of an expected effect, at most 1; 0.3 without one."""
     found = F.abs(parse_number(F.regexp_extract(text, r"-?\d+(?:[.,]\d+)?", 0)))
-    return F.coalesce(clip01(found / 5.0), F.lit(0.3))
+    return F.when(found.isNotNull(), clip01(found / 5.0)).otherwise(F.lit(0.3))
 
 
 def authority(authoritative: Column, recent: Column, n: Column) -> Column:
@@ -85,7 +85,8 @@ def scores(h: DataFrame, w: Weights = Weights()) -> DataFrame:
 def totals(scored: DataFrame, w: Weights = Weights(), top: int | None = None) -> DataFrame:
     """Adds total and rank. Takes scores only, so other weights need no new retrieval."""
     signed = {"novelty": w.novelty, "value": w.value, "testability": w.testability, "risk": -w.risk}
-    parts = {f"{k}_contribution": F.round(weight * F.col(k), 3) for k, weight in signed.items()}
+    # In decimals, so that a half is rounded as a half.
+    parts = {f"{k}_contribution": F.round(F.lit(str(weight)).cast("decimal(9,4)") * F.col(k).cast("decimal(9,3)"), 3).cast("double") for k, weight in signed.items()}
     total = F.round(clip01(sum((F.col(f"{k}_contribution") for k in signed), F.lit(0.0))), 3)
     ranked = scored.withColumns(parts).withColumn("total", total)
     if top is not None:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import coverage, filtering, graphs, searching, texts
+from factloom.plans import coverage, facts, filtering, graphs, searching, texts
 from factloom.plans.registry import Query
 
-MODULES = (coverage, filtering, texts, graphs, searching)
+MODULES = (coverage, filtering, texts, graphs, searching, facts)
 QUERIES: dict[str, Query] = {k: f for m in MODULES for k, f in m.CATALOGUE.queries.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.CATALOGUE.sql.items()}
