@@ -13,14 +13,15 @@ CATALOGUE = Catalogue()
 query = CATALOGUE.add
 
 _TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
-_BM25 = rf"""tok AS (SELECT doc_id AS chunk_id, unnest({_TERMS}) AS term, len({_TERMS}) AS dl FROM documents),
-post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM tok GROUP BY 1, 2),
-corpus AS (SELECT count(*) AS n, avg(len({_TERMS})) AS avgdl FROM documents),
-idf0 AS (SELECT term, ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM post, corpus GROUP BY term, n),
-idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
-asked AS (SELECT item_id AS query_id, term, count(*) AS asked FROM (SELECT item_id, unnest(regexp_extract_all(lower(left(text, 60)), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark WHERE item_id < 5) GROUP BY 1, 2),
-words AS (SELECT query_id, chunk_id, sum(asked * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM post JOIN asked USING (term) JOIN idf USING (term), corpus GROUP BY 1, 2),
-words_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) - 1 AS rank FROM words QUALIFY rank < 15)"""
+_BM25 = rf"""tok AS MATERIALIZED (SELECT chunk_id, unnest(t) AS term, len(t) AS dl FROM (SELECT doc_id AS chunk_id, {_TERMS} AS t FROM documents)),
+post AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM tok GROUP BY 1, 2),
+corpus AS MATERIALIZED (SELECT count(*) AS n, avg(len({_TERMS})) AS avgdl FROM documents),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
+idf0 AS MATERIALIZED (SELECT term, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM df CROSS JOIN corpus),
+idf AS MATERIALIZED (SELECT term, CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
+asked AS MATERIALIZED (SELECT item_id AS query_id, term, count(*) AS asked FROM (SELECT item_id, unnest(regexp_extract_all(lower(left(text, 60)), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark WHERE item_id < 5) GROUP BY 1, 2),
+words AS MATERIALIZED (SELECT query_id, chunk_id, sum(asked * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM post JOIN asked USING (term) JOIN idf USING (term), corpus GROUP BY 1, 2),
+words_top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) - 1 AS rank FROM words QUALIFY rank < 15)"""
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DENSE = """asked_vec AS (SELECT vec_id AS query_id, embedding AS asked, label AS wanted FROM embeddings WHERE vec_id < 5),
 dense AS (SELECT query_id, vec_id AS key, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(asked AS DOUBLE[])), 6) AS score FROM embeddings CROSS JOIN asked_vec),
-dense_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) - 1 AS rank FROM dense QUALIFY rank < 15)"""
+dense_top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) - 1 AS rank FROM dense QUALIFY rank < 15)"""
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
