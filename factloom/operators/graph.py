@@ -110,7 +110,7 @@ def cooccurrence(mentions: DataFrame, least: int = 1) -> DataFrame:
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
-def abc_links(pairs: DataFrame, types: DataFrame, start: str, most_direct: int = 2, top: int = 5) -> DataFrame:
+def abc_links(pairs: DataFrame, types: DataFrame, start: str | int, most_direct: int = 2, top: int = 5) -> DataFrame:
     """c, b, w_ab, w_bc, direct, score: what start A reaches through B without much direct evidence; the best B for each C.
 
     pairs: a, b, weight. types: entity, type.

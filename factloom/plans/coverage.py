@@ -13,9 +13,8 @@ CATALOGUE = Catalogue()
 query = CATALOGUE.add
 
 
-def _evidence(spark: SparkSession, sf_dir: str, quantity: float | None = 50.0) -> DataFrame:
-    rows = st.lines(spark, sf_dir)
-    rows = rows if quantity is None else rows.where(F.col("l_quantity") == quantity)
+def _evidence(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = st.lines(spark, sf_dir) if rows is None else rows
     public = st.table(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
     return rows.join(public, "l_orderkey", "left_semi").select(F.col("p_brand").alias("material"), F.col("l_suppkey").alias("process"), F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("experiment_id"))
 
@@ -32,32 +31,30 @@ SELECT p.material, p.process, count(DISTINCT doc_id) AS n_documents, count(DISTI
 FROM pairs p LEFT JOIN evidence e ON p.material = e.material AND p.process = e.process GROUP BY p.material, p.process"""
 
 
-@query(_GAPS.format(where="l_quantity = 50") + " ORDER BY n_documents, n_experiments, material, process LIMIT 50")
+@query(_GAPS.format(where="true") + " ORDER BY n_documents, n_experiments, material, process LIMIT 50")
 def find_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.top_gaps(analytics.find_gaps(*_axes(spark, sf_dir), _evidence(spark, sf_dir)))
 
 
-@query(_GAPS.format(where="l_quantity = 50"))
+@query(_GAPS.format(where="true"))
 def find_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.find_gaps(*_axes(spark, sf_dir), _evidence(spark, sf_dir))
 
 
-@query(_GAPS.format(where="l_quantity = 50 AND l_returnflag = 'A'"))
+@query(_GAPS.format(where="l_returnflag = 'A'"))
 def find_gaps_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps under a condition of the environment: the line's flag."""
-    rows = st.lines(spark, sf_dir).where("l_quantity = 50 AND l_returnflag = 'A'")
-    public = st.table(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    evidence = rows.join(public, "l_orderkey", "left_semi").select(F.col("p_brand").alias("material"), F.col("l_suppkey").alias("process"), F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("experiment_id"))
-    return analytics.find_gaps(*_axes(spark, sf_dir), evidence)
+    flagged = st.lines(spark, sf_dir).where("l_returnflag = 'A'")
+    return analytics.find_gaps(*_axes(spark, sf_dir), _evidence(spark, sf_dir, flagged))
 
 
-@query(f"""WITH {st.MENTIONS}, counted AS (SELECT entity_id, count(*) AS n FROM mentions WHERE doc_id % 50 = 0 GROUP BY entity_id)
+@query(f"""WITH {st.MENTIONS}, counted AS (SELECT entity_id, count(*) AS n FROM mentions GROUP BY entity_id)
 SELECT 'proc:' || s_suppkey AS entity_id, coalesce(n, 1) AS n_mentions FROM supplier LEFT JOIN counted ON entity_id = 'proc:' || s_suppkey
 ORDER BY n_mentions DESC, entity_id LIMIT 40""")
 def open_axis_top40(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most mentioned processes among documents of one collection (every 50th id); unmentioned ones count 1."""
+    """The most mentioned processes; unmentioned ones count 1."""
     every = st.table(spark, sf_dir, "supplier").select(st.key("proc", "s_suppkey").alias("entity_id"))
-    return analytics.open_axis(every, st.mentions(spark, sf_dir).where("doc_id % 50 = 0"))
+    return analytics.open_axis(every, st.mentions(spark, sf_dir))
 
 
 @query("""SELECT p_type AS domain, CAST(year(o_orderdate) AS BIGINT) AS year, count(DISTINCT o_orderkey) AS n_documents

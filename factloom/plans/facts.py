@@ -131,12 +131,14 @@ _STOP = ", ".join(f"'{w}'" for w in text.CONTENT_STOP_WORDS)
 _STEMS = r"list_distinct(list_transform(list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 4 AND t NOT IN (" + _STOP + ")), lambda t: left(t, 5)))"
 
 
-@query(f"""WITH s AS (SELECT b.item_id AS statement_id, {_STEMS.format('left(b.text, 90)')} AS own, {_STEMS.format('d.text')} AS held FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 AND d.doc_id < 400 WHERE b.item_id < 40),
-f AS (SELECT statement_id, max(CASE WHEN len(own) > 0 THEN len(list_intersect(own, held)) * 1.0::DOUBLE / len(own) ELSE 0 END) AS best FROM s GROUP BY 1) SELECT statement_id, round(best, 3) AS faithfulness, best >= 0.55 AS verified FROM f""")
+@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark), b AS MATERIALIZED (SELECT item_id AS statement_id, item_id % n AS k, {_STEMS.format('text')} AS own FROM benchmark, n),
+d AS MATERIALIZED (SELECT doc_id % n AS k, {_STEMS.format('text')} AS held FROM documents, n),
+f AS (SELECT statement_id, max(CASE WHEN len(own) > 0 THEN len(list_intersect(own, held)) * 1.0::DOUBLE / len(own) ELSE 0 END) AS best FROM b JOIN d USING (k) GROUP BY 1) SELECT statement_id, round(best, 3) AS faithfulness, best >= 0.55 AS verified FROM f""")
 def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of benchmark texts as statements, with ten documents each as their citations."""
-    said = st.table(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").alias("statement_id"), F.substring("text", 1, 90).alias("statement"), (F.col("item_id") % 40).alias("k"))
-    cited = st.table(spark, sf_dir, "documents").where("doc_id < 400").select((F.col("doc_id") % 40).alias("k"), "text")
+    """Benchmark texts as statements; every document is a citation of one of them."""
+    items, n = st.table(spark, sf_dir, "benchmark"), st.table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"))
+    said = items.crossJoin(n).select(F.col("item_id").alias("statement_id"), F.col("text").alias("statement"), (F.col("item_id") % F.col("n")).alias("k"))
+    cited = st.table(spark, sf_dir, "documents").crossJoin(n).select((F.col("doc_id") % F.col("n")).alias("k"), "text")
     joined = said.join(cited, "k").select(F.lit(0).alias("hypothesis_id"), "statement_id", "statement", "text", F.lit(0.0).alias("similarity"))
     return hypotheses.verify(joined).drop("hypothesis_id")
 

@@ -84,12 +84,12 @@ def chain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(studied, "experiment").groupBy("material", "experiment", "process", "equipment").agg(F.count("*").alias("n"))
 
 
-_COOC = """e AS (SELECT DISTINCT l_orderkey AS chunk_id, p_brand AS entity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40),
+_COOC = """e AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey AS entity FROM lineitem),
 pairs AS (SELECT x.entity AS a, y.entity AS b, count(*) AS weight FROM e x JOIN e y ON x.chunk_id = y.chunk_id AND x.entity < y.entity GROUP BY 1, 2)"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cooccurrence(st.lines(spark, sf_dir).where("l_quantity > 40").select(F.col("l_orderkey").alias("chunk_id"), F.col("p_brand").alias("entity")))
+    return graph.cooccurrence(st.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("entity")))
 
 
 @query(f"WITH {_COOC} SELECT * FROM pairs")
@@ -97,15 +97,15 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir)
 
 
-@query(f"""WITH {_COOC}, w AS (SELECT a, b, weight FROM pairs WHERE weight % 3 <> 0), ed AS (SELECT a, b, weight FROM w UNION ALL SELECT b, a, weight FROM w),
-t AS (SELECT DISTINCT p_brand AS entity, CASE CAST(substr(p_brand, 7) AS BIGINT) % 3 WHEN 0 THEN 'reagent' WHEN 1 THEN 'process' ELSE 'metal' END AS type FROM part),
-two AS (SELECT bc.b AS c, ab.b AS via, ab.weight AS w_ab, bc.weight AS w_bc FROM ed ab JOIN ed bc ON ab.b = bc.a WHERE ab.a = 'Brand#7' AND bc.b <> 'Brand#7'),
-s AS (SELECT two.*, coalesce(d.weight, 0) AS direct FROM two LEFT JOIN ed d ON d.a = 'Brand#7' AND d.b = two.c WHERE c IN (SELECT entity FROM t WHERE type IN ('reagent', 'process', 'parameter'))),
-r AS (SELECT *, (least(w_ab, w_bc) + 0.1::DOUBLE * (w_ab + w_bc)) / (1 + direct) AS score FROM s WHERE direct <= 40),
+@query(f"""WITH {_COOC}, ed AS (SELECT a, b, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs),
+t AS (SELECT p_partkey AS entity, CASE p_partkey % 3 WHEN 0 THEN 'reagent' WHEN 1 THEN 'process' ELSE 'metal' END AS type FROM part),
+two AS (SELECT bc.b AS c, ab.b AS via, ab.weight AS w_ab, bc.weight AS w_bc FROM ed ab JOIN ed bc ON ab.b = bc.a WHERE ab.a = 7 AND bc.b <> 7),
+s AS (SELECT two.*, coalesce(d.weight, 0) AS direct FROM two LEFT JOIN ed d ON d.a = 7 AND d.b = two.c WHERE c IN (SELECT entity FROM t WHERE type IN ('reagent', 'process', 'parameter'))),
+r AS (SELECT *, (least(w_ab, w_bc) + 0.1::DOUBLE * (w_ab + w_bc)) / (1 + direct) AS score FROM s WHERE direct <= 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, via) AS n FROM r)
 SELECT c, via AS b, w_ab, w_bc, direct, score FROM b WHERE n = 1 ORDER BY score DESC, c LIMIT 5""")
 def abc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What one brand reaches through another one, over links whose weight is no multiple of 3."""
-    number = F.substr("p_brand", F.lit(7)).cast("long") % 3
-    types = st.table(spark, sf_dir, "part").select(F.col("p_brand").alias("entity"), F.when(number == 0, "reagent").when(number == 1, "process").otherwise("metal").alias("type")).distinct()
-    return graph.abc_links(_pairs(spark, sf_dir).where("weight % 3 <> 0"), types, "Brand#7", most_direct=40)
+    """What one part reaches through another one: parts are the entities, orders the chunks."""
+    number = F.col("p_partkey") % 3
+    types = st.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.when(number == 0, "reagent").when(number == 1, "process").otherwise("metal").alias("type"))
+    return graph.abc_links(_pairs(spark, sf_dir), types, 7)

@@ -38,9 +38,9 @@ def text_content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, length(regexp_replace(t, '[^Ѐ-ӿ]', '', 'g')) AS n_cyrillic, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_latin,
 CASE WHEN length(regexp_replace(t, '[^Ѐ-ӿ]', '', 'g')) >= length(regexp_replace(t, '[^A-Za-z]', '', 'g')) THEN 'ru' ELSE 'en' END AS detected
-FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 40) || 'электроэкстракция никеля из католита при высокой плотности тока' ELSE text END AS t FROM documents)""")
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || 'электроэкстракция никеля из католита при высокой плотности тока' ELSE text END AS t FROM documents)""")
 def text_lang_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 40), F.lit("электроэкстракция никеля из католита при высокой плотности тока"))).otherwise(F.col("text"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("электроэкстракция никеля из католита при высокой плотности тока"))).otherwise(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", text.count_matches("t", "Ѐ-ӿ").alias("n_cyrillic"), text.count_matches("t", "A-Za-z").alias("n_latin"), text.detect_lang("t").alias("detected"))
 
 
@@ -63,9 +63,9 @@ _CONTENT_STOP = ", ".join(f"'{w}'" for w in text.CONTENT_STOP_WORDS)
 _QUERY_STOP = ", ".join(f"'{w}'" for w in text.QUERY_STOP_WORDS)
 
 
-@query(rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 4 AND t NOT IN ({_CONTENT_STOP})), lambda t: left(t, 5)))), ' ') AS stems FROM documents WHERE doc_id < 5000""")
+@query(rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 4 AND t NOT IN ({_CONTENT_STOP})), lambda t: left(t, 5)))), ' ') AS stems FROM documents""")
 def text_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("doc_id < 5000").select("doc_id", F.array_join(F.array_sort(text.prefix_tokens("text")), " ").alias("stems"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(text.prefix_tokens("text")), " ").alias("stems"))
 
 
 @query(rf"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё]{{4,}}')) AS w, generate_subscripts(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё]{{4,}}'), 1) AS i FROM benchmark),
