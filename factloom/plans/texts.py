@@ -18,18 +18,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.table(spark, sf_dir, "documents")
 
 
-_NORMAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(160), ' '), chr(8239), ' '), '\r\n?', chr(10), 'g'),
+NORMAL_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(160), ' '), chr(8239), ' '), '\r\n?', chr(10), 'g'),
  '[\t\x0B\f\r\x1C-\x1F\x{85}\p{Z}]+(\n|\z)', '\1', 'g'), '\n[ \t]*\n[ \t]*(?:\n[ \t]*)+', chr(10) || chr(10), 'g'), '\A[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+\z', '', 'g')"""
 
 
 @query(rf"""WITH padded AS (SELECT doc_id, '  ' || chr(13) || chr(10) || replace(text, ' a', chr(160) || 'a') || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' || chr(8239) AS text FROM documents)
-SELECT doc_id, length({_NORMAL}) AS n, md5({_NORMAL}) AS text_md5 FROM padded""")
+SELECT doc_id, length({NORMAL_SQL}) AS n, md5({NORMAL_SQL}) AS text_md5 FROM padded""")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = F.concat(F.lit("  \r\n"), F.replace("text", F.lit(" a"), F.lit(" a")), F.lit("  \n\n\n\nend  "))
     return _docs(spark, sf_dir).select("doc_id", text.normalize_text(padded).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("text_md5"))
 
 
-@query(rf"""WITH h AS (SELECT doc_id, sha256({_NORMAL}) AS content_hash FROM documents) SELECT content_hash, min(doc_id) AS doc_id, count(*) AS n_copies FROM h GROUP BY content_hash""")
+@query(rf"""WITH h AS (SELECT doc_id, sha256({NORMAL_SQL}) AS content_hash FROM documents) SELECT content_hash, min(doc_id) AS doc_id, count(*) AS n_copies FROM h GROUP BY content_hash""")
 def text_content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each content."""
     hashed = _docs(spark, sf_dir).select("doc_id", text.content_hash("text").alias("content_hash"))

@@ -1,10 +1,11 @@
-"""Gives Spark's Python workers this package, on executors that have no installed copy."""
+"""Gives Spark's Python workers this package, on executors that have no installed copy, and jobs a folder that all share."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,3 +29,15 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(top.parent))
     sc.addPyFile(str(path))
     _SHIPPED.add(sc.applicationId)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or in local mode a temporary folder where it is unset."""
+    sc = spark.sparkContext
+    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        known = tempfile.mkdtemp(prefix="factloom-")
+        sc.setCheckpointDir(known)
+    return f"{known}/{name}-{uuid.uuid4().hex}"

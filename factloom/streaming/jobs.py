@@ -24,25 +24,31 @@ def ingest(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     return fresh_documents(stream, delay).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ttl_cache(puts: DataFrame, seconds: int) -> DataFrame:
-    """key, value, replaced: puts (key, value, seq) into a cache whose entries end after so many seconds.
+def ttl_cache(puts: DataFrame, seconds: int, delay: str) -> DataFrame:
+    """seq, key, value, replaced: puts (seq, key, value, at) into a cache whose entries end `seconds` after they were put.
 
-    State holds one value for each key that has not ended.
+    replaced is the value that the key still held at that time. State holds one
+    value per key, until the watermark passes its end. Time is the puts' own, so
+    a replay gives the same rows and a run over what is available ends. A key's
+    puts of one batch are sorted together: bound a batch by the source's options.
     """
 
     def put(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        old = state.get[0] if state.exists else None
-        for pdf in frames:
-            values = pdf.sort_values("seq")["value"].tolist()
-            yield pd.DataFrame({"key": [key[0]] * len(values), "value": values, "replaced": [old, *values[:-1]]})
-            old = values[-1]
-        state.update((old,))
-        state.setTimeoutDuration(seconds * 1000)
-
-    return puts.groupBy("key").applyInPandasWithState(put, "key string, value string, replaced string", "value string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        old, ends = state.get if state.exists else (None, None)
+        batch = pd.concat(list(frames)).sort_values(["ms", "seq"])
+        replaced = []
+        for value, ms in zip(batch["value"], batch["ms"], strict=True):
+            replaced.append(old if ends is not None and ends > ms else None)
+            old, ends = value, int(ms) + seconds * 1000
+        yield pd.DataFrame({"seq": batch["seq"], "key": key[0], "value": batch["value"], "replaced": replaced})
+        state.update((old, ends))
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+
+    timed = puts.withWatermark("at", delay).withColumn("ms", F.unix_millis("at"))
+    return timed.groupBy("key").applyInPandasWithState(put, "seq long, key string, value string, replaced string", "value string, ends long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def coalesced_writes(writes: DataFrame, seconds: int, delay: str) -> DataFrame:

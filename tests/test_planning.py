@@ -118,3 +118,12 @@ def test_parsed_hypotheses(spark):
     rows = spark.createDataFrame([(1, payload), (2, "{broken"), (3, None)], "goal_id long, payload string")
     got = [tuple(r) for r in generation.parsed_hypotheses(rows, context(spark)).collect()]
     assert got == [(1, "t", "H1-s1", "a", ["C2", "C1"])]
+
+
+def test_metadata(spark):
+    from factloom.operators import validation
+
+    schema = "doc_id long, file_name string, title string, authors array<string>, year string, doc_type string, language string, geography string, country string"
+    rows = [(1, "a/b.c.pdf", " ", ["Ива Н.", " ива н. ", "", None, "B"], " 1999 ", "Patent", "EN", "ru", " "), (2, "x", "T", None, "1799", "poem", None, "foreign", "Чили"), (3, None, None, [], "19.5", None, "de", None, None)]
+    got = [tuple(r) for r in validation.coerce_metadata(spark.createDataFrame(rows, schema)).orderBy("doc_id").collect()]
+    assert got == [(1, "b.c", ["Ива Н.", "B"], 1999, "patent", "en", "RU", None), (2, "T", [], None, "article", "ru", "foreign", "Чили"), (3, None, [], None, "article", "ru", "RU", None)]

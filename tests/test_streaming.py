@@ -22,3 +22,21 @@ def test_subscriptions_see_each_batch(spark, tmp_path):
     stream = source(spark, str(tmp_path / "in"), [(1, "ore"), (2, "slag")], "doc_id long, text string")
     jobs.subscriptions(stream, {"ore": lambda d: d.where("text = 'ore'")}, lambda name, hits, n: got.extend((name, r.doc_id) for r in hits.collect()), str(tmp_path / "state")).awaitTermination()
     assert got == [("ore", 1)]
+
+
+def cached(spark, tmp_path, stream, seconds):
+    out = str(tmp_path / "out")
+    jobs.ttl_cache(stream, seconds, "0 seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    return {r.seq: r.replaced for r in spark.read.parquet(out).collect()}
+
+
+def test_cache_entries_end(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start, schema, path = datetime(2024, 1, 1), "seq long, key string, value string, at timestamp", str(tmp_path / "in")
+    at = lambda s: start + timedelta(seconds=s)
+    stream = source(spark, path, [(2, "a", "y", at(30)), (1, "a", "x", at(0)), (3, "b", "z", at(40)), (4, "a", "w", at(100))], schema)
+    assert cached(spark, tmp_path, stream, 60) == {1: None, 2: "x", 3: None, 4: None}
+    # What the first run put is still held by the second one, until it ends.
+    source(spark, path, [(5, "a", "v", at(159)), (6, "b", "u", at(160)), (7, "a", None, at(170)), (8, "a", "t", at(171))], schema)
+    assert cached(spark, tmp_path, stream, 60) == {1: None, 2: "x", 3: None, 4: None, 5: "w", 6: None, 7: "v", 8: None}
