@@ -14,11 +14,12 @@ HASH_DIM = 512
 WORDS_ONLY_SCORE = 0.60
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """chunk_id, term, tf and dl (the chunk's number of terms). One shuffle, after counting within each map task."""
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """chunk_id, term, tf and dl (the chunk's number of terms), of the terms of `only` if given. One shuffle, after counting within each map task."""
     # Counted before they are exploded: what stands beside explode is computed anew for each term.
     held = chunks.select(F.col(id_col).alias("chunk_id"), tokens(text_col).alias("terms")).select("chunk_id", F.size("terms").cast("long").alias("dl"), "terms")
     exploded = held.select("chunk_id", "dl", F.explode("terms").alias("term"))
+    exploded = exploded if only is None else exploded.join(only, "term", "left_semi")
     return exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -28,14 +29,16 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_c
     Okapi's weights, where terms in more than half of the chunks get EPSILON of
     the mean weight over all terms. Only the queries' terms are joined.
     """
-    held = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
-    post = postings(held)
-    corpus = held.agg(F.count("*").alias("n"), F.avg(F.size(tokens("text"))).alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(corpus)  # of one row
+    held = chunks.select(F.col(id_col).alias("chunk_id"), tokens(text_col).alias("terms"))
+    corpus = held.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    # A chunk's distinct terms are counted within each map task, so postings of the whole corpus are never shuffled.
+    df = held.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(corpus)  # of one row
     weighed = df.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = weighed.agg(F.avg("idf").alias("mean_idf"))
     weights = weighed.crossJoin(mean).select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("asked"))
+    sought = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
+    post = postings(sought, only=queries.select(F.explode(tokens("text")).alias("term")).distinct())
     scored = post.join(asked.join(weights, "term"), "term")
     part = F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
