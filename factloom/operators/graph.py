@@ -136,3 +136,18 @@ def display_name(*names: Column) -> Column:
 def citations(rows: DataFrame, order: Column, key: str = "cite_key") -> DataFrame:
     """Distinct citations in the order of their first appearance."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first")).orderBy("first", key).select(key)
+
+
+def near_experiments(nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int = 8) -> DataFrame:
+    """experiment, name, conditions: the first experiments by key that a live edge links to a start, with what their live edges lead to.
+
+    starts: node_key. conditions is an array of rel_type, target, value_min, value_max, unit_canon and value_text, empty without edges.
+    """
+    live = edges.where(~F.coalesce("deleted", F.lit(False)))
+    linked = both_ways(live.select("src_key", "dst_key")).join(starts.select(F.col("node_key").alias("key")).distinct(), "key", "left_semi").select(F.col("other").alias("node_key"))
+    own = nodes.where(F.col("label") == "Experiment").join(linked, "node_key", "left_semi").orderBy("node_key").limit(most).select(F.col("node_key").alias("experiment"), "name")
+    targets = nodes.select(F.col("node_key").alias("dst_key"), F.col("name").alias("target"))
+    values = live.join(own.select(F.col("experiment").alias("src_key")), "src_key", "left_semi").join(targets, "dst_key")
+    held = values.groupBy(F.col("src_key").alias("experiment")).agg(F.array_sort(F.collect_list(F.struct("rel_type", "target", "value_min", "value_max", "unit_canon", "value_text"))).alias("conditions"))
+    joined = own.join(held, "experiment", "left")
+    return joined.select("experiment", F.coalesce("name", "experiment").alias("name"), F.when(F.col("conditions").isNull(), F.filter(F.array(F.lit(None).cast(held.schema["conditions"].dataType.elementType)), lambda x: x.isNotNull())).otherwise(F.col("conditions")).alias("conditions"))
