@@ -112,26 +112,6 @@ def _replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"anchor": key, "fp": pdf["fp"].to_numpy()[index]})
 
 
-def _links_between(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each of left, and the least of right that is close to it, where there is one; and each of right likewise."""
-    if not len(left) or not len(right):
-        return left[:0], right[:0]
-    a_of, b_of = [], []
-    best = np.full(len(right), -1, np.int64)
-    step = max(1, 2_000_000 // max(1, len(right)))
-    for at in range(0, len(left), step):
-        part = left[at : at + step]
-        close = np.bitwise_count(part[:, None] ^ right[None, :]) <= THRESHOLD
-        some = close.any(axis=1)
-        a_of.append(part[some])
-        b_of.append(right[close[some].argmax(axis=1)])
-        hit = close.any(axis=0) & (best < 0)
-        best[hit] = at + close[:, hit].argmax(axis=0)
-    a_of.append(left[best[best >= 0]])
-    b_of.append(right[best >= 0])
-    return np.concatenate(a_of), np.concatenate(b_of)
-
-
 def connect(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within fps that connect what pairs at most THRESHOLD bits apart connect: at most one fewer than members."""
     fps = np.unique(fps)
@@ -211,12 +191,8 @@ def _links_of(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _compare_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One pair of blocks of an anchor that is still too large."""
-    fps, block = pdf["fp"].to_numpy().view(np.uint64), pdf["block"].to_numpy()
-    low, high = key[-2], key[-1]
-    if low == high:
-        return _frame(*connect(fps))
-    return _frame(*_links_between(np.sort(fps[block == low]), np.sort(fps[block == high])))
+    """Two blocks of an anchor that is still too large: links within each and between them, as a path may go to and fro."""
+    return _frame(*connect(pdf["fp"].to_numpy().view(np.uint64)))
 
 
 def _hot_links(hot: DataFrame) -> DataFrame:
@@ -231,8 +207,9 @@ def _hot_links(hot: DataFrame) -> DataFrame:
         return links
     large = refined.join(counted.where("blocks > 1").select("anchor", "k", "b", "blocks"), ["anchor", "k", "b"])
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("low"), F.greatest(x, F.col("block")).alias("high"))))
-    paired = large.withColumn("block", own).withColumn("pair", pairs).select("anchor", "k", "b", "fp", "block", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))
+    pairs = F.explode(F.transform(others, lambda x: F.struct(F.least(x, F.col("block")).alias("low"), F.greatest(x, F.col("block")).alias("high"))))
+    paired = large.withColumn("block", own).withColumn("pair", pairs).select("anchor", "k", "b", "fp", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"))
     return links.union(paired.groupBy("anchor", "k", "b", "low", "high").applyInPandas(_compare_blocks, "u long, v long"))
 
 

@@ -2,6 +2,7 @@ import itertools
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from factloom.llm import components, simhash
@@ -84,6 +85,16 @@ def test_components_of_planted_fingerprints(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, truth.values())), rows
 
 
+def test_a_path_to_and_fro_between_blocks_stays_connected():
+    blocks = {0: [0x100000, 0x10003F], 1: [0x0C003F, 0x100007]}
+    pdf = pd.DataFrame([(f, block) for block, fps in blocks.items() for f in fps], columns=["fp", "block"])
+    fps = pdf["fp"].tolist()
+    assert len(set(brute_components(fps, close).values())) == 1
+    found = simhash._compare_blocks((1, 0, 0, 0, 1), pdf)
+    linked = {frozenset(x) for x in zip(found["u"], found["v"], strict=True)}
+    assert len(set(brute_components(fps, lambda a, b: frozenset((a, b)) in linked).values())) == 1
+
+
 def test_component_of_documents_is_the_least_id(spark):
     words = " ".join(f"word{k}" for k in range(400))
     rows = [(30, words), (20, words + " x"), (10, words + " x y"), (5, "something else of its own entirely here"), (7, None), (6, ""), (7, None)]
