@@ -9,10 +9,11 @@ have classes of their own, other words share classes by their last letters. A
 word outside the vocabulary is spelled by byte frequencies.
 
 What is gathered from the corpus covers all of it: the counts of all words of
-all documents, and two rounds in which every partition trains the network in
-numpy on its documents, every STRIDE-th token of each as the masked one, with
-the partitions' networks averaged by their numbers of trained tokens after each
-round. The averages are taken on executors; the driver gets one network.
+all documents, and ROUNDS rounds in which every partition trains the network in
+numpy on its documents, with the partitions' networks averaged by their numbers
+of trained tokens after each round. Each token of each document is the masked
+one in exactly one of the rounds. The averages are taken on executors; the
+driver gets one network.
 
 Defined results: a null or empty text has no tokens, log_prob 0 and a null
 mean; texts are taken whole; equal texts have equal scores; an empty table
@@ -39,7 +40,7 @@ VOCABULARY = 65_536
 OWN_CLASSES, SHARED_CLASSES, SPELLED, EDGE = 64, 62, 126, 127
 CLASSES = 128
 WINDOW, HIDDEN = 2, 16
-ROUNDS, STRIDE, RATE, BATCH = 2, 8, 0.5, 4096
+ROUNDS, RATE, BATCH = 2, 0.5, 4096
 SEED = 8
 #: Words are taken into the vocabulary by bins of their counts, so many for each doubling.
 BINS_PER_DOUBLING = 64
@@ -139,16 +140,15 @@ class WindowNet:
         z = h @ self.out + self.bias
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z, out=z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
-        p *= RATE / len(p)
+        p *= (RATE / len(p)) / p.sum(axis=1, keepdims=True)
+        p[np.arange(len(p)), target] -= np.float32(RATE / len(p))
         back = (p @ self.out.T) * (1 - h * h)
         self.out -= h.T @ p
-        self.bias -= p.sum(axis=0)
+        self.bias -= np.ones(len(p), np.float32) @ p
+        columns = np.ascontiguousarray(back.T, np.float64)
         for k in range(2 * WINDOW):
-            onto = np.zeros((CLASSES, len(context)), np.float32)
-            onto[context[:, k], np.arange(len(context))] = 1
-            self.tables[k] -= onto @ back * 4
+            classes = np.ascontiguousarray(context[:, k])
+            self.tables[k] -= 4 * np.stack([np.bincount(classes, column, CLASSES) for column in columns], axis=1).astype(np.float32)
 
 
 def windows(classes: np.ndarray, lengths: list[int] | None = None, at: np.ndarray | None = None) -> np.ndarray:
@@ -164,6 +164,13 @@ def windows(classes: np.ndarray, lengths: list[int] | None = None, at: np.ndarra
     return padded[wanted[:, None] + np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])]
 
 
+def targets(lengths: list[int], number: int) -> np.ndarray:
+    """The tokens masked in a round, of documents of the given lengths in a row: each token is in one of ROUNDS rounds."""
+    ends = np.cumsum(lengths)
+    firsts = [(number + n) % ROUNDS for n in lengths]
+    return np.concatenate([np.zeros(0, np.int64), *(np.arange(e - n + f, e, ROUNDS) for e, n, f in zip(ends.tolist(), lengths, firsts, strict=True))]).astype(np.int64)
+
+
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: Counter[bytes] = Counter()
     for pdf in batches:
@@ -215,9 +222,7 @@ def _train_round(rows: DataFrame, vocabulary: Vocabulary, net: WindowNet, number
 
         def learn() -> int:
             lengths = [len(x) for x in block]
-            firsts = [(number * STRIDE // 2 + n) % STRIDE for n in lengths]
-            ends = np.cumsum(lengths)
-            at = np.concatenate([np.arange(e - n + f, e, STRIDE) for e, n, f in zip(ends.tolist(), lengths, firsts, strict=True)]).astype(np.int64)
+            at = targets(lengths, number)
             _, classes = words.class_of([w for x in block for w in x])
             context, target = windows(classes, lengths, at), classes[at]
             for k in range(0, len(at), BATCH):

@@ -56,6 +56,19 @@ def test_sums_against_one_token_at_a_time(spark):
     assert abs(inside[2] - (sum(vocabulary.spelled[b] for b in b"unseen") + vocabulary.spelled[256])) < 1e-9
 
 
+def test_every_token_is_a_target_once():
+    lengths = [0, 1, 2, 3, 4, 7, 8, 50, 1]
+    at = np.concatenate([lm.targets(lengths, number) for number in range(lm.ROUNDS)])
+    assert sorted(at.tolist()) == list(range(sum(lengths)))
+
+
+def test_short_documents_are_trained_on(spark):
+    docs = spark.createDataFrame([(k, ("a b c", "d e", "f")[k % 3]) for k in range(30)], "doc_id long, text string").coalesce(1)
+    vocabulary, net = lm.train(docs)
+    prior = np.bincount(vocabulary.classes[:-1], np.ones(len(vocabulary.ids)), lm.CLASSES) / len(vocabulary.ids)
+    assert not np.array_equal(net.flat(), lm.WindowNet.fresh(prior).flat())
+
+
 def test_odd_rows(odd, empty):
     got = lm.score_by_own_corpus(odd)
     rows = {r.doc_id: r for r in got.collect()}
