@@ -227,19 +227,26 @@ def links(prints: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id and text_sha256 of each row."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprinted rows of docs; and fp, root and component_id of each fingerprint. A root stands for one component."""
     rows = checkpoint(fingerprint_rows(docs, id_col, text_col))
     classes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = components(links(classes))
     labelled = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     roots = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = labelled.join(roots, "root").select("fp", "component_id")
+    return rows, labelled.join(roots, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, component_id and text_sha256 of each row."""
+    rows, by_print = _rooted(docs, id_col, text_col)
     out = rows.join(by_print, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_sha256")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component, the one of the least id."""
-    found = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return keep_rows(docs, found.groupBy("doc_id").agg(F.min("text_sha256").alias("text_sha256")), id_col, text_col)
+    """The rows of docs that stay: of each component the one of the least id, null ids last, and there of the least text_sha256."""
+    rows, by_print = _rooted(docs, id_col, text_col)
+    found = rows.join(by_print, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_sha256")).alias("kept")).select("kept.doc_id", "kept.text_sha256")
+    return keep_rows(docs, kept, id_col, text_col)

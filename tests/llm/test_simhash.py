@@ -111,6 +111,17 @@ def test_component_of_documents_is_the_least_id(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(member.values())) and kept.columns == docs.columns
 
 
+def test_each_component_keeps_one_row_whatever_its_ids(spark):
+    words = " ".join(f"word{k}" for k in range(400))
+    apart = [(None, "first text of a row without id"), (None, "quite another one without any id"), (3, "one of two texts that share an id"), (3, "unrelated words under the very same number")]
+    near = [(None, words), (9, words + " x"), (9, words + " x"), (None, words + " x")]
+    prints = sorted({brute_fingerprint(t) for _, t in apart} | {brute_fingerprint(words)})
+    assert len(set(brute_components(prints, close).values())) == 5 and close(brute_fingerprint(words), brute_fingerprint(words + " x"))
+    docs = spark.createDataFrame(apart + near, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [*apart, near[1]]))
+
+
 def test_long_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 4999)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "u long, v long").repartition(6)).collect()}
