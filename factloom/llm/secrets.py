@@ -37,13 +37,13 @@ RULES = {
     "pem": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "service": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}"),
-    "url": re.compile(r"[a-z][a-z0-9+.-]{0,20}://[^\s:/@]{1,200}:[^\s:/@]{1,200}@"),
+    "url": re.compile(r"(?<![A-Za-z0-9+.-])[0-9+.-]*+(?P<from>[A-Za-z][A-Za-z0-9+.-]*+)://[^\s:/@]++:[^\s:/@]++@"),
 }
 ASSIGN_MIN = 6
 #: A text without one of these cannot match the rule.
 _NEEDS = {"access": "AKIA", "pem": "-----BEGIN", "jwt": "eyJ", "url": "://"}
 #: Raised whenever a rule changes: findings under other versions do not count.
-RULES_VERSION = "1"
+RULES_VERSION = "1.1"
 
 _FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -56,7 +56,7 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
             continue
         for m in RULES[kind].finditer(text):
             if kind != "assign" or len(m.group(2)) >= ASSIGN_MIN:
-                found.append((m.start(), place, m.end()))
+                found.append((m.start("from") if kind == "url" else m.start(), place, m.end()))
     return sorted(found)
 
 

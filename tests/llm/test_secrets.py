@@ -29,6 +29,12 @@ def test_added_kinds():
     assert secrets.spans_of("plain words only, as in any text") == []
 
 
+def test_urls_of_any_length_and_case():
+    for url in ("https://user:" + "t0" * 150 + "@", "HTTPS://user:pass@", "a" * 30 + "://" + "u" * 300 + ":p@"):
+        assert [x for x in secrets.spans_of(f"1.{url}host see {url}host") if x[1] == 6] == [(2, 6, 2 + len(url)), (11 + len(url), 6, 11 + 2 * len(url))]
+    assert secrets.spans_of("x" * 200_000 + " ://") == []
+
+
 def test_odd_rows(odd, empty):
     got = sorted((r.doc_id or -1, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan_documents(odd).collect())
     want = []
