@@ -8,7 +8,13 @@ kept, all others are removed. Removed spans hold code points of the original
 text, so what stays can be traced to where it stood.
 
 Units of few words repeat by chance and are left alone: lines under LINE_WORDS
-and sentences under SENTENCE_WORDS words are not units.
+and sentences under SENTENCE_WORDS words are not units. Such short pieces, and
+sentences of over LONG_WORDS words, are covered by grams instead: of the runs of
+GRAM_WORDS words of the whole text, across lines and paragraphs, the ones whose
+hash is the least among WINDOW_GRAMS neighbours. Two texts that share
+GRAM_WORDS + WINDOW_GRAMS - 1 such words share a gram; at most
+WINDOW_GRAMS - 1 words stay at either edge of them. A gram that overlaps its own
+last occurrence is not a unit, so that of a word on end one gram is kept.
 
 Only digests, ids and offsets are shuffled. A digest with very many occurrences
 is aggregated map-side first, and a document's own repeats never leave its row.
@@ -33,28 +39,95 @@ from pyspark.sql import functions as F
 from factloom.llm.common import checkpoint
 from factloom.shipping import ship
 
-LINE_WORDS, SENTENCE_WORDS = 8, 6
+LINE_WORDS, SENTENCE_WORDS, LONG_WORDS = 8, 6, 16
+GRAM_WORDS, WINDOW_GRAMS = 8, 12
 #: A sentence ends after full stops, question or exclamation marks before white space, or with its line.
 _SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|$)")
 _LAST = 2**63 - 1
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+_GRAM_POWERS = [_powers(base, GRAM_WORDS) for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_CHARACTER, _MIX = 0xD6E8FEB86659FD93, np.uint64(0xFF51AFD7ED558CCD)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def _grams(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
+    """The chosen grams of a text that hold at least two words outside the covered spans (disjoint, in order)."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = ~((points == 32) | ((points >= 9) & (points <= 13)))
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    n = len(starts) - GRAM_WORDS + 1
+    if n < 1:
+        return []
+    open_words = np.ones(len(starts), np.int64)
+    if covered:
+        spans = np.array(covered)
+        change = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(change, np.searchsorted(starts, spans[:, 0]), 1)
+        np.add.at(change, np.searchsorted(starts, spans[:, 1]), -1)
+        open_words -= np.cumsum(change[:-1])
+    before = np.concatenate([[0], np.cumsum(open_words)])
+    lower = points + np.uint32(32) * ((points >= 65) & (points <= 90))
+    lengths = ends - starts
+    from_start = np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(points)]])))
+    place = np.where(inside, np.arange(len(points)) - from_start, 0)
+    values = np.where(inside, (lower.astype(np.uint64) + np.uint64(1)) * _powers(_CHARACTER, int(lengths.max()))[place], np.uint64(0))
+    words = _mixed(np.add.reduceat(values, starts) + lengths.astype(np.uint64))
+    first, second = (_mixed(sum(words[k : n + k] * p for k, p in enumerate(powers))) for powers in _GRAM_POWERS)
+    wide = min(WINDOW_GRAMS, n)
+    least = first[: n - wide + 1].copy()
+    for k in range(1, wide):
+        np.minimum(least, first[k : n - wide + 1 + k], out=least)
+    # A gram is chosen where it is the least of a window that holds it.
+    around = np.concatenate([np.zeros(wide - 1, np.uint64), least, np.zeros(wide - 1, np.uint64)])
+    is_least = around[:n] == first
+    for k in range(1, wide):
+        is_least |= around[k : n + k] == first
+    chosen = np.flatnonzero(is_least)
+    chosen = chosen[before[chosen + GRAM_WORDS] - before[chosen] >= 2]
+    digests = np.stack([first[chosen], second[chosen]], axis=1).tobytes()
+    out, last = [], {}
+    for k, (a, b) in enumerate(zip(starts[chosen].tolist(), ends[chosen + GRAM_WORDS - 1].tolist(), strict=True)):
+        digest = digests[16 * k : 16 * k + 16]
+        if a >= last.get(digest, 0):
+            last[digest] = b
+            out.append((a, b, digest))
+    return out
+
+
 def units(text: str) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit of a text."""
-    out = []
-    start = 0
+    out, covered = [], []
+    start = n_open = 0
     for line in text.split("\n"):
-        if len(words := line.encode("utf-8", "surrogatepass").lower().split()) >= min(LINE_WORDS, SENTENCE_WORDS):
+        words = line.encode("utf-8", "surrogatepass").lower().split()
+        n_open += len(words)
+        if len(words) >= min(LINE_WORDS, SENTENCE_WORDS):
             if len(words) >= LINE_WORDS:
                 out.append((start, start + len(line), xxhash.xxh3_128_digest(b" ".join(words))))
             sentences = [(m.start(), m.end()) for m in _SENTENCE.finditer(line)]
-            if len(sentences) > 1 or len(words) < LINE_WORDS:
-                for a, b in sentences:
-                    inside = line[a:b].encode("utf-8", "surrogatepass").lower().split()
-                    if len(inside) >= SENTENCE_WORDS:
+            alone = len(sentences) == 1 and len(words) >= LINE_WORDS
+            for a, b in sentences:
+                inside = words if alone else line[a:b].encode("utf-8", "surrogatepass").lower().split()
+                if len(inside) >= SENTENCE_WORDS:
+                    if not alone:
                         out.append((start + a, start + b, xxhash.xxh3_128_digest(b" ".join(inside))))
+                    if len(inside) <= LONG_WORDS:
+                        covered.append((start + a, start + b))
+                        n_open -= len(inside)
         start += len(line) + 1
-    return out
+    return out + _grams(text, covered) if n_open > 1 else out
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

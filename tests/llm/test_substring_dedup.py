@@ -1,3 +1,5 @@
+import random
+
 from factloom.llm import substring_dedup as sd
 
 PASSAGE = "A first sentence with some more words in it. The second sentence goes on and on for a while. A third one ends the passage that many documents share."
@@ -34,6 +36,31 @@ def test_removals_against_brute_force(spark, odd, empty):
     assert sd.removals(odd).count() == odd.count() and sd.removals(empty).count() == 0
 
 
+def test_passages_without_units_of_their_own():
+    rng = random.Random(9)
+
+    def words(n):
+        return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+
+    def lines(flat, n, end="\n"):
+        return end.join(" ".join(flat[k : k + n]) for k in range(0, len(flat), n))
+
+    for shape in (" ".join, lambda x: lines(x, 4), lambda x: lines(x, 3, ". "), lambda x: lines(x, 1), lambda x: lines(x, 40)):
+        for _ in range(20):
+            passage = shape(words(60))
+            rows = [(k, " ".join(words(30)) + " " + passage + " " + " ".join(words(30))) for k in range(2)]
+            gone = brute(rows)
+            assert set(gone) == {1}
+            start = rows[1][1].index(passage)
+            spans = [tuple(map(int, x.split(":"))) for x in gone[1].split(",")]
+            assert all(start <= a and b <= start + len(passage) for a, b in spans)
+            stays = sum(len(x.split()) for x in (rows[1][1][start : spans[0][0]], rows[1][1][spans[-1][1] : start + len(passage)]))
+            assert stays <= 2 * (sd.WINDOW_GRAMS - 1)
+            assert sum(b - a for a, b in spans) > len(passage) / 2
+    assert brute([(1, "word " * 400)])[1].startswith("40:")
+    assert sd.units("x " * 30)[0] and not sd.units("two words")
+
+
 def test_what_stays_can_be_traced(spark, odd):
     for r in sd.remove_repeats(odd).where("doc_id = 12").collect():
         assert r.text.count("a same line") == 1
