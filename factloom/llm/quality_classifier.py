@@ -7,9 +7,12 @@ dictionary fits better. A logistic curve, fitted on labelled texts that are in
 neither dictionary, turns it into a score between 0 and 1.
 
 Training sees at most TRAIN_ROWS labelled texts of each class for each of the
-two steps, of at most TRAIN_BYTES bytes each, taken in the order of a digest of
-their ids; rows held out by the caller are never among them. Scoring covers
-every row and every byte.
+two steps, taken in the order of a digest of their ids; rows held out by the
+caller and empty texts are never among them. The curve is fitted on whole texts.
+A dictionary is made from all pieces of its texts or, beyond TRAIN_BYTES, from so
+many of them: of each text first one piece, then a second one, and so on, in the
+order of a digest, so that they lie anywhere in it. Scoring covers every row and
+every byte.
 
 Defined results: a null text counts as empty; an empty text has difference 0
 and the score of that; without usable labels of both classes every score is
@@ -19,6 +22,7 @@ equal texts score alike; columns besides id and text are only passed through.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,11 +32,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import column_name
+from factloom.llm.common import checkpoint, column_name
 from factloom.shipping import ship
 
-#: Of TRAIN_BYTES, the dictionaries take at most TEXT_BYTES of each text, so that a few long ones don't fill them.
-TRAIN_ROWS, TRAIN_BYTES, TEXT_BYTES = 1500, 65_536, 8192
+#: Rows of each class and step, and bytes that a dictionary is made from, at most.
+TRAIN_ROWS, TRAIN_BYTES = 1500, 12_582_912
 #: Of a dictionary, of the samples it is made from, and of the pieces that are compressed.
 DICTIONARY_BYTES, SAMPLE_BYTES, PIECE_BYTES, LEVEL = 32_768, 2048, 512, 3
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
@@ -78,14 +82,23 @@ class CompressionModel:
         return 1 / (1 + np.exp(-np.clip(a + b * x[:, 0] + c * x[:, 0] * x[:, 1], -30, 30)))
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    """A dictionary trained on all pieces of the texts; of too few texts to train on, their beginnings themselves."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+def _pieces(text: str) -> list[tuple[int, int, bytes]]:
+    """(rank, digest, piece): the pieces of a text in the order of their digests, all of it up to TRAIN_BYTES."""
+    raw = text.encode("utf-8", "surrogatepass")
+    digests = sorted((zlib.crc32(at.to_bytes(8, "big"), zlib.crc32(raw[at : at + SAMPLE_BYTES])), at) for at in range(0, len(raw), SAMPLE_BYTES))
+    return [(k, digest, raw[at : at + SAMPLE_BYTES]) for k, (digest, at) in enumerate(digests[: TRAIN_BYTES // SAMPLE_BYTES])]
+
+
+def _dictionary(pieces: list[bytes]) -> bytes:
+    """A dictionary trained on the pieces; of too few to train on, the pieces themselves, or as much from within each as has room."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [x[at : at + SAMPLE_BYTES] for x in raw for at in range(0, min(len(x), TEXT_BYTES), SAMPLE_BYTES)]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
-        share = max(64, DICTIONARY_BYTES // len(raw))
-        return b"\n".join(x[:share] for x in raw)[-DICTIONARY_BYTES:]
+        share = max(64, DICTIONARY_BYTES // len(pieces))
+        if sum(map(len, pieces)) > DICTIONARY_BYTES:
+            firsts = [zlib.crc32(x) % max(1, len(x) - share + 1) for x in pieces]
+            pieces = [x[at : at + share] for x, at in zip(pieces, firsts, strict=True)]
+        return b"\n".join(pieces)[-DICTIONARY_BYTES:]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -105,7 +118,9 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CompressionModel:
     """Fits the model on a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("train_id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other")).where("label = other")
-    known = known.withColumn("fold", fold("train_id")).where(F.col("fold") != HELD_OUT).join(docs.select(F.col(id_col).alias("train_id")).distinct(), "train_id", "left_semi")
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("train_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") > 0)
+    known = known.withColumn("fold", fold("train_id")).where(F.col("fold") != HELD_OUT).join(rows.select("train_id").distinct(), "train_id", "left_semi")
     calibrates = F.col("fold") == CALIBRATION
     chosen = None
     for label in (0, 1):
@@ -113,15 +128,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             some = known.where((F.col("label") == label) & part).withColumn("digest", F.md5(F.concat(F.lit("train:"), F.col("train_id").cast("string")))).orderBy("digest", "train_id").limit(TRAIN_ROWS).select("train_id", "label", calibrates.alias("calibrates"), "digest")
             chosen = some if chosen is None else chosen.union(some)
     # At most 4 x TRAIN_ROWS narrow rows.
-    rows = docs.select(F.col(id_col).alias("train_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text").between(1, TRAIN_BYTES))
-    got = rows.join(F.broadcast(chosen), "train_id").dropDuplicates(["train_id"]).toPandas().sort_values("digest")
-    by = {(label, part): got[(got.label == label) & (got.calibrates == part)]["text"].tolist() for label in (0, 1) for part in (True, False)}
-    if not all(by.values()):
+    got = checkpoint(rows.join(F.broadcast(chosen), "train_id").groupBy("train_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("calibrates").alias("calibrates"), F.first("digest").alias("digest")))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text in pdf["text"]:
+                yield pd.DataFrame(_pieces(text), columns=["rank", "digest", "piece"])
+
+    def dictionary(label: int) -> bytes:
+        # At most TRAIN_BYTES go to the driver.
+        pieces = got.where((F.col("label") == label) & ~F.col("calibrates")).select("text").mapInPandas(cut, "rank long, digest long, piece binary")
+        some = [bytes(r["piece"]) for r in pieces.orderBy("rank", "digest", "piece").limit(TRAIN_BYTES // SAMPLE_BYTES).collect()]
+        return _dictionary(some) if some else b""
+
+    model = CompressionModel(dictionary(1), dictionary(0))
+    if not model.good or not model.bad:
+        return CompressionModel(b"", b"")
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = np.array([model.difference(t) for t in pdf["text"]]).reshape(-1, 2)
+            yield pd.DataFrame({"label": pdf["label"], "digest": pdf["digest"], "x0": found[:, 0], "x1": found[:, 1]})
+
+    fitted = got.where("calibrates").mapInPandas(measure, "label long, digest string, x0 double, x1 double").toPandas().sort_values(["label", "digest"])
+    if fitted["label"].nunique() < 2:
         return CompressionModel(b"", b"")
-    model = CompressionModel(_dictionary(by[1, False]), _dictionary(by[0, False]))
-    x = np.array([model.difference(t) for label in (0, 1) for t in by[label, True]])
-    y = np.repeat([0.0, 1.0], [len(by[0, True]), len(by[1, True])])
-    model.weights = _fit(x, y)
+    model.weights = _fit(fitted[["x0", "x1"]].to_numpy(), fitted["label"].to_numpy(np.float64))
     return model
 
 

@@ -29,6 +29,18 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
 
 
+def test_long_texts_that_differ_late(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("aeinorst", k=rng.randint(2, 9))) for _ in range(400)]
+    for size in (20_000, 70_000):  # within and beyond what was once left out
+        rows = [(k, " ".join(rng.choices(words, k=1800))[:9000] + " ".join(w + "$$$" * (k % 2) for w in rng.choices(words, k=size // 6))) for k in range(60)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)] + [(100, 1)], "doc_id long, quality int")
+        model = qc.train(docs, labels)
+        assert model.good and b"$$$" in model.bad
+        assert {r.doc_id for r in qc.keep_good(docs, labels).select("doc_id").collect()} == set(range(0, 60, 2))
+
+
 def test_held_out_labels_teach_nothing(spark):
     docs, labels, _ = corpus(spark, 300)
     flipped = labels.selectExpr("doc_id", f"CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality")
