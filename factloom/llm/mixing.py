@@ -9,9 +9,10 @@ sharing the excess again and again.
 
 A source of size s and target t repeats each document floor(t / s) times. The
 rest, t - s * floor(t / s) words, comes from one more repetition of some
-documents: in the order of a seeded digest of their ids, those that fit, and
-the one of the others whose size is nearest to what is then still missing. The
-order is cut into 4096 ranges of the digest, so that running sums within a
+documents: in the order of a seeded digest of their ids, those before the first
+that does not fit, and the one of the others whose size is nearest to what is
+then still missing, which few or very long documents may leave large. The order
+is cut into 4096 ranges of the digest, so that running sums within a
 source, however large, run over many tasks.
 
 Defined results: a null text has size 0; a null source is a source of its own,
