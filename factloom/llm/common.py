@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a table with one narrow row per key is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 20_000
+#: Rows up to which the rows of one key may always meet in one task.
+HOT_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +59,33 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def map_documents(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], fields: str) -> DataFrame:
+    """rows through run, which takes and returns doc_id as text: in pandas, integers beside nulls would lose digits."""
+    kind = rows.schema["doc_id"].dataType
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, f"doc_id string, {fields}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, on: list[str], n: str) -> DataFrame:
+    """rows joined with per_key: one row for each key (null counts as a key), and in column n how many rows have that key.
+
+    A key with over HOT_ROWS rows and over 1 / BROADCAST_ROWS of all rows is hot, so there are fewer hot keys than
+    BROADCAST_ROWS. Their rows stay where they are and get the key's row by broadcast; all others are shuffled. Both
+    tables are read more than once, so they should be checkpoints or written tables.
+    """
+    total = per_key.agg(F.sum(n)).first()[0] or 0
+    most = max(HOT_ROWS, total // BROADCAST_ROWS)
+    keys = {c: f"factloom_key_{c}" for c in on}
+    named = per_key.select(*[F.col(c).alias(keys.get(c, c)) for c in per_key.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    hot, others = named.where(F.col(n) > most), named.where(F.col(n) <= most)
+    if hot.isEmpty():
+        return rows.join(others, same).drop(*keys.values())
+    spread = rows.join(F.broadcast(hot), same)
+    rest = rows.join(F.broadcast(hot.select(*keys.values())), same, "left_anti").join(others, same)
+    return spread.unionByName(rest).drop(*keys.values())
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

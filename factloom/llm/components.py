@@ -3,7 +3,8 @@
 Each step points the neighbours of every node at the least of them; the steps
 keep what is connected connected, and end in stars around each component's
 least node. A step aggregates a minimum per node (map-side first) and joins it
-back, so no node's neighbours are ever collected in one place.
+back, to nodes with very many neighbours by broadcast, so no node's neighbours
+ever meet in one place.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint
+from factloom.llm.common import checkpoint, join_by_key
 
 #: Far more rounds than any input needs: their number grows with the logarithm of the size.
 MOST_ROUNDS = 100
@@ -19,14 +20,14 @@ MOST_ROUNDS = 100
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+    return join_by_key(both.where("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    least = checkpoint(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    moved = join_by_key(down, least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -42,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not seen[0]:
             break
-        now = checkpoint(_small_star(_large_star(now)))
+        now = checkpoint(_small_star(checkpoint(_large_star(now))))
         before, seen = seen, _signature(now)
         if before == seen:
             break

@@ -12,7 +12,8 @@ with two rows or more are then compared chunk by chunk: sorted by group and
 chunk, the least and the greatest chunk at each place must be the same bytes.
 Map-side aggregation leaves one row per group, chunk and map task, so copies by
 the million meet in small numbers. If a group fails, its rows are told apart by
-the SHA-256 of their texts.
+the SHA-256 of their texts. The rows of a very large group get its result by
+broadcast, so they never meet in one task.
 
 Defined results: a null text counts as empty, and all empty texts are equal; of
 equal texts the row of the largest id stays (a null id is the smallest); of
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower, checkpoint
+from factloom.llm.common import ascii_lower, checkpoint, column_name, join_by_key, map_documents
 from factloom.shipping import ship
 
 #: The four largest primes below 2^31, and a base for each.
@@ -124,7 +125,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "print": prints, "text_sha256": [hashlib.sha256(t).hexdigest() for t in texts]})
 
     rows = _rows(docs, id_col, text_col)
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print string, text_sha256 string")
+    return map_documents(rows, run, "print string, text_sha256 string")
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -150,20 +151,25 @@ def different_under_one_print(docs: DataFrame, suspects: DataFrame, id_col: str
     return places.where(F.col("least") != F.col("greatest")).select("print").distinct()
 
 
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (print, doc_id, text_sha256, copies) without repeats, and of each print keep_id and group_size."""
+    once = checkpoint(rows.groupBy("print", "doc_id", "text_sha256").agg(F.sum("copies").alias("copies")))
+    return once, checkpoint(once.groupBy("print").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
+
+
 def group_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of each row."""
-    rows = checkpoint(fingerprint_rows(docs, id_col, text_col))
-    groups = rows.groupBy("print").agg(F.count("*").alias("n"))
-    suspects = rows.join(groups.where("n > 1").select("print"), "print", "left_semi")
+    once, keep = _grouped(fingerprint_rows(docs, id_col, text_col).withColumn("copies", F.lit(1).cast("long")))
+    suspects = join_by_key(once, keep.where("group_size > 1"), ["print"], "group_size")
     wrong = checkpoint(different_under_one_print(docs, suspects, id_col, text_col))
     if not wrong.isEmpty():
         apart = wrong.withColumn("apart", F.lit(True))
-        rows = rows.join(apart, "print", "left").withColumn("print", F.when(F.col("apart"), F.concat("print", F.lit("-"), "text_sha256")).otherwise(F.col("print"))).drop("apart")
-    # Rows that share an id: all but one are to go. Their number within a group is small or they are one row again and again.
-    once = rows.groupBy("print", "doc_id", "text_sha256").agg(F.count("*").alias("copies"))
-    keep = once.groupBy("print").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    joined = once.join(keep, "print").withColumn("keeper", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return joined.select("doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"), "keeper", "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("keeper") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+        named = F.when(F.col("apart"), F.concat("print", F.lit("-"), "text_sha256")).otherwise(F.col("print"))
+        once, keep = _grouped(once.join(apart, "print", "left").withColumn("print", named).drop("apart"))
+    # Of rows that share the id that stays, all but one are to go; they are one row again and again.
+    joined = join_by_key(once, keep, ["print"], "group_size").withColumn("keeper", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    every = joined.select("doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"), "keeper", "text_sha256")
+    return every.select("doc_id", "keep_id", "group_size", (F.col("keeper") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
 def drop_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,20 +179,20 @@ def drop_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id and normalised text are in kept (doc_id, text_sha256), as often as they are there."""
-    kept = checkpoint(kept.groupBy(F.col("doc_id").alias("factloom_id"), F.col("text_sha256").alias("factloom_sha")).agg(F.count("*").alias("factloom_n")))
+    id_name, sha_name, n_name, nth_name = (column_name(docs, f"factloom_{x}") for x in ("id", "sha", "n", "nth"))
+    kept = checkpoint(kept.groupBy(F.col("doc_id").alias(id_name), F.col("text_sha256").alias(sha_name)).agg(F.count("*").alias(n_name)))
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
-    same = F.col(id_col).eqNullSafe(F.col("factloom_id")) & (sha == F.col("factloom_sha"))
-    found = docs.join(kept.hint("shuffle_hash"), same)
+    found = docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(id_name)) & (sha == F.col(sha_name)))
     # Where rows share id and text, so many of them stay as kept says; without such rows this costs nothing.
     if docs_repeat(docs, id_col):
-        nth = Window.partitionBy("factloom_id", "factloom_sha").orderBy(F.lit(0))
-        found = found.withColumn("factloom_nth", F.row_number().over(nth)).where("factloom_nth <= factloom_n")
-    return found.select(*[docs[c] for c in docs.columns])
+        nth = Window.partitionBy(id_name, sha_name).orderBy(F.lit(0))
+        found = found.withColumn(nth_name, F.row_number().over(nth)).where(F.col(nth_name) <= F.col(n_name)).drop(nth_name)
+    return found.drop(id_name, sha_name, n_name)
 
 
 def docs_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
     """Whether rows share an id; reads the id column only."""
-    return not docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    return not docs.groupBy(id_col).agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
 
 
 SQL = r"""

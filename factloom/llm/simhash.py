@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint
+from factloom.llm.common import checkpoint, join_by_key, map_documents
 from factloom.llm.components import components
 from factloom.llm.exact_dedup import keep_rows
 from factloom.shipping import ship
@@ -77,7 +77,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": prints, "text_sha256": sha})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, text_sha256 string")
+    return map_documents(rows, run, "fp long, text_sha256 string")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -228,25 +228,27 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The fingerprinted rows of docs; and fp, root and component_id of each fingerprint. A root stands for one component."""
+    """The fingerprinted rows of docs; and of each fingerprint fp its number of rows n, its first row (known ids first), and its root.
+
+    A root stands for one component.
+    """
     rows = checkpoint(fingerprint_rows(docs, id_col, text_col))
-    classes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_sha256"))
+    classes = checkpoint(rows.groupBy("fp").agg(F.count("*").alias("n"), first.alias("first")))
     found = components(links(classes))
-    labelled = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    roots = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows, labelled.join(roots, "root").select("fp", "root", "component_id")
+    return rows, checkpoint(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id and text_sha256 of each row."""
-    rows, by_print = _rooted(docs, id_col, text_col)
-    out = rows.join(by_print, "fp")
+    rows, rooted = _rooted(docs, id_col, text_col)
+    roots = checkpoint(rooted.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"), F.count("*").alias("prints")))
+    by_print = checkpoint(join_by_key(rooted, roots, ["root"], "prints").select("fp", "n", "component_id"))
+    out = join_by_key(rows, by_print, ["fp"], "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_sha256")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each component the one of the least id, null ids last, and there of the least text_sha256."""
-    rows, by_print = _rooted(docs, id_col, text_col)
-    found = rows.join(by_print, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_sha256")).alias("kept")).select("kept.doc_id", "kept.text_sha256")
+    kept = _rooted(docs, id_col, text_col)[1].groupBy("root").agg(F.min("first").alias("kept")).select("kept.doc_id", "kept.text_sha256")
     return keep_rows(docs, kept, id_col, text_col)

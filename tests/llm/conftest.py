@@ -17,6 +17,10 @@ TEXTS = [
     (12, "a same line of more than eight words stands here today\n" * 30, "web"),
     (13, "token: 0123456789abcdef0123456789abcdef\r\nlast line", "web"),
     (None, "a row without an id", "web"),
+    (None, "another row without an id", "books"),
+    (14, "one id with two texts, of which this is the first one", "web"),
+    (14, "and quite another text under the same id as before", "books"),
+    (2**63 - 1, "the largest id of all stands beside rows without one", "web"),
 ]
 SCHEMA = "doc_id long, text string, source string"
 
@@ -26,7 +30,23 @@ def odd(spark):
     """A table with the odd cases and with extra columns that clash."""
     from pyspark.sql import functions as F
 
-    return spark.createDataFrame(TEXTS, SCHEMA).select("*", F.lit("x").alias("key"), F.lit(1).alias("size"), F.lit(2).alias("print"), F.lit(3).alias("fp"), F.lit(4).alias("factloom_score"), F.lit(5).alias("copies")).repartition(3)
+    return spark.createDataFrame(TEXTS, SCHEMA).select("*", F.lit("x").alias("key"), F.lit(1).alias("size"), F.lit(2).alias("print"), F.lit(3).alias("fp"), F.lit(4).alias("factloom_score"), F.lit(5).alias("copies"), F.lit(6).alias("factloom_sha"), F.lit(7).alias("factloom_id"), F.lit(8).alias("n")).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def texts_as_ids(odd):
+    """The same rows with ids of text."""
+    from pyspark.sql import functions as F
+
+    return odd.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+
+
+@pytest.fixture
+def hot(monkeypatch):
+    """Keys count as hot from three rows on."""
+    from factloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
 
 
 @pytest.fixture(scope="session")

@@ -57,9 +57,19 @@ def test_texts_that_collide_are_told_apart(spark, monkeypatch):
 def test_rows_that_stay(odd, empty):
     kept = ed.drop_equal(odd)
     assert kept.columns == odd.columns and ed.drop_equal(empty).count() == 0
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 5, 6, 7, 8, 9, 10, 11, 12, 13]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 2, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 14, 2**63 - 1]
 
 
 def test_one_id_with_two_texts(spark):
     docs = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (1, "x")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in ed.drop_equal(docs).collect()) == [(1, "x"), (2, "y")]
+
+
+def test_ids_of_text_and_hot_groups(texts_as_ids, spark, hot):
+    got = sorted((r.doc_id or "", r.keep_id or "", r.group_size, r.kept) for r in ed.group_equal(texts_as_ids).collect())
+    want = {}
+    for r in texts_as_ids.collect():
+        want.setdefault((r.text or "").lower(), []).append(r.doc_id or "")
+    assert sorted((i, max(ids), len(ids)) for ids in want.values() for i in ids) == [x[:3] for x in got] and sum(x[3] for x in got) == len(want)
+    docs = spark.createDataFrame([(k, "copy" if k % 3 else f"own {k}") for k in range(60)], "doc_id long, text string").repartition(4)
+    assert groups(ed.group_equal(docs).collect()) == brute(docs.collect())

@@ -126,3 +126,16 @@ def test_long_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 4999)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "u long, v long").repartition(6)).collect()}
     assert {found[k] for k in range(201)} == {0} and found[1299] == 1000 and found[5000] == 4999 and len(found) == 201 + 300 + 2
+
+
+def test_large_groups_and_ids_of_text(spark, texts_as_ids, hot):
+    rows = [(k, "the same words again and again" if k % 2 else f"own words of {k} here {k * 7} and {k * 11}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    prints = {i: brute_fingerprint(t) for i, t in rows}
+    want = brute_components(sorted(prints), lambda a, b: close(prints[a], prints[b]))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == want
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(want.values())
+    assert simhash.near_duplicates(texts_as_ids).count() == texts_as_ids.count()
+    assert {r.doc_id for r in simhash.drop_near_duplicates(texts_as_ids).collect()} >= {"d1", "d3", "d7", None}
+    star = [(0, k) for k in range(1, 50)] + [(k, k + 100) for k in range(1, 50)]
+    assert {r.component for r in components.components(spark.createDataFrame(star, "u long, v long")).collect()} == {0}
