@@ -15,7 +15,8 @@ then still missing, which few or very long documents may leave large. The order
 is cut into 4096 ranges of the digest, so that running sums within a
 source, however large, run over many tasks.
 
-Defined results: a null text has size 0; a null source is a source of its own,
+Defined results: a null text has size 0; an empty document is repeated like the
+others of its source, at most `epochs` times; a null source is a source of its own,
 after all others; a source of size 0 has target 0; rows that share an id are
 taken together, as often as each other; an empty table gives an empty result;
 columns besides id, source and text are only passed through.
@@ -82,7 +83,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     upto = Window.partitionBy("source_key", "range").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     running = units.withColumn("within", F.sum("size").over(upto)).join(offsets, ["source_key", "range"])
     reached = checkpoint(running.select("source_key", "key", "size", (F.col("offset") + F.col("within")).alias("reached")).join(small, "source_key"))
-    fits = F.col("reached") <= F.col("need")
+    fits = (F.col("reached") <= F.col("need")) & (F.col("need") > 0)
     filled = reached.groupBy("source_key").agg(F.max(F.when(fits, F.col("key"))).alias("last_key"), (F.first("need") - F.coalesce(F.max(F.when(fits, F.col("reached"))), F.lit(0))).alias("missing"))
     rest = reached.where(~fits).join(broadcast_if_small(checkpoint(filled)), "source_key")
     best = rest.where(F.col("size") < 2 * F.col("missing")).groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")), "key"))["key"].alias("best_key"))
@@ -136,8 +137,8 @@ reached AS (
          sum(u.size) OVER (PARTITION BY u.source_key ORDER BY u.key ROWS UNBOUNDED PRECEDING) AS reached
   FROM units u JOIN shares s USING (source_key)),
 filled AS (
-  SELECT source_key, max(key) FILTER (WHERE reached <= need) AS last_key,
-         any_value(need) - coalesce(max(reached) FILTER (WHERE reached <= need), 0) AS missing
+  SELECT source_key, max(key) FILTER (WHERE reached <= need AND need > 0) AS last_key,
+         any_value(need) - coalesce(max(reached) FILTER (WHERE reached <= need AND need > 0), 0) AS missing
   FROM reached GROUP BY source_key),
 best AS (
   SELECT source_key, key AS best_key FROM (

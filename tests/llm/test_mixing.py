@@ -72,3 +72,9 @@ def test_all_targets_are_reached_by_clamping(spark):
     rows = [(1, "w " * 10, "a"), (2, "w " * 1000, "b"), (3, "w " * 5, "c")]
     got, targets = check(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert abs(sum(targets.values()) - 1015) < 1e-6
+
+
+def test_empty_documents_are_taken_at_most_three_times(spark):
+    rows = [(k, "" if k % 2 else "w", "small") for k in range(20)] + [(100 + k, "w " * 500, "big") for k in range(4)]
+    got = mixing.mix_sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.copies for r in got if r.doc_id < 100} == {3}
