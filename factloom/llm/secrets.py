@@ -2,12 +2,15 @@
 
 Every version of every path is a blob, known by the SHA-256 of its content. The
 ledger is a Parquet table of what each blob was found to hold under each
-version of the rules. A scan takes the distinct blobs, leaves out those that
-the ledger has under the present rules, scans the rest, adds them to the
-ledger, and joins the findings back to all paths.
+version of the rules, which is a digest of the rules. A scan takes the distinct
+blobs, leaves out those that the ledger has under the present rules, scans the
+rest, adds them to the ledger, and joins the findings back to all paths and
+versions. The ledger is only added to; a blob that two scans at once added
+counts once when it is read.
 
 Equal blobs meet through map-side aggregation, so a content with very many
-copies reaches a later task once per map task and is scanned once.
+copies reaches a later task once per map task and is scanned once, and its
+findings reach its rows by broadcast.
 
 Defined results: a null content counts as empty; an empty content has no
 findings; contents of any length are scanned whole; repeated rows each get
@@ -25,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh_path
+from factloom.llm.common import checkpoint, fresh_path, join_by_key
 from factloom.shipping import ship
 
 #: Kinds in the order in which spans at the same start are listed; the first three are the base kinds.
@@ -42,8 +45,8 @@ RULES = {
 ASSIGN_MIN = 6
 #: A text without one of these cannot match the rule.
 _NEEDS = {"access": "AKIA", "pem": "-----BEGIN", "jwt": "eyJ", "url": "://"}
-#: Raised whenever a rule changes: findings under other versions do not count.
-RULES_VERSION = "1.1"
+#: Made from the rules themselves: findings under any other rules do not count.
+RULES_VERSION = hashlib.sha256(repr([(k, RULES[k].pattern, RULES[k].flags) for k in KINDS] + [ASSIGN_MIN]).encode()).hexdigest()[:16]
 
 _FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -96,18 +99,24 @@ class BlobLedger:
                 return None
             raise
 
-    def scan(self, versions: DataFrame, path_col: str, content_col: str, rules_version: str = RULES_VERSION) -> DataFrame:
-        """The findings of every row of versions, after scanning the blobs that the ledger lacks."""
-        content = F.coalesce(F.col(content_col).cast("string"), F.lit(""))
-        named = versions.select(F.col(path_col).alias("path"), F.sha2(content, 256).alias("blob"), content.alias("content"))
+    def findings(self) -> DataFrame | None:
+        """One row for each blob that was scanned by the present rules; scans at once or run twice may have added it more than once."""
         known = self.read()
+        return None if known is None else known.where(F.col("rules_version") == RULES_VERSION).dropDuplicates(["blob"]).drop("rules_version")
+
+    def scan(self, versions: DataFrame, path_col: str, content_col: str, version_col: str | None = None) -> DataFrame:
+        """path, version (null without version_col), blob and findings of every row of versions, after scanning the blobs that the ledger lacks."""
+        content = F.coalesce(F.col(content_col).cast("string"), F.lit(""))
+        version = F.col(version_col) if version_col else F.lit(None).cast("string")
+        named = versions.select(F.col(path_col).alias("path"), version.alias("version"), F.sha2(content, 256).alias("blob"), content.alias("content"))
+        rows = checkpoint(named.drop("content"))
         unseen = named.select("blob", "content")
-        if known is not None:
-            unseen = unseen.join(known.where(F.col("rules_version") == rules_version).select("blob"), "blob", "left_anti")
+        if (known := self.findings()) is not None:
+            unseen = unseen.join(known.select("blob"), "blob", "left_anti")
         distinct = unseen.groupBy("blob").agg(F.first("content").alias("content"))
-        scan_blobs(distinct).withColumn("rules_version", F.lit(rules_version)).write.mode("append").parquet(self.path)
-        found = self.spark.read.parquet(self.path).where(F.col("rules_version") == rules_version).drop("rules_version")
-        return named.select("path", "blob").join(found, "blob")
+        scan_blobs(distinct).withColumn("rules_version", F.lit(RULES_VERSION)).write.mode("append").parquet(self.path)
+        found = self.findings().join(rows.groupBy("blob").agg(F.count("*").alias("n_paths")), "blob")
+        return join_by_key(rows, checkpoint(found), ["blob"], "n_paths").drop("n_paths")
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None) -> DataFrame:

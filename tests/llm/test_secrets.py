@@ -36,7 +36,7 @@ def test_urls_of_any_length_and_case():
 
 
 def test_odd_rows(odd, empty):
-    got = sorted((r.doc_id or -1, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan_documents(odd).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan_documents(odd).collect())
     want = []
     for r in odd.collect():
         spans = brute_base(r.text or "")
@@ -55,5 +55,21 @@ def test_only_unseen_blobs_are_scanned(spark, tmp_path):
     second = spark.createDataFrame([("a", "token = abcdefgh"), ("d", "new secret: hunter22")], "path string, content string")
     assert {(r.path, r.n_assign) for r in ledger.scan(second, "path", "content").collect()} == {("a", 1), ("d", 1)}
     assert ledger.read().count() == 3
-    ledger.scan(second, "path", "content", rules_version="2").collect()
-    assert ledger.read().count() == 5
+
+
+def test_the_ledger_counts_a_blob_once_and_follows_the_rules(spark, tmp_path, monkeypatch):
+    ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
+    rows = spark.createDataFrame([("a", "1", "token = abcdefgh"), ("a", "2", "none"), ("b", "1", "token = abcdefgh")], "path string, tag string, content string")
+    ledger.scan(rows, "path", "content", "tag").collect()
+    spark.read.parquet(ledger.path).write.mode("append").parquet(ledger.path)  # what a second scan at the same time would add
+    assert ledger.read().count() == 4 and ledger.findings().count() == 2
+    assert sorted((r.path, r.version, r.n_assign) for r in ledger.scan(rows, "path", "content", "tag").collect()) == [("a", "1", 1), ("a", "2", 0), ("b", "1", 1)]
+    monkeypatch.setattr(secrets, "RULES_VERSION", "other rules")
+    assert ledger.findings().isEmpty() and ledger.scan(rows, "path", "content", "tag").count() == 3
+    assert ledger.read().count() == 6
+
+
+def test_a_blob_of_very_many_paths(spark, hot):
+    rows = [(k, "token = abcdefgh" if k % 3 else None) for k in range(90)]
+    got = secrets.scan_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_assign) for r in got) == [(k, int(k % 3 > 0)) for k in range(90)]
