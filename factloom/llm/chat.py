@@ -6,7 +6,9 @@ before the first position that isn't shared. Prompt turns are emitted once for
 the pair, all other turns as completions of their side. A completion is trained
 on where its role is the trained one: loss_from and loss_to give that span of
 the rendered turn, in code points; elsewhere both are 0. The result stays one
-row per turn, so a conversation of any length never has to fit into one task.
+row per turn, so a conversation of any length never has to fit into one task,
+and rows of a very large pair get its fork by broadcast. `assemble` makes one
+row of each pair, with its two masked completions.
 
 Defined results: a null role or text counts as empty; a null turn stands after
 all others and is never shared; repeated rows of a turn are compared as a
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import checkpoint, join_by_key
+
 HEAD, MIDDLE, TAIL = "<|", "|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
 
@@ -27,7 +31,7 @@ TRAINED_ROLE = "assistant"
 def _side(digest: Column, chosen: Column) -> Column:
     """A side's turns at one position, as a multiset."""
     own = F.when(chosen, digest)
-    return F.struct(F.count(own), F.min(own), F.max(own), F.sum(F.when(chosen, F.xxhash64(digest).cast("decimal(38,0)"))))
+    return F.struct(F.count(own).alias("n"), F.min(own), F.max(own), F.sum(F.when(chosen, F.xxhash64(digest).cast("decimal(38,0)"))))
 
 
 def preference_rows(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
@@ -36,8 +40,9 @@ def preference_rows(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> DataF
     digest = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
     places = rows.groupBy("pair_id", "turn").agg(_side(digest, F.col("chosen")).alias("a"), _side(digest, ~F.col("chosen")).alias("b"))
     differs = F.col("turn").isNull() | ~F.col("a").eqNullSafe(F.col("b"))
-    fork = places.groupBy("pair_id").agg(F.min(F.when(differs, F.coalesce("turn", F.lit(2**62)))).alias("fork")).withColumnRenamed("pair_id", "fork_pair")
-    placed = rows.join(fork, F.col("pair_id").eqNullSafe(F.col("fork_pair")))
+    n_rows = F.sum(F.col("a")["n"] + F.col("b")["n"]).alias("n_rows")
+    forks = checkpoint(places.groupBy("pair_id").agg(F.min(F.when(differs, F.coalesce("turn", F.lit(2**62)))).alias("fork"), n_rows))
+    placed = join_by_key(rows, forks, ["pair_id"], "n_rows")
     shared = F.coalesce("turn", F.lit(2**62)) < F.coalesce("fork", F.lit(2**62))
     part = F.when(shared, "prompt").when(F.col("chosen"), "chosen").otherwise("rejected")
     head = F.concat(F.lit(HEAD), "role", F.lit(MIDDLE))
@@ -55,14 +60,29 @@ def neighbours_as_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def assemble(rows: DataFrame) -> DataFrame:
-    """pair_id, prompt, chosen, rejected: the parts as strings, for pairs that a trainer can hold in memory."""
+    """pair_id, prompt, chosen, rejected, chosen_loss, rejected_loss: a pair in one row, for pairs that a trainer can hold in memory.
+
+    A completion's loss is an array of (loss_from, loss_to): the spans of that string, in code points, that are trained on.
+    """
+    held = rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(2**62)).alias("turn"), "role", "rendered", "part", "loss_from", "loss_to"))).alias("turns"))
+
+    def turns_of(name: str) -> Column:
+        return F.filter("turns", lambda x: x["part"] == name)
+
+    def text(name: str) -> Column:
+        return F.array_join(F.transform(turns_of(name), lambda x: x["rendered"]), "").alias(name)
+
+    def loss(name: str) -> Column:
+        # Each turn adds its length to the offset of those after it.
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<loss_from: bigint, loss_to: bigint>>").alias("spans"))
+
+        def step(done: Column, x: Column) -> Column:
+            span = F.array(F.struct((done["at"] + x["loss_from"]).alias("loss_from"), (done["at"] + x["loss_to"]).alias("loss_to")))
+            return F.struct((done["at"] + F.length(x["rendered"])).alias("at"), F.when(x["loss_to"] > 0, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
 
-    def part(name: str) -> Column:
-        inside = F.filter("turns", lambda x: x["part"] == name)
-        return F.array_join(F.transform(inside, lambda x: x["rendered"]), "").alias(name)
+        return F.aggregate(turns_of(name), start, step, lambda done: done["spans"]).alias(f"{name}_loss")
 
-    held = rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(2**62)).alias("turn"), "role", "rendered", "part"))).alias("turns"))
-    return held.select("pair_id", part("prompt"), part("chosen"), part("rejected"))
+    return held.select("pair_id", text("prompt"), text("chosen"), text("rejected"), loss("chosen"), loss("rejected"))
 
 
 SQL = r"""

@@ -26,9 +26,21 @@ def test_prompts_and_completions(spark):
     assert len(by[3, "chosen"]) == 1 and len(by[4, "rejected"]) == 1 and len(by[None, "chosen"]) == 1
     assert len(by[5, "chosen"]) == 2 and len(by[5, "rejected"]) == 1  # twice is not once
     whole = {r.pair_id: r for r in chat.assemble(chat.preference_rows(turns)).collect()}
+    assert [whole[0].chosen[a:b] for a, b in whole[0].chosen_loss] == ["hello<|end|>\n"] and [whole[0].rejected[a:b] for a, b in whole[0].rejected_loss] == ["hey<|end|>\n"]
+    for k, row in whole.items():
+        for part, text, spans in (("chosen", row.chosen, row.chosen_loss), ("rejected", row.rejected, row.rejected_loss)):
+            assert "".join(text[a:b] for a, b in spans) == "".join(t[2] for t in by.get((k, part), []))
     assert whole[0].prompt + whole[0].rejected == "<|user|>\nhi<|end|>\n<|assistant|>\nhey<|end|>\n"
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, extra string")
     assert chat.preference_rows(chat.neighbours_as_pairs(none)).count() == 0
+
+
+def test_a_very_long_pair(spark, hot):
+    rows = [(k % 2, k // 2, "user" if k % 4 < 2 else "assistant", f"text {k // 2 if k < 60 else k}") for k in range(200)]
+    turns = chat.neighbours_as_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    got = chat.preference_rows(turns)
+    assert {(r.part, r["count"]) for r in got.groupBy("part").count().collect()} == {("prompt", 30), ("chosen", 70), ("rejected", 70)}
+    assert sorted((r.part, r.turn) for r in got.collect() if r.loss_to)[0] == ("chosen", 31)
