@@ -5,13 +5,14 @@ token given the tokens on both sides of it. The probability has two factors:
 the network gives the token's class from the classes of the WINDOW tokens left
 and right of it (one hidden layer over one embedding table per place, softmax
 over the classes), and the class gives the token by its count. Frequent words
-have classes of their own, other words share classes by their last letters. A
-word outside the vocabulary is spelled by byte frequencies.
+have classes of their own, other words share classes by their last letters. The
+vocabulary is the VOCABULARY most frequent words; a word outside it is spelled
+by byte frequencies.
 
 What is gathered from the corpus covers all of it: the counts of all words of
 all documents, and ROUNDS rounds in which every partition trains the network in
 numpy on its documents, with the partitions' networks averaged by their numbers
-of trained tokens after each round. Each token of each document is the masked
+of trained tokens after each round, in a tree of bounded fan-in. Each token of each document is the masked
 one in exactly one of the rounds. The averages are taken on executors; the
 driver gets one network.
 
@@ -29,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint
+from factloom.llm.common import checkpoint, map_documents
 from factloom.shipping import ship
 
 #: Words of the vocabulary at most: the bound of what is sent to every executor.
@@ -40,18 +42,17 @@ VOCABULARY = 65_536
 OWN_CLASSES, SHARED_CLASSES, SPELLED, EDGE = 64, 62, 126, 127
 CLASSES = 128
 WINDOW, HIDDEN = 2, 16
-ROUNDS, RATE, BATCH = 2, 0.5, 4096
+ROUNDS, RATE, BATCH = 2, 2.0, 1024
 SEED = 8
 #: Words are taken into the vocabulary by bins of their counts, so many for each doubling.
 BINS_PER_DOUBLING = 64
 #: Counts are summed per word in a task until it holds so many words.
 COUNTER_WORDS = 200_000
-#: Networks of partitions are averaged in so many groups first.
-AVERAGE_GROUPS = 64
+#: Networks that are averaged in one task. The averages are averaged again, until so few are left.
+AVERAGE_FAN = 64
 BLOCK_TOKENS = 200_000
 
 
-
 def tokens(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
@@ -67,6 +68,8 @@ class Vocabulary:
     classes: np.ndarray
     within: np.ndarray
     spelled: np.ndarray
+    #: The share of each class in all tokens, from which the network starts.
+    prior: np.ndarray
 
     @classmethod
     def of(cls, counts: list[tuple[bytes, int]], byte_counts: np.ndarray) -> Vocabulary:
@@ -77,7 +80,8 @@ class Vocabulary:
         total = np.bincount(classes, own, CLASSES)
         within = np.log(own / total[classes]) if len(own) else own
         smooth = byte_counts + 1.0
-        return cls(ids, np.append(classes, SPELLED), np.append(within, 0.0), np.log(smooth / smooth.sum()))
+        total[SPELLED] = max(0.0, byte_counts[256] - own.sum())
+        return cls(ids, np.append(classes, SPELLED), np.append(within, 0.0), np.log(smooth / smooth.sum()), (total + 1e-3) / (total + 1e-3).sum())
 
     def class_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The vocabulary's id of each word, one beyond the last for unknown ones, and its class."""
@@ -198,26 +202,46 @@ def gather_vocabulary(rows: DataFrame) -> Vocabulary:
     byte_counts = np.zeros(257)
     for row in counts.mapInPandas(bytes_of, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 257 rows
         byte_counts[row["byte"]] = row["n"]
-    # Words by bins of their counts: whole bins from the top, as many as VOCABULARY has room for.
-    bin_of = F.floor(F.log2("n") * BINS_PER_DOUBLING).cast("int")
-    least, room = None, VOCABULARY
-    for row in sorted(counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect(), reverse=True):  # at most 64 * BINS_PER_DOUBLING rows
-        room -= row["n"]
-        if room < 0:
-            break
-        least = row["bin"]
-    top = counts.where(bin_of >= least).collect() if least is not None else []  # at most VOCABULARY rows
-    top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
+    top = _most_frequent(counts, VOCABULARY)
     return Vocabulary.of([(bytes(r["word"]), r["n"]) for r in top], byte_counts)
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """The rows of the `most` most frequent words (word, n), by falling n; of words around the last place, those of the least digest."""
+
+    def upto(sizes: list, room: int) -> tuple[int, int]:
+        """How many of the sizes have room as a whole, and the room that is left."""
+        k = 0
+        while k < len(sizes) and sizes[k] <= room:
+            room -= sizes[k]
+            k += 1
+        return k, room
+
+    # Whole bins of counts from the top; of the first that does not fit whole ranges of digests; of the first such that does not fit its first words.
+    bin_of = F.floor(F.log2("n") * BINS_PER_DOUBLING).cast("int")
+    bins = sorted(counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect(), reverse=True)  # at most 64 * BINS_PER_DOUBLING rows
+    k, room = upto([r["n"] for r in bins], most)
+    top = counts.where(bin_of > bins[k]["bin"] if k < len(bins) else F.lit(True)).collect()  # at most VOCABULARY rows
+    if k < len(bins):
+        digest = F.xxhash64("word")
+        split = counts.where(bin_of == bins[k]["bin"])
+        ranges = sorted(split.groupBy(F.shiftright(digest, 48).alias("range")).agg(F.count("*").alias("n")).collect())  # at most 65,536 rows
+        j, room = upto([r["n"] for r in ranges], room)
+        found = split.withColumn("range", F.shiftright(digest, 48))
+        if j:
+            top += found.where(F.col("range") <= ranges[j - 1]["range"]).select("word", "n").collect()
+        if room:
+            top += found.where(F.col("range") == ranges[j]["range"]).orderBy(digest, "word").limit(room).select("word", "n").collect()
+    return sorted(top, key=lambda r: (-r["n"], bytes(r["word"])))
+
+
 def _train_round(rows: DataFrame, vocabulary: Vocabulary, net: WindowNet, number: int) -> WindowNet:
     """Every partition trains its copy of net on its rows; the copies are averaged."""
     sent = rows.sparkSession.sparkContext.broadcast((vocabulary, net.flat()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, flat = sent.value
-        own, seen, group = WindowNet.unflat(flat), 0, None
+        own, seen = WindowNet.unflat(flat), 0
         block: list[list[bytes]] = []
 
         def learn() -> int:
@@ -233,7 +257,6 @@ def _train_round(rows: DataFrame, vocabulary: Vocabulary, net: WindowNet, number
         held = 0
         for pdf in batches:
             for text in pdf["text"].fillna(""):
-                group = zlib.crc32(text.encode("utf-8", "surrogatepass")[:64]) % AVERAGE_GROUPS if group is None else group
                 block.append(tokens(text))
                 held += len(block[-1])
                 if held > BLOCK_TOKENS:
@@ -242,18 +265,24 @@ def _train_round(rows: DataFrame, vocabulary: Vocabulary, net: WindowNet, number
         if block:
             seen += learn()
         if seen:
-            yield pd.DataFrame({"group": [group], "seen": [seen], "net": [own.flat().astype(np.float64)]})
+            yield pd.DataFrame({"node": [TaskContext.get().partitionId()], "seen": [seen], "net": [own.flat().astype(np.float64)]})
+
+    nodes, nets = rows.rdd.getNumPartitions(), rows.mapInPandas(run, _NODE)
+    while nodes > AVERAGE_FAN:
+        nets, nodes = nets.groupBy(F.floor(F.col("node") / AVERAGE_FAN).alias("parent")).applyInPandas(_average, _NODE), -(-nodes // AVERAGE_FAN)
+    trained = nets.toPandas()  # at most AVERAGE_FAN rows
+    return WindowNet.unflat(_average((0,), trained)["net"][0]) if len(trained) else net
+
+
+_NODE = "node long, seen long, net array<double>"
 
-    def average(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(first=[x[0] for x in pdf["net"]]).sort_values(["seen", "first"])
-        total = sum(x * n for x, n in zip(pdf["net"], pdf["seen"], strict=True))
-        return pd.DataFrame({"seen": [int(pdf["seen"].sum())], "net": [total / pdf["seen"].sum()]})
 
-    trained = rows.mapInPandas(run, "group long, seen long, net array<double>").groupBy("group").applyInPandas(average, "seen long, net array<double>").toPandas()  # at most AVERAGE_GROUPS rows
-    if not len(trained):
-        return net
-    trained = trained.assign(first=[x[0] for x in trained["net"]]).sort_values(["seen", "first"])
-    return WindowNet.unflat(sum(np.asarray(x) * n for x, n in zip(trained["net"], trained["seen"], strict=True)) / trained["seen"].sum())
+def _average(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The nets of one parent's nodes, by their numbers of trained tokens. In the order of the nodes, so that sums agree."""
+    pdf = pdf.sort_values("node")
+    seen = int(pdf["seen"].sum())
+    total = sum(np.asarray(x) * n for x, n in zip(pdf["net"], pdf["seen"], strict=True))
+    return pd.DataFrame({"node": [int(key[0])], "seen": [seen], "net": [total / seen]})
 
 
 def score_texts(texts: list[str], vocabulary: Vocabulary, net: WindowNet) -> list[tuple[int, float]]:
@@ -288,8 +317,7 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, WindowNe
     ship(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     vocabulary = gather_vocabulary(rows)
-    prior = np.bincount(vocabulary.classes[:-1], np.ones(len(vocabulary.ids)), CLASSES) / max(1, len(vocabulary.ids))
-    net = WindowNet.fresh(prior)
+    net = WindowNet.fresh(vocabulary.prior)
     for number in range(ROUNDS):
         net = _train_round(rows, vocabulary, net, number)
     return vocabulary, net
@@ -307,7 +335,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: WindowNet, id_col: str =
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [n for n, _ in found], "log_prob": [round(x, 4) for _, x in found]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_prob double")
+    out = map_documents(rows, run, "n_tokens long, log_prob double")
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 

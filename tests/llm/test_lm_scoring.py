@@ -65,8 +65,39 @@ def test_every_token_is_a_target_once():
 def test_short_documents_are_trained_on(spark):
     docs = spark.createDataFrame([(k, ("a b c", "d e", "f")[k % 3]) for k in range(30)], "doc_id long, text string").coalesce(1)
     vocabulary, net = lm.train(docs)
-    prior = np.bincount(vocabulary.classes[:-1], np.ones(len(vocabulary.ids)), lm.CLASSES) / len(vocabulary.ids)
-    assert not np.array_equal(net.flat(), lm.WindowNet.fresh(prior).flat())
+    assert not np.array_equal(net.flat(), lm.WindowNet.fresh(vocabulary.prior).flat())
+
+
+def test_the_vocabulary_is_full_whatever_the_counts(spark):
+    once = [(f"w{k}", 1) for k in range(1000)]
+    counts = spark.createDataFrame([("often", 9), ("twice", 2), *once], "word string, n long").selectExpr("cast(word as binary) word", "n").repartition(3)
+    for most in (1, 2, 300, 5000):
+        top = lm._most_frequent(counts, most)
+        assert len(top) == min(most, 1002) and [bytes(r["word"]) for r in top][:2] == [b"often", b"twice"][:most]
+    assert [r["word"] for r in lm._most_frequent(counts, 300)] == [r["word"] for r in lm._most_frequent(counts.repartition(5), 300)]
+    assert lm._most_frequent(counts.where("n > 9"), 5) == []
+
+
+def test_averaging_in_a_tree(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(40), "doc_id long, text string").repartition(9)
+    _, flat = lm.train(docs)
+    monkeypatch.setattr(lm, "AVERAGE_FAN", 2)
+    _, deep = lm.train(docs)
+    assert np.allclose(flat.flat(), deep.flat(), atol=1e-4)
+
+
+def test_real_texts_score_above_texts_mixed_of_two_languages(spark):
+    """The same words in both: the prose is invented word by word, so only its language ties neighbours."""
+    rows = [(r.text, r.lang, r.doc_id % 10 == 0) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()]
+    vocabulary, net = lm.train(spark.createDataFrame([(t,) for t, _, held in rows if not held], "text string").repartition(2))
+    by = {}
+    for text, lang, held in rows:
+        if held and len(text.split()) >= 60:
+            by.setdefault(lang, []).append(text.split()[:60])
+    pairs = [(x, y) for one, other in ((a, b) for a in by for b in by if a < b) for x, y in zip(by[one], by[other], strict=False)]
+    real = [sum(s for _, s in lm.score_texts([" ".join(x), " ".join(y)], vocabulary, net)) for x, y in pairs]
+    mixed = [sum(s for _, s in lm.score_texts([" ".join(w for p in zip(x[:30], y[:30], strict=True) for w in p), " ".join(w for p in zip(x[30:], y[30:], strict=True) for w in p)], vocabulary, net)) for x, y in pairs]
+    assert len(pairs) > 30 and sum(a > b for a, b in zip(real, mixed, strict=True)) > 0.9 * len(pairs)
 
 
 def test_odd_rows(odd, empty):
