@@ -1,33 +1,34 @@
-"""Operator 9: substring dedup by hashing lines and the sentences in them.
+"""Operator 9: substring dedup by hashing lines and the pieces they are made of.
 
-Units are lines and, so that a passage pasted into a longer line is found too,
-sentences. A unit is normalised (A-Z lower-cased, white space made single
+Units are lines of at least LINE_WORDS words and, so that a passage pasted into
+other text or broken into other lines is found too, pieces: the words of the
+whole text are cut after words whose CRC32 is a multiple of CUT_EVERY, which
+falls on the same words wherever a passage stands, into pieces of PIECE_MIN to
+PIECE_MAX words. A unit is normalised (A-Z lower-cased, white space made single
 spaces) and hashed to 128 bits. Digests are grouped over all documents; the
 occurrence in the document of the least id, and there at the least offset, is
-kept, all others are removed. Removed spans hold code points of the original
-text, so what stays can be traced to where it stood.
+kept, all others are repeats.
 
-Units of few words repeat by chance and are left alone: lines under LINE_WORDS
-and sentences under SENTENCE_WORDS words are not units. Such short pieces, and
-sentences of over LONG_WORDS words, are covered by grams instead: of the runs of
-GRAM_WORDS words of the whole text, across lines and paragraphs, the ones whose
-hash is the least among WINDOW_GRAMS neighbours. Two texts that share
-GRAM_WORDS + WINDOW_GRAMS - 1 such words share a gram; at most
-WINDOW_GRAMS - 1 words stay at either edge of them. A gram that overlaps its own
-last occurrence is not a unit, so that of a word on end one gram is kept.
+Short repeats happen by chance, or are a set phrase. Repeats that follow each
+other in a document form a run, and a run goes if it has at least RUN_WORDS
+words; shorter runs stay. Removed spans hold code points of the original text,
+so what stays can be traced to where it stood.
 
-Only digests, ids and offsets are shuffled. A digest with very many occurrences
-is aggregated map-side first, and a document's own repeats never leave its row.
+Units are made in one pass and written to the shared folder. Only digests, ids
+and offsets are shuffled. A digest with very many occurrences is aggregated
+map-side first and then meets its occurrences by broadcast; a document's own
+repeats never leave its row.
 
 Defined results: a null text counts as empty and has no units; texts are taken
-whole; rows that share an id rank equally, so that each keeps what the id is
-the earliest for; a null id ranks last; an empty table gives an empty result;
-columns besides id and text are only passed through.
+whole; ids are of any type that can be ordered; rows that share an id rank
+equally, so that each keeps what the id is the earliest for; a null id ranks
+last; an empty table gives an empty result; columns besides id and text are
+only passed through.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,109 +37,66 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint
+from factloom.llm.common import checkpoint, fresh_path, join_by_key, map_documents
 from factloom.shipping import ship
 
-LINE_WORDS, SENTENCE_WORDS, LONG_WORDS = 8, 6, 16
-GRAM_WORDS, WINDOW_GRAMS = 8, 12
-#: A sentence ends after full stops, question or exclamation marks before white space, or with its line.
-_SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|$)")
-_LAST = 2**63 - 1
+LINE_WORDS, RUN_WORDS = 8, 24
+PIECE_MIN, PIECE_MAX, CUT_EVERY = 4, 16, 4
 
+Unit = tuple[int, int, bytes]
 
-def _powers(base: int, n: int) -> np.ndarray:
-    factors = np.full(n, base, np.uint64)
-    factors[0] = 1
-    return np.cumprod(factors)
 
-
-_GRAM_POWERS = [_powers(base, GRAM_WORDS) for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-_CHARACTER, _MIX = 0xD6E8FEB86659FD93, np.uint64(0xFF51AFD7ED558CCD)
+def _cuts(words: list[bytes]) -> list[int]:
+    """The ends of the pieces of a text, as numbers of words. What is left at its end and shorter than PIECE_MIN is in none."""
+    marked = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % CUT_EVERY == 0
+    out, at = [], 0
+    for end in [*(np.flatnonzero(marked) + 1).tolist(), len(words)]:
+        while end - at > PIECE_MAX:
+            at += PIECE_MAX
+            out.append(at)
+        if end - at >= PIECE_MIN:
+            at = end
+            out.append(at)
+    return out
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(29))
+def units(text: str) -> list[Unit]:
+    """(first word, word after the last, digest) of each unit of a text."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
+    joined = b" ".join(words)
+    offsets = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).astype(np.int64).tolist()
+    digest, out, at = xxhash.xxh3_128_digest, [], 0
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        n = len(line.split())
+        if n >= LINE_WORDS:
+            out.append((at, at + n, digest(joined[offsets[at] : offsets[at + n] - 1])))
+        at += n
+    lines, at = {(a, b) for a, b, _ in out}, 0
+    for end in _cuts(words):
+        if (at, end) not in lines:
+            out.append((at, end, digest(joined[offsets[at] : offsets[end] - 1])))
+        at = end
+    return out
 
 
-def _grams(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
-    """The chosen grams of a text that hold at least two words outside the covered spans (disjoint, in order)."""
+def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text begins and ends, in code points."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = ~((points == 32) | ((points >= 9) & (points <= 13)))
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    n = len(starts) - GRAM_WORDS + 1
-    if n < 1:
-        return []
-    open_words = np.ones(len(starts), np.int64)
-    if covered:
-        spans = np.array(covered)
-        change = np.zeros(len(starts) + 1, np.int64)
-        np.add.at(change, np.searchsorted(starts, spans[:, 0]), 1)
-        np.add.at(change, np.searchsorted(starts, spans[:, 1]), -1)
-        open_words -= np.cumsum(change[:-1])
-    before = np.concatenate([[0], np.cumsum(open_words)])
-    lower = points + np.uint32(32) * ((points >= 65) & (points <= 90))
-    lengths = ends - starts
-    from_start = np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(points)]])))
-    place = np.where(inside, np.arange(len(points)) - from_start, 0)
-    values = np.where(inside, (lower.astype(np.uint64) + np.uint64(1)) * _powers(_CHARACTER, int(lengths.max()))[place], np.uint64(0))
-    words = _mixed(np.add.reduceat(values, starts) + lengths.astype(np.uint64))
-    first, second = (_mixed(sum(words[k : n + k] * p for k, p in enumerate(powers))) for powers in _GRAM_POWERS)
-    wide = min(WINDOW_GRAMS, n)
-    least = first[: n - wide + 1].copy()
-    for k in range(1, wide):
-        np.minimum(least, first[k : n - wide + 1 + k], out=least)
-    # A gram is chosen where it is the least of a window that holds it.
-    around = np.concatenate([np.zeros(wide - 1, np.uint64), least, np.zeros(wide - 1, np.uint64)])
-    is_least = around[:n] == first
-    for k in range(1, wide):
-        is_least |= around[k : n + k] == first
-    chosen = np.flatnonzero(is_least)
-    chosen = chosen[before[chosen + GRAM_WORDS] - before[chosen] >= 2]
-    digests = np.stack([first[chosen], second[chosen]], axis=1).tobytes()
-    out, last = [], {}
-    for k, (a, b) in enumerate(zip(starts[chosen].tolist(), ends[chosen + GRAM_WORDS - 1].tolist(), strict=True)):
-        digest = digests[16 * k : 16 * k + 16]
-        if a >= last.get(digest, 0):
-            last[digest] = b
-            out.append((a, b, digest))
-    return out
+    return edges[::2], edges[1::2]
 
 
-def units(text: str) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit of a text."""
-    out, covered = [], []
-    start = n_open = 0
-    for line in text.split("\n"):
-        words = line.encode("utf-8", "surrogatepass").lower().split()
-        n_open += len(words)
-        if len(words) >= min(LINE_WORDS, SENTENCE_WORDS):
-            if len(words) >= LINE_WORDS:
-                out.append((start, start + len(line), xxhash.xxh3_128_digest(b" ".join(words))))
-            sentences = [(m.start(), m.end()) for m in _SENTENCE.finditer(line)]
-            alone = len(sentences) == 1 and len(words) >= LINE_WORDS
-            for a, b in sentences:
-                inside = words if alone else line[a:b].encode("utf-8", "surrogatepass").lower().split()
-                if len(inside) >= SENTENCE_WORDS:
-                    if not alone:
-                        out.append((start + a, start + b, xxhash.xxh3_128_digest(b" ".join(inside))))
-                    if len(inside) <= LONG_WORDS:
-                        covered.append((start + a, start + b))
-                        n_open -= len(inside)
-        start += len(line) + 1
-    return out + _grams(text, covered) if n_open > 1 else out
-
-
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The same positions in as few spans as possible, in order."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+def runs(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, number of units) of the runs that go, of repeats (first word, word after the last, start, end)."""
+    found: list[list[int]] = []
+    for first, last, start, end in sorted(spans):
+        if found and first <= found[-1][1]:
+            run = found[-1]
+            run[1], run[3], run[4] = max(run[1], last), max(run[3], end), run[4] + 1
         else:
-            out.append((a, b))
-    return out
+            found.append([first, last, start, end, 1])
+    return [(start, end, n) for first, last, start, end, n in found if last - first >= RUN_WORDS]
 
 
 def _text_key(text: str) -> int:
@@ -150,74 +108,79 @@ def unit_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, keys, starts, ends, digests, nth = [], [], [], [], [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"].fillna(""), strict=True):
-                key = _text_key(text)
+            sizes, keys, places, digests, nth = [], [], [np.zeros((4, 0), np.int64)], [], []
+            for text in pdf["text"]:
                 found = units(text)
                 seen: dict[bytes, int] = {}
-                for a, b, digest in found:
+                for _, _, digest in found:
                     seen[digest] = n = seen.get(digest, 0) + 1
-                    starts.append(a)
-                    ends.append(b)
-                    digests.append(digest)
                     nth.append(n)
-                ids += [doc_id] * len(found)
-                keys += [key] * len(found)
+                digests += [x for _, _, x in found]
+                sizes.append(len(found))
+                keys.append(_text_key(text))
+                if found:
+                    starts, ends = word_bounds(text)
+                    first, last = np.array([x[:2] for x in found]).T
+                    places.append(np.stack([first, last, starts[first], ends[last - 1]]))
             pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype=pdf["doc_id"].dtype), "text_key": np.array(keys, np.int64), "start_at": np.array(starts, np.int32), "end_at": np.array(ends, np.int32), "d1": pairs[:, 0], "d2": pairs[:, 1], "nth": np.array(nth, np.int32)})
+            first, last, start, end = np.concatenate(places, axis=1).astype(np.int32)
+            ids = pdf["doc_id"].repeat(sizes).reset_index(drop=True)
+            yield pd.DataFrame({"doc_id": ids, "text_key": np.repeat(np.array(keys, np.int64), sizes), "first": first, "last": last, "start_at": start, "end_at": end, "d1": pairs[:, 0], "d2": pairs[:, 1], "nth": np.array(nth, np.int32)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, text_key long, start_at int, end_at int, d1 long, d2 long, nth int")
+    return map_documents(docs, run, "text_key long, first int, last int, start_at int, end_at int, d1 long, d2 long, nth int")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, n_removed, spans (array of start, end): what is to go, of each document that something goes from."""
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """gone_id, gone_key, spans (array of first, last, start_at, end_at): the repeats in each document that has some."""
     ship(docs.sparkSession)
-    rows = unit_rows(_named(docs, id_col, text_col))
-    first = rows.where("nth = 1").groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
-    across = rows.where("nth = 1").join(checkpoint(first), ["d1", "d2"]).where("doc_id != first_id").select("doc_id", "text_key", "start_at", "end_at", "d1", "d2")
-    # Rows of one id and text count once.
-    gone = across.union(rows.where("nth > 1").select("doc_id", "text_key", "start_at", "end_at", "d1", "d2")).distinct()
-    return gone.groupBy("doc_id", "text_key").agg(F.count("*").alias("n_removed"), F.collect_list(F.struct("start_at", "end_at")).alias("spans"))
+    path = fresh_path(docs.sparkSession, "units")
+    unit_rows(_named(docs, id_col, text_col)).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    firsts = rows.where("nth = 1")
+    shared = checkpoint(firsts.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1"))
+    across = join_by_key(firsts, shared, ["d1", "d2"], "n").where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    place = F.struct("first", "last", "start_at", "end_at").alias("place")
+    gone = across.select("doc_id", "text_key", place).union(rows.where("nth > 1").select("doc_id", "text_key", place))
+    # Rows of one id and text count once, so spans are a set; it holds no more than the units of one text.
+    return gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_set("place").alias("spans"))
 
 
-def _spans(cell: object) -> list[tuple[int, int]]:
-    return [] if cell is None else merge_spans([(int(x["start_at"]), int(x["end_at"])) for x in cell])
+def _with_spans(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (doc_id, text_key, ...) with the spans of their repeats, null where they have none."""
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
+    return rows.join(gone, same, "left").drop("gone_id", "gone_key", "text_key")
 
 
-def _per_document(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, text_key, n_chars of each row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].fillna("").tolist()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": [_text_key(x) for x in texts], "n_chars": [len(x) for x in texts]})
-
-    return docs.mapInPandas(run, "doc_id long, text_key long, n_chars long")
+def _runs(cell: object) -> list[tuple[int, int, int]]:
+    return [] if cell is None else runs([(int(x["first"]), int(x["last"]), int(x["start_at"]), int(x["end_at"])) for x in cell])
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, n_removed (units), removed_chars and removed_spans (start:end, comma-joined) of each row."""
-    gone = repeated_spans(docs, id_col, text_col)
-    rows = _per_document(_named(docs, id_col, text_col)).join(gone, ["doc_id", "text_key"], "left")
+    gone = repeated_units(docs, id_col, text_col)
+    named = _named(docs, id_col, text_col)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": [_text_key(x) for x in pdf["text"]], "n_chars": [len(x) for x in pdf["text"]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            spans = [_spans(x) for x in pdf["spans"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": pdf["n_chars"], "n_removed": pdf["n_removed"].fillna(0).astype("int64"), "removed_chars": [sum(b - a for a, b in x) for x in spans], "removed_spans": [",".join(f"{a}:{b}" for a, b in x) for x in spans]})
+            found = [_runs(x) for x in pdf["spans"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": pdf["n_chars"], "n_removed": [sum(n for *_, n in x) for x in found], "removed_chars": [sum(b - a for a, b, _ in x) for x in found], "removed_spans": [",".join(f"{a}:{b}" for a, b, _ in x) for x in found]})
 
-    out = rows.mapInPandas(run, "doc_id long, n_chars long, n_removed long, removed_chars long, removed_spans string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    rows = _with_spans(map_documents(named, measure, "text_key long, n_chars long"), gone)
+    return map_documents(rows, run, "n_chars long, n_removed long, removed_chars long, removed_spans string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (what stays) and spans (array of start, end: where it stood in the original) of each row."""
-    gone = repeated_spans(docs, id_col, text_col)
-    keyed = _named(docs, id_col, text_col)
+    gone = repeated_units(docs, id_col, text_col)
+    named = _named(docs, id_col, text_col)
 
     def add_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -228,7 +191,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts, stays = [], []
             for text, cell in zip(pdf["text"], pdf["spans"], strict=True):
                 at, kept = 0, []
-                for a, b in [*_spans(cell), (len(text), len(text))]:
+                for a, b, _ in [*_runs(cell), (len(text), len(text), 0)]:
                     if a > at:
                         kept.append({"start_at": at, "end_at": a})
                     at = b
@@ -236,6 +199,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 stays.append(kept)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "spans": stays})
 
-    rows = keyed.mapInPandas(add_key, "doc_id long, text string, text_key long").join(gone, ["doc_id", "text_key"], "left")
-    out = rows.mapInPandas(run, "doc_id long, text string, spans array<struct<start_at: int, end_at: int>>")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    rows = _with_spans(map_documents(named, add_key, "text string, text_key long"), gone)
+    return map_documents(rows, run, "text string, spans array<struct<start_at: int, end_at: int>>")
