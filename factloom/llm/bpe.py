@@ -5,7 +5,8 @@ taken whole. The other pieces become rows of matrices, one matrix per range of
 lengths, which hold token ids (at first one per byte) and are padded with -1.
 Each round looks every adjacent pair up in a hash table, and every row merges
 its leftmost pair of the lowest rank; rows without a pair leave the matrix and
-the columns that no row needs are cut off.
+the columns that no row needs are cut off. Rows of over LONG_ROW bytes are
+merged in the same order by a heap, one by one.
 
 Defined results: a null text counts as empty; an empty text has no tokens;
 texts of any length are encoded whole; equal rows give equal results; columns
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -25,11 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import map_documents
 from factloom.shipping import ship
 
-#: Pieces whose ids a task remembers; beyond it the memory starts anew.
-MEMO_PIECES = 400_000
-#: Rows longer than this are merged one by one, with all pairs of a round's rank at once.
+#: Pieces whose ids a task remembers; beyond it the memory starts anew. Longer pieces than MEMO_CHARS are forgotten after their block.
+MEMO_PIECES, MEMO_CHARS = 400_000, 256
+#: Rows longer than this are merged one by one, as a matrix takes a round over all of a row for each merge.
 LONG_ROW = 256
 #: Cells of a matrix at most; longer inputs are taken in blocks of rows.
 MATRIX_CELLS = 2_000_000
@@ -98,6 +101,7 @@ class BytePairCodec:
         left, right, merged = (np.array(x, np.int64) for x in (zip(*parts) if parts else ((), (), ())))
         self.pairs = PairTable(left, right, merged.astype(np.int32))
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.long_pairs: dict[tuple[int, int], int] = {}
 
     def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each piece, each piece by itself."""
@@ -159,29 +163,39 @@ class BytePairCodec:
         return out
 
     def _merge_long(self, ids: np.ndarray) -> tuple[int, ...]:
-        """One row by itself. All pairs of the lowest rank merge in a round, up to the first merge that makes a lower one."""
-        while len(ids) > 1:
-            ranks = self.pairs.ranks(ids[:-1], ids[1:])
-            lowest = ranks.min()
-            if lowest == _NONE:
-                break
-            hits = np.flatnonzero(ranks == lowest)
-            if len(hits) > 1:
-                # Of hits that overlap, every second one of a run, from the left.
-                run = np.concatenate([[0], np.cumsum(np.diff(hits) > 1)])
-                first = np.flatnonzero(np.concatenate([[True], np.diff(run) > 0]))
-                hits = hits[(np.arange(len(hits)) - first[run]) % 2 == 0]
-                # What each merge makes, after those on its left and before those on its right.
-                left = np.where(hits > 0, ids[np.maximum(hits - 1, 0)], -1)
-                left[1:][hits[1:] - hits[:-1] == 2] = lowest
-                right = np.where(hits + 2 < len(ids), ids[np.minimum(hits + 2, len(ids) - 1)], -1)
-                merged = np.full(len(hits), lowest)
-                lower = np.flatnonzero(np.minimum(self.pairs.ranks(left, merged), self.pairs.ranks(merged, right)) < lowest)
-                if len(lower):
-                    hits = hits[: lower[0] + 1]
-            ids[hits] = lowest
-            ids = np.delete(ids, hits + 1)
-        return tuple(ids.tolist())
+        """One row by itself: a heap of (rank, place) gives the leftmost pair of the lowest rank, in n log n steps."""
+        values = ids.tolist()
+        n = len(values)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        first = self.pairs.ranks(ids[:-1], ids[1:])
+        places = np.flatnonzero(first != _NONE)
+        waiting = list(zip(first[places].tolist(), places.tolist(), strict=True))
+        heapq.heapify(waiting)
+
+        def push(left: int) -> None:
+            pair = values[left], values[after[left]]
+            rank = self.long_pairs.get(pair)
+            if rank is None:
+                rank = self.long_pairs[pair] = int(self.pairs.ranks(np.array([pair[0]], np.int32), np.array([pair[1]], np.int32))[0])
+            if rank != _NONE:
+                heapq.heappush(waiting, (rank, left))
+
+        if len(self.long_pairs) > MEMO_PIECES:
+            self.long_pairs.clear()
+        while waiting:
+            rank, left = heapq.heappop(waiting)
+            right = after[left] if values[left] >= 0 else n
+            # A pair that an earlier merge changed no longer gives this rank.
+            if right >= n or self.bytes_of[values[left]] + self.bytes_of[values[right]] != self.bytes_of[rank]:
+                continue
+            values[left], values[right] = rank, -1
+            after[left] = after[right]
+            if after[left] < n:
+                before[after[left]] = left
+                push(left)
+            if before[left] >= 0:
+                push(before[left])
+        return tuple(x for x in values if x >= 0)
 
     def _learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.memo]
@@ -203,12 +217,16 @@ class BytePairCodec:
         yield from self._flush(block)
 
     def _flush(self, block: list[list[str]]) -> Iterator[list[int]]:
-        self._learn(set().union(*block))
+        different = set().union(*block)
+        self._learn(different)
         for pieces in block:
             ids: list[int] = []
             for found in map(self.memo.__getitem__, pieces):
                 ids += found
             yield ids
+        for piece in different:
+            if len(piece) > MEMO_CHARS:
+                del self.memo[piece]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -237,7 +255,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded binary")
+    return map_documents(rows, run, "n_tokens long, ids array<int>, decoded binary")
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,4 +276,4 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return map_documents(rows, run, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

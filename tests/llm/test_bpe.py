@@ -59,3 +59,15 @@ def test_digests_of_odd_rows(odd, empty):
     assert bpe.encode_digests(empty, PATH, P.PATTERN).count() == 0
     ids = {r.doc_id: r.ids for r in bpe.encode_documents(odd, PATH, P.PATTERN).collect()}
     assert ids[9] == LIBRARY.encode_ordinary(next(r.text for r in odd.collect() if r.doc_id == 9))
+
+
+def test_long_pieces_take_their_time_in_proportion():
+    import random
+    import time
+
+    rng = random.Random(2)
+    own = bpe.codec(PATH, P.PATTERN)
+    began = time.perf_counter()
+    for text in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300_000)), "a" * 300_000, "abab" * 50_000, "\n" * 5000):
+        assert list(own.encode([text]))[0] == LIBRARY.encode_ordinary(text)
+    assert time.perf_counter() - began < 60 and all(len(x) <= bpe.MEMO_CHARS for x in own.memo)
