@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint, column_name
+from factloom.llm.common import checkpoint, column_name, map_documents
 from factloom.shipping import ship
 
 #: Rows of each class and step, and bytes that a dictionary is made from, at most.
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": model.scores(pdf["text"].fillna("").tolist())})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col) == HELD_OUT).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    out = map_documents(rows, run, "held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import map_documents
 from factloom.shipping import ship
 
 #: Most that duplicated n-grams of each length may cover of a text's word characters.
@@ -173,4 +174,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), measure(pdf["text"].fillna("").tolist())[list(_COLUMNS)]], axis=1)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
+    return map_documents(rows, run, ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))

@@ -53,3 +53,12 @@ def test_without_labels_and_rows(spark, odd, empty):
     assert {r.score for r in qc.score(odd, qc.train(odd, none)).collect()} == {0.5}
     assert qc.score(empty, qc.train(empty, none)).count() == 0
     assert qc.keep_good(odd, none).count() == odd.count()
+
+
+def test_held_out_labels_of_the_tables(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = qc.score(docs, qc.train(docs, labels)).where("held_out").join(labels.where("quality is not null"), "doc_id").select("score", "predicted", "quality").collect()
+    good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
+    assert len(good) > 100 and len(bad) > 30
+    above = sum((g.score > b.score) + (g.score == b.score) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert above > 0.98 and sum(r.predicted for r in good) / len(good) > 0.98 and sum(r.predicted for r in bad) / len(bad) < 0.3
