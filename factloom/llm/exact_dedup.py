@@ -40,6 +40,8 @@ BASES = (1000003331, 1103515249, 1220703133, 1566083943)
 CHUNK_BYTES = 16_384
 #: Bytes of text whose chunks are hashed together.
 BLOCK_BYTES = 4_000_000
+#: Parts of the map tasks whose chunks at one place are compared first.
+SALTS = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -147,7 +149,10 @@ def different_under_one_print(docs: DataFrame, suspects: DataFrame, id_col: str
     """The fingerprints that hold different texts, by comparing the texts of suspects (doc_id) chunk by chunk."""
     held = suspects.select(F.col("doc_id").alias("suspect")).distinct()
     texts = _rows(docs, id_col, text_col).join(held.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("suspect")), "left_semi")
-    places = _chunks(texts).groupBy("print", "place").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest"))
+    # In two steps, as of a very large group every map task sends a chunk: first within one of SALTS parts of the tasks.
+    parts = _chunks(texts).withColumn("salt", F.spark_partition_id() % SALTS)
+    some = parts.groupBy("print", "place", "salt").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest"))
+    places = some.groupBy("print", "place").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
     return places.where(F.col("least") != F.col("greatest")).select("print").distinct()
 
 
