@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import column
+from factloom.functions.text import bind, column
 
 # The transliteration of one-word terms.
 CYRILLIC_TO_LATIN = {
@@ -76,19 +76,34 @@ def cite_key(authors: Column | str, year: Column | str) -> Column:
     return F.concat(surname(authors), F.lit(" "), F.coalesce(F.when(column(year) != 0, column(year).cast("string")), F.lit(NO_YEAR)))
 
 
+# Latin letters and the Cyrillic ones that look like them.
+LOOKALIKES = {"A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "K": "К", "M": "М", "O": "О", "P": "Р", "T": "Т", "X": "Х", "a": "а", "c": "с", "e": "е", "o": "о", "p": "р", "x": "х", "y": "у"}
+
+
+def fold_lookalikes(word: Column) -> Column:
+    """A word that mixes Cyrillic letters with Latin ones of the same shape, in Cyrillic; any other word as it is."""
+    folded = F.translate(word, "".join(LOOKALIKES), "".join(LOOKALIKES.values()))
+    return F.when(word.rlike("[А-ЯЁа-яё]") & word.rlike("[A-Za-z]"), folded).otherwise(word)
+
+
 def person_key(name: Column | str) -> Column:
-    """(alphabet, surname, initials) of a person's name, NULL for organisations and what is no name."""
-    raw = F.regexp_replace(F.translate(column(name), ", ", "  "), r"(\p{L})\.(?=\p{L})", "$1. ")
-    parts = F.split(F.trim(raw), r"\s+")
-    n = F.size(parts)
-    is_word = lambda p: p.rlike(r"\A[A-Za-zА-ЯЁа-яё][A-Za-zА-ЯЁа-яё'-]+\z")
-    is_initial = lambda p: p.rlike(r"\A[A-Za-zА-ЯЁа-яё]\.?\z")
-    words, initials = F.filter(parts, is_word), F.filter(parts, is_initial)
-    rest = F.slice(parts, F.lit(2), F.greatest(n - 1, F.lit(1)))
-    alone = (F.size(words) == 1) & (n > 1)
-    family = F.when(alone, F.element_at(words, 1)).otherwise(F.element_at(parts, 1))
-    given = F.when(alone, initials).otherwise(rest)
-    short = F.lower(F.array_join(F.transform(given, lambda g: F.substring(g, 1, 1)), ""))
-    person = (n >= 2) & (n <= 4) & (F.size(words) + F.size(initials) == n) & is_word(family) & ~column(name).rlike(r"\d") & ~column(name).rlike(ORGANISATIONS) & (short != "")
-    alphabet = F.when(family.rlike("[А-ЯЁа-яё]"), "cyr").otherwise("lat")
-    return F.when(person, F.struct(alphabet.alias("alphabet"), F.translate(F.lower(family), "ё", "е").alias("surname"), short.alias("initials")))
+    """(alphabet, surname, initials) of a person's name, NULL for organisations and what is no name.
+
+    Two to four tokens, each a word (W) or an initial (I). The surname is the only word, else the first token, which then
+    must be a word; the initials are those of all other tokens.
+    """
+    spaced = F.regexp_replace(F.translate(column(name), ",\u00a0", "  "), r"(\p{L})\.(?=\p{L})", "$1. ")
+    tokens = F.filter(F.transform(F.split(spaced, r"\s+"), fold_lookalikes), lambda t: t != "")
+    letters = r"[A-Za-zА-ЯЁа-яё]"
+    kinds = F.transform(tokens, lambda t: F.when(t.rlike(rf"\A{letters}\.?\z"), "I").when(t.rlike(rf"\A{letters}[A-Za-zА-ЯЁа-яё'-]+\z"), "W").otherwise("x"))
+
+    def decide(read: Column) -> Column:
+        shape = F.array_join(read["kinds"], "")
+        at = F.when(shape.rlike(r"\AI*WI*\z"), F.array_position(read["kinds"], "W")).when(shape.rlike(r"\AW"), 1)
+        family = F.element_at(read["tokens"], at.cast("int"))
+        short = F.lower(F.array_join(F.transform(F.filter(read["tokens"], lambda t, i: i + 1 != at), lambda t: F.substring(t, 1, 1)), ""))
+        alphabet = F.when(family.rlike("[А-ЯЁа-яё]"), "cyr").otherwise("lat")
+        return F.when(shape.rlike(r"\A[WI]{2,4}\z") & at.isNotNull(), F.struct(alphabet.alias("alphabet"), F.translate(F.lower(family), "ё", "е").alias("surname"), short.alias("initials")))
+
+    found = bind(F.struct(tokens.alias("tokens"), kinds.alias("kinds")), decide)
+    return F.when(~column(name).rlike(r"\d") & ~column(name).rlike(ORGANISATIONS), found)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.text import bind as let
 from factloom.functions.text import column, normalize_spaces
 
 # Dashes that serve as minus or as range sign, and spaces between digits.
@@ -17,11 +16,6 @@ _UNSIGNED = rf"\d[\d{DIGIT_SPACES}]*(?:[.,]\d+)?"
 _SIGNED = rf"[{DASHES}]?{_UNSIGNED}"
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value computed once however often it stands in the result."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def parse_number(token: Column | str) -> Column:
     """A number's text as a double: spaces between digits go; a comma is decimal unless a dot is there as well."""
     t = F.regexp_replace(F.trim(column(token)), f"^[{DASHES}]", "-")
@@ -123,8 +117,16 @@ def clip01(x: Column) -> Column:
 
 
 def short_number(x: Column) -> Column:
-    """A double without a needless fraction."""
-    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+    """A double with six significant digits at most, as %g writes it: no needless zeros, an exponent below -4 and from 6 on."""
+
+    def trimmed(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(?=e|\z)", "$1"), r"\.(?=e|\z)", "")
+
+    # The exponent is that of the number rounded to six digits.
+    science = F.format_string("%.5e", x)
+    exponent = F.substring_index(science, "e", -1).cast("int")
+    plain = F.coalesce(*[F.when(exponent == k, F.format_string(f"%.{5 - k}f", x)) for k in range(-4, 6)])
+    return F.when(x == 0, "0").when((exponent < -4) | (exponent > 5), trimmed(science)).otherwise(trimmed(plain))
 
 
 def render_value(lo: Column | str, hi: Column | str, unit: Column | str, text: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often it stands in the result."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def normalize_text(text: Column | str) -> Column:
     """No-break spaces become spaces, line ends \\n; trailing white space goes; at most one blank line stays between others."""
     t = F.regexp_replace(column(text), "[  ]", " ")
@@ -110,13 +117,17 @@ def word_windows(text: Column | str, size: int = 180, overlap: int = 40, least_c
     A window is as long as its words with single spaces between them.
     """
     step = max(1, size - overlap)
-    words = F.regexp_extract_all(column(text), F.lit(r"[^\s]+"), F.lit(0))
-    n = F.size(words)
-    # The last window is the first one that reaches the end.
-    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int") * step)
-    windows = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda a: F.struct(a.alias("first_word"), F.slice(words, a + 1, F.lit(size)).alias("words")))
-    kept = F.filter(windows, lambda w: F.length(F.array_join(w["words"], " ")) >= least_chars)
-    return F.when(n > 0, F.transform(kept, lambda w, i: F.struct(i.alias("idx"), w["first_word"].alias("first_word"), w["words"].alias("words"))))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        # The last window is the first one that reaches the end.
+        last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int") * step)
+        windows = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda a: F.struct(a.alias("first_word"), F.slice(words, a + 1, F.lit(size)).alias("words")))
+        kept = F.filter(windows, lambda w: F.aggregate(w["words"], F.lit(-1), lambda n, x: n + F.length(x) + 1) >= least_chars)
+        return F.when(n > 0, F.transform(kept, lambda w, i: F.struct(i.alias("idx"), w["first_word"].alias("first_word"), w["words"].alias("words"))))
+
+    # Once per text: what a lambda names is computed anew for each element.
+    return bind(F.regexp_extract_all(column(text), F.lit(r"[^\s]+"), F.lit(0)), cut)
 
 
 def front_matter(raw: Column | str) -> Column:
@@ -124,9 +135,12 @@ def front_matter(raw: Column | str) -> Column:
     block = F.regexp_extract(column(raw), r"\A---[ \t]*\n([\s\S]*?)\n---", 1)
     lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x.contains(":") & ~x.startswith(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.translate(F.trim(F.substr(x, F.locate(":", x) + 1)), "\"'", ""))))
-    keys = F.transform(pairs, lambda p: p["col1"])
-    # Of keys that come twice the last one counts.
-    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), p["col1"])))
+
+    def last_of_each(found: Column) -> Column:
+        # Of keys that come twice the last one counts.
+        return F.map_from_entries(F.filter(found["pairs"], lambda p, i: ~F.array_contains(F.slice(found["keys"], i + 2, F.greatest(F.size(found["keys"]), F.lit(1))), p["col1"])))
+
+    return bind(pairs, lambda ps: bind(F.struct(ps.alias("pairs"), F.transform(ps, lambda p: p["col1"]).alias("keys")), last_of_each))
 
 
 def body_after_front_matter(raw: Column | str) -> Column:
@@ -167,3 +181,8 @@ def highlighted(text: Column | str, statement: Column | str) -> Column:
     """The words of text whose prefix the statement has."""
     stems = prefix_tokens(statement)
     return F.filter(F.regexp_extract_all(column(text), F.lit(WORD), F.lit(0)), lambda w: F.array_contains(stems, F.substring(F.lower(w), 1, 5)))
+
+
+def corpus_path(path: Column | str) -> Column:
+    """What stands after the last `/corpus/` of a path; the path itself without one."""
+    return F.regexp_replace(column(path), r"\A.*/corpus/", "")

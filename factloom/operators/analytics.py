@@ -111,3 +111,45 @@ def opposing_claims(about: DataFrame, existing: DataFrame) -> DataFrame:
 def latest_per(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("factloom_nth", F.row_number().over(w)).where("factloom_nth = 1").drop("factloom_nth")
+
+
+def opposing_pairs(claims: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """entity, a, b, opposite: the claims of two documents about one entity that no contradiction links yet. claims: claim_id, entity, doc_id, polarity; contradictions: a, b.
+
+    Pairs of claims about one entity are the result, so an entity with very many claims gives very many pairs.
+    """
+    x, y = claims.alias("x"), claims.alias("y")
+    pairs = x.join(y, (F.col("x.entity") == F.col("y.entity")) & (F.col("x.claim_id") < F.col("y.claim_id")) & (F.col("x.doc_id") != F.col("y.doc_id")))
+    opposite = F.coalesce(F.array_sort(F.array("x.polarity", "y.polarity")) == F.array(F.lit("negative"), F.lit("positive")), F.lit(False))
+    known = contradictions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.col("x.entity").alias("entity"), F.col("x.claim_id").alias("a"), F.col("y.claim_id").alias("b"), opposite.alias("opposite")).join(known, ["a", "b"], "left_anti").select("entity", "a", "b", "opposite")
+
+
+def largest_public(docs: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """doc_id, n_chunks: the public documents with the most chunks."""
+    public = docs.where("access_level = 'public'").select("doc_id")
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks")).join(public, "doc_id", "left_semi").orderBy(F.desc("n_chunks"), "doc_id").limit(most)
+
+
+def facts_with_claims(facts: DataFrame, claims: DataFrame) -> DataFrame:
+    """Facts with claim_ids: the claims of the fact's document about its source, sorted, none as an empty array. facts: fact_id, source, doc_id; claims: claim_id, doc_id, about."""
+    held = claims.select("claim_id", "doc_id", F.explode("about").alias("source")).groupBy("doc_id", "source").agg(F.array_sort(F.collect_set("claim_id")).alias("claim_ids"))
+    return facts.join(held, ["doc_id", "source"], "left").withColumn("claim_ids", F.coalesce("claim_ids", F.array().cast("array<string>")))
+
+
+def dashboard(facts: DataFrame, entities: DataFrame, claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """section, item, value: the counts and shares of a dashboard as one table.
+
+    facts: needs_review; entities: unresolved; claims: n_support, n_contradictions (see claim statistics); docs: domain, year.
+    """
+    shares = share(facts, F.col("needs_review"), "needs_review").union(share(entities, F.col("unresolved"), "unresolved"))
+    quality = shares.select(F.lit("quality").alias("section"), F.col("measure").alias("item"), F.col("percent").cast("double").alias("value"))
+    at_risk = claims.agg(F.count_if((F.col("n_support") <= 1) | (F.col("n_contradictions") > 0)).alias("n")).select(F.lit("risk"), F.lit("claims"), F.col("n").cast("double"))
+    covered = docs.groupBy("domain", "year").agg(F.countDistinct("doc_id").alias("n")).select(F.lit("coverage"), F.concat_ws(" ", "domain", F.col("year").cast("string")), F.col("n").cast("double"))
+    return quality.union(at_risk).union(covered)
+
+
+def branches(rows: DataFrame, by: str, named: dict[str, str]) -> DataFrame:
+    """Rows with branch: a comparison of values of a column, such as home and abroad, in one pass; rows of other values go."""
+    names = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
+    return rows.withColumn("branch", F.try_element_at(names, F.col(by))).where("branch IS NOT NULL")

@@ -31,8 +31,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def split_hubs(edges: DataFrame, starts: DataFrame, limit: int = HUB_DEGREE) -> tuple[DataFrame, DataFrame]:
-    """Start nodes that are expanded, and hubs that are not."""
-    known = starts.join(degrees(edges), "node_key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    """node_key, degree of the start nodes that are expanded, and of the hubs that are not. Only the starts' ends of edges are counted."""
+    ends = edges.select(F.explode(F.array("src_key", "dst_key")).alias("node_key")).join(starts.select("node_key"), "node_key", "left_semi")
+    known = starts.join(ends.groupBy("node_key").agg(F.count("*").alias("degree")), "node_key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return known.where(F.col("degree") <= limit), known.where(F.col("degree") > limit)
 
 
@@ -51,16 +52,23 @@ def hub_neighbours(edges: DataFrame, hubs: DataFrame, years: DataFrame, most: in
 def bounded_search(edges: DataFrame, starts: DataFrame, depth: int = 2, most: int = MOST_NODES) -> DataFrame:
     """node_key, depth of the nodes within `depth` steps over the traversed kinds, at most `most` by depth and key.
 
-    Deleted edges are followed; views drop them afterwards. Each level is one
-    join of the frontier, unrolled: the plan has no loop and no collect.
+    Deleted edges are followed; views drop them afterwards. A level is one pass
+    over the edges, which stay where they are: the frontier is sent to them, and
+    it never has more than `most` nodes, as the search ends at the level that
+    reaches `most`. starts are what split_hubs leaves to expand.
     """
-    steps = both_ways(edges.where(F.col("rel_type").isin(*TRAVERSED)).select("src_key", "dst_key"))
-    front = starts.select("node_key").distinct()
-    reached = front.select("node_key", F.lit(0).cast("long").alias("depth"))
+    spark = edges.sparkSession
+    steps = edges.where(F.col("rel_type").isin(*TRAVERSED)).select(F.explode(F.array(F.struct(F.col("src_key").alias("key"), F.col("dst_key").alias("other")), F.struct(F.col("dst_key").alias("key"), F.col("src_key").alias("other")))).alias("s")).select("s.*")
+    depths = {r["node_key"]: 0 for r in starts.select("node_key").distinct().orderBy("node_key").limit(most).collect()}
+    front = list(depths)
     for level in range(1, min(max(depth, 0), MOST_DEPTH) + 1):
-        front = steps.join(front.withColumnRenamed("node_key", "key"), "key", "left_semi").select(F.col("other").alias("node_key")).distinct()
-        reached = reached.union(front.select("node_key", F.lit(level).cast("long").alias("depth")))
-    return reached.groupBy("node_key").agg(F.min("depth").alias("depth")).orderBy("depth", "node_key").limit(most)
+        if not front or len(depths) >= most:
+            break
+        near = steps.join(F.broadcast(spark.createDataFrame([(k,) for k in front], "key string")), "key", "left_semi").select(F.col("other").alias("node_key")).distinct()
+        known = F.broadcast(spark.createDataFrame([(k,) for k in depths], "node_key string"))
+        front = [r["node_key"] for r in near.join(known, "node_key", "left_anti").orderBy("node_key").limit(most - len(depths)).collect()]
+        depths |= dict.fromkeys(front, level)
+    return spark.createDataFrame(list(depths.items()), "node_key string, depth long")
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -100,6 +108,36 @@ def claim_statistics(claims: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("claim_id", F.coalesce("n_support", F.lit(0)).alias("n_support"), F.coalesce("n_contradictions", F.lit(0)).alias("n_contradictions"))
 
 
+def claim_citations(claims: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """claim_id, cite_keys: the sorted distinct citations of the documents that support each claim, empty without any. documents: node_key, cite_key."""
+    live = edges.where(~F.coalesce("deleted", F.lit(False)) & (F.col("rel_type") == "SUPPORTED_BY"))
+    cited = live.join(documents.select(F.col("node_key").alias("dst_key"), "cite_key"), "dst_key").groupBy(F.col("src_key").alias("claim_id")).agg(F.array_sort(F.collect_set("cite_key")).alias("cite_keys"))
+    return claims.select("claim_id").join(cited, "claim_id", "left").withColumn("cite_keys", F.coalesce("cite_keys", F.array().cast("array<string>")))
+
+
+def chains(used: DataFrame, studied: DataFrame, equipment: DataFrame) -> DataFrame:
+    """material, experiment, process, equipment (NULL without any): what links a material to a process.
+
+    used: material, experiment; studied: experiment, process; equipment: experiment, process, equipment.
+    """
+    return used.join(studied, "experiment").join(equipment, ["experiment", "process"], "left").select("material", "experiment", "process", "equipment")
+
+
+def evidence(facts: DataFrame, documents: DataFrame, review_only: bool = False) -> DataFrame:
+    """fact_id, rel_type, quote, title, source_path: each live fact with the quote and the document that prove it; facts of unknown documents too."""
+    live = facts.where(~F.coalesce("deleted", F.lit(False)))
+    live = live.where("needs_review") if review_only else live
+    return live.join(documents.select(F.col("doc_id").alias("source_doc_id"), "title", "source_path"), "source_doc_id", "left").select("fact_id", "rel_type", "quote", "title", "source_path")
+
+
+def experts_of(expertise: DataFrame, most: int = 5) -> DataFrame:
+    """process, n_experts, experts: how many know each process, and the first of them by name. expertise: process, expert."""
+    once = expertise.select("process", "expert").distinct()
+    nth = F.row_number().over(Window.partitionBy("process").orderBy("expert"))
+    first = once.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("process").agg(F.array_sort(F.collect_list("expert")).alias("experts"))
+    return once.groupBy("process").agg(F.count("*").alias("n_experts")).join(first, "process")
+
+
 def cooccurrence(mentions: DataFrame, least: int = 1) -> DataFrame:
     """a, b, weight: pairs of entities (a < b) and the number of chunks with both. mentions: chunk_id, entity.
 
@@ -128,6 +166,22 @@ def abc_links(pairs: DataFrame, types: DataFrame, start: str | int, most_direct:
     return one.select("c", F.col("via").alias("b"), "w_ab", "w_bc", "direct", "score").orderBy(F.desc("score"), "c").limit(top)
 
 
+def document_counts(mentions: DataFrame) -> DataFrame:
+    """entity, doc_count: the documents of each node of a co-occurrence graph. mentions: doc_id, entity."""
+    return mentions.groupBy("entity").agg(F.countDistinct("doc_id").alias("doc_count"))
+
+
+def node_key(label: Column, keys: dict[str, Column], element_id: Column) -> Column:
+    """`Label:key` of a node: the key column of its label, else its element id."""
+    own = F.coalesce(*[F.when(label == name, key) for name, key in keys.items()], element_id.cast("string"))
+    return F.concat(label, F.lit(":"), own)
+
+
+def bare_key(key: Column) -> Column:
+    """A key without a `Label:` before it, if it has one."""
+    return F.regexp_replace(key, r"\A[A-Z][A-Za-z]*:", "")
+
+
 def display_name(*names: Column) -> Column:
     """The first of several names that is not empty."""
     return F.coalesce(*[F.nullif(n, F.lit("")) for n in names])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.resolution import union_aliases
+from factloom.operators.resolution import remap_edges, union_aliases
 
 
 def changed_documents(incoming: DataFrame, current: DataFrame) -> DataFrame:
@@ -48,11 +51,6 @@ def supersede(claims: DataFrame, pairs: DataFrame) -> DataFrame:
     return claims.drop("superseded_by").join(pairs, "claim_id", "left")
 
 
-def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """Replaces only the partitions that df has rows for."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-
-
 def assert_unique(df: DataFrame, *key: str) -> None:
     """Refuses a table in which a key stands twice."""
     twice = df.groupBy(*key).count().where("count > 1").limit(1).collect()
@@ -60,18 +58,102 @@ def assert_unique(df: DataFrame, *key: str) -> None:
         raise ValueError(f"{', '.join(key)} is not unique: {twice[0].asDict()}")
 
 
-def write_document(spark: SparkSession, root: str, tables: dict[str, DataFrame], documents: DataFrame) -> None:
-    """Replaces everything that documents brought in each table below root, by their id's bucket.
+class DocumentStore:
+    """Tables of what documents brought, by buckets of source_doc_id, with a manifest of the folders that count.
+
+    A write makes new folders for the buckets it touches, and then one new
+    manifest, a single file, which names them for all tables at once. Until that
+    file is there readers see the tables as they were, so a write that is lost
+    half-way leaves nothing behind that is read; of two writes at once the later
+    one fails. A bucket without rows has no folder.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root, buckets
+
+    def manifest(self) -> tuple[int, dict[str, dict[int, str]]]:
+        """The number of the last write, and the folder of each table's buckets: as many entries as tables and buckets."""
+        try:
+            every = self.spark.read.schema("version long, name string, bucket int, path string").json(f"{self.root}/_manifest", recursiveFileLookup=True)
+            last = every.join(F.broadcast(every.agg(F.max("version").alias("version"))), "version").collect()  # of one row
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+                raise
+            last = []
+        found: dict[str, dict[int, str]] = {}
+        for r in last:
+            if r["name"] is not None:
+                found.setdefault(r["name"], {})[r["bucket"]] = r["path"]
+        return (last[0]["version"] if last else 0), found
+
+    def read(self, name: str, schema: str, only: set[int] | None = None) -> DataFrame:
+        """A table, or only some of its buckets."""
+        folders = [path for bucket, path in self.manifest()[1].get(name, {}).items() if only is None or bucket in only]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def write(self, documents: DataFrame, tables: dict[str, DataFrame]) -> None:
+        """Replaces everything that documents (doc_id, content_hash) brought by the rows of tables (with source_doc_id).
+
+        Documents whose content is stored already are skipped with their rows. A document without rows loses those it had.
+        """
+        version, folders = self.manifest()
+        known = "source_doc_id long, content_hash string"
+        stored = self.read("documents", known).withColumnRenamed("source_doc_id", "doc_id")
+        changed = changed_documents(documents.select("doc_id", "content_hash"), stored)
+        touched = {r["b"] for r in changed.select(self._bucket("doc_id").alias("b")).distinct().collect()}  # at most as many as buckets
+        if not touched:
+            return
+        mark = uuid.uuid4().hex
+        for name, incoming in {**tables, "documents": changed.withColumnRenamed("doc_id", "source_doc_id")}.items():
+            schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in incoming.schema.fields)
+            new = replace_by_provenance(self.read(name, schema, touched), incoming, changed).withColumn("bucket", self._bucket("source_doc_id"))
+            path = f"{self.root}/{name}/{version + 1:010d}-{mark}"
+            new.repartition("bucket").write.partitionBy("bucket").parquet(path)
+            filled = {r["bucket"] for r in new.select("bucket").distinct().collect()}
+            folders[name] = {k: v for k, v in folders.get(name, {}).items() if k not in touched} | {k: f"{path}/bucket={k}" for k in filled}
+        entries = [(version + 1, name, bucket, path) for name, held in folders.items() for bucket, path in held.items()] or [(version + 1, None, None, None)]
+        self.spark.createDataFrame(entries, "version long, name string, bucket int, path string").coalesce(1).write.mode("errorifexists").json(f"{self.root}/_manifest/{version + 1:010d}")
+
+
+def load_references(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """Entities after loading curated ones: their aliases replace those stored, present names fill what they leave open. Both: entity_id, label, name, aliases."""
+    a, b = current.alias("a"), reference.alias("b")
+    joined = a.join(b, "entity_id", "full")
+    return joined.select("entity_id", F.coalesce("b.label", "a.label").alias("label"), F.coalesce("b.name", "a.name").alias("name"), F.coalesce("b.aliases", "a.aliases").alias("aliases"))
+
+
+def edit_edges(edges: DataFrame, log: DataFrame) -> DataFrame:
+    """Edges after a log of add_edge, delete_edge and merge_nodes, with deleted and edited_by.
 
-    tables: name -> rows with source_doc_id and bucket. Buckets are rewritten whole, so a write that is repeated ends the same.
+    edges: src_key, dst_key, rel_type. log: seq, op, a, b, rel_type, edited_by; merge_nodes moves the edges of b to a.
+    Of the adds and deletes of one edge the last counts; a delete only marks it. Merges come after these, and what they
+    make equal, or a loop, goes.
     """
-    for name, incoming in tables.items():
-        path = f"{root}/{name}"
-        current = spark.read.parquet(path)
-        touched = current.join(documents.select(F.col("doc_id").alias("source_doc_id")), "source_doc_id", "left_semi").select("bucket").union(incoming.select("bucket")).distinct()
-        staged = f"{root}/_staged_{name}"
-        replace_by_provenance(current.join(touched, "bucket", "left_semi"), incoming, documents).write.mode("overwrite").parquet(staged)
-        write_partitioned(spark.read.parquet(staged), path, "bucket")
+    own = log.where(F.col("op").isin("add_edge", "delete_edge")).groupBy(F.col("a").alias("src_key"), F.col("b").alias("dst_key"), "rel_type")
+    last = own.agg(F.max_by(F.struct("op", "edited_by"), "seq").alias("last"), F.max(F.col("op") == "add_edge").alias("added"))
+    joined = edges.select("src_key", "dst_key", "rel_type", F.lit(True).alias("there")).join(last, ["src_key", "dst_key", "rel_type"], "full")
+    kept = joined.where(F.col("there") | F.col("added"))
+    edited = kept.select("src_key", "dst_key", "rel_type", F.coalesce(F.col("last.op") == "delete_edge", F.lit(False)).alias("deleted"), F.col("last.edited_by").alias("edited_by"))
+    merges = log.where("op = 'merge_nodes'").groupBy(F.col("b").alias("victim_id")).agg(F.max_by("a", "seq").alias("survivor_id"))
+    return remap_edges(edited, merges)
+
+
+def retype(facts: DataFrame, changes: DataFrame, by: str) -> DataFrame:
+    """Facts after changing the kind of some (fact_id, rel_type): the old one is marked as deleted, a new one takes its place."""
+    new = facts.join(changes.select("fact_id", F.col("rel_type").alias("new_type")), "fact_id").where("rel_type != new_type AND NOT deleted")
+    made = new.withColumns({"rel_type": F.col("new_type"), "fact_id": F.concat("fact_id", F.lit("~"), "new_type"), "edited_by": F.lit(by)}).select(*facts.columns)
+    gone = new.select("fact_id").withColumn("gone", F.lit(True))
+    old = facts.join(gone, "fact_id", "left").withColumns({"deleted": F.col("deleted") | F.coalesce("gone", F.lit(False)), "edited_by": F.when(F.col("gone"), F.lit(by)).otherwise(F.col("edited_by"))})
+    return old.select(*facts.columns).unionByName(made)
+
+
+def relation_columns(facts: DataFrame) -> DataFrame:
+    """Facts as they are stored: values belong to conditions and products only."""
+    numeric = F.col("rel_type").isin("HAS_CONDITION", "PRODUCES")
+    return facts.withColumns({c: F.when(numeric, F.col(c)) for c in ("value_min", "value_max", "unit_canon", "value_text") if c in facts.columns})
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:

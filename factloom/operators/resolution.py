@@ -100,3 +100,63 @@ def union_aliases(*lists: Column) -> Column:
     every = F.filter(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])), lambda x: F.trim(x) != "")
     keys = F.transform(every, normalize_name)
     return F.filter(every, lambda x, i: F.array_position(keys, normalize_name(x)) == i + 1)
+
+
+def glossary_merge(entities: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Entities after merging a glossary: each term goes to the entity of its label and id, else to the one that has any of its surfaces, else it is new.
+
+    entities: entity_id, label, ord, name, aliases; glossary: term_id, label, name, aliases. A merge fills a missing name and unites aliases.
+    """
+    surfaces = entities.select("entity_id", "label", "ord", F.concat(F.array(F.coalesce("name", F.lit(""))), "aliases").alias("surfaces"))
+    by_id = glossary.join(entities.select("label", F.col("entity_id").alias("term_id"), F.col("entity_id").alias("own")), ["label", "term_id"], "left")
+    keys = glossary.select("term_id", "label", F.posexplode(F.concat(F.array(F.coalesce("name", F.lit(""))), "aliases")).alias("pos", "surface")).withColumn("alias_key", normalize_name("surface"))
+    hit = keys.join(alias_index(surfaces), ["label", "alias_key"]).groupBy("label", "term_id").agg(F.min_by("entity_id", "pos").alias("other"))
+    placed = by_id.join(hit, ["label", "term_id"], "left").select("label", F.coalesce("own", "other", "term_id").alias("entity_id"), "name", "aliases", "term_id")
+    nothing = F.array().cast("array<string>")
+    united = F.array_sort(F.collect_list(F.struct("term_id", F.concat(F.array_compact(F.array("name")), F.coalesce("aliases", nothing)).alias("names"))))
+    terms = placed.groupBy("label", "entity_id").agg(F.min_by("name", "term_id").alias("term_name"), F.flatten(F.transform(united, lambda x: x["names"])).alias("term_names"))
+    joined = entities.drop("ord").join(terms, ["label", "entity_id"], "full")
+    return joined.select("entity_id", "label", F.coalesce("name", "term_name").alias("name"), union_aliases(F.col("aliases"), F.col("term_names")).alias("aliases"))
+
+
+def text_fallback(mentions: DataFrame, entities: DataFrame, candidates: int = 5) -> DataFrame:
+    """mention_id, entity_id: among the `candidates` live entities of the label that share most words with a name, one with exactly that name.
+
+    Curated entities come before unresolved ones, then the higher score. mentions: mention_id, label, name; entities: entity_id, label, surfaces, unresolved, deleted.
+    """
+    named = entities.where("NOT deleted").select("entity_id", "label", "unresolved", F.explode("surfaces").alias("surface")).withColumn("surface_key", normalize_name("surface"))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    asked = mentions.select("mention_id", "label", normalize_name("name").alias("name_key")).withColumn("word", F.explode(words("name_key")))
+    held = named.withColumn("word", F.explode(words("surface_key"))).withColumn("n_words", F.size(words("surface_key")))
+    shared = asked.join(held, ["label", "word"]).groupBy("mention_id", "name_key", "entity_id", "unresolved", "surface_key", "n_words").agg(F.count("*").alias("n"))
+    score = F.col("n") / F.sqrt(F.col("n_words").cast("double"))
+    best = shared.groupBy("mention_id", "name_key", "entity_id", "unresolved").agg(F.max(score).alias("score"), F.max(F.col("surface_key") == F.col("name_key")).alias("exact"))
+    nth = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("score"), "unresolved", "entity_id"))
+    near = best.withColumn("nth", nth).where((F.col("nth") <= candidates) & F.col("exact"))
+    return near.groupBy("mention_id").agg(F.min(F.struct("unresolved", -F.col("score"), "entity_id"))["entity_id"].alias("entity_id"))
+
+
+def synonym_merges(unresolved: DataFrame, index: DataFrame) -> DataFrame:
+    """victim_id, survivor_id: unresolved entities that the index knows by one of their surfaces, the first that it knows. unresolved: entity_id, label, surfaces."""
+    surfaces = unresolved.select("entity_id", "label", F.posexplode("surfaces").alias("pos", "name"))
+    asked = surfaces.select(F.struct("entity_id", "pos").alias("mention_id"), "label", "name")
+    found = lookup(asked, index).where("entity_id IS NOT NULL AND entity_id != mention_id.entity_id")
+    return found.groupBy(F.col("mention_id.entity_id").alias("victim_id")).agg(F.min_by("entity_id", "mention_id.pos").alias("survivor_id"))
+
+
+def target_by_id_or_name(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """target, node_key: the node of a wanted id, else the one of the highest degree whose name contains the wanted words. wanted: target, id, words, a few rows; nodes: node_key, name, degree."""
+    few = F.broadcast(wanted)  # a stated list
+    hit = nodes.join(few, (F.col("node_key") == F.col("id")) | F.contains(F.lower("name"), F.lower("words")))
+    return hit.groupBy("target").agg(F.max(F.struct(F.col("node_key") == F.col("id"), "degree", "node_key"))["node_key"].alias("node_key"))
+
+
+def known_before(chunks: DataFrame, group: int = 4) -> DataFrame:
+    """doc_id, idx, known: the entities that a document's earlier groups of chunks named, in order of appearance. chunks: doc_id, idx, entities."""
+    named = chunks.select("doc_id", F.col("idx"), F.floor(F.col("idx") / group).alias("part"), F.posexplode("entities").alias("pos", "entity"))
+    first = named.groupBy("doc_id", "entity").agg(F.min(F.struct("part", "idx", "pos")).alias("at"))
+    per_part = first.groupBy("doc_id", F.col("at.part").alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "entity"))).alias("new"))
+    before = Window.partitionBy("doc_id").orderBy("part").rangeBetween(Window.unboundedPreceding, -1)
+    parts = chunks.select("doc_id", F.floor(F.col("idx") / group).alias("part")).distinct().join(per_part, ["doc_id", "part"], "left")
+    known = parts.withColumn("known", F.transform(F.flatten(F.collect_list("new").over(before)), lambda x: x["entity"])).select("doc_id", "part", "known")
+    return chunks.select("doc_id", "idx", F.floor(F.col("idx") / group).alias("part")).join(known, ["doc_id", "part"]).select("doc_id", "idx", "known")

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import column, tokens
+from factloom.shipping import fresh_folder, ship
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 HASH_DIM = 512
+#: Queries whose vectors are one matrix in every task.
+QUERY_BLOCK = 4096
 #: The cosine that a chunk found by its words alone is given.
 WORDS_ONLY_SCORE = 0.60
 
@@ -29,10 +37,14 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_c
     Okapi's weights, where terms in more than half of the chunks get EPSILON of
     the mean weight over all terms. Only the queries' terms are joined.
     """
-    held = chunks.select(F.col(id_col).alias("chunk_id"), tokens(text_col).alias("terms"))
-    corpus = held.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    # A chunk's distinct terms are counted within each map task, so postings of the whole corpus are never shuffled.
-    df = held.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(corpus)  # of one row
+    # One pass counts the chunks of each term within the map tasks, and under NULL the chunks and their terms. It is written,
+    # one row a term, as it is used three times; postings of the whole corpus are never shuffled.
+    held = chunks.select(tokens(text_col).alias("terms")).select(F.size("terms").cast("long").alias("dl"), F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("terms")).alias("terms"))
+    path = fresh_folder(chunks.sparkSession, "terms")
+    held.select(F.explode("terms").alias("term"), "dl").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl")).write.parquet(path)
+    counted = chunks.sparkSession.read.parquet(path)
+    corpus = counted.where("term IS NULL").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    df = counted.where("term IS NOT NULL").crossJoin(corpus).drop("dl")  # of one row
     weighed = df.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = weighed.agg(F.avg("idf").alias("mean_idf"))
     weights = weighed.crossJoin(mean).select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
@@ -70,13 +82,44 @@ def shorten(vector: Column | str, dim: int) -> Column:
     return F.transform(head, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, key, score, rank: the k nearest rows of each query by cosine, compared with all rows.
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """query_id, key, score, rank: the k nearest rows of each query by cosine, compared with all rows in blocks.
 
-    vectors: key, embedding. queries: query_id, embedding, a few rows that every task may hold.
+    vectors: key, embedding. queries: query_id, embedding. Scores are rounded before they rank. Queries go to the tasks
+    as matrices of QUERY_BLOCK rows; a task multiplies them with its batches of vectors and passes on the k best per batch
+    and query, so pairs are never rows. A vector without length has cosine 0.
     """
-    pairs = vectors.crossJoin(queries.select("query_id", F.col("embedding").alias("asked")))
-    return top_per_query(pairs.select("query_id", "key", cosine("embedding", "asked").alias("score")), k, "key")
+    spark = vectors.sparkSession
+    ship(spark)
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "key"))}
+
+    def lengths(m: np.ndarray) -> np.ndarray:
+        n = np.sqrt((m * m).sum(axis=1))
+        return np.where(n > 0, n, np.inf)
+
+    def search(block: int) -> DataFrame:
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").collect()
+        asked = np.array([r["embedding"] for r in own], np.float64).reshape(len(own), -1)
+        sent = spark.sparkContext.broadcast(([r["query_id"] for r in own], asked / lengths(asked)[:, None]))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, unit = sent.value
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                held = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+                scores = np.round(unit @ (held / lengths(held)[:, None]).T, digits)
+                keys = pdf["key"].to_numpy()
+                order = np.argsort(keys, kind="stable")
+                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+                rows = np.repeat(np.arange(len(ids)), best.shape[1])
+                yield pd.DataFrame({"query_id": [ids[x] for x in rows], "key": keys[best.ravel()], "score": scores[rows, best.ravel()]})
+
+        return vectors.where("embedding IS NOT NULL").select("key", "embedding").mapInPandas(run, f"query_id {kinds['query_id']}, key {kinds['key']}, score double")
+
+    found = [search(b) for b in range(max(blocks, 1))]
+    return top_per_query(reduce(DataFrame.unionByName, found), k, "key")
 
 
 def hash_features(rows: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM) -> DataFrame:
@@ -110,8 +153,11 @@ def fuse(first: DataFrame, second: DataFrame, key: str, offset: int) -> DataFram
     return a.join(b, ["query_id", key], "full").withColumn("score", reciprocal("first_rank", offset) + reciprocal("second_rank", offset))
 
 
-def hybrid_search(allowed_dense: DataFrame, allowed_words: DataFrame, k: int = 15, top: int = 12) -> DataFrame:
-    """Fuses the k best of each kind within what is allowed. Both: query_id, chunk_id, score."""
+def hybrid_search(dense: DataFrame, words: DataFrame, allowed: DataFrame | None = None, k: int = 15, top: int = 12) -> DataFrame:
+    """Fuses the k best of each kind within the allowed chunks (chunk_id), of all without any. dense, words: query_id, chunk_id, score."""
+    if allowed is not None:
+        dense, words = (x.join(allowed.select("chunk_id"), "chunk_id", "left_semi") for x in (dense, words))
+    allowed_dense, allowed_words = dense, words
     fused = fuse(top_per_query(allowed_dense, k), top_per_query(allowed_words, k), "chunk_id", 1)
     return top_per_query(fused, top)
 
@@ -134,8 +180,8 @@ def document_search(dense: DataFrame, words: DataFrame, allowed: DataFrame, top:
 
 
 def merge_subqueries(results: DataFrame, top: int = 12) -> DataFrame:
-    """query_id, subquery, chunk_id, score, dense, words -> a query's chunks by the sum of their fused scores."""
-    return top_per_query(results.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"), F.max("dense").alias("dense"), F.max("words").alias("words")), top)
+    """query_id, subquery, chunk_id, score, dense, words -> a query's chunks by the sum of their fused scores, rounded as sums vary in order."""
+    return top_per_query(results.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score"), F.max("dense").alias("dense"), F.max("words").alias("words")), top)
 
 
 def top_up(strict: DataFrame, free: DataFrame, least: int, top: int) -> DataFrame:
@@ -163,3 +209,31 @@ def assert_one_space(vectors: DataFrame, provider: str, model: str, dim: int) ->
 def pending(rows: DataFrame, most: int) -> DataFrame:
     """Rows that still need a vector: without one, and with text."""
     return rows.where(F.col("embedding").isNull() & (F.col("text") != "")).orderBy("key").limit(most)
+
+
+def enrich(hits: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (query_id, doc_id, chunk_id, rank) with title, year and access_level of their document and the text of their chunk; unknown ones go."""
+    return hits.join(documents.select("doc_id", "title", "year", "access_level"), "doc_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+
+
+def answer_measures(statements: DataFrame) -> DataFrame:
+    """One row: n_statements, citation_coverage (share with a citation) and verified_ratio (share of the cited ones that are verified). statements: n_citations, verified."""
+    cited = F.col("n_citations") > 0
+    counted = statements.agg(F.count("*").alias("n_statements"), F.count_if(cited).alias("c"), F.count_if(cited & F.col("verified")).alias("v"))
+    return counted.select("n_statements", F.coalesce(F.try_divide("c", "n_statements"), F.lit(0.0)).alias("citation_coverage"), F.coalesce(F.try_divide("v", "c"), F.lit(0.0)).alias("verified_ratio"))
+
+
+def similar_pairs(pairs: DataFrame, least: float = 0.5) -> DataFrame:
+    """pair_id, score, similar: whether two embeddings (a, b) of one text in two languages are near enough."""
+    return pairs.select("pair_id", cosine("a", "b").alias("score")).withColumn("similar", F.col("score") >= least)
+
+
+def numbered_context(context: DataFrame) -> DataFrame:
+    """query_id, context: the cited chunks as `[C1] title: quote` lines in the order of their numbers. context: query_id, n, title, quote."""
+    lines = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "title", "quote"))).alias("x"))
+    return lines.select("query_id", F.array_join(F.transform("x", lambda r: F.concat(F.lit("[C"), r["n"].cast("string"), F.lit("] "), r["title"], F.lit(": "), r["quote"])), "\n").alias("context"))
+
+
+def without_vectors(rows: DataFrame) -> DataFrame:
+    """The same rows with no embedding, as when another space comes into use."""
+    return rows.withColumn("embedding", F.lit(None).cast(rows.schema["embedding"].dataType))

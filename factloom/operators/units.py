@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import raw_interval
 from factloom.functions.text import normalize_spaces
+from factloom.shipping import fresh_folder
+
+#: Distinct spellings of measurements up to which what they mean is sent to the rows.
+BROADCAST_SPELLINGS = 50_000
 
 SCHEMA = "unit string, category string, multiplier double, offset double, canonical_unit string, zero_delta double"
 
@@ -31,6 +37,20 @@ def read_units(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=SCHEMA, comment="#")
 
 
+def read_unit_groups(spark: SparkSession, path: str) -> DataFrame:
+    """A table of units from JSON files: category, canonical_unit, zero_delta, units (array of unit, aliases, multiplier, offset).
+
+    Every spelling becomes a row; a canonical unit that no entry gives has factor 1.
+    """
+    schema = "category string, canonical_unit string, zero_delta double, units array<struct<unit: string, aliases: array<string>, multiplier: double, offset: double>>"
+    groups = spark.read.schema(schema).json(path, multiLine=True)
+    given = groups.select("category", "canonical_unit", "zero_delta", F.explode_outer("units").alias("u"))
+    spelled = given.select("*", F.explode(F.array_distinct(F.concat(F.array("u.unit"), F.coalesce("u.aliases", F.array().cast("array<string>"))))).alias("unit")).where("unit IS NOT NULL")
+    rows = spelled.select("unit", "category", F.coalesce("u.multiplier", F.lit(1.0)).alias("multiplier"), F.coalesce("u.offset", F.lit(0.0)).alias("offset"), "canonical_unit", "zero_delta")
+    own = groups.select(F.col("canonical_unit").alias("unit"), "category", F.lit(1.0).alias("multiplier"), F.lit(0.0).alias("offset"), "canonical_unit", "zero_delta")
+    return rows.unionByName(own.where("unit IS NOT NULL").join(rows.select("unit", "category"), ["unit", "category"], "left_anti").select(*rows.columns))
+
+
 def lookup_table(units: DataFrame) -> DataFrame:
     """step, key and the unit's columns: exact spellings (0), without white space (1), in lower case (2).
 
@@ -55,6 +75,23 @@ def with_units(rows: DataFrame, units: DataFrame, unit_col: str = "unit_raw") ->
 
 
 def parse_measurements(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds interval (see _parsed) to rows with value_raw, unit_raw, operator_raw.
+
+    Values come again and again in other documents, so each distinct spelling is
+    parsed once and joined back. Where there are at most BROADCAST_SPELLINGS of them the rows stay
+    where they are.
+    """
+    given = ("value_raw", "unit_raw", "operator_raw")
+    path = fresh_folder(rows.sparkSession, "spellings")
+    _parsed(rows.select(*given).distinct(), units).select(*[F.col(c).alias(f"factloom_{c}") for c in given], "interval").write.parquet(path)
+    parsed = rows.sparkSession.read.parquet(path)
+    if parsed.limit(BROADCAST_SPELLINGS + 1).count() <= BROADCAST_SPELLINGS:
+        parsed = F.broadcast(parsed)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"factloom_{c}")) for c in given])
+    return rows.join(parsed, same).select(*rows.columns, "interval")
+
+
+def _parsed(rows: DataFrame, units: DataFrame) -> DataFrame:
     """Adds interval: value_min, value_max, unit_canon, needs_review, review_reason of value_raw, unit_raw, operator_raw.
 
     The bounds are in the canonical unit, in order, NULL where open. An unknown

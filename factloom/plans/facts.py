@@ -9,6 +9,7 @@ from factloom.functions import numbers, text
 from factloom.operators import hypotheses, mutation, validation
 from factloom.plans import standins as st
 from factloom.plans.registry import Catalogue
+from factloom.shipping import fresh_folder
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.add
@@ -175,3 +176,16 @@ def score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_reweight(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = hypotheses.Weights(novelty=0.1, value=0.6, testability=0.2, risk=0.4)
     return hypotheses.totals(hypotheses.scores(_hypotheses(spark, sf_dir)), weights, top=20).select("hypothesis_id", "total", "rank")
+
+
+@query("""SELECT l_orderkey AS source_doc_id, l_linenumber, CAST(l_quantity AS DOUBLE) AS value, 'v1' AS version FROM lineitem WHERE l_orderkey % 7 <> 0
+UNION ALL SELECT l_orderkey, l_linenumber, l_quantity + 1, 'v2' FROM lineitem WHERE l_orderkey % 7 = 0 AND l_orderkey % 35 <> 0 AND l_linenumber = 1""")
+def write_document_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders written as documents, then every seventh again with its first line only, and every thirty-fifth without any; the rest comes again unchanged and is skipped."""
+    li = st.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_doc_id"), "l_linenumber", F.col("l_quantity").cast("double").alias("value"))
+    orders = st.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    store = mutation.DocumentStore(spark, fresh_folder(spark, "store"), buckets=8)
+    store.write(orders.withColumn("content_hash", F.lit("one")), {"facts": li.withColumn("version", F.lit("v1"))})
+    again = li.where("source_doc_id % 35 <> 0 AND l_linenumber = 1").withColumns({"value": F.col("value") + 1, "version": F.lit("v2")})
+    store.write(orders.withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "two").otherwise("one")), {"facts": again})
+    return store.read("facts", "source_doc_id long, l_linenumber int, value double, version string")

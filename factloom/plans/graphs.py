@@ -75,13 +75,14 @@ def claim_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.claim_statistics(claims, support.union(against)).where(F.col("claim_id").startswith("claim:"))
 
 
-@query("""SELECT p_brand AS material, l_partkey AS experiment, 'proc:' || l_suppkey AS process, CASE WHEN l_returnflag = 'A' THEN l_linestatus END AS equipment, count(*) AS n
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 5 GROUP BY ALL""")
+@query("""WITH used AS (SELECT p_brand AS material, p_partkey AS experiment FROM part), studied AS (SELECT DISTINCT l_partkey AS experiment, 'proc:' || l_suppkey AS process FROM lineitem),
+held AS (SELECT DISTINCT l_partkey AS experiment, 'proc:' || l_suppkey AS process, l_linestatus AS equipment FROM lineitem WHERE l_returnflag = 'A')
+SELECT material, experiment, process, equipment FROM used JOIN studied USING (experiment) LEFT JOIN held USING (experiment, process)""")
 def chain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Material, experiment, process and, where there is one, equipment."""
-    used = st.table(spark, sf_dir, "part").where("p_size < 5").select(F.col("p_brand").alias("material"), F.col("p_partkey").alias("experiment"))
-    studied = st.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("experiment"), st.key("proc", "l_suppkey").alias("process"), F.when(F.col("l_returnflag") == "A", F.col("l_linestatus")).alias("equipment"))
-    return used.join(studied, "experiment").groupBy("material", "experiment", "process", "equipment").agg(F.count("*").alias("n"))
+    used = st.table(spark, sf_dir, "part").select(F.col("p_brand").alias("material"), F.col("p_partkey").alias("experiment"))
+    lines = st.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("experiment"), st.key("proc", "l_suppkey").alias("process"), F.when(F.col("l_returnflag") == "A", F.col("l_linestatus")).alias("equipment"))
+    return graph.chains(used, lines.select("experiment", "process").distinct(), lines.where("equipment IS NOT NULL").distinct())
 
 
 _COOC = """e AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey AS entity FROM lineitem),

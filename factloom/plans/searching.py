@@ -46,21 +46,21 @@ dense_top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id OR
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = st.table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    return e.crossJoin(asked).select("query_id", F.col("vec_id").alias("key"), F.round(rt.cosine("embedding", "asked"), 6).alias("score"))
+    """The 15 nearest vectors of each query, ranked."""
+    e = st.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    return rt.vector_topk(e, e.where("key % 100 = 0").withColumnRenamed("key", "query_id"), 15)
 
 
 @query(f"WITH {_DENSE} SELECT query_id, key, score, rank FROM dense_top")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.top_per_query(_dense(spark, sf_dir), 15, "key")
+    return _dense(spark, sf_dir)
 
 
 _FUSED = "fused AS (SELECT coalesce(d.query_id, w.query_id) AS query_id, coalesce(d.key, w.chunk_id) AS chunk_id, d.rank AS first_rank, w.rank AS second_rank, round(coalesce(1.0::DOUBLE / (60 + d.rank + {o}), 0) + coalesce(1.0::DOUBLE / (60 + w.rank + {o}), 0), 9) AS score FROM dense_top d FULL JOIN words_top w ON d.query_id = w.query_id AND d.key = w.chunk_id)"
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    dense = rt.top_per_query(_dense(spark, sf_dir).withColumnRenamed("key", "chunk_id"), 15)
+    dense = _dense(spark, sf_dir).withColumnRenamed("key", "chunk_id")
     return dense, rt.top_per_query(_words(spark, sf_dir), 15)
 
 
@@ -76,8 +76,22 @@ def rrf_fuse_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BM25}, {_DENSE}, {_FUSED.format(o=1)}, r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM fused) SELECT * FROM r WHERE rank < 12")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = rt.fuse(*_both(spark, sf_dir), "chunk_id", 1).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
-    return rt.top_per_query(fused, 12)
+    dense, words = (x.drop("rank") for x in _both(spark, sf_dir))
+    return rt.hybrid_search(dense, words).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query(f"""WITH {_BM25}, {_DENSE}, dense_in AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) - 1 AS rank FROM dense WHERE key % 3 <> 0 QUALIFY rank < 15),
+words_in AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) - 1 AS rank FROM words WHERE chunk_id % 3 <> 0 QUALIFY rank < 15),
+f AS (SELECT coalesce(d.query_id, w.query_id) AS query_id, coalesce(d.key, w.chunk_id) AS chunk_id, coalesce(1.0::DOUBLE / (61 + d.rank), 0) + coalesce(1.0::DOUBLE / (61 + w.rank), 0) AS s FROM dense_in d FULL JOIN words_in w ON d.query_id = w.query_id AND d.key = w.chunk_id),
+r AS (SELECT query_id, chunk_id, round(s, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) - 1 AS rank FROM f) SELECT * FROM r WHERE rank < 12""")
+def hybrid_search_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within an allowed set, here keys that 3 does not divide, that holds before the best of each kind are taken."""
+    e = st.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    allowed = e.where("key % 3 <> 0")
+    near = rt.vector_topk(allowed, e.where("key % 100 = 0").withColumnRenamed("key", "query_id"), 15).select("query_id", F.col("key").alias("chunk_id"), "score")
+    chunks = st.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id")).where("chunk_id % 3 <> 0").union(allowed.select("key")).distinct()
+    found = rt.hybrid_search(near, _words(spark, sf_dir), chunks)
+    return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query(f"""WITH {_BM25}, {_DENSE}, {_FUSED.format(o=1)}, m AS (SELECT query_id // 100 % 2 AS query_id, chunk_id, round(sum(score), 9) AS score, max(first_rank) AS dense, max(second_rank) AS words FROM fused GROUP BY 1, 2),
@@ -86,8 +100,7 @@ def multi_subquery_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other query as the subqueries of one question."""
     fused = rt.fuse(*_both(spark, sf_dir), "chunk_id", 1)
     parts = fused.select((F.floor(F.col("query_id") / 100) % 2).alias("query_id"), F.col("query_id").alias("subquery"), "chunk_id", F.round("score", 9).alias("score"), F.col("first_rank").alias("dense"), F.col("second_rank").alias("words"))
-    merged = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score"), F.max("dense").alias("dense"), F.max("words").alias("words"))
-    return rt.top_per_query(merged, 12)
+    return rt.merge_subqueries(parts)
 
 
 @query(f"""WITH {_DENSE}, rel AS (SELECT query_id, vec_id AS key FROM embeddings JOIN asked_vec ON label = wanted), ranked AS (SELECT * FROM dense_top)
@@ -96,7 +109,7 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the query's label are relevant."""
     e = st.table(spark, sf_dir, "embeddings")
     relevant = e.join(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label"), "label").select("query_id", F.col("vec_id").alias("key"))
-    measured = rt.ranking_measures(rt.top_per_query(_dense(spark, sf_dir), 15, "key"), relevant, "key")
+    measured = rt.ranking_measures(_dense(spark, sf_dir), relevant, "key")
     return measured.select("query_id", F.round("recall", 6).alias("recall"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
@@ -105,7 +118,7 @@ rest AS (SELECT query_id, key AS doc_id, rank FROM dense_top t LEFT JOIN few USI
 u AS (SELECT *, false AS filled FROM strict UNION ALL SELECT *, true FROM rest), r AS (SELECT query_id, doc_id, filled, row_number() OVER (PARTITION BY query_id ORDER BY filled, rank, doc_id) - 1 AS rank FROM u) SELECT * FROM r WHERE rank < 10""")
 def topup_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query 100k has 2k strict hits; those with fewer than five are filled up to ten."""
-    free = rt.top_per_query(_dense(spark, sf_dir), 15, "key").select("query_id", F.col("key").alias("doc_id"), "rank")
+    free = _dense(spark, sf_dir).select("query_id", F.col("key").alias("doc_id"), "rank")
     return rt.top_up(free.where(F.col("rank") < F.floor(F.col("query_id") / 100) * 2), free, 5, 10)
 
 
@@ -128,7 +141,7 @@ def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of several vectors each; every other query has no hits by words, so their cosine ranks."""
     from pyspark.sql import Window
 
-    top = rt.top_per_query(_dense(spark, sf_dir), 15, "key")
+    top = _dense(spark, sf_dir)
     dense = top.select("query_id", F.col("key").alias("chunk_id"), (F.col("key") % 200).alias("doc_id"), "score")
     order = Window.partitionBy("query_id").orderBy("key")
     words = top.where("query_id % 200 = 0").select("query_id", F.col("key").alias("chunk_id"), (F.col("key") % 200).alias("doc_id"), (F.row_number().over(order) - 1).cast("long").alias("rank"))

@@ -88,13 +88,14 @@ def mirror_markdown(docs: DataFrame) -> DataFrame:
 
 
 def json_ld(nodes: DataFrame, edges: DataFrame, base: str) -> DataFrame:
-    """node_key, document: each node as JSON-LD; a predicate with one target is a value, with several a list. Nulls are left out."""
+    """node_key, document: each node as JSON-LD; a predicate with one target is a value, with several a list. Nulls and embeddings are left out."""
     targets = edges.groupBy("src_key", "rel_type").agg(F.array_sort(F.collect_set(F.concat(F.lit(base), "dst_key"))).alias("t"))
     one = F.when(F.size("t") == 1, F.to_json(F.struct(F.element_at("t", 1).alias("v")))).otherwise(F.to_json(F.struct(F.col("t").alias("v"))))
     parts = targets.select("src_key", F.concat(F.lit('"'), "rel_type", F.lit('":'), F.substr(one, F.lit(6), F.length(one) - 6)).alias("part"))
     joined = parts.groupBy("src_key").agg(F.array_join(F.array_sort(F.collect_list("part")), ",").alias("links"))
     out = nodes.join(joined, nodes["node_key"] == joined["src_key"], "left")
-    own = F.to_json(F.struct(F.concat(F.lit(base), "node_key").alias("@id"), F.col("label").alias("@type"), "name"))
+    plain = [c for c in nodes.columns if c not in ("node_key", "label", "embedding")]
+    own = F.to_json(F.struct(F.concat(F.lit(base), "node_key").alias("@id"), F.col("label").alias("@type"), *plain))
     return out.select("node_key", F.when(F.col("links").isNull(), own).otherwise(F.concat(F.substr(own, F.lit(1), F.length(own) - 1), F.lit(","), "links", F.lit("}"))).alias("document"))
 
 
@@ -108,3 +109,41 @@ def audit_tail(lines: DataFrame, schema: str, most: int) -> DataFrame:
 def import_report(outcomes: DataFrame) -> DataFrame:
     """One row of totals. outcomes: status, n_facts, n_review, n_unknown."""
     return outcomes.agg(F.count("*").alias("n_all"), F.count_if(F.col("status") == "written").alias("n_written"), F.count_if(F.col("status") == "skipped").alias("n_skipped"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.sum("n_facts").alias("n_facts"), F.sum("n_review").alias("n_review"), F.sum("n_unknown").alias("n_unknown"))
+
+
+def read_claims(rows: DataFrame) -> DataFrame:
+    """doc_id, text, about, polarity, quote of the claims in payloads (see read_extractions); an unknown polarity counts as neutral, blank claims go."""
+    parsed = rows.select("doc_id", F.from_json("payload", EXTRACTION, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("x"))
+    claims = parsed.select("doc_id", F.explode("x.claims").alias("c")).where(F.trim("c.text") != "")
+    polarity = F.lower(F.trim("c.polarity"))
+    about = F.coalesce("c.about", F.array().cast("array<string>"))
+    return claims.select("doc_id", F.trim("c.text").alias("text"), about.alias("about"), F.when(polarity.isin("positive", "negative", "neutral"), polarity).otherwise("neutral").alias("polarity"), F.col("c.quote").alias("quote"))
+
+
+def read_entities(rows: DataFrame) -> DataFrame:
+    """doc_id, type, name, quote of the entities in payloads (see read_extractions)."""
+    parsed = rows.select("doc_id", F.from_json("payload", EXTRACTION, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("x"))
+    return parsed.select("doc_id", F.explode("x.entities").alias("e")).select("doc_id", F.trim("e.type").alias("type"), F.trim("e.name").alias("name"), F.col("e.quote").alias("quote"))
+
+
+def append_audit(records: DataFrame, path: str) -> None:
+    """Adds records to an audit trail of JSON lines."""
+    records.write.mode("append").json(path)
+
+
+def answer_markdown(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """answer_id, document: an answer as Markdown: its question as the title, its text, and its sources as a numbered list. answers: answer_id, question, text; sources: answer_id, n, title, year."""
+    line = F.concat(F.col("n").cast("string"), F.lit(". "), "title", F.coalesce(F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(")")), F.lit("")))
+    held = sources.select("answer_id", F.struct("n", line.alias("line")).alias("s")).groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["line"]), "\n").alias("lines"))
+    joined = answers.join(held, "answer_id", "left")
+    return joined.select("answer_id", F.concat(F.lit("# "), "question", F.lit("\n\n"), "text", F.coalesce(F.concat(F.lit("\n\n## Sources\n\n"), "lines"), F.lit("")), F.lit("\n")).alias("document"))
+
+
+def hypotheses_csv(hypotheses: DataFrame) -> DataFrame:
+    """value: hypotheses as lines of CSV, strings quoted where they need it. hypotheses: rank, statement, total."""
+    return hypotheses.select("rank", F.to_csv(F.struct("rank", "statement", "total")).alias("value"))
+
+
+def bulk_texts(texts: DataFrame, most: int = 150_000) -> DataFrame:
+    """idx, path, text of parsed files by idx: texts of under LEAST_CHARS characters go, longer ones than `most` are cut. texts: idx, path, text."""
+    return texts.where(F.length(F.trim("text")) >= LEAST_CHARS).select("idx", "path", F.substring("text", 1, most).alias("text"))
