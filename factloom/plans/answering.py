@@ -95,8 +95,8 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.sources(cites, keys, facts, docs).withColumn("ord", F.col("ord").cast("long"))
 
 
-@query(f"""WITH l AS (SELECT l_orderkey AS id, {_ORD} AS ord, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q, l_partkey AS p FROM lineitem)
-SELECT id, string_agg('line ' || n || ': Quantity = ' || q || '; Part = ' || p || '.', chr(10) ORDER BY ord) AS text FROM (SELECT * FROM l) GROUP BY id""")
+@query("""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS n, l_suppkey AS s, l_returnflag AS f, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, l_partkey AS p FROM lineitem)
+SELECT id, string_agg('line ' || n || ': Quantity = ' || q || '; Part = ' || p || '.', chr(10) ORDER BY n, p, s, f, q) AS text FROM l GROUP BY id""")
 def table_linearize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tables: a head without a label, and a row per line."""
     n, s = F.col("l_linenumber"), lambda c: F.col(c).cast("long").cast("string")
