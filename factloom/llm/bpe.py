@@ -31,7 +31,7 @@ from factloom.llm.common import map_documents
 from factloom.shipping import ship
 
 #: Pieces whose ids a task remembers; beyond it the memory starts anew. Longer pieces than MEMO_CHARS are forgotten after their block.
-MEMO_PIECES, MEMO_CHARS = 400_000, 256
+MEMO_PIECES, MEMO_CHARS = 150_000, 256
 #: Rows longer than this are merged one by one, as a matrix takes a round over all of a row for each merge.
 LONG_ROW = 256
 #: Cells of a matrix at most; longer inputs are taken in blocks of rows.
@@ -211,7 +211,7 @@ class BytePairCodec:
         for text in texts:
             block.append(self.find(text))
             held += len(block[-1])
-            if held > 500_000:
+            if held > 200_000:
                 yield from self._flush(block)
                 block, held = [], 0
         yield from self._flush(block)

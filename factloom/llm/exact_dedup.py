@@ -39,7 +39,7 @@ PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1000003331, 1103515249, 1220703133, 1566083943)
 CHUNK_BYTES = 16_384
 #: Bytes of text whose chunks are hashed together.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 250_000
 #: Parts of the map tasks whose chunks at one place are compared first.
 SALTS = 64
 
