@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept. The first four return the columns of documents: rejected documents are
 gone, of copies and near copies one is left, and the mix repeats rows. The last
 returns ids and digests.
+
+Defined results: a null text counts as empty in every stage; empty texts are
+equal, and are one near-duplicate group; a null id is an id like any other, but
+ranks last; rows that share an id are told apart by their texts; equal rows are
+copies, of which one stays; an empty table passes through as one; columns
+besides doc_id, text and source are passed on, whatever their names.
 """
 
 from __future__ import annotations
