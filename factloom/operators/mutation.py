@@ -98,7 +98,9 @@ class DocumentStore:
         """Replaces everything that documents (doc_id, content_hash) brought by the rows of tables (with source_doc_id).
 
         Documents whose content is stored already are skipped with their rows. A document without rows loses those it had.
+        An id that stands twice is refused, as one of its contents would be lost.
         """
+        assert_unique(documents, "doc_id")
         version, folders = self.manifest()
         known = "source_doc_id long, content_hash string"
         stored = self.read("documents", known).withColumnRenamed("source_doc_id", "doc_id")

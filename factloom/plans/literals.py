@@ -604,3 +604,21 @@ def document_counts(spark: SparkSession) -> DataFrame:
 def reset_vectors(spark: SparkSession) -> DataFrame:
     rows = retrieval.without_vectors(spark.createDataFrame([(1, [1.0]), (2, None)], "key long, embedding array<double>"))
     return rows.groupBy("key").agg(F.count("embedding").alias("vectors"))
+
+
+@gives("n_all long, n_written long, n_skipped long, n_failed long, n_facts long, n_review long, n_unknown long", (4, 2, 1, 1, 7, 3, 1))
+def import_report(spark: SparkSession) -> DataFrame:
+    """Totals of an import; a failed document has no counts."""
+    rows = [("written", 5, 2, 1), ("written", 2, 1, 0), ("skipped", 0, 0, 0), ("failed", None, None, None)]
+    return files.import_report(spark.createDataFrame(rows, "status string, n_facts long, n_review long, n_unknown long"))
+
+
+@gives("hypothesis_id long", 1, 3)
+def grounded_hypotheses(spark: SparkSession) -> DataFrame:
+    """A hypothesis stays with one verified statement: by shared words, by a citation that is near enough, not by either falling short."""
+    rows = [
+        (1, 1, "flotation raises recovery", "Flotation raised the recovery of copper", 0.0), (1, 2, "leaching lowers losses", "nothing alike", 0.2),
+        (2, 3, "roasting needs oxygen", "unrelated words", 0.54), (3, 4, "smelting gives matte", "other words", 0.1), (3, 4, "smelting gives matte", "other words", 0.55),
+    ]
+    statements = spark.createDataFrame(rows, "hypothesis_id long, statement_id long, statement string, text string, similarity double")
+    return hypotheses.grounded(hypotheses.verify(statements))

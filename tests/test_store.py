@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators.mutation import DocumentStore
+from factloom.sources.files import UnsupportedFormat, check_suffix
 
 SCHEMA = "source_doc_id long, value string"
 
@@ -46,3 +47,22 @@ def test_a_lost_write_changes_nothing_and_of_two_at_once_one_fails(spark, tmp_pa
         store.write(first.withColumn("content_hash", F.lit("d")), {"facts": spark.createDataFrame([(1, "d")], SCHEMA)})
     del store.manifest
     assert rows(store) == [(1, "c")]
+
+
+def test_a_document_that_stands_twice_is_refused(spark, tmp_path):
+    store = DocumentStore(spark, str(tmp_path / "store"), buckets=2)
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "doc_id long, content_hash string")
+    with pytest.raises(ValueError, match="doc_id is not unique"):
+        store.write(twice, {"facts": spark.createDataFrame([(1, "x")], SCHEMA)})
+    assert store.manifest() == (0, {})
+
+
+@pytest.mark.parametrize("path", ["a/b.MD", "c.txt"])
+def test_text_files_are_accepted(path):
+    check_suffix(path)
+
+
+@pytest.mark.parametrize("path", ["a/b.pdf", "c.docx", "without"])
+def test_other_files_are_refused(path):
+    with pytest.raises(UnsupportedFormat):
+        check_suffix(path)
