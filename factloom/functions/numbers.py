@@ -18,8 +18,8 @@ _SIGNED = rf"[{DASHES}]?{_UNSIGNED}"
 
 def parse_number(token: Column | str) -> Column:
     """A number's text as a double: spaces between digits go; a comma is decimal unless a dot is there as well."""
-    t = F.regexp_replace(F.trim(column(token)), f"^[{DASHES}]", "-")
-    t = F.regexp_replace(t, f"[{DIGIT_SPACES}]", "")
+    t = F.trim(column(token))
+    t = F.concat(F.translate(F.substring(t, 1, 1), DASHES + DIGIT_SPACES, "-" * len(DASHES)), F.translate(F.substring(t, F.lit(2), F.length(t)), DIGIT_SPACES, ""))
     t = let(t, lambda x: F.when(x.contains("."), F.replace(x, F.lit(","), F.lit(""))).otherwise(F.replace(x, F.lit(","), F.lit("."))))
     return let(t, lambda x: F.when(x.rlike(r"\A-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"), x.try_cast("double")))
 
@@ -38,16 +38,17 @@ def number_tokens(text: Column | str) -> Column:
 
 def detect_range(text: Column | str) -> Column:
     """(lo, hi) of `от X до Y`, `X..Y` or `X–Y`, in this order of preference, else NULL. A single negative number is none."""
-    def by(t: Column, pattern: str) -> Column:
+    def by(t: Column, could: Column, pattern: str) -> Column:
         ends = F.transform(F.array(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)), parse_number)
-        return let(F.filter(ends, lambda x: x.isNotNull()), lambda x: F.when(F.size(x) == 2, F.struct(F.array_min(x).alias("lo"), F.array_max(x).alias("hi"))))
+        return F.when(could, let(F.filter(ends, lambda x: x.isNotNull()), lambda x: F.when(F.size(x) == 2, F.struct(F.array_min(x).alias("lo"), F.array_max(x).alias("hi")))))
 
+    # Most texts are no range, which a look for what a range needs finds sooner than its pattern.
     return let(
         normalize_spaces(text),
         lambda t: F.coalesce(
-            by(t, rf"(?iu)от\s*({_SIGNED})\s*до\s*({_SIGNED})"),
-            by(t, rf"({_SIGNED})\s*\.{{2,}}\s*({_UNSIGNED})"),
-            by(t, rf"({_SIGNED})\s*[{DASHES}]\s*({_SIGNED})"),
+            by(t, F.lower(F.upper(t)).contains("до"), rf"(?iu)от\s*({_SIGNED})\s*до\s*({_SIGNED})"),
+            by(t, t.contains(".."), rf"({_SIGNED})\s*\.{{2,}}\s*({_UNSIGNED})"),
+            by(t, F.translate(t, DASHES, "") != t, rf"({_SIGNED})\s*[{DASHES}]\s*({_SIGNED})"),
         ),
     )
 
