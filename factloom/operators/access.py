@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Roles by rank; a partner stands outside.
 RANKS = {"partner": -1, "researcher": 0, "analyst": 1, "lead": 2, "admin": 3}
+#: How long a filter's set of documents can be asked for by its handle.
+FILTER_SECONDS = 900
 
 
 def at_least(role: Column, least: str) -> Column:
@@ -54,6 +56,16 @@ def live_entries(entries: DataFrame, now: Column, seconds: int) -> DataFrame:
     return last.where(F.timestamp_add("SECOND", F.lit(seconds), F.col("put_at")) > now)
 
 
+def within_filters(hits: DataFrame, sets: DataFrame, now: Column, seconds: int = FILTER_SECONDS) -> DataFrame:
+    """Hits (filter_id, doc_id) that are in the set of documents of their filter. sets: filter_id, doc_id, put_at; an empty set is a row with a null doc_id.
+
+    Hits without a filter, or with one that is unknown or has ended, are not narrowed.
+    """
+    live = sets.where(F.timestamp_add("SECOND", F.lit(seconds), F.col("put_at")) > now).select("filter_id", "doc_id")
+    known = live.select("filter_id").distinct()
+    return hits.join(live, ["filter_id", "doc_id"], "left_semi").unionByName(hits.join(known, "filter_id", "left_anti"))
+
+
 def coalesced_writes(writes: DataFrame, seconds: int) -> DataFrame:
     """path, started_at, ended_at, n_writes, value: writes with gaps under `seconds` become one, of the last value. writes: path, at, value, seq."""
     bursts = writes.groupBy("path", F.session_window("at", f"{seconds} seconds").alias("burst"))

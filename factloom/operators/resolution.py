@@ -160,3 +160,9 @@ def known_before(chunks: DataFrame, group: int = 4) -> DataFrame:
     parts = chunks.select("doc_id", F.floor(F.col("idx") / group).alias("part")).distinct().join(per_part, ["doc_id", "part"], "left")
     known = parts.withColumn("known", F.transform(F.flatten(F.collect_list("new").over(before)), lambda x: x["entity"])).select("doc_id", "part", "known")
     return chunks.select("doc_id", "idx", F.floor(F.col("idx") / group).alias("part")).join(known, ["doc_id", "part"]).select("doc_id", "idx", "known")
+
+
+def named_with(entities: DataFrame, part: str) -> DataFrame:
+    """Entities that have part in one of their names or aliases, letters in either case. entities: name_ru, name_en, aliases."""
+    within = lambda name: F.coalesce(F.contains(F.lower(name), F.lower(F.lit(part))), F.lit(False))
+    return entities.where(within(F.col("name_ru")) | within(F.col("name_en")) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), within))

@@ -622,3 +622,26 @@ def grounded_hypotheses(spark: SparkSession) -> DataFrame:
     ]
     statements = spark.createDataFrame(rows, "hypothesis_id long, statement_id long, statement string, text string, similarity double")
     return hypotheses.grounded(hypotheses.verify(statements))
+
+
+@gives("filter_id string, doc_id long", ("f", 1), (None, 9), ("old", 3), ("none", 4))
+def filter_handles(spark: SparkSession) -> DataFrame:
+    """A live filter narrows, an empty one leaves nothing; a filter that is missing, unknown or over 15 minutes old does not narrow."""
+    hits = spark.createDataFrame([("f", 1), ("f", 2), (None, 9), ("old", 3), ("none", 4), ("empty", 5)], "filter_id string, doc_id long")
+    puts = [("f", 1, "2026-07-03 09:50:00"), ("f", 7, "2026-07-03 09:50:00"), ("old", 8, "2026-07-03 09:45:00"), ("empty", None, "2026-07-03 09:59:00")]
+    sets = spark.createDataFrame(puts, "filter_id string, doc_id long, put_at string").withColumn("put_at", F.to_timestamp("put_at"))
+    return access.within_filters(hits, sets, F.to_timestamp(F.lit("2026-07-03 10:00:00")))
+
+
+@gives("id long", 1, 2, 3)
+def named_people(spark: SparkSession) -> DataFrame:
+    rows = [(1, "Трофимова А.", None, None), (2, "Иванов", "Ivanov", ["трофимов"]), (3, None, "Mr ТРОФИМ", []), (4, "Петров", None, None)]
+    return resolution.named_with(spark.createDataFrame(rows, "id long, name_ru string, name_en string, aliases array<string>"), "Трофим").select("id")
+
+
+@gives("id long, zoned string, local string, day string", (1, "2026-07-03T09:13:30", "2026-07-03T09:13:30", "2026-07-03"), (2, "2026-07-03T09:13:30", "2026-07-03T09:13:30.000500", "2026-07-03"), (3, None, None, None))
+def iso_texts(spark: SparkSession) -> DataFrame:
+    """Of times with a zone only the first 19 letters, as the rest tells the session's zone."""
+    rows = spark.createDataFrame([(1, "2026-07-03 09:13:30"), (2, "2026-07-03 09:13:30.0005"), (3, None)], "id long, t string")
+    texts = files.iso_times(rows.select("id", F.to_timestamp("t").alias("zoned"), F.expr("to_timestamp_ntz(t)").alias("local"), F.to_date("t").alias("day")))
+    return texts.withColumn("zoned", F.substring("zoned", 1, 19))

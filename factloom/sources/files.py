@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,3 +147,16 @@ def hypotheses_csv(hypotheses: DataFrame) -> DataFrame:
 def bulk_texts(texts: DataFrame, most: int = 150_000) -> DataFrame:
     """idx, path, text of parsed files by idx: texts of under LEAST_CHARS characters go, longer ones than `most` are cut. texts: idx, path, text."""
     return texts.where(F.length(F.trim("text")) >= LEAST_CHARS).select("idx", "path", F.substring("text", 1, most).alias("text"))
+
+
+def iso_times(rows: DataFrame) -> DataFrame:
+    """The same columns with dates and times as ISO 8601 texts, a time with its offset and with microseconds only if it has any."""
+
+    def text_of(name: str, kind: str) -> Column:
+        if kind == "date":
+            return F.date_format(name, "yyyy-MM-dd")
+        offset = F.date_format(name, "xxx") if kind == "timestamp" else F.lit("")
+        micros = F.date_format(name, "SSSSSS")
+        return F.concat(F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), offset)
+
+    return rows.select(*[text_of(c, kind).alias(c) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(c) for c, kind in rows.dtypes])

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators.mutation import DocumentStore
-from factloom.sources.files import UnsupportedFormat, check_suffix
+from factloom.sources.files import UnsupportedFormat, check_suffix, iso_times
 
 SCHEMA = "source_doc_id long, value string"
 
@@ -66,3 +66,8 @@ def test_text_files_are_accepted(path):
 def test_other_files_are_refused(path):
     with pytest.raises(UnsupportedFormat):
         check_suffix(path)
+
+
+def test_times_as_texts_have_their_offset(spark):
+    row = iso_times(spark.sql("SELECT timestamp'2026-07-03 09:13:30.25' AS a, timestamp'2026-07-03 09:13:30' AS b, 1 AS n")).first()
+    assert tuple(row) == ("2026-07-03T09:13:30.250000+00:00", "2026-07-03T09:13:30+00:00", 1)
