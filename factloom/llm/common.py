@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 #: Rows up to which the rows of one key may always meet in one task.
 HOT_ROWS = 1_000
+#: Copies of one row that a task makes at once.
+COPIES_AT_ONCE = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +88,22 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, on: list[str], n: str) -> D
     return spread.unionByName(rest).drop(*keys.values())
 
 
+def each_copy(units: DataFrame, n: str, copy: str) -> DataFrame:
+    """units without column n, each as often as n says, numbered from 0 in column copy.
+
+    Units of over COPIES_AT_ONCE are first cut into ranges of so many, which are dealt out before they are spread. units
+    should be cheap to count, such as a checkpoint.
+    """
+    spread = units.where(F.col(n) <= COPIES_AT_ONCE).withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    large = units.where(F.col(n) > COPIES_AT_ONCE)
+    if not large.isEmpty():
+        start = f"{copy}_from"
+        ranges = large.withColumn(start, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(COPIES_AT_ONCE).cast("long")))).repartition(*units.columns, start)
+        upto = F.least(F.col(start) + COPIES_AT_ONCE, F.col(n)) - 1
+        spread = spread.unionByName(ranges.withColumn(copy, F.explode(F.sequence(F.col(start), upto))).drop(start))
+    return spread.drop(n)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

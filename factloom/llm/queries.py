@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, chat, exact_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secrets, simhash, substring_dedup
+from factloom.llm import bpe, chat, exact_dedup, importance, lm_scoring, mixing, quality_classifier, quality_rules, secrets, simhash, substring_dedup
 from factloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -62,5 +62,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_mixing, op4_secrets, op5_preferences, op6_simhash, op7_exact_dedup, op8_lm_scoring, op9_substring_dedup, op10_quality_classifier)}
-SQL = {"op3_mixing": mixing.SQL, "op5_preferences": chat.SQL, "op7_exact_dedup": exact_dedup.SQL}
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the texts of benchmark."""
+    ranked = importance.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_mixing, op4_secrets, op5_preferences, op6_simhash, op7_exact_dedup, op8_lm_scoring, op9_substring_dedup, op10_quality_classifier, op13_importance)}
+SQL = {"op3_mixing": mixing.SQL, "op5_preferences": chat.SQL, "op7_exact_dedup": exact_dedup.SQL, "op13_importance": importance.SQL}
