@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, chat, exact_dedup, importance, lm_scoring, mixing, quality_classifier, quality_rules, secrets, sharding, simhash, substring_dedup
+from factloom.llm import bpe, chat, exact_dedup, importance, lm_scoring, mixing, quality_classifier, quality_rules, repair, secrets, sharding, simhash, substring_dedup
 from factloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults, the cheapest repair and its audit of every conversation, after damage."""
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard and the slot of every document, each shard with the mixture of sources of the whole."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -73,5 +78,5 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_mixing, op4_secrets, op5_preferences, op6_simhash, op7_exact_dedup, op8_lm_scoring, op9_substring_dedup, op10_quality_classifier, op12_sharding, op13_importance)}
-SQL = {"op3_mixing": mixing.SQL, "op5_preferences": chat.SQL, "op7_exact_dedup": exact_dedup.SQL, "op12_sharding": sharding.SQL, "op13_importance": importance.SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_mixing, op4_secrets, op5_preferences, op6_simhash, op7_exact_dedup, op8_lm_scoring, op9_substring_dedup, op10_quality_classifier, op11_repair, op12_sharding, op13_importance)}
+SQL = {"op3_mixing": mixing.SQL, "op5_preferences": chat.SQL, "op7_exact_dedup": exact_dedup.SQL, "op11_repair": repair.SQL, "op12_sharding": sharding.SQL, "op13_importance": importance.SQL}
