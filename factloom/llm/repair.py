@@ -265,10 +265,7 @@ def _crossing(units: DataFrame, costs: Costs) -> tuple[DataFrame, DataFrame]:
     found = checkpoint(narrow.mapInArrow(pieces, _PIECE).groupBy("conv").applyInArrow(joined, _JOINED))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def with_ends() -> Iterator[tuple[dict, list[_Unit]]]:
-            yield from _conversations(batches)
-
-        for row, rows in with_ends():
+        for row, rows in _conversations(batches):
             ways = ways_on(rows, row["ends"], costs)
             left = [[*walk(rows, ways, q, costs, False)][-1][1] if ways[0][q] < _NEVER else 0 for q in range(4)]
             yield _batch([{"conv": row["conv"], "part": row["part"], "left": left}], _arrow("conv string, part int, left array<bigint>"))
