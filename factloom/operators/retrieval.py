@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import column, tokens
-from factloom.shipping import ship
+from factloom.shipping import fresh_folder, ship
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -35,9 +34,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_c
     """query_id, chunk_id, score of every chunk with a term of the query. queries: query_id, text.
 
     Okapi's weights, where terms in more than half of the chunks get EPSILON of
-    the mean weight over all terms. Only the queries' terms are joined.
+    the mean weight over all terms. Only the queries' terms are joined. A null text
+    counts as an empty chunk.
     """
-    held = chunks.select(F.col(id_col).alias("chunk_id"), tokens(text_col).alias("terms"))
+    held = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
     corpus = held.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
     # A chunk's distinct terms are counted within each map task, so postings of the whole corpus are never shuffled.
     df = held.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(corpus)  # of one row
@@ -83,11 +83,15 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6)
 
     vectors: key, embedding. queries: query_id, embedding. Scores are rounded before they rank. Queries go to the tasks
     as matrices of QUERY_BLOCK rows; a task multiplies them with its batches of vectors and passes on the k best per batch
-    and query, so pairs are never rows. A vector without length has cosine 0.
+    and query, so pairs are never rows. One block is on the driver at a time: with several, each is searched and its best
+    rows are written before the next is fetched. A vector without length has cosine 0; a null vector, or one that holds a
+    null, NaN or infinity, is never found and, as a query, finds nothing.
     """
     spark = vectors.sparkSession
     ship(spark)
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vectors, queries = vectors.where(finite), queries.where(finite)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "key"))}
 
     def lengths(m: np.ndarray) -> np.ndarray:
@@ -112,10 +116,15 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6)
                 rows = np.repeat(np.arange(len(ids)), best.shape[1])
                 yield pd.DataFrame({"query_id": [ids[x] for x in rows], "key": keys[best.ravel()], "score": scores[rows, best.ravel()]})
 
-        return vectors.where("embedding IS NOT NULL").select("key", "embedding").mapInPandas(run, f"query_id {kinds['query_id']}, key {kinds['key']}, score double")
+        found = vectors.select("key", "embedding").mapInPandas(run, f"query_id {kinds['query_id']}, key {kinds['key']}, score double")
+        return top_per_query(found, k, "key")
 
-    found = [search(b) for b in range(max(blocks, 1))]
-    return top_per_query(reduce(DataFrame.unionByName, found), k, "key")
+    if blocks == 1:
+        return search(0)
+    path = fresh_folder(spark, "nearest")
+    for block in range(blocks):
+        search(block).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def hash_features(rows: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM) -> DataFrame:

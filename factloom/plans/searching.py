@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import retrieval as rt
+from factloom.operators import text_index, vector_index
 from factloom.plans import standins as st
 from factloom.plans.registry import Catalogue
+from factloom.shipping import fresh_folder
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.add
@@ -30,16 +32,51 @@ words_top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id OR
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores are rounded before they rank, so that sums in another order do not change ties."""
-    asked = st.table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
-    scored = rt.bm25(st.table(spark, sf_dir, "documents"), asked, "doc_id")
+    scored = rt.bm25(st.table(spark, sf_dir, "documents"), _asked(spark, sf_dir), "doc_id")
     return scored.withColumn("score", F.round("score", 6))
 
 
+#: The index of a folder's documents is written once in an application: its tables do not change.
+_WRITTEN: dict[tuple[str, str], text_index.TextIndex] = {}
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _WRITTEN:
+        _WRITTEN[place] = text_index.create_index(st.table(spark, sf_dir, "documents"), fresh_folder(spark, "text-index"), "doc_id")
+    return _WRITTEN[place]
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _words_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 best documents of each query by words, from the stored index."""
+    return text_index.search(_text_index(spark, sf_dir), _asked(spark, sf_dir), 15)
+
+
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM words_top")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words_top(spark, sf_dir)
+
+
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM words_top")
+def bm25_scan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by reading all texts."""
     return rt.top_per_query(_words(spark, sf_dir), 15)
 
 
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM words_top")
+def bm25_grown_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index of three segments, of which the later ones were added: which rows came first does not matter."""
+    docs = st.table(spark, sf_dir, "documents")
+    index = text_index.create_index(docs.where("doc_id % 3 = 0"), fresh_folder(spark, "text-index"), "doc_id")
+    for k in (1, 2):
+        index = text_index.add_segment(index, docs.where(F.col("doc_id") % 3 == k), "doc_id")
+    return text_index.search(index, _asked(spark, sf_dir), 15)
+
+
 _DENSE = """asked_vec AS (SELECT vec_id AS query_id, embedding AS asked, label AS wanted FROM embeddings WHERE vec_id % 100 = 0),
 dense AS (SELECT query_id, vec_id AS key, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(asked AS DOUBLE[])), 6) AS score FROM embeddings CROSS JOIN asked_vec),
 dense_top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) - 1 AS rank FROM dense QUALIFY rank < 15)"""
@@ -56,12 +93,39 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir)
 
 
+#: Cells that a query on the index of vectors goes to.
+PROBES = 16
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex, DataFrame]:
+    e = st.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    return vector_index.write_index(e, fresh_folder(spark, "vector-index")), e.where("key % 100 = 0").withColumnRenamed("key", "query_id")
+
+
+@query(f"WITH {_DENSE} SELECT query_id, key, score, rank FROM dense_top")
+def vector_index_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all cells probed the index gives what a full scan gives."""
+    index, asked = _indexed(spark, sf_dir)
+    return vector_index.search(index, asked, 15)
+
+
+@query(f"WITH {_DENSE} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_hits, true AS recall_reached, true AS scores_exact FROM dense_top")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether PROBES cells give nine tenths of the 15 nearest rows that a full scan finds, over all queries, and each with its exact score."""
+    index, asked = _indexed(spark, sf_dir)
+    exact, found = _dense(spark, sf_dir), vector_index.search(index, asked, 15, PROBES)
+    of = exact.select("query_id", "key", F.col("score").alias("exact"))
+    per_query = vector_index.recall(found, exact).agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.9).alias("recall_reached"))
+    scores = of.join(found, ["query_id", "key"], "left").agg(F.count("*").alias("n_hits"), F.bool_and(F.col("score").isNull() | (F.abs(F.col("score") - F.col("exact")) < 2e-6)).alias("scores_exact"))
+    return per_query.crossJoin(scores)  # one row each
+
+
 _FUSED = "fused AS (SELECT coalesce(d.query_id, w.query_id) AS query_id, coalesce(d.key, w.chunk_id) AS chunk_id, d.rank AS first_rank, w.rank AS second_rank, round(coalesce(1.0::DOUBLE / (60 + d.rank + {o}), 0) + coalesce(1.0::DOUBLE / (60 + w.rank + {o}), 0), 9) AS score FROM dense_top d FULL JOIN words_top w ON d.query_id = w.query_id AND d.key = w.chunk_id)"
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dense = _dense(spark, sf_dir).withColumnRenamed("key", "chunk_id")
-    return dense, rt.top_per_query(_words(spark, sf_dir), 15)
+    return dense, _words_top(spark, sf_dir)
 
 
 @query(f"WITH {_BM25}, {_DENSE}, {_FUSED.format(o=0)} SELECT * FROM fused")

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -41,3 +41,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
         known = tempfile.mkdtemp(prefix="factloom-")
         sc.setCheckpointDir(known)
     return f"{known}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Computes df once, into the folder that all executors share, and cuts its lineage."""
+    fresh_folder(df.sparkSession, "")
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint(eager=True)
