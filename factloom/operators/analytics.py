@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import contradict, percent
+from factloom.shipping import checkpoint
 
 OPEN_AXIS, GAPS, RISKS = 40, 50, 20
+#: Facts of one key that may meet each other all, and how many of a larger key are one run of the sweep.
+HOT_FACTS, RUN_FACTS = 1000, 256
 
 
 def open_axis(entities: DataFrame, mentions: DataFrame, most: int = OPEN_AXIS) -> DataFrame:
@@ -66,20 +69,71 @@ def orphans(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return entities.where(F.coalesce("unresolved", F.lit(False))).join(touched, "entity_id", "left_anti")
 
 
-def contradiction_pairs(facts: DataFrame, gap: float = 0.2) -> DataFrame:
-    """Pairs of facts on one source and parameter, in one unit, of different documents, that are apart by more than gap.
+def contradiction_pairs(facts: DataFrame, gap: float = 0.2, hot: int = HOT_FACTS, run: int = RUN_FACTS) -> DataFrame:
+    """Pairs of facts on one source and parameter, in one unit, of different documents, that are apart by more than gap (below 2).
 
-    facts: fact_id, source, parameter, doc_id, unit, value_min, value_max. Facts of
-    a key are ordered by their lower bounds, and each meets only those that
-    begin above its end: the join is an equi-join with that range as residual.
+    facts: fact_id, source, parameter, doc_id, unit, value_min, value_max; rows with an open bound contradict nothing.
+    The facts of most keys meet in an equi-join. Those of a key with over `hot` facts are swept instead, see `_swept`: what
+    is compared there grows with the pairs that come out, not with the square of the facts.
     """
+    key = ["source", "parameter", "unit_key"]
     closed = facts.where(F.col("value_min").isNotNull() & F.col("value_max").isNotNull())
-    a, b = closed.alias("a"), closed.alias("b")
-    same = (F.col("a.source") == F.col("b.source")) & (F.col("a.parameter") == F.col("b.parameter")) & F.col("a.unit").eqNullSafe(F.col("b.unit"))
-    pairs = a.join(b, same & (F.col("a.value_max") < F.col("b.value_min")) & (F.col("a.doc_id") != F.col("b.doc_id")))
-    apart = contradict(F.col("a.value_min"), F.col("a.value_max"), F.col("b.value_min"), F.col("b.value_max"), gap)
-    first, second = F.least("a.fact_id", "b.fact_id"), F.greatest("a.fact_id", "b.fact_id")
-    return pairs.where(apart).select(F.col("a.source").alias("source"), F.col("a.parameter").alias("parameter"), first.alias("fact_a"), second.alias("fact_b"))
+    closed = checkpoint(closed.select("fact_id", "source", "parameter", F.coalesce(F.concat(F.lit("="), F.col("unit").cast("string")), F.lit("")).alias("unit_key"), "doc_id", "value_min", "value_max"))
+    many = checkpoint(closed.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*key))
+    if many.isEmpty():
+        pairs = _met(closed)
+    else:
+        pairs = _met(closed.join(many, key, "left_anti")).unionByName(_swept(closed.join(many, key, "left_semi"), gap, run))
+    apart = contradict(F.col("a_min"), F.col("a_max"), F.col("b_min"), F.col("b_max"), gap)
+    return pairs.where(apart).select("source", "parameter", F.least("a_fact", "b_fact").alias("fact_a"), F.greatest("a_fact", "b_fact").alias("fact_b"))
+
+
+def _sides(facts: DataFrame, also: list[str]) -> tuple[DataFrame, DataFrame]:
+    names = {"fact_id": "fact", "doc_id": "doc", "value_min": "min", "value_max": "max"}
+    return tuple(facts.select("source", "parameter", "unit_key", *also, *[F.col(c).alias(f"{side}_{n}") for c, n in names.items()]) for side in "ab")
+
+
+def _met(facts: DataFrame) -> DataFrame:
+    """Each fact with those of its key that begin above its end."""
+    a, b = _sides(facts, [])
+    return a.join(b, ["source", "parameter", "unit_key"]).where("a_max < b_min AND a_doc != b_doc")
+
+
+def _swept(facts: DataFrame, gap: float, run: int) -> DataFrame:
+    """The same for keys of very many facts.
+
+    All lower bounds of a key, and for each fact the least value at which
+    another one must begin to be far enough from it, are sorted together into
+    ranges over all partitions. The lower bounds before a fact's least value are
+    counted, so each fact knows from which place on all others contradict it.
+    Places are dealt into runs of `run`; a fact goes to the runs from its place
+    on and meets each as a whole, so only in its first run it meets any in vain.
+    """
+    key = ["source", "parameter", "unit_key"]
+    far = F.when(F.col("value_max") > 0, F.col("value_max") * (1 + gap)).otherwise(F.col("value_max") / (1 + gap))
+    # A little lower than exact, as the pairs are tested afterwards and rounding may not lose any.
+    far = far - F.abs(far) * 1e-9
+    begins = facts.select("*", F.col("value_min").alias("at"), F.lit(1).alias("begins"))
+    asks = facts.select("*", F.greatest(far, F.col("value_max")).alias("at"), F.lit(0).alias("begins"))
+    order = [*key, "at", "begins", "fact_id"]
+    swept = checkpoint(begins.unionByName(asks).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    in_part = Window.partitionBy(*key, "part").orderBy("at", "begins", "fact_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # A key has one row here for each partition that holds some of it.
+    per_part = swept.groupBy(*key, "part").agg(F.sum("begins").alias("n"))
+    starts = per_part.select(*key, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy(*key)).alias("in_all"))
+    placed = swept.withColumn("within", F.coalesce(F.sum("begins").over(in_part), F.lit(0))).join(starts, [*key, "part"])
+    placed = checkpoint(placed.withColumn("place", F.col("start") + F.col("within")).drop("part", "within", "start", "at"))
+    a, b = _sides(placed, ["begins", "place", "in_all"])
+    a = a.where("begins = 0 AND place < in_all")
+    runs = a.withColumn("run", F.explode(F.sequence(F.floor(F.col("place") / run), F.floor((F.col("in_all") - 1) / run)))).withColumnRenamed("place", "from_place")
+    # The rows of one run are few, those that come to it may be very many: they are dealt into blocks, each with a copy of the run.
+    block = F.pmod(F.xxhash64("a_fact"), F.greatest(F.lit(1), F.floor(F.col("in_all") / (64 * run)))).alias("block")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.floor(F.col("in_all") / (64 * run))) - 1)).alias("block")
+    copied = b.where("begins = 1").select(*key, F.floor(F.col("place") / run).alias("run"), "place", "b_fact", "b_doc", "b_min", "b_max", blocks)
+    asked = runs.select(*key, "run", "from_place", "a_fact", "a_doc", "a_min", "a_max", block)
+    met = asked.join(copied, [*key, "run", "block"]).where("place >= from_place AND a_max < b_min AND a_doc != b_doc")
+    return met.select(*key, *[f"{s}_{n}" for s in "ab" for n in ("fact", "doc", "min", "max")])
 
 
 def claim_of(claims: Column | str, doc_id: Column | str, fact_id: Column | str) -> Column:

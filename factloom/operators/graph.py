@@ -5,9 +5,13 @@ nodes: node_key, label, name and label-specific columns. edges: src_key, dst_key
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.shipping import checkpoint, fresh_folder
+
 # The kinds of edges that searches follow, and the bounds of a search.
 TRAVERSED = (
     "USES_MATERIAL", "HAS_CONDITION", "PRODUCES", "STUDIES", "USED_EQUIPMENT", "EXPERT_IN", "MENTIONED_IN", "AUTHORED",
@@ -49,26 +53,56 @@ def hub_neighbours(edges: DataFrame, hubs: DataFrame, years: DataFrame, most: in
     return dated.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def bounded_search(edges: DataFrame, starts: DataFrame, depth: int = 2, most: int = MOST_NODES) -> DataFrame:
-    """node_key, depth of the nodes within `depth` steps over the traversed kinds, at most `most` by depth and key.
+def adjacency(edges: DataFrame, most_degree: int = HUB_DEGREE) -> DataFrame:
+    """key, others: the neighbours of each node over the traversed kinds, deleted edges included, written once in buckets by key.
 
-    Deleted edges are followed; views drop them afterwards. A level is one pass
-    over the edges, which stay where they are: the frontier is sent to them, and
-    it never has more than `most` nodes, as the search ends at the level that
-    reaches `most`. starts are what split_hubs leaves to expand.
+    A node with over most_degree neighbours is a hub: it can be reached, but has no row, so no search goes on from it and
+    no row is longer than that. Hubs are found by counts that are summed up before they are shuffled.
     """
     spark = edges.sparkSession
-    steps = edges.where(F.col("rel_type").isin(*TRAVERSED)).select(F.explode(F.array(F.struct(F.col("src_key").alias("key"), F.col("dst_key").alias("other")), F.struct(F.col("dst_key").alias("key"), F.col("src_key").alias("other")))).alias("s")).select("s.*")
-    depths = {r["node_key"]: 0 for r in starts.select("node_key").distinct().orderBy("node_key").limit(most).collect()}
-    front = list(depths)
+    steps = both_ways(edges.where(F.col("rel_type").isin(*TRAVERSED)).select("src_key", "dst_key")).distinct()
+    path = fresh_folder(spark, "steps")
+    steps.write.parquet(path)
+    steps = spark.read.parquet(path)
+    held = steps.groupBy("key").agg(F.count("*").alias("degree"))
+    few = steps.join(held.where(F.col("degree") > most_degree).select("key"), "key", "left_anti")
+    name = f"adjacency_{uuid.uuid4().hex}"
+    buckets = max(8, spark.sparkContext.defaultParallelism)
+    listed = few.groupBy("key").agg(F.collect_list("other").alias("others"))
+    listed.write.bucketBy(buckets, "key").sortBy("key").option("path", fresh_folder(spark, "adjacency")).saveAsTable(name)
+    return spark.table(name)
+
+
+def bounded_searches(adjacent: DataFrame, starts: DataFrame, depth: int = 2, most: int = MOST_NODES) -> DataFrame:
+    """query_id, node_key, depth: for each query (query_id, node_key: its starts) the nodes within `depth` steps, at most `most` by depth and key.
+
+    All queries go on at once, a level at a time. The frontier meets the stored
+    adjacency by key, and what a query has seen is anti-joined; both are
+    checkpoints that stay on the executors. Within a level a query's new nodes
+    are ranked by key: there are at most `most` times the hub limit of them. A
+    query that has reached `most` has no frontier any more. adjacent: key,
+    others, as `adjacency` writes it.
+    """
+    def ranked(rows: DataFrame, level: int) -> DataFrame:
+        by_key = Window.partitionBy("query_id").orderBy("node_key")
+        return rows.withColumn("nth", F.row_number().over(by_key)).where(F.col("nth") <= F.col("room")).select("query_id", "node_key", F.lit(level).cast("long").alias("depth"))
+
+    front = checkpoint(ranked(starts.select("query_id", "node_key").distinct().withColumn("room", F.lit(most)), 0))
+    seen = front
     for level in range(1, min(max(depth, 0), MOST_DEPTH) + 1):
-        if not front or len(depths) >= most:
+        room = seen.groupBy("query_id").agg((F.lit(most) - F.count("*")).alias("room")).where("room > 0")
+        near = front.join(adjacent, front["node_key"] == adjacent["key"]).select("query_id", F.explode("others").alias("node_key")).distinct()
+        fresh = near.join(seen, ["query_id", "node_key"], "left_anti").join(room, "query_id")
+        front = checkpoint(ranked(fresh, level))
+        if front.isEmpty():
             break
-        near = steps.join(F.broadcast(spark.createDataFrame([(k,) for k in front], "key string")), "key", "left_semi").select(F.col("other").alias("node_key")).distinct()
-        known = F.broadcast(spark.createDataFrame([(k,) for k in depths], "node_key string"))
-        front = [r["node_key"] for r in near.join(known, "node_key", "left_anti").orderBy("node_key").limit(most - len(depths)).collect()]
-        depths |= dict.fromkeys(front, level)
-    return spark.createDataFrame(list(depths.items()), "node_key string, depth long")
+        seen = checkpoint(seen.unionByName(front))
+    return seen
+
+
+def bounded_search(edges: DataFrame, starts: DataFrame, depth: int = 2, most: int = MOST_NODES) -> DataFrame:
+    """node_key, depth of one search from all starts (node_key)."""
+    return bounded_searches(adjacency(edges), starts.select(F.lit(0).alias("query_id"), "node_key"), depth, most).select("node_key", "depth")
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -31,9 +31,25 @@ SELECT p.material, p.process, count(DISTINCT doc_id) AS n_documents, count(DISTI
 FROM pairs p LEFT JOIN evidence e ON p.material = e.material AND p.process = e.process GROUP BY p.material, p.process"""
 
 
-@query(_GAPS.format(where="true") + " ORDER BY n_documents, n_experiments, material, process LIMIT 50")
+def _open(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The axes of a search for gaps without given materials or processes: the most mentioned ones."""
+    lines = st.lines(spark, sf_dir)
+    out = []
+    for axis, name, column in zip(_axes(spark, sf_dir), ("material", "process"), ("p_brand", "l_suppkey"), strict=True):
+        mentions = lines.select(F.col(column).alias("entity_id"), "l_orderkey").distinct()
+        out.append(analytics.open_axis(axis.withColumnRenamed(name, "entity_id"), mentions).withColumnRenamed("entity_id", name))
+    return out[0], out[1]
+
+
+_OPEN = """material_axis AS (SELECT p_brand AS material, count(DISTINCT l_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 ORDER BY greatest(n, 1) DESC, material LIMIT 40),
+process_axis AS (SELECT s_suppkey AS process, count(DISTINCT l_orderkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1 ORDER BY greatest(n, 1) DESC, process LIMIT 40),"""
+
+
+@query(_GAPS.format(where="true").replace("pairs AS (", _OPEN + " pairs AS (").replace("(SELECT DISTINCT p_brand AS material FROM part) CROSS JOIN (SELECT s_suppkey AS process FROM supplier)", "material_axis CROSS JOIN process_axis")
+       + " ORDER BY n_documents, n_experiments, material, process LIMIT 50")
 def find_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.top_gaps(analytics.find_gaps(*_axes(spark, sf_dir), _evidence(spark, sf_dir)))
+    """Gaps between the most mentioned materials and processes, OPEN_AXIS of each."""
+    return analytics.top_gaps(analytics.find_gaps(*_open(spark, sf_dir), _evidence(spark, sf_dir)))
 
 
 @query(_GAPS.format(where="true"))
@@ -135,7 +151,7 @@ def opposing_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MEASURED = """measured AS (
   SELECT min(l_orderkey * 8 + l_linenumber) AS fact_id, l_suppkey AS source, l_partkey AS parameter, l_orderkey AS doc_id, l_returnflag AS unit, l_quantity * 0.95::DOUBLE AS value_min, l_quantity * 1.05::DOUBLE AS value_max
-  FROM lineitem WHERE l_linenumber > 1 GROUP BY l_suppkey, l_partkey, l_orderkey, l_returnflag, l_quantity),
+  FROM lineitem GROUP BY l_suppkey, l_partkey, l_orderkey, l_returnflag, l_quantity),
 pairs AS (
   SELECT a.source, a.parameter, least(a.fact_id, b.fact_id) AS fact_a, greatest(a.fact_id, b.fact_id) AS fact_b FROM measured a JOIN measured b
   ON a.source = b.source AND a.parameter = b.parameter AND a.unit = b.unit AND a.doc_id <> b.doc_id AND a.value_max < b.value_min
@@ -143,7 +159,7 @@ pairs AS (
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = st.table(spark, sf_dir, "lineitem").where("l_linenumber > 1")
+    rows = st.table(spark, sf_dir, "lineitem")
     keys = [F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("parameter"), F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("unit"), F.col("l_quantity")]
     facts = rows.groupBy(*keys).agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact_id"))
     return facts.withColumns({"value_min": F.col("l_quantity") * 0.95, "value_max": F.col("l_quantity") * 1.05})

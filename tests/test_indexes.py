@@ -54,7 +54,7 @@ def test_ranges_below_the_bound_are_skipped(spark, tmp_path, monkeypatch):
     plain = text_index._part
     monkeypatch.setattr(text_index, "_part", lambda *a: read.append(a) or plain(*a))
     asked = spark.createDataFrame([(1, "common")], "query_id long, text string")
-    assert [r.chunk_id >= 1000 for r in text_index.search(index, asked, 5, first_ranges=20).collect()] == [True] * 5
+    assert [r.chunk_id >= 1000 for r in text_index.search(index, asked, 5, first_ranges=60).collect()] == [True] * 5
     # Once for the bounds and once for the first ranges: no other range's postings were read.
     assert len(read) == 2 and text_index.ranges_of(index, spark).count() > 60
 
