@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import chunking, text
-from factloom.operators import planning, units
+from factloom.operators import names, planning, units
 from factloom.plans import standins as st
 from factloom.plans.registry import Catalogue
 from factloom.sources import files
@@ -26,8 +26,8 @@ def _goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = F.when(p % 5 == 0, "").otherwise(F.concat(F.lit(" на "), (p % 9 + 1).cast("string"), F.lit(",5 %")))
     goals = st.table(spark, sf_dir, "part").select(p.alias("goal_id"), F.concat(verb, F.lit(" "), what, by, F.when(p % 4 == 0, "; при том же расходе").otherwise("")).alias("text"))
     kinds = F.create_map(*[F.lit(x) for e, kind, _ in _DICTIONARY for x in (e, kind)])
-    found = chunking.find_entities(goals.select(F.col("goal_id").alias("chunk_id"), "text"), _DICTIONARY)
-    return planning.parse_goals(goals, found.select(F.col("chunk_id").alias("goal_id"), "entity_id", kinds[F.col("entity_id")].alias("type"), "start_at"))
+    found = names.find_names(goals, spark.createDataFrame(_DICTIONARY, "entity_id string, type string, name string"), "goal_id")
+    return planning.parse_goals(goals, found.select("goal_id", "entity_id", kinds[F.col("entity_id")].alias("type"), "start_at"))
 
 
 _GOALS = """g AS (SELECT p_partkey AS goal_id, p_partkey % 2 = 0 AS ni, CASE WHEN p_partkey % 3 = 1 OR (p_partkey % 3 = 2 AND p_partkey % 2 = 1) THEN 'decrease' ELSE 'increase' END AS direction,

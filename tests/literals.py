@@ -1,4 +1,4 @@
-"""Queries on small tables that stand here whole, with the rows they must give written out by hand.
+"""Operators on small tables that stand here whole, with the rows they must give written out by hand.
 
 They show rules that no column of the star schema exercises: names, reviews,
 glossaries, exports and reports. The SQL of each is the list of its expected rows.
@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import chunking, names, numbers, text
+from factloom.functions import names, numbers, text
 from factloom.operators import access, analytics, filters, generation, graph, hypotheses, mutation, planning, resolution, retrieval, units, validation
+from factloom.operators import names as names_in_texts
 from factloom.plans.registry import Catalogue
 from factloom.sources import files
 
@@ -171,7 +172,7 @@ def dictionary_entities(spark: SparkSession) -> DataFrame:
     """Longer names first, short ones in their case only; ids of text."""
     dictionary = [("par:t", "parameter", "температура плавки"), ("par:x", "parameter", "температура"), ("mat:ni", "material", "Ni")]
     chunks = spark.createDataFrame([("c1", "температура плавки 1300 °C, Ni и ni"), ("c2", "   Температура плавки не дана")], "chunk_id string, text string")
-    return chunking.find_entities(chunks, dictionary).select("chunk_id", "entity_id", "surface", "start_at", "value")
+    return names_in_texts.find_names(chunks, spark.createDataFrame(dictionary, "entity_id string, type string, name string")).select("chunk_id", "entity_id", "surface", "start_at", "value")
 
 
 @gives("target string, node_key string", ("one", "n1"), ("two", "n3"))

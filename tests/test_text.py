@@ -1,3 +1,5 @@
+import random
+
 from factloom.functions import chunking, names, text
 from factloom.sources import files
 
@@ -22,24 +24,66 @@ def test_greedy_chunks_keep_budget_and_overlap():
     assert "".join(chunking.greedy_chunks(whole, 300, 0)).replace("\n\n", "") == whole
 
 
-def test_tables():
-    assert chunking.linear_table([["", "Cu+Ni", "Pd"], ["Low", "3,14-7,24", "16,0"], ["High", "", "9"]]) == "Low: Cu+Ni = 3,14-7,24; Pd = 16,0.\nHigh: Pd = 9."
-    assert chunking.linear_table([["a", None, "b"]]) == "a | b" and chunking.linear_table([]) == ""
-    assert chunking.linear_table([["", "Mass", "Mass"], ["", "Cu", "Ni"], ["Slag", "1", "2"]]) == "Slag: Mass, Cu = 1; Mass, Ni = 2."
+def lines_of(spark, rows):
+    return chunking.linear_tables(spark.createDataFrame([(1, rows)], "id long, rows array<array<string>>")).first().text
 
 
-def test_snippets_join_windows():
-    body = "a" * 2000 + " needle " + "b" * 100 + " thread " + "c" * 3000 + " needle "
-    got = chunking.snippet(body, ["needle", "thread"])
-    assert "needle" in got and "thread" in got and len(got) <= 1500 + 10
-    assert chunking.snippet(body, ["nothing"]) == body[:1500] and chunking.snippet("short", ["x"]) == "short"
+def test_tables(spark):
+    assert lines_of(spark, [["", "Cu+Ni", "Pd"], ["Low", "3,14-7,24", "16,0"], ["High", "", "9"]]) == "Low: Cu+Ni = 3,14-7,24; Pd = 16,0.\nHigh: Pd = 9."
+    assert lines_of(spark, [["a", None, "b"]]) == "a | b" and lines_of(spark, []) == ""
+    assert lines_of(spark, [["", "Mass", "Mass"], ["", "Cu", "Ni"], ["Slag", "1", "2"]]) == "Slag: Mass, Cu = 1; Mass, Ni = 2."
+    assert lines_of(spark, [["x", "y"], ["1", "2", "3"], [" ", None], ["4"], ["x", "y"]]) == "x = 1; y = 2.\nx = 4.\nx | y"
+    assert lines_of(spark, [["", "t"], ["", "5"], ["a", ""]]) == "строка: t = 5.\na"
+
+
+def snippet_of(spark, body, words, **options):
+    return chunking.snippets(spark.createDataFrame([(1, body, words)], "doc_id long, text string, words array<string>"), **options).first().snippet
 
 
-def test_entities_longest_first(spark):
-    words = [("m.ni", "metal", "никель"), ("m.slag", "material", "никелевый шлак"), ("p.ph", "parameter", "pH"), ("m.Ni", "metal", "Ni")]
-    chunks = spark.createDataFrame([(1, "Никелевый шлак и никель при pH 11,5; ni не Ni.")], "chunk_id long, text string")
-    got = [(r.entity_id, r.surface, r.value) for r in chunking.find_entities(chunks, words).collect()]
-    assert got == [("m.slag", "Никелевый шлак", None), ("m.ni", "никель", None), ("p.ph", "pH", 11.5), ("m.Ni", "Ni", None)]
+def brute_snippet(body, words, budget, margin=600):
+    """Marks every character near a first place, word by word until the budget is full."""
+    if len(body) <= budget:
+        return body
+    shown = set()
+    for w in words:
+        at = body.lower().find(w)
+        if at >= 0 and len(shown) < budget:
+            shown |= set(range(max(0, at - margin), min(len(body), at + len(w) + margin)))
+    parts, before = [], None
+    for k in sorted(shown)[:budget]:
+        if before != k - 1:
+            parts.append("")
+        parts[-1] += body[k]
+        before = k
+    return "\n[...]\n".join(parts) or body[:budget]
+
+
+def test_snippets_join_windows(spark):
+    body = "a" * 2000 + " needle " + "b" * 100 + " thread " + "c" * 3000 + " needle "
+    got = snippet_of(spark, body, ["needle", "thread"])
+    assert "needle" in got and "thread" in got and len(got) <= 1500 + 10
+    assert snippet_of(spark, body, ["nothing"]) == body[:1500] and snippet_of(spark, "short", ["x"]) == "short"
+    assert snippet_of(spark, None, ["x"]) == "" and snippet_of(spark, body, []) == body[:1500]
+
+
+def test_snippets_against_marked_characters(spark):
+    rng = random.Random(4)
+    marks = ["alpha", "beta", "gamma", "delta", "eps"]
+    rows = []
+    for k in range(60):
+        text = "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 6000)))
+        for m in marks:
+            at = rng.randint(0, len(text))
+            text = text[:at] + (m if rng.random() < 0.8 else "") + text[at:]
+        rows.append((k, text, rng.sample(marks, rng.randint(0, 5))))
+    got = {r.doc_id: r.snippet for r in chunking.snippets(spark.createDataFrame(rows, "doc_id long, text string, words array<string>")).collect()}
+    assert got == {k: brute_snippet(t, w, 1500) for k, t, w in rows}
+
+
+def test_chunks_begin_with_whole_sentences():
+    assert chunking.carried_over("One. Two is here. Three.", 3) == "Three."
+    assert chunking.carried_over("One. Two.", 100) == "One. Two." and chunking.carried_over("One.", 0) == ""
+    assert chunking.carried_over("x" * 50, 5) == "x" * 15
 
 
 def test_names(spark):
