@@ -1,19 +1,62 @@
 import random
+import re
 
 from factloom.llm import substring_dedup as sd
 
 PASSAGE = "A first sentence with some more words in it. The second sentence goes on and on for a while. A third one ends the passage that many documents share."
 
 
+SPACE = re.compile("[ \\t\\n\\x0b\\x0c\\r]+")
+
+
+def plain(text):
+    return SPACE.sub(" ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)).strip(" ")
+
+
+def lines_and_paragraphs(text):
+    """(start, end, normalised) of every line, and of every block of several lines, in code points; nothing of the operator is used."""
+    out, at, block = [], 0, []
+    for line in [*text.split("\n"), ""]:
+        if plain(line):
+            bare = line.strip(" \t\n\x0b\x0c\r")
+            start = at + line.index(bare)
+            out.append((start, start + len(bare), plain(line)))
+            block.append((start, start + len(bare)))
+        else:
+            if len(block) > 1:
+                a, b = block[0][0], block[-1][1]
+                out.append((a, b, plain(text[a:b])))
+            block = []
+        at += len(line) + 1
+    return out
+
+
+def brute_lines(rows):
+    """The characters (not white space) that go, by document, of lines and paragraphs alone."""
+    first, out = {}, {}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0]))
+    for doc_id, text in ordered:
+        for *_, unit in lines_and_paragraphs(text or ""):
+            first.setdefault(unit, doc_id)
+    for doc_id, text in ordered:
+        own, gone = set(), set()
+        for a, b, unit in sorted(lines_and_paragraphs(text or ""), key=lambda x: (x[0], x[1])):
+            if first[unit] != doc_id or unit in own:
+                gone |= {k for k in range(a, b) if not text[k].isspace()}
+            own.add(unit)
+        out[doc_id] = gone
+    return out
+
+
 def brute(rows):
     """Spans to go by document, from all units in the order of ids and offsets; a null id is the last."""
     seen, out = {}, {}
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         own, spans = set(), set()
         starts, ends = sd.word_bounds(text or "")
-        for a, b, d in sd.units(text or ""):
+        for a, b, d, whole in sd.units(text or ""):
             if d in own or seen.get(d, doc_id) != doc_id:
-                spans.add((a, b, int(starts[a]), int(ends[b - 1])))
+                spans.add((a, b, int(starts[a]), int(ends[b - 1]), whole))
             own.add(d)
         for d in own:
             seen.setdefault(d, doc_id)
@@ -21,26 +64,62 @@ def brute(rows):
     return {k: v for k, v in out.items() if v}
 
 
+def gone_characters(df, texts):
+    out = {}
+    for r in df.collect():
+        spans = [tuple(map(int, x.split(":"))) for x in r.removed_spans.split(",") if x]
+        out[r.doc_id] = {k for a, b in spans for k in range(a, b) if not texts[r.doc_id][k].isspace()}
+    return out
+
+
 def words(rng, n):
-    return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    return ["".join(rng.choices("abcdefghij", k=9)) for _ in range(n)]
 
 
 def test_units():
-    text = "short\n" + PASSAGE + "\n" + PASSAGE.upper() + "  "
+    text = "short\n" + PASSAGE + "\n\n" + PASSAGE.upper() + "  \nend"
     found = sd.units(text)
     n = len(PASSAGE.split())
-    assert (1, 1 + n) in {x[:2] for x in found} and (1 + n, 1 + 2 * n) in {x[:2] for x in found}
-    assert len({d for a, b, d in found if b - a == n}) == 1
-    pieces = [x for x in found if x[1] - x[0] != n]
-    assert all(sd.PIECE_MIN <= b - a <= sd.PIECE_MAX for a, b, _ in pieces)
-    assert all(x[1] == y[0] for x, y in zip(pieces, pieces[1:], strict=False))
-    assert sd.units("") == [] and sd.units("two words") == [] and len(sd.units("x" * 100_000 + " a b c")) == 1
+    whole = {x[:2] for x in found if x[3]}
+    assert whole == {(0, 1), (1, 1 + n), (0, 1 + n), (1 + n, 1 + 2 * n), (1 + 2 * n, 2 + 2 * n), (1 + n, 2 + 2 * n)}
+    assert len({d for a, b, d, _ in found if b - a == n}) == 1
+    pieces = [x for x in found if not x[3]]
+    assert all(sd.PIECE_MIN <= b - a <= sd.PIECE_MAX for a, b, *_ in pieces)
+    assert all(x[1] <= y[0] for x, y in zip(pieces, pieces[1:], strict=False))
+    assert sd.units("") == [] and [x[:2] for x in sd.units("two words")] == [(0, 2)] and len(sd.units("x" * 100_000 + " a b c")) == 1
+    assert all(x[3] for x in sd.units(text, run_words=0))
 
 
 def test_runs():
     n = sd.RUN_WORDS
-    assert sd.runs([(0, n - 1, 0, 9)]) == []
-    assert sd.runs([(5, n, 7, 9), (0, 5, 0, 6), (n + 1, 2 * n, 20, 40)]) == [(0, 9, 2)]
+    assert sd.runs([(0, n - 1, 0, 9, False)]) == [] and sd.runs([(0, 1, 0, 9, True)]) == [(0, 9, 1)]
+    assert sd.runs([(5, n, 7, 9, False), (0, 5, 0, 6, False), (n + 1, 2 * n, 20, 40, False)]) == [(0, 9, 2)]
+    assert sd.runs([(0, 4, 0, 9, False), (4, 8, 10, 19, True), (8, 9, 20, 21, False)]) == [(10, 19, 1)]
+
+
+def test_every_later_line_and_paragraph_goes(spark):
+    rng = random.Random(11)
+    known = [" ".join(words(rng, n)) for n in (1, 1, 2, 3, 5, 8, 13, 13, 21, 40)]
+    rows = []
+    for k in range(80):
+        lines = [rng.choice([rng.choice(known), rng.choice(known).upper() + " \r", " ".join(words(rng, rng.randint(1, 30))), "", " \t"]) for _ in range(rng.randint(0, 12))]
+        rows.append((k, "\n".join(lines)))
+    rows += [(100, "\n".join(known[:4]) + "\n\n" + "alone"), (101, "alone\n \n" + known[0] + " " + known[1] + "\n" + known[2] + " " + known[3]), (102, None), (None, "alone")]
+    texts = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_lines(rows)
+    assert gone_characters(sd.removals(df, run_words=0), texts) == want
+    # Pieces may add to what goes, and never leave a repeated line.
+    more = gone_characters(sd.removals(df), texts)
+    assert all(want[k] <= more[k] for k in want)
+
+
+def test_a_shared_line_of_thirteen_words_goes_from_all_but_the_first(spark):
+    rng = random.Random(12)
+    line = " ".join(words(rng, 13))
+    rows = [(k, " ".join(words(rng, 30)) + "\n" + line + "\n" + " ".join(words(rng, 30))) for k in range(5)]
+    got = {r.doc_id: (r.n_removed, r.removed_chars) for r in sd.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (0, 0)} | {k: (1, len(line)) for k in range(1, 5)}
 
 
 def test_removals_against_brute_force(spark, odd, empty):
@@ -85,10 +164,10 @@ def test_passages_however_they_are_broken():
     assert sum(x > 0.5 for x in found) >= 0.98 * len(found) and sum(found) > 0.75 * len(found)
 
 
-def test_short_repeats_stay():
+def test_short_repeats_within_lines_stay():
     rng = random.Random(3)
     phrase = "this short phrase stands in every one of the documents"
-    rows = [(k, " ".join(words(rng, 40)) + "\n" + phrase + "\n" + " ".join(words(rng, 40))) for k in range(50)]
+    rows = [(k, " ".join(words(rng, 40)) + " " + phrase + " " + " ".join(words(rng, 40))) for k in range(50)]
     assert brute(rows) == {}
     assert brute([(1, "word " * 400)])[1].endswith(str(len("word " * 400) - 1))
 
