@@ -10,10 +10,11 @@ sharing the excess again and again.
 A source of size s and target t repeats each document floor(t / s) times. The
 rest, t - s * floor(t / s) words, comes from one more repetition of some
 documents: in the order of a seeded digest of their ids, those before the first
-that does not fit, and the one of the others whose size is nearest to what is
-then still missing, which few or very long documents may leave large. The order
-is cut into 4096 ranges of the digest, so that running sums within a
-source, however large, run over many tasks.
+that does not fit, then FILLS times the largest of the others that still fits
+what is missing, and last the one whose size brings the sum nearer still. The
+order is cut into 4096 ranges of the digest, so that running sums within a
+source, however large, run over many tasks; a filling document is found by one
+aggregate over the others.
 
 Defined results: a null text has size 0; an empty document is repeated like the
 others of its source, at most `epochs` times; a null source is a source of its own,
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import WORD, broadcast_if_small, checkpoint, column_name
 
 WEIGHTS, EPOCHS, SEED = (1, 2, 3), 3, "mix-1"
+#: Documents that fill up what the first ones of a source in digest order leave open.
+FILLS = 6
 
 
 def _key(id_col: str, seed: str) -> Column:
@@ -63,7 +66,7 @@ def levels(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """The narrow rows of docs (doc_id, source_key, key, size) and what is taken of each source.
 
-    The second table has one row per source: source_key, source_size, target, whole, last_key, best_key.
+    The second table has one row per source: source_key, source_size, target, whole, last_key and more_keys, of FILLS + 1 documents at most.
     """
     rows = checkpoint(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _source_key(source_col).alias("source_key"),
@@ -85,14 +88,22 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     reached = checkpoint(running.select("source_key", "key", "size", (F.col("offset") + F.col("within")).alias("reached")).join(small, "source_key"))
     fits = (F.col("reached") <= F.col("need")) & (F.col("need") > 0)
     filled = reached.groupBy("source_key").agg(F.max(F.when(fits, F.col("key"))).alias("last_key"), (F.first("need") - F.coalesce(F.max(F.when(fits, F.col("reached"))), F.lit(0))).alias("missing"))
-    rest = reached.where(~fits).join(broadcast_if_small(checkpoint(filled)), "source_key")
-    best = rest.where(F.col("size") < 2 * F.col("missing")).groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")), "key"))["key"].alias("best_key"))
-    plan = shares.join(filled, "source_key", "left").join(best, "source_key", "left").select("source_key", "source_size", "target", "whole", "last_key", "best_key")
+    filled = checkpoint(filled.withColumn("more_keys", F.array().cast("array<string>")))
+    others = reached.where(~fits).where("size > 0").select("source_key", "key", "size")
+    for fill in range(FILLS + 1):
+        open_ = others.join(broadcast_if_small(filled), "source_key").where(~F.array_contains("more_keys", F.col("key")))
+        # The largest that fits; at last the nearest, if it is nearer than none.
+        fitting = F.col("size") <= F.col("missing") if fill < FILLS else F.col("size") < 2 * F.col("missing")
+        distance = F.abs(F.col("missing") - F.col("size"))
+        picked = open_.where(fitting).groupBy("source_key").agg(F.min(F.struct(distance.alias("d"), "key", "size")).alias("p"))
+        more = F.when(F.col("p").isNull(), F.col("more_keys")).otherwise(F.array_append("more_keys", F.col("p.key")))
+        filled = checkpoint(filled.join(picked, "source_key", "left").select("source_key", "last_key", (F.col("missing") - F.coalesce("p.size", F.lit(0))).alias("missing"), more.alias("more_keys")))
+    plan = shares.join(filled, "source_key", "left").select("source_key", "source_size", "target", "whole", "last_key", "more_keys")
     return rows, checkpoint(plan)
 
 
 def _copies() -> Column:
-    more = F.coalesce(F.col("key") <= F.col("last_key"), F.lit(False)) | F.coalesce(F.col("key") == F.col("best_key"), F.lit(False))
+    more = F.coalesce(F.col("key") <= F.col("last_key"), F.lit(False)) | F.coalesce(F.array_contains("more_keys", F.col("key")), F.lit(False))
     return (F.col("whole") + more.cast("long")).alias("copies")
 
 
@@ -112,7 +123,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     return repeated.select(taken, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(copy)).select(f"{taken}.*")
 
 
-SQL = r"""
+_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS source_key,
          md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') AS key,
@@ -136,16 +147,22 @@ reached AS (
   SELECT u.source_key, u.key, u.size, s.target - s.whole * s.source_size AS need,
          sum(u.size) OVER (PARTITION BY u.source_key ORDER BY u.key ROWS UNBOUNDED PRECEDING) AS reached
   FROM units u JOIN shares s USING (source_key)),
-filled AS (
+filled_0 AS (
   SELECT source_key, max(key) FILTER (WHERE reached <= need AND need > 0) AS last_key,
-         any_value(need) - coalesce(max(reached) FILTER (WHERE reached <= need AND need > 0), 0) AS missing
+         any_value(need) - coalesce(max(reached) FILTER (WHERE reached <= need AND need > 0), 0) AS missing, CAST([] AS VARCHAR[]) AS more_keys
   FROM reached GROUP BY source_key),
-best AS (
-  SELECT source_key, key AS best_key FROM (
-    SELECT r.source_key, r.key, row_number() OVER (PARTITION BY r.source_key ORDER BY abs(r.size - f.missing), r.key) AS n
-    FROM reached r JOIN filled f USING (source_key) WHERE r.reached > r.need AND r.size < 2 * f.missing) WHERE n = 1)
+others AS (SELECT source_key, key, size FROM reached WHERE NOT (reached <= need AND need > 0) AND size > 0),
+{fills}
 SELECT r.doc_id, CAST(r.size AS BIGINT) AS size, s.source_size, s.target,
-       CAST(r.size * (s.whole + CAST(coalesce(r.key <= f.last_key, false) OR coalesce(r.key = b.best_key, false) AS BIGINT)) AS BIGINT) AS taken,
-       CAST(s.whole + CAST(coalesce(r.key <= f.last_key, false) OR coalesce(r.key = b.best_key, false) AS BIGINT) AS BIGINT) AS copies
-FROM rows r JOIN shares s USING (source_key) LEFT JOIN filled f USING (source_key) LEFT JOIN best b USING (source_key)
+       CAST(r.size * (s.whole + CAST(coalesce(r.key <= f.last_key, false) OR coalesce(list_contains(f.more_keys, r.key), false) AS BIGINT)) AS BIGINT) AS taken,
+       CAST(s.whole + CAST(coalesce(r.key <= f.last_key, false) OR coalesce(list_contains(f.more_keys, r.key), false) AS BIGINT) AS BIGINT) AS copies
+FROM rows r JOIN shares s USING (source_key) LEFT JOIN filled_{last} f USING (source_key)
 """
+_FILL = """picked_{n} AS (
+  SELECT o.source_key, o.key, o.size FROM others o JOIN filled_{before} f USING (source_key) WHERE {fits} AND NOT list_contains(more_keys, o.key)
+  QUALIFY row_number() OVER (PARTITION BY o.source_key ORDER BY abs(f.missing - o.size), o.key) = 1),
+filled_{n} AS (
+  SELECT f.source_key, last_key, missing - coalesce(p.size, 0) AS missing, CASE WHEN p.key IS NULL THEN more_keys ELSE list_append(more_keys, p.key) END AS more_keys
+  FROM filled_{before} f LEFT JOIN picked_{n} p USING (source_key))"""
+_FITS = ["o.size <= f.missing"] * FILLS + ["o.size < 2 * f.missing"]
+SQL = _SQL.replace("{fills}", ",\n".join(_FILL.format(n=k + 1, before=k, fits=x) for k, x in enumerate(_FITS))).replace("{last}", str(FILLS + 1))
