@@ -38,25 +38,38 @@ RULES = {
     "access": re.compile(r"AKIA[A-Z0-9]{16,}"),
     "hex": re.compile(r"[0-9a-f]{24,}"),
     "pem": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{8,}+))"),
     "service": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}"),
     "url": re.compile(r"(?<![A-Za-z0-9+.-])[0-9+.-]*+(?P<from>[A-Za-z][A-Za-z0-9+.-]*+)://[^\s:/@]++:[^\s:/@]++@"),
 }
-ASSIGN_MIN = 6
+ASSIGN_MIN, JWT_MIN = 6, 8
 #: A text without one of these cannot match the rule.
 _NEEDS = {"access": "AKIA", "pem": "-----BEGIN", "jwt": "eyJ", "url": "://"}
 #: Made from the rules themselves: findings under any other rules do not count.
-RULES_VERSION = hashlib.sha256(repr([(k, RULES[k].pattern, RULES[k].flags) for k in KINDS] + [ASSIGN_MIN]).encode()).hexdigest()[:16]
+RULES_VERSION = hashlib.sha256(repr([(k, RULES[k].pattern, RULES[k].flags) for k in KINDS] + [ASSIGN_MIN, JWT_MIN]).encode()).hexdigest()[:16]
 
 _FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each JSON web token: a run from its first eyJ on, and two more runs. Each run is read from its start, once for each of its three places."""
+    free = 0
+    for m in RULES["jwt"].finditer(text):
+        at = m[1].find("eyJ")
+        if at >= 0 and len(m[1]) - at - 3 >= JWT_MIN and m.start(1) + at >= free:
+            free = m.end(3)
+            yield m.start(1) + at, free
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of every finding, sorted; offsets are code points."""
     found = []
     for place, kind in enumerate(KINDS):
         if kind in _NEEDS and _NEEDS[kind] not in text:
             continue
+        if kind == "jwt":
+            found += [(start, place, end) for start, end in _tokens(text)]
+            continue
         for m in RULES[kind].finditer(text):
             if kind != "assign" or len(m.group(2)) >= ASSIGN_MIN:
                 found.append((m.start("from") if kind == "url" else m.start(), place, m.end()))

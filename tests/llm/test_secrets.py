@@ -73,3 +73,19 @@ def test_a_blob_of_very_many_paths(spark, hot):
     rows = [(k, "token = abcdefgh" if k % 3 else None) for k in range(90)]
     got = secrets.scan_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted((r.doc_id, r.n_assign) for r in got) == [(k, int(k % 3 > 0)) for k in range(90)]
+
+
+def test_web_tokens_in_linear_time():
+    import random
+    import re
+    import time
+
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "abcdefgh", "eyJhbGciOi", ".", ".", "x", " ", "-", "_"]) for _ in range(rng.randint(1, 25)))
+        assert [*secrets._tokens(text)] == [m.span() for m in plain.finditer(text)], text
+    for text in ("eyJ" * 350_000, "eyJ" * 350_000 + ".", "eyJabcdefgh." * 90_000, "a.eyJ" * 200_000):
+        began = time.process_time()
+        secrets.spans_of(text)
+        assert time.process_time() - began < 3
