@@ -32,8 +32,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and masked completions of neighbouring conversations, a row for each turn."""
-    return chat.preference_rows(chat.neighbours_as_pairs(table(spark, sf_dir, "conversations")))
+    """Prompt and masked completions of neighbouring conversations, a row for each pair; of pairs too large for that, a row for each turn."""
+    return chat.preferences(chat.neighbours_as_pairs(table(spark, sf_dir, "conversations")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,19 @@ def test_a_very_long_pair(spark, hot):
     got = chat.preference_rows(turns)
     assert {(r.part, r["count"]) for r in got.groupBy("part").count().collect()} == {("prompt", 30), ("chosen", 70), ("rejected", 70)}
     assert sorted((r.part, r.turn) for r in got.collect() if r.loss_to)[0] == ("chosen", 31)
+
+
+def test_pairs_and_turns_of_larger_ones(spark):
+    turns = chat.neighbours_as_pairs(spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").repartition(4))
+    every = chat.preferences(turns).collect()
+    assert all(r.part is None for r in every) and len({r.pair_id for r in every}) == len(every)
+    first = next(r for r in every if r.pair_id == 0)
+    a, b = map(int, first.chosen_loss.split(":"))
+    assert first.chosen[a:b] == "hello<|end|>\n" and first.prompt == "<|user|>\nhi<|end|>\n"
+    # Pair 0 has 48 characters of roles and texts: over the limit its turns stay rows, those of smaller pairs do not.
+    some = chat.preferences(turns, pair_chars=40).collect()
+    apart = [r for r in some if r.part is not None]
+    assert {r.pair_id for r in apart} == {0} and sorted((r.part, r.turn) for r in apart) == [("chosen", 1), ("chosen", 2), ("prompt", 0), ("rejected", 1)]
+    assert {r.pair_id for r in some if r.part is None} == {r.pair_id for r in every} - {0}
+    none = chat.preferences(turns, pair_chars=-1).collect()
+    assert all(r.prompt is None for r in none) and len(none) == chat.preference_rows(turns).count()
