@@ -10,11 +10,13 @@ vocabulary is the VOCABULARY most frequent words; a word outside it is spelled
 by byte frequencies.
 
 What is gathered from the corpus covers all of it: the counts of all words of
-all documents, and ROUNDS rounds in which every partition trains the network in
-numpy on its documents, with the partitions' networks averaged by their numbers
-of trained tokens after each round, in a tree of bounded fan-in. Each token of each document is the masked
-one in exactly one of the rounds. The averages are taken on executors; the
-driver gets one network.
+all documents, and ROUNDS rounds in which every shard of the documents trains
+the network in numpy, with the shards' networks averaged by their numbers of
+trained tokens after each round, in a tree of bounded fan-in. Shards are dealt,
+and put in order, by a digest of id and text, and there is one for every
+SHARD_CHARS characters: the same rows give the same network however they are
+partitioned. Each token of each document is the masked one in exactly one of
+the rounds. The averages are taken on executors; the driver gets one network.
 
 Defined results: a null or empty text has no tokens, log_prob 0 and a null
 mean; texts are taken whole; equal texts have equal scores; an empty table
@@ -30,7 +32,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ COUNTER_WORDS = 200_000
 #: Networks that are averaged in one task. The averages are averaged again, until so few are left.
 AVERAGE_FAN = 64
 BLOCK_TOKENS = 200_000
+#: Characters of text of one shard, on average: what one task trains a copy of the network on.
+SHARD_CHARS = 8_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -235,13 +238,27 @@ def _most_frequent(counts: DataFrame, most: int) -> list:
     return sorted(top, key=lambda r: (-r["n"], bytes(r["word"])))
 
 
-def _train_round(rows: DataFrame, vocabulary: Vocabulary, net: WindowNet, number: int) -> WindowNet:
-    """Every partition trains its copy of net on its rows; the copies are averaged."""
+def deal(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", shard_chars: int | None = None) -> tuple[DataFrame, int]:
+    """text and shard of each row, in the order of a digest within a shard, as a checkpoint; and the number of shards.
+
+    The digest is that of id and text, and there is a shard for every shard_chars characters of the whole table: where a row
+    stands in its files and partitions makes no difference.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    shards = max(1, (docs.agg(F.sum(F.length(text))).first()[0] or 0) // (shard_chars or SHARD_CHARS))
+    known = [F.coalesce(F.col(id_col).cast("string"), F.lit(""))] if id_col else []
+    dealt = docs.select(text.alias("text"), F.xxhash64(*known, text).alias("digest")).withColumn("shard", F.pmod("digest", F.lit(shards)))
+    return checkpoint(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "digest", "text").select("text", "shard")), shards
+
+
+def _train_round(rows: DataFrame, shards: int, vocabulary: Vocabulary, net: WindowNet, number: int) -> WindowNet:
+    """Every shard of rows (text, shard) trains its copy of net; the copies are averaged."""
     sent = rows.sparkSession.sparkContext.broadcast((vocabulary, net.flat()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, flat = sent.value
-        own, seen = WindowNet.unflat(flat), 0
+        shard = own = None
+        seen, held = 0, 0
         block: list[list[bytes]] = []
 
         def learn() -> int:
@@ -254,20 +271,24 @@ def _train_round(rows: DataFrame, vocabulary: Vocabulary, net: WindowNet, number
             block.clear()
             return len(at)
 
-        held = 0
+        def ended() -> Iterator[pd.DataFrame]:
+            n = seen + (learn() if block else 0)
+            if n:
+                yield pd.DataFrame({"node": [shard], "seen": [n], "net": [own.flat().astype(np.float64)]})
+
         for pdf in batches:
-            for text in pdf["text"].fillna(""):
+            for of, text in zip(pdf["shard"].tolist(), pdf["text"], strict=True):
+                if of != shard:
+                    yield from ended()
+                    shard, own, seen, held = of, WindowNet.unflat(flat), 0, 0
                 block.append(tokens(text))
                 held += len(block[-1])
                 if held > BLOCK_TOKENS:
                     seen += learn()
                     held = 0
-        if block:
-            seen += learn()
-        if seen:
-            yield pd.DataFrame({"node": [TaskContext.get().partitionId()], "seen": [seen], "net": [own.flat().astype(np.float64)]})
+        yield from ended()
 
-    nodes, nets = rows.rdd.getNumPartitions(), rows.mapInPandas(run, _NODE)
+    nodes, nets = shards, rows.mapInPandas(run, _NODE)
     while nodes > AVERAGE_FAN:
         nets, nodes = nets.groupBy(F.floor(F.col("node") / AVERAGE_FAN).alias("parent")).applyInPandas(_average, _NODE), -(-nodes // AVERAGE_FAN)
     trained = nets.toPandas()  # at most AVERAGE_FAN rows
@@ -313,13 +334,14 @@ def score_texts(texts: list[str], vocabulary: Vocabulary, net: WindowNet) -> lis
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, WindowNet]:
+def train(docs: DataFrame, text_col: str = "text", id_col: str | None = "doc_id") -> tuple[Vocabulary, WindowNet]:
+    """The vocabulary and the network of docs, the same however docs is partitioned."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    vocabulary = gather_vocabulary(rows)
+    rows, shards = deal(docs, id_col, text_col)
+    vocabulary = gather_vocabulary(rows.select("text"))
     net = WindowNet.fresh(vocabulary.prior)
     for number in range(ROUNDS):
-        net = _train_round(rows, vocabulary, net, number)
+        net = _train_round(rows, shards, vocabulary, net, number)
     return vocabulary, net
 
 
@@ -341,4 +363,4 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: WindowNet, id_col: str =
 
 def score_by_own_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Trains on docs and scores them."""
-    return score(docs, *train(docs, text_col), id_col, text_col)
+    return score(docs, *train(docs, text_col, id_col), id_col, text_col)

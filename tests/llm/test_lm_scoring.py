@@ -80,6 +80,7 @@ def test_the_vocabulary_is_full_whatever_the_counts(spark):
 
 def test_averaging_in_a_tree(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(40), "doc_id long, text string").repartition(9)
+    monkeypatch.setattr(lm, "SHARD_CHARS", 1_000)
     _, flat = lm.train(docs)
     monkeypatch.setattr(lm, "AVERAGE_FAN", 2)
     _, deep = lm.train(docs)
@@ -89,7 +90,7 @@ def test_averaging_in_a_tree(spark, monkeypatch):
 def test_real_texts_score_above_texts_mixed_of_two_languages(spark):
     """The same words in both: the prose is invented word by word, so only its language ties neighbours."""
     rows = [(r.text, r.lang, r.doc_id % 10 == 0) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()]
-    vocabulary, net = lm.train(spark.createDataFrame([(t,) for t, _, held in rows if not held], "text string").repartition(2))
+    vocabulary, net = lm.train(spark.createDataFrame([(t,) for t, _, held in rows if not held], "text string").repartition(2), id_col=None)
     by = {}
     for text, lang, held in rows:
         if held and len(text.split()) >= 60:
@@ -106,3 +107,13 @@ def test_odd_rows(odd, empty):
     assert got.count() == odd.count() and rows[3].n_tokens == 0 and rows[3].log_prob == 0 and rows[3].mean_log_prob is None
     assert rows[10].n_tokens == 40_000 and math.isfinite(rows[11].log_prob)
     assert lm.score_by_own_corpus(empty).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions(spark, odd, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_CHARS", 3_000)
+    docs = spark.createDataFrame(corpus(60), "doc_id long, text string")
+    assert lm.deal(docs)[1] > 1
+    first, again = (sorted((r.doc_id, r.log_prob) for r in lm.score_by_own_corpus(docs.repartition(n, "text")).collect()) for n in (1, 9))
+    assert first == again
+    one, other = (sorted(map(str, lm.score_by_own_corpus(odd.repartition(n)).collect())) for n in (1, 5))
+    assert one == other
