@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.resolution import remap_edges, union_aliases
@@ -22,9 +22,15 @@ def replace_by_provenance(current: DataFrame, incoming: DataFrame, documents: Da
     return current.join(changed, provenance, "left_anti").select(*current.columns).unionByName(incoming.join(changed, provenance, "left_semi").select(*current.columns))
 
 
+def _one_each(entities: DataFrame) -> DataFrame:
+    """Entities with the least label and name of their rows and all their aliases."""
+    every = F.array_sort(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))
+    return entities.groupBy("entity_id").agg(F.min("label").alias("label"), F.min("name").alias("name"), F.array_distinct(every).alias("aliases"))
+
+
 def upsert_entities(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Entities after a merge: present names win over incoming ones, aliases are united. Both: entity_id, label, name, aliases."""
-    a, b = current.alias("a"), incoming.alias("b")
+    """Entities after a merge: present names win over incoming ones, aliases are united. Both: entity_id, label, name, aliases. An entity that comes in several rows is one."""
+    a, b = current.alias("a"), _one_each(incoming).alias("b")
     joined = a.join(b, "entity_id", "full")
     return joined.select("entity_id", F.coalesce("a.label", "b.label").alias("label"), F.coalesce("a.name", "b.name").alias("name"), union_aliases(F.col("a.aliases"), F.col("b.aliases")).alias("aliases"))
 
@@ -47,8 +53,8 @@ def fold_edits(base: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def supersede(claims: DataFrame, pairs: DataFrame) -> DataFrame:
-    """claims with superseded_by from pairs (claim_id, superseded_by)."""
-    return claims.drop("superseded_by").join(pairs, "claim_id", "left")
+    """claims with superseded_by from pairs (claim_id, superseded_by); of several claims that supersede one the greatest id counts."""
+    return claims.drop("superseded_by").join(pairs.groupBy("claim_id").agg(F.max("superseded_by").alias("superseded_by")), "claim_id", "left")
 
 
 def assert_unique(df: DataFrame, *key: str) -> None:
@@ -58,71 +64,50 @@ def assert_unique(df: DataFrame, *key: str) -> None:
         raise ValueError(f"{', '.join(key)} is not unique: {twice[0].asDict()}")
 
 
-class DocumentStore:
-    """Tables of what documents brought, by buckets of source_doc_id, with a manifest of the folders that count.
+@dataclass(frozen=True)
+class Written:
+    """Tables after a write, the documents that it changed (doc_id, content_hash), and table, reason and n_rows of the rows it did not take."""
 
-    A write makes new folders for the buckets it touches, and then one new
-    manifest, a single file, which names them for all tables at once. Until that
-    file is there readers see the tables as they were, so a write that is lost
-    half-way leaves nothing behind that is read; of two writes at once the later
-    one fails. A bucket without rows has no folder.
-    """
+    tables: dict[str, DataFrame]
+    changed: DataFrame
+    left_out: DataFrame
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root, buckets
-
-    def manifest(self) -> tuple[int, dict[str, dict[int, str]]]:
-        """The number of the last write, and the folder of each table's buckets: as many entries as tables and buckets."""
-        try:
-            every = self.spark.read.schema("version long, name string, bucket int, path string").json(f"{self.root}/_manifest", recursiveFileLookup=True)
-            last = every.join(F.broadcast(every.agg(F.max("version").alias("version"))), "version").collect()  # of one row
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
-                raise
-            last = []
-        found: dict[str, dict[int, str]] = {}
-        for r in last:
-            if r["name"] is not None:
-                found.setdefault(r["name"], {})[r["bucket"]] = r["path"]
-        return (last[0]["version"] if last else 0), found
-
-    def read(self, name: str, schema: str, only: set[int] | None = None) -> DataFrame:
-        """A table, or only some of its buckets."""
-        folders = [path for bucket, path in self.manifest()[1].get(name, {}).items() if only is None or bucket in only]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-
-    def _bucket(self, column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
-
-    def write(self, documents: DataFrame, tables: dict[str, DataFrame]) -> None:
-        """Replaces everything that documents (doc_id, content_hash) brought by the rows of tables (with source_doc_id).
-
-        Documents whose content is stored already are skipped with their rows. A document without rows loses those it had.
-        An id that stands twice is refused, as one of its contents would be lost.
-        """
-        assert_unique(documents, "doc_id")
-        version, folders = self.manifest()
-        known = "source_doc_id long, content_hash string"
-        stored = self.read("documents", known).withColumnRenamed("source_doc_id", "doc_id")
-        changed = changed_documents(documents.select("doc_id", "content_hash"), stored)
-        touched = {r["b"] for r in changed.select(self._bucket("doc_id").alias("b")).distinct().collect()}  # at most as many as buckets
-        if not touched:
-            return
-        mark = uuid.uuid4().hex
-        for name, incoming in {**tables, "documents": changed.withColumnRenamed("doc_id", "source_doc_id")}.items():
-            schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in incoming.schema.fields)
-            new = replace_by_provenance(self.read(name, schema, touched), incoming, changed).withColumn("bucket", self._bucket("source_doc_id"))
-            path = f"{self.root}/{name}/{version + 1:010d}-{mark}"
-            new.repartition("bucket").write.partitionBy("bucket").parquet(path)
-            filled = {r["bucket"] for r in new.select("bucket").distinct().collect()}
-            folders[name] = {k: v for k, v in folders.get(name, {}).items() if k not in touched} | {k: f"{path}/bucket={k}" for k in filled}
-        entries = [(version + 1, name, bucket, path) for name, held in folders.items() for bucket, path in held.items()] or [(version + 1, None, None, None)]
-        self.spark.createDataFrame(entries, "version long, name string, bucket int, path string").coalesce(1).write.mode("errorifexists").json(f"{self.root}/_manifest/{version + 1:010d}")
+
+def write_documents(stored: dict[str, DataFrame], documents: DataFrame, tables: dict[str, DataFrame], provenance: str = "source_doc_id") -> Written:
+    """Replaces everything that documents (doc_id, content_hash) brought, in every stored table, by the rows of tables.
+
+    stored and tables: by name, each with the provenance column, whose type is that of doc_id; stored["documents"] holds
+    doc_id and content_hash of what was written before, and may be missing. Documents whose content is stored already are
+    skipped with their rows (reason `unchanged`); rows of documents that are not written are not taken either (`unknown`).
+    A changed document loses what it had in all stored tables, also in those that it brings no rows for. An id that stands
+    twice is refused, as one of its contents would be lost.
+    """
+    assert_unique(documents, "doc_id")
+    known = stored.get("documents", documents.select("doc_id", "content_hash").limit(0))
+    changed = changed_documents(documents.select("doc_id", "content_hash"), known)
+    out = {"documents": known.join(changed.select("doc_id"), "doc_id", "left_anti").select("doc_id", "content_hash").unionByName(changed)}
+    left_out = []
+    for name in sorted({*stored, *tables} - {"documents"}):
+        held, incoming = stored.get(name), tables.get(name)
+        held, incoming = (incoming.limit(0) if held is None else held), (held.limit(0) if incoming is None else incoming)
+        out[name] = replace_by_provenance(held, incoming, changed, provenance)
+        others = incoming.join(changed.select(F.col("doc_id").alias(provenance)), provenance, "left_anti")
+        named = others.join(documents.select(F.col("doc_id").alias(provenance), F.lit("unchanged").alias("reason")), provenance, "left")
+        left_out.append(named.groupBy(F.lit(name).alias("table"), F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n_rows")))
+    nothing = documents.sparkSession.createDataFrame([], "table string, reason string, n_rows long")
+    return Written(out, changed, reduce(DataFrame.unionByName, left_out, nothing))
+
+
+def save_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Writes each table below folder, which must be new, and reads it back: what was read from stays as it is until the caller turns to the new folder."""
+    for name, table in tables.items():
+        table.write.parquet(f"{folder}/{name}")
+    return {name: table.sparkSession.read.parquet(f"{folder}/{name}") for name, table in tables.items()}
 
 
 def load_references(current: DataFrame, reference: DataFrame) -> DataFrame:
     """Entities after loading curated ones: their aliases replace those stored, present names fill what they leave open. Both: entity_id, label, name, aliases."""
-    a, b = current.alias("a"), reference.alias("b")
+    a, b = current.alias("a"), _one_each(reference).alias("b")
     joined = a.join(b, "entity_id", "full")
     return joined.select("entity_id", F.coalesce("b.label", "a.label").alias("label"), F.coalesce("b.name", "a.name").alias("name"), F.coalesce("b.aliases", "a.aliases").alias("aliases"))
 
@@ -131,8 +116,8 @@ def edit_edges(edges: DataFrame, log: DataFrame) -> DataFrame:
     """Edges after a log of add_edge, delete_edge and merge_nodes, with deleted and edited_by.
 
     edges: src_key, dst_key, rel_type. log: seq, op, a, b, rel_type, edited_by; merge_nodes moves the edges of b to a.
-    Of the adds and deletes of one edge the last counts; a delete only marks it. Merges come after these, and what they
-    make equal, or a loop, goes.
+    Of the adds and deletes of one edge the last counts; a delete only marks it. Merges come after these, each node into
+    the last survivor of its chain, and what they make equal, or a loop, goes.
     """
     own = log.where(F.col("op").isin("add_edge", "delete_edge")).groupBy(F.col("a").alias("src_key"), F.col("b").alias("dst_key"), "rel_type")
     last = own.agg(F.max_by(F.struct("op", "edited_by"), "seq").alias("last"), F.max(F.col("op") == "add_edge").alias("added"))
@@ -144,8 +129,8 @@ def edit_edges(edges: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def retype(facts: DataFrame, changes: DataFrame, by: str) -> DataFrame:
-    """Facts after changing the kind of some (fact_id, rel_type): the old one is marked as deleted, a new one takes its place."""
-    new = facts.join(changes.select("fact_id", F.col("rel_type").alias("new_type")), "fact_id").where("rel_type != new_type AND NOT deleted")
+    """Facts after changing the kind of some (fact_id, rel_type): the old one is marked as deleted, a new one takes its place. Of several kinds for one fact the least counts."""
+    new = facts.join(changes.groupBy("fact_id").agg(F.min("rel_type").alias("new_type")), "fact_id").where("rel_type != new_type AND NOT deleted")
     made = new.withColumns({"rel_type": F.col("new_type"), "fact_id": F.concat("fact_id", F.lit("~"), "new_type"), "edited_by": F.lit(by)}).select(*facts.columns)
     gone = new.select("fact_id").withColumn("gone", F.lit(True))
     old = facts.join(gone, "fact_id", "left").withColumns({"deleted": F.col("deleted") | F.coalesce("gone", F.lit(False)), "edited_by": F.when(F.col("gone"), F.lit(by)).otherwise(F.col("edited_by"))})

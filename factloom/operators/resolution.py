@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.names import normalize_name, person_key, slug, to_cyrillic, to_latin
+from factloom.shipping import checkpoint
 
 
 def alias_index(entities: DataFrame) -> DataFrame:
@@ -84,8 +85,26 @@ def survivors(groups: DataFrame) -> DataFrame:
     return counted.where("n >= 2 AND n_ref < 2").select("group_id", "survivor_id")
 
 
+def resolve_merges(merges: DataFrame) -> DataFrame:
+    """victim_id, survivor_id of merges where a survivor may be merged away itself: the last one of each chain.
+
+    Of several survivors of one victim the least counts. Each round replaces a survivor by its own, so the length of chains
+    that are followed doubles. Nodes whose merges form a circle, or lead into one, stay as they are.
+    """
+    step = checkpoint(merges.where("victim_id != survivor_id").groupBy("victim_id").agg(F.min("survivor_id").alias("survivor_id")))
+    rounds = step.count().bit_length() + 1
+    for _ in range(rounds):
+        ahead = step.select(F.col("victim_id").alias("survivor_id"), F.col("survivor_id").alias("next_id"))
+        moved = step.join(ahead, "survivor_id", "left")
+        if moved.where("next_id IS NOT NULL").isEmpty():
+            return step
+        step = checkpoint(moved.select("victim_id", F.coalesce("next_id", "survivor_id").alias("survivor_id")))
+    return step.join(step.select(F.col("victim_id").alias("survivor_id")), "survivor_id", "left_anti").select("victim_id", "survivor_id")
+
+
 def remap_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
-    """Edges with every victim's key replaced by its survivor's; edges that become equal, or loops, go. merges: victim_id, survivor_id."""
+    """Edges with every victim's key replaced by its last survivor's; edges that become equal, or loops, go. merges: victim_id, survivor_id, chains of them too."""
+    merges = resolve_merges(merges)
     a = merges.select(F.col("victim_id").alias("src_key"), F.col("survivor_id").alias("factloom_src"))
     b = merges.select(F.col("victim_id").alias("dst_key"), F.col("survivor_id").alias("factloom_dst"))
     moved = edges.join(a, "src_key", "left").join(b, "dst_key", "left")

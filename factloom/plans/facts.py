@@ -178,14 +178,68 @@ def score_reweight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypotheses.totals(hypotheses.scores(_hypotheses(spark, sf_dir)), weights, top=20).select("hypothesis_id", "total", "rank")
 
 
-@query("""SELECT l_orderkey AS source_doc_id, l_linenumber, CAST(l_quantity AS DOUBLE) AS value, 'v1' AS version FROM lineitem WHERE l_orderkey % 7 <> 0
-UNION ALL SELECT l_orderkey, l_linenumber, l_quantity + 1, 'v2' FROM lineitem WHERE l_orderkey % 7 = 0 AND l_orderkey % 35 <> 0 AND l_linenumber = 1""")
+@query("""WITH kept AS (SELECT l_orderkey AS source_doc_id, l_linenumber, CAST(l_quantity AS DOUBLE) AS value, 'v1' AS version FROM lineitem WHERE l_orderkey % 7 <> 0)
+SELECT 'facts' AS name, * FROM kept UNION ALL SELECT 'claims', * FROM kept
+UNION ALL SELECT 'facts', l_orderkey, l_linenumber, l_quantity + 1, 'v2' FROM lineitem WHERE l_orderkey % 7 = 0 AND l_orderkey % 35 <> 0 AND l_linenumber = 1""")
 def write_document_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders written as documents, then every seventh again with its first line only, and every thirty-fifth without any; the rest comes again unchanged and is skipped."""
+    """All orders written as documents with facts and claims, then every seventh again with a first fact only, and every thirty-fifth without any; none brings claims again. The rest comes unchanged and is skipped."""
     li = st.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_doc_id"), "l_linenumber", F.col("l_quantity").cast("double").alias("value"))
     orders = st.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    store = mutation.DocumentStore(spark, fresh_folder(spark, "store"), buckets=8)
-    store.write(orders.withColumn("content_hash", F.lit("one")), {"facts": li.withColumn("version", F.lit("v1"))})
+    rows = li.withColumn("version", F.lit("v1"))
+    first = mutation.save_tables(mutation.write_documents({}, orders.withColumn("content_hash", F.lit("one")), {"facts": rows, "claims": rows}).tables, fresh_folder(spark, "store"))
     again = li.where("source_doc_id % 35 <> 0 AND l_linenumber = 1").withColumns({"value": F.col("value") + 1, "version": F.lit("v2")})
-    store.write(orders.withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "two").otherwise("one")), {"facts": again})
-    return store.read("facts", "source_doc_id long, l_linenumber int, value double, version string")
+    changed = orders.withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "two").otherwise("one"))
+    second = mutation.write_documents(first, changed, {"facts": again}).tables
+    named = [second[n].select(F.lit(n).alias("name"), "source_doc_id", "l_linenumber", "value", "version") for n in ("facts", "claims")]
+    return named[0].unionByName(named[1])
+
+
+@query("""SELECT 'facts' AS "table", 'unchanged' AS reason, count(*) AS n_rows FROM lineitem WHERE l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0
+UNION ALL SELECT 'facts', 'unknown', count(*) FROM lineitem WHERE l_orderkey % 11 = 0""")
+def write_document_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many incoming rows a write does not take: those of documents that are stored as they are, and of documents that it does not name."""
+    rows = st.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_doc_id"), "l_linenumber")
+    orders = st.table(spark, sf_dir, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("k"))
+    stored = {"documents": orders.select("doc_id", F.lit("one").alias("content_hash"))}
+    given = orders.select("doc_id", F.when(F.col("k") % 7 == 0, "two").otherwise("one").alias("content_hash"))
+    return mutation.write_documents(stored, given, {"facts": rows}).left_out
+
+
+@query("""WITH RECURSIVE log AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'add_edge' WHEN 'error' THEN 'delete_edge' WHEN 'purchase' THEN 'merge_nodes' END AS op, user_id, event_id % 7 AS other, event_type FROM events WHERE event_type IN ('click', 'error', 'purchase')),
+last AS (SELECT user_id AS src, other AS dst, arg_max(op, seq) AS op, bool_or(op = 'add_edge') AS added FROM log WHERE op <> 'merge_nodes' GROUP BY 1, 2),
+base AS (SELECT DISTINCT user_id AS src, event_id % 7 AS dst FROM events WHERE event_type = 'view'),
+kept AS (SELECT coalesce(b.src, l.src) AS src, coalesce(b.dst, l.dst) AS dst, coalesce(op = 'delete_edge', false) AS deleted, op FROM base b FULL JOIN last l ON b.src = l.src AND b.dst = l.dst WHERE b.src IS NOT NULL OR added),
+merges AS (SELECT DISTINCT user_id AS victim, user_id - 3 AS survivor FROM log WHERE op = 'merge_nodes' AND user_id % 5 <> 0 AND user_id > 3),
+roots AS (SELECT victim, survivor FROM merges UNION ALL SELECT r.victim, m.survivor FROM roots r JOIN merges m ON r.survivor = m.victim),
+ends AS (SELECT victim, min(survivor) AS survivor FROM roots GROUP BY victim)
+SELECT DISTINCT 'n' || coalesce(e.survivor, src) AS src_key, 't' || dst AS dst_key, 'USES' AS rel_type, deleted, op AS edited_by FROM kept LEFT JOIN ends e ON src = e.victim""")
+def edit_ops_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as edges, and the other events as a log: clicks add edges, errors delete them, purchases merge a node into the third before it, so that merges form chains."""
+    e = st.table(spark, sf_dir, "events")
+    node, target = lambda c: F.concat(F.lit("n"), c.cast("string")), F.concat(F.lit("t"), (F.col("event_id") % 7).cast("string"))
+    op = F.when(F.col("event_type") == "click", "add_edge").when(F.col("event_type") == "error", "delete_edge").when((F.col("event_type") == "purchase") & (F.col("user_id") % 5 != 0) & (F.col("user_id") > 3), "merge_nodes")
+    merge = F.col("event_type") == "purchase"
+    log = e.select(F.col("event_id").alias("seq"), op.alias("op"), F.when(merge, node(F.col("user_id") - 3)).otherwise(node(F.col("user_id"))).alias("a"), F.when(merge, node(F.col("user_id"))).otherwise(target).alias("b"), F.lit("USES").alias("rel_type"), op.alias("edited_by"))
+    edges = e.where("event_type = 'view'").select(node(F.col("user_id")).alias("src_key"), target.alias("dst_key"), F.lit("USES").alias("rel_type")).distinct()
+    return mutation.edit_edges(edges, log.where("op IS NOT NULL"))
+
+
+@query("""WITH f AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS fact_id, l_returnflag AS rel_type, l_linestatus = 'F' AND l_tax = 0 AS deleted, l_linenumber AS mode FROM lineitem),
+c AS (SELECT fact_id, min(new_type) AS new_type FROM (SELECT fact_id, CASE WHEN mode = 1 THEN 'A' ELSE 'X' END AS new_type FROM f WHERE mode <= 2 UNION ALL SELECT fact_id, 'X' FROM f WHERE mode <= 2) GROUP BY 1),
+n AS (SELECT f.*, new_type FROM f JOIN c USING (fact_id) WHERE rel_type <> new_type AND NOT deleted)
+SELECT rel_type, deleted, edited_by, count(*) AS n FROM (SELECT f.rel_type, f.deleted OR n.fact_id IS NOT NULL AS deleted, CASE WHEN n.fact_id IS NOT NULL THEN 'me' END AS edited_by FROM f LEFT JOIN (SELECT DISTINCT fact_id FROM n) n USING (fact_id) UNION ALL SELECT new_type, false, 'me' FROM n) GROUP BY ALL""")
+def retype_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as facts: the first two of an order change their kind, each change given twice."""
+    li = st.table(spark, sf_dir, "lineitem")
+    fact = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    facts = li.select(fact.alias("fact_id"), F.col("l_returnflag").alias("rel_type"), ((F.col("l_linestatus") == "F") & (F.col("l_tax") == 0)).alias("deleted"), F.lit(None).cast("string").alias("edited_by"))
+    some = li.where("l_linenumber <= 2").select(fact.alias("fact_id"), F.when(F.col("l_linenumber") == 1, "A").otherwise("X").alias("rel_type"))
+    return mutation.retype(facts, some.unionByName(some.withColumn("rel_type", F.lit("X"))), "me").groupBy("rel_type", "deleted", "edited_by").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey AS claim_id, (SELECT max(event_id) FROM events WHERE user_id = o_custkey AND event_type = 'click') AS superseded_by FROM orders""")
+def supersede_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as claims, superseded by the clicks of their customer: of many the last one counts."""
+    orders = st.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), "o_custkey")
+    clicks = st.table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("o_custkey"), F.col("event_id").alias("superseded_by"))
+    return mutation.supersede(orders.select("claim_id"), orders.join(clicks, "o_custkey").select("claim_id", "superseded_by"))
