@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.functions import text
+from factloom.functions import text, tolerant_json
+from factloom.shipping import ship
 
 TEXT_SUFFIXES = ("md", "txt")
 LEAST_CHARS = 100
@@ -62,13 +66,34 @@ def read_dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df
 
 
-def read_extractions(rows: DataFrame, type_aliases: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """doc_id, payload (JSON) -> relations with known types, and counts of what was dropped by type. Broken JSON counts as _corrupt."""
-    parsed = rows.select("doc_id", F.from_json("payload", EXTRACTION, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("x"))
+def repair_payloads(rows: DataFrame) -> DataFrame:
+    """doc_id, payload (whole JSON, NULL without any), n_closed, n_commas and lost_chars: what was closed, dropped and cut off of each payload."""
+    ship(rows.sparkSession)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [tolerant_json.repair(x or "") for x in pdf["payload"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "payload": [x[0] for x in out], "n_closed": [x[1] for x in out], "n_commas": [x[2] for x in out], "lost_chars": [x[3] for x in out]})
+
+    return rows.select("doc_id", "payload").mapInPandas(run, f"doc_id {kind}, payload string, n_closed long, n_commas long, lost_chars long")
+
+
+def read_extractions(rows: DataFrame, type_aliases: dict[str, str], tolerant: bool = False) -> tuple[DataFrame, DataFrame]:
+    """doc_id, payload (JSON) -> relations with known types, and counts of what was dropped by type. Broken JSON counts as _corrupt.
+
+    If tolerant, payloads are repaired first: what is whole of a broken one is read, and it counts as _cut; one without any JSON as _corrupt.
+    """
+    cut = None
+    if tolerant:
+        rows = repair_payloads(rows)
+        cut = rows.where("payload IS NOT NULL AND n_closed > 0").select(F.lit("_cut").alias("type"))
+    parsed = rows.select("doc_id", F.from_json("payload", EXTRACTION, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("x"), F.col("payload").isNull().alias("nothing"))
     known = F.create_map(*[F.lit(v) for kv in type_aliases.items() for v in kv])
     relations = parsed.select("doc_id", F.explode("x.relations").alias("r")).select("doc_id", F.try_element_at(known, F.col("r.type")).alias("rel_type"), "r.*")
-    broken = parsed.where("x._corrupt IS NOT NULL").select(F.lit("_corrupt").alias("type"))
-    dropped = relations.where("rel_type IS NULL").select("type").union(broken).groupBy("type").agg(F.count("*").alias("n_dropped"))
+    broken = parsed.where(F.col("x._corrupt").isNotNull() | (F.col("nothing") & F.lit(tolerant))).select(F.lit("_corrupt").alias("type"))
+    lost = relations.where("rel_type IS NULL").select("type").union(broken)
+    dropped = (lost if cut is None else lost.union(cut)).groupBy("type").agg(F.count("*").alias("n_dropped"))
     return relations.where("rel_type IS NOT NULL").drop("type"), dropped
 
 
