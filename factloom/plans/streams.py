@@ -9,7 +9,7 @@ from factloom.plans import standins as st
 from factloom.plans.registry import Catalogue
 from factloom.plans.texts import NORMAL_SQL
 from factloom.shipping import fresh_folder
-from factloom.streaming import jobs
+from factloom.streaming import answers, jobs
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.add
@@ -38,3 +38,52 @@ def stream_ttl_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = jobs.ttl_cache(puts, 900, "1 hour").writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_folder(spark, "cache-state"))
     kept.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("seq long, key string, value string, replaced string").parquet(out).select(F.col("seq").alias("event_id"), F.col("replaced").cast("double").alias("replaced"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS answer_id, sha256(text) AS text_sha256, true AS all_long_enough FROM documents WHERE text <> ''""")
+def stream_answer_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an answer that comes in deltas of 25 characters, gathered into pieces of 40 and more: joined they are its text."""
+    out = fresh_folder(spark, "answers")
+    docs = _stream(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", F.ceil(F.length("text") / 25).cast("int").alias("n"))
+    deltas = docs.select(F.col("doc_id").cast("string").alias("answer_id"), "text", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    timed = deltas.select("answer_id", F.col("k").cast("long").alias("seq"), F.substr("text", F.col("k") * 25 - 24, F.lit(25)).alias("delta"), (F.col("k") == F.col("n")).alias("done"), F.timestamp_seconds("k").alias("at"))
+    gathered = answers.buffered(timed, "1 hour", 600).writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_folder(spark, "answers-state"))
+    gathered.trigger(availableNow=True).start().awaitTermination()
+    held = spark.read.schema("answer_id string, piece long, text string").parquet(out)
+    pieces = held.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("p"))
+    long_enough = F.forall(F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: (F.length(x["text"]) >= answers.FLUSH_CHARS) | x["text"].contains("\n"))
+    return pieces.select("answer_id", F.sha2(F.array_join(F.transform("p", lambda x: x["text"]), ""), 256).alias("text_sha256"), long_enough.alias("all_long_enough"))
+
+
+@query("""SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, true AS all_long_enough FROM documents""")
+def answer_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in pieces that end with their words: joined they are the text, and all but the last have 60 characters."""
+    pieces = st.table(spark, sf_dir, "documents").select("doc_id", answers.word_pieces(F.coalesce("text", F.lit(""))).alias("p"))
+    long_enough = F.forall(F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: F.length(x) >= answers.PIECE_CHARS)
+    return pieces.select("doc_id", F.sha2(F.array_join("p", ""), 256).alias("text_sha256"), long_enough.alias("all_long_enough"))
+
+
+#: What a user may do after what; sessions begin with any of the first two.
+_STEPS = {answers.START: ("signup", "view"), "signup": ("view", "click"), "view": ("view", "click", "purchase"), "click": ("view", "click", "purchase", "error"), "purchase": ("view", "signup")}
+_STEPS_SQL = ", ".join(f"('{a}', '{b}')" for a, following in _STEPS.items() for b in following)
+_ORDER_SQL = f"""WITH e AS (SELECT user_id AS key, event_id AS seq, event_type AS kind, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT CAST(key AS VARCHAR) AS key, seq, before, kind FROM e WHERE (coalesce(before, ''), kind) NOT IN (VALUES {_STEPS_SQL}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1"""
+
+
+def _kinds(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
+
+
+@query(_ORDER_SQL)
+def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user that may not follow the one before it."""
+    return answers.first_offences(_kinds(st.table(spark, sf_dir, "events")), _STEPS)
+
+
+@query(_ORDER_SQL)
+def stream_event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream."""
+    out = fresh_folder(spark, "order")
+    found = answers.offences(_kinds(_stream(spark, sf_dir, "events")), _STEPS).writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_folder(spark, "order-state"))
+    found.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string, seq long, before string, kind string").parquet(out)
