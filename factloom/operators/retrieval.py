@@ -236,12 +236,12 @@ def similar_pairs(pairs: DataFrame, least: float = 0.5) -> DataFrame:
 def numbered_context(context: DataFrame) -> DataFrame:
     """query_id, context: the cited chunks as `[C1] (title, type, lang, year): quote` lines in the order of their numbers.
 
-    context: query_id, n, title, doc_type, lang, year, quote; what is not known is shown as n/a.
+    context: query_id, n, title, doc_type, lang, year, quote; what is not known is shown as None, and lines stand apart by an empty one.
     """
     fields = ("title", "doc_type", "lang", "year")
-    lines = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", *[F.coalesce(F.col(c).cast("string"), F.lit("n/a")).alias(c) for c in fields], "quote"))).alias("x"))
+    lines = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", *[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in fields], "quote"))).alias("x"))
     shown = F.transform("x", lambda r: F.concat(F.lit("[C"), r["n"].cast("string"), F.lit("] ("), F.concat_ws(", ", *[r[c] for c in fields]), F.lit("): "), r["quote"]))
-    return lines.select("query_id", F.array_join(shown, "\n").alias("context"))
+    return lines.select("query_id", F.array_join(shown, "\n\n").alias("context"))
 
 
 def without_vectors(rows: DataFrame) -> DataFrame:

@@ -199,18 +199,18 @@ def answer_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("n_statements", *[F.round(c, 9).alias(c) for c in ("citation_coverage", "verified_ratio")])
 
 
-@query("""SELECT l_partkey AS query_id, l_orderkey AS doc_id, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS chunk_id, l_suppkey AS rank, 'order ' || l_orderkey AS title, CAST(year(o_orderdate) AS BIGINT) AS year, o_orderpriority AS access_level, 'line ' || l_quantity::BIGINT AS text
+@query("""SELECT l_partkey AS query_id, l_orderkey AS doc_id, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || CAST(l_quantity AS BIGINT) AS chunk_id, l_suppkey AS rank, 'order ' || l_orderkey AS title, CAST(year(o_orderdate) AS BIGINT) AS year, o_orderpriority AS access_level, 'line ' || l_quantity::BIGINT AS text
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 4 <> 0""")
 def hit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as hits, with what their order and their own text say; hits in orders that are not known go."""
-    li = _lines(spark, sf_dir).withColumn("chunk_id", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    li = _lines(spark, sf_dir).withColumn("chunk_id", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long")))
     hits = li.select(F.col("l_partkey").alias("query_id"), F.col("l_orderkey").alias("doc_id"), "chunk_id", F.col("l_suppkey").alias("rank"))
     docs = st.table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), F.year("o_orderdate").cast("long").alias("year"), F.col("o_orderpriority").alias("access_level"))
-    chunks = li.select("chunk_id", F.concat(F.lit("line "), F.col("l_quantity").cast("long").cast("string")).alias("text"))
+    chunks = li.select("chunk_id", F.concat(F.lit("line "), F.col("l_quantity").cast("long").cast("string")).alias("text")).distinct()
     return retrieval.enrich(hits, docs, chunks)
 
 
-@query("""SELECT l_orderkey AS query_id, string_agg('[C' || l_linenumber || '] (' || p_name || ', ' || l_returnflag || ', en, ' || year(l_shipdate) || '): ' || CAST(l_quantity AS BIGINT), chr(10) ORDER BY l_linenumber, p_name, l_returnflag, year(l_shipdate), CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) AS context
+@query("""SELECT l_orderkey AS query_id, string_agg('[C' || l_linenumber || '] (' || p_name || ', ' || l_returnflag || ', en, ' || year(l_shipdate) || '): ' || CAST(l_quantity AS BIGINT), chr(10) || chr(10) ORDER BY l_linenumber, p_name, l_returnflag, year(l_shipdate), CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) AS context
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of an order as the cited chunks of an answer's context."""

@@ -310,7 +310,7 @@ def answer_measures(spark: SparkSession) -> DataFrame:
     return retrieval.answer_measures(spark.createDataFrame(rows, "n_citations int, verified boolean")).select("n_statements", "citation_coverage", F.round("verified_ratio", 9).alias("verified_ratio"))
 
 
-@gives("query_id long, context string", (1, "[C1] (A, report, ru, 2020): first\n[C2] (B, n/a, en, n/a): second"))
+@gives("query_id long, context string", (1, "[C1] (A, report, ru, 2020): first\n\n[C2] (B, None, en, None): second"))
 def context_text(spark: SparkSession) -> DataFrame:
     return retrieval.numbered_context(spark.createDataFrame([(1, 2, "B", None, "en", None, "second"), (1, 1, "A", "report", "ru", 2020, "first")], "query_id long, n int, title string, doc_type string, lang string, year int, quote string"))
 
