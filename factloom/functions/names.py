@@ -80,10 +80,10 @@ def cite_key(authors: Column | str, year: Column | str) -> Column:
 LOOKALIKES = {"A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "K": "К", "M": "М", "O": "О", "P": "Р", "T": "Т", "X": "Х", "a": "а", "c": "с", "e": "е", "o": "о", "p": "р", "x": "х", "y": "у"}
 
 
-def fold_lookalikes(word: Column) -> Column:
-    """A word that mixes Cyrillic letters with Latin ones of the same shape, in Cyrillic; any other word as it is."""
-    folded = F.translate(word, "".join(LOOKALIKES), "".join(LOOKALIKES.values()))
-    return F.when(word.rlike("[А-ЯЁа-яё]") & word.rlike("[A-Za-z]"), folded).otherwise(word)
+def fold_lookalikes(name: Column) -> Column:
+    """A name of more Cyrillic than Latin letters, with Latin ones of a Cyrillic letter's shape as that letter; any other as it is. Lone initials are folded with the rest."""
+    more = F.regexp_count(name, F.lit("[А-ЯЁа-яё]")) > F.regexp_count(name, F.lit("[A-Za-z]"))
+    return F.when(more, F.translate(name, "".join(LOOKALIKES), "".join(LOOKALIKES.values()))).otherwise(name)
 
 
 def person_key(name: Column | str) -> Column:
@@ -92,8 +92,8 @@ def person_key(name: Column | str) -> Column:
     Two to four tokens, each a word (W) or an initial (I). The surname is the only word, else the first token, which then
     must be a word; the initials are those of all other tokens.
     """
-    spaced = F.regexp_replace(F.translate(column(name), ",\u00a0", "  "), r"(\p{L})\.(?=\p{L})", "$1. ")
-    tokens = F.filter(F.transform(F.split(spaced, r"\s+"), fold_lookalikes), lambda t: t != "")
+    folded = fold_lookalikes(F.translate(column(name), ",\u00a0", "  "))
+    tokens = F.filter(F.split(F.regexp_replace(folded, r"(\p{L})\.(?=\p{L})", "$1. "), r"\s+"), lambda t: t != "")
     letters = r"[A-Za-zА-ЯЁа-яё]"
     kinds = F.transform(tokens, lambda t: F.when(t.rlike(rf"\A{letters}\.?\z"), "I").when(t.rlike(rf"\A{letters}[A-Za-zА-ЯЁа-яё'-]+\z"), "W").otherwise("x"))
 

@@ -143,16 +143,16 @@ def text_fallback(mentions: DataFrame, entities: DataFrame, candidates: int = 5)
 
     Curated entities come before unresolved ones, then the higher score. mentions: mention_id, label, name; entities: entity_id, label, surfaces, unresolved, deleted.
     """
+    # By shared words over the root of a surface's number of words, no surface beats one of the very same words, and only
+    # others of the same words equal it: so it is enough to meet those, and no common word is a key.
+    words = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))), " ")
     named = entities.where("NOT deleted").select("entity_id", "label", "unresolved", F.explode("surfaces").alias("surface")).withColumn("surface_key", normalize_name("surface"))
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    asked = mentions.select("mention_id", "label", normalize_name("name").alias("name_key")).withColumn("word", F.explode(words("name_key")))
-    held = named.withColumn("word", F.explode(words("surface_key"))).withColumn("n_words", F.size(words("surface_key")))
-    shared = asked.join(held, ["label", "word"]).groupBy("mention_id", "name_key", "entity_id", "unresolved", "surface_key", "n_words").agg(F.count("*").alias("n"))
-    score = F.col("n") / F.sqrt(F.col("n_words").cast("double"))
-    best = shared.groupBy("mention_id", "name_key", "entity_id", "unresolved").agg(F.max(score).alias("score"), F.max(F.col("surface_key") == F.col("name_key")).alias("exact"))
-    nth = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("score"), "unresolved", "entity_id"))
-    near = best.withColumn("nth", nth).where((F.col("nth") <= candidates) & F.col("exact"))
-    return near.groupBy("mention_id").agg(F.min(F.struct("unresolved", -F.col("score"), "entity_id"))["entity_id"].alias("entity_id"))
+    held = named.withColumn("words", words(F.col("surface_key"))).where("words != ''")
+    asked = mentions.select("mention_id", "label", normalize_name("name").alias("name_key")).withColumn("words", words(F.col("name_key")))
+    met = asked.join(held, ["label", "words"]).groupBy("mention_id", "entity_id", "unresolved").agg(F.max(F.col("surface_key") == F.col("name_key")).alias("exact"))
+    nth = F.row_number().over(Window.partitionBy("mention_id").orderBy("unresolved", "entity_id"))
+    near = met.withColumn("nth", nth).where((F.col("nth") <= candidates) & F.col("exact"))
+    return near.groupBy("mention_id").agg(F.min(F.struct("unresolved", "entity_id"))["entity_id"].alias("entity_id"))
 
 
 def synonym_merges(unresolved: DataFrame, index: DataFrame) -> DataFrame:

@@ -217,3 +217,13 @@ def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _lines(spark, sf_dir).join(st.table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     cited = held.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("n"), F.col("p_name").alias("title"), F.col("l_returnflag").alias("doc_type"), F.lit("en").alias("lang"), F.year("l_shipdate").alias("year"), F.col("l_quantity").cast("long").cast("string").alias("quote"))
     return retrieval.numbered_context(cited)
+
+
+@query("""SELECT p_partkey AS mention_id, (SELECT min(CAST(q.p_partkey AS VARCHAR)) FROM part q WHERE q.p_name = p.p_name AND q.p_partkey % 2 = 0 AND q.p_partkey % 7 <> 0) AS entity_id FROM part p
+WHERE EXISTS (SELECT 1 FROM part q WHERE q.p_name = p.p_name AND q.p_partkey % 2 = 0 AND q.p_partkey % 7 <> 0)""")
+def fulltext_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's name, in capitals, looked up among every second part's; every seventh of those is deleted. The words are few and very common."""
+    part = st.table(spark, sf_dir, "part")
+    mentions = part.select(F.col("p_partkey").alias("mention_id"), F.lit("Material").alias("label"), F.upper("p_name").alias("name"))
+    entities = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("entity_id"), F.lit("Material").alias("label"), F.array(F.concat(F.lit("no "), F.col("p_partkey").cast("string")), "p_name").alias("surfaces"), F.lit(False).alias("unresolved"), (F.col("p_partkey") % 7 == 0).alias("deleted"))
+    return resolution.text_fallback(mentions, entities, candidates=1_000_000)

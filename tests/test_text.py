@@ -126,3 +126,9 @@ def test_json_ld(spark):
     edges = spark.createDataFrame([("a", "b", "PRODUCES"), ("a", "c", "PRODUCES"), ("a", "b", "ABOUT")], "src_key string, dst_key string, rel_type string")
     got = {r.node_key: json.loads(r.document) for r in files.json_ld(nodes, edges, "urn:").collect()}
     assert got["a"] == {"@id": "urn:a", "@type": "Material", "name": "Slag", "ABOUT": "urn:b", "PRODUCES": ["urn:b", "urn:c"]} and got["b"] == {"@id": "urn:b", "@type": "Process"}
+
+
+def test_a_lone_initial_of_the_other_alphabet_is_folded(spark):
+    # The initial is a Latin A in the first and a Cyrillic one in the second.
+    assert tuple(one(spark, names.person_key("c0"), "Иванов A.П.")) == tuple(one(spark, names.person_key("c0"), "Иванов А.П.")) == ("cyr", "иванов", "ап")
+    assert tuple(one(spark, names.person_key("c0"), "Smith А.")) == ("lat", "smith", "а")
