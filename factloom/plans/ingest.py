@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import lemmas, names, resolution, units
+from factloom.operators import importing, lemmas, names, resolution, units
 from factloom.plans import standins as st
 from factloom.plans.registry import Catalogue
+from factloom.plans.texts import NORMAL_SQL
 from factloom.shipping import fresh_folder
 from factloom.sources import files, yaml_tables
 
@@ -119,3 +120,25 @@ def lemma_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = every.select(F.expr(_INFLECTED).alias("word"), F.col("w").alias("lemma"))
     rules = lemmas.learn(pairs.where("crc32(lemma) % 5 = 0"))
     return lemmas.lemmas(pairs, rules).select("lemma")
+
+
+def _as_files(docs: DataFrame, spark: SparkSession) -> str:
+    """A text file for each document (doc_id, text), in a folder of its own."""
+    root = fresh_folder(spark, "corpus")
+    docs.select(F.coalesce("text", F.lit("")).alias("value"), "doc_id").write.partitionBy("doc_id").text(root)
+    return root
+
+
+_TERMS = r"(SELECT DISTINCT lower(w) AS name FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}]+')) AS w FROM benchmark) WHERE length(w) >= 9)"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {NORMAL_SQL} AS t FROM documents), parsed AS (SELECT * FROM d WHERE length(t) >= 100),
+contents AS (SELECT sha256(t) AS h, any_value(t) AS t FROM parsed GROUP BY 1), w AS (SELECT DISTINCT h, lower(unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+'))) AS name FROM contents)
+SELECT 'files' AS measure, count(*) AS n FROM d UNION ALL SELECT 'parsed', count(*) FROM parsed UNION ALL SELECT 'contents', count(*) FROM contents UNION ALL SELECT 'written', count(*) FROM contents
+UNION ALL SELECT 'stored mentions', count(*) FROM w JOIN {_TERMS} USING (name)""")
+def import_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file, imported with the benchmark's long words as a dictionary."""
+    words = st.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("w"))
+    dictionary = words.where(F.length("w") >= 9).select(F.lower("w").alias("name")).distinct().select(F.md5("name").alias("entity_id"), F.lit("term").alias("type"), "name")
+    root = _as_files(st.table(spark, sf_dir, "documents"), spark)
+    return importing.import_corpus(spark, root, dictionary).report.where("measure <> 'stored chunks'")

@@ -169,3 +169,29 @@ def test_phrases_agree_with_their_head(spark):
     words = phrases.select(F.explode(F.split(F.lower("name"), " ")).alias("word")).where("word <> 'никеля' AND word <> 'установок'")
     got = {r.name: r.base for r in lemmas.base_phrases(phrases, lemmas.lemmas(words, lemmas.learn(known), known)).collect()}
     assert got == said
+
+
+def test_an_import_and_the_next_one(spark, tmp_path):
+    from factloom.operators.importing import import_corpus
+
+    root = tmp_path / "corpus"
+    (root / "below").mkdir(parents=True)
+    body = "Nickel matte is leached in sulphuric acid at 80 °C for two hours under oxygen pressure, and copper stays. "
+    (root / "a.md").write_text("---\ntitle: First\nyear: 2020\n---\n" + body)
+    (root / "below" / "b.txt").write_text(body + "Cobalt follows nickel.")
+    (root / "copy.txt").write_text(body + "Cobalt follows nickel.")
+    (root / "short.txt").write_text("too short")
+    (root / "~$a.md").write_text(body)
+    dictionary = spark.createDataFrame([("ni", "metal", "nickel"), ("co", "metal", "cobalt"), ("m", "material", "nickel matte")], "entity_id string, type string, name string")
+    first = import_corpus(spark, str(root), dictionary)
+    report = dict(map(tuple, first.report.collect()))
+    assert report == {"files": 4, "parsed": 3, "contents": 2, "written": 2, "stored chunks": 2, "stored mentions": 4}
+    assert sorted((r.title, r.year) for r in first.tables["sources"].collect()) == [("First", 2020), ("b", None)]
+    assert sorted(r.entity_id for r in first.tables["mentions"].collect()) == ["co", "m", "m", "ni"]
+    # One file changes, the others are skipped and keep what they have.
+    (root / "a.md").write_text("---\ntitle: Second\n---\n" + body.replace("Nickel", "Cobalt"))
+    second = import_corpus(spark, str(root), dictionary, first.tables)
+    report = dict(map(tuple, second.report.collect()))
+    assert report == {"files": 4, "parsed": 3, "contents": 2, "written": 1, "stored chunks": 2, "stored mentions": 4}
+    assert sorted(r.title for r in second.tables["sources"].collect()) == ["Second", "b"]
+    assert sorted(r.entity_id for r in second.tables["mentions"].collect()) == ["co", "co", "m", "ni"]
