@@ -120,12 +120,14 @@ def alias_union_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT user_id AS key, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'set' END AS op, value, ts, event_id FROM events),
 last AS (SELECT key, arg_max(op, struct_pack(t := ts, s := event_id)) AS op, max(ts) AS edited_at FROM e GROUP BY key), sets AS (SELECT key, arg_max(value, struct_pack(t := ts, s := event_id)) AS v FROM e WHERE op = 'set' GROUP BY key),
-base AS (SELECT CAST(range AS BIGINT) AS key, -1.0::DOUBLE AS value FROM range(200))
+base AS (SELECT c_custkey AS key, c_acctbal AS value FROM customer)
 SELECT key, coalesce(v, value) AS value, coalesce(op = 'delete', false) AS deleted, op AS edited_by, edited_at FROM base FULL JOIN last USING (key) LEFT JOIN sets USING (key)""")
 def edit_log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' balances after the events as a log of edits."""
     op = F.when(F.col("event_type") == "error", "delete").otherwise("set")
     edits = st.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), op.alias("op"), "value", op.alias("edited_by"), F.col("ts").alias("edited_at"), F.col("event_id").alias("seq"))
-    return mutation.fold_edits(spark.range(200).select(F.col("id").alias("key"), F.lit(-1.0).alias("value")), edits)
+    base = st.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    return mutation.fold_edits(base, edits)
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.CONTENT_STOP_WORDS)
