@@ -67,7 +67,7 @@ def _write_segment(chunks: DataFrame, path: str, segment: int, id_col: str, text
     spark = chunks.sparkSession
     sought = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     post = checkpoint(postings(sought))
-    n, length = sought.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens("text"))), F.lit(0)).cast("long")).first()
+    n, length = sought.count(), post.agg(F.sum("tf")).first()[0] or 0
     deals = max(1, n // RANGE_DOCS)
     # Chunks of like length share ranges, so that the least length of a range says something of all its chunks.
     in_range = F.concat_ws("-", F.floor(F.log2("dl")), F.pmod(F.xxhash64("chunk_id"), F.lit(deals)))
