@@ -68,10 +68,10 @@ def duplicate_stubs(unresolved: DataFrame) -> DataFrame:
 
 
 def dedupe_people(people: DataFrame) -> DataFrame:
-    """survivor_id, victim_id: people of one key; the survivor has the highest degree, then the longest name. people: expert_id, name, degree."""
+    """survivor_id, victim_id: people of one key; the survivor has the highest degree, then the longest name, then the least id. people: expert_id, name, degree."""
     keyed = people.withColumn("key", person_key("name")).where("key IS NOT NULL")
-    best = F.max(F.struct("degree", F.length("name").alias("n"), (-F.hash("expert_id")).alias("h"), "expert_id"))
-    survivors = keyed.groupBy("key").agg(best["expert_id"].alias("survivor_id"), F.count("*").alias("n_people")).where("n_people >= 2")
+    ranked = keyed.groupBy("key", "degree", F.length("name").alias("n")).agg(F.min("expert_id").alias("expert_id"), F.count("*").alias("n_people"))
+    survivors = ranked.groupBy("key").agg(F.max_by("expert_id", F.struct("degree", "n")).alias("survivor_id"), F.sum("n_people").alias("n_people")).where("n_people >= 2")
     return keyed.join(survivors, "key").where("expert_id != survivor_id").select("survivor_id", F.col("expert_id").alias("victim_id"))
 
 
@@ -147,12 +147,14 @@ def text_fallback(mentions: DataFrame, entities: DataFrame, candidates: int = 5)
     # others of the same words equal it: so it is enough to meet those, and no common word is a key.
     words = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))), " ")
     named = entities.where("NOT deleted").select("entity_id", "label", "unresolved", F.explode("surfaces").alias("surface")).withColumn("surface_key", normalize_name("surface"))
-    held = named.withColumn("words", words(F.col("surface_key"))).where("words != ''")
-    asked = mentions.select("mention_id", "label", normalize_name("name").alias("name_key")).withColumn("words", words(F.col("name_key")))
-    met = asked.join(held, ["label", "words"]).groupBy("mention_id", "entity_id", "unresolved").agg(F.max(F.col("surface_key") == F.col("name_key")).alias("exact"))
-    nth = F.row_number().over(Window.partitionBy("mention_id").orderBy("unresolved", "entity_id"))
-    near = met.withColumn("nth", nth).where((F.col("nth") <= candidates) & F.col("exact"))
-    return near.groupBy("mention_id").agg(F.min(F.struct("unresolved", "entity_id"))["entity_id"].alias("entity_id"))
+    held = named.withColumn("words", words(F.col("surface_key"))).where("words != ''").select("label", "words", "surface_key", "unresolved", "entity_id")
+    # Who comes how far among the entities of the same words is one order for all names of these words, so it is found
+    # once; each name then has one entity, and no mention meets more than that one.
+    order = F.dense_rank().over(Window.partitionBy("label", "words").orderBy("unresolved", "entity_id"))
+    near = held.withColumn("nth", order).where(F.col("nth") <= candidates)
+    best = near.groupBy("label", "surface_key").agg(F.min(F.struct("unresolved", "entity_id")).alias("best"))
+    asked = mentions.select("mention_id", "label", normalize_name("name").alias("surface_key"))
+    return asked.join(best, ["label", "surface_key"]).groupBy("mention_id").agg(F.min("best")["entity_id"].alias("entity_id"))
 
 
 def synonym_merges(unresolved: DataFrame, index: DataFrame) -> DataFrame:
