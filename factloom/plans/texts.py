@@ -179,7 +179,7 @@ def surname_cite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH people AS (SELECT c_custkey, c_custkey % 40 AS k, c_custkey % 3 AS form, CAST(round(c_acctbal) AS BIGINT) AS degree FROM customer),
-keyed AS (SELECT *, max(struct_pack(degree := degree, n := CASE form WHEN 0 THEN 10 WHEN 1 THEN 12 ELSE 9 END, k := -c_custkey)) OVER (PARTITION BY k) AS best, count(*) OVER (PARTITION BY k) AS n FROM people)
+keyed AS (SELECT *, max(struct_pack(degree := degree, n := CASE form WHEN 0 THEN 10 WHEN 1 THEN 12 ELSE 10 END, k := -c_custkey)) OVER (PARTITION BY k) AS best, count(*) OVER (PARTITION BY k) AS n FROM people)
 SELECT -best.k AS survivor_id, c_custkey AS victim_id FROM keyed WHERE n >= 2 AND c_custkey <> -best.k""")
 def dedupe_experts_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers under forty surnames in three forms of writing; balances are degrees."""
