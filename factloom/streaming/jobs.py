@@ -38,16 +38,16 @@ def ttl_cache(puts: DataFrame, seconds: int, delay: str) -> DataFrame:
             state.remove()
             return
         old, ends = state.get if state.exists else (None, None)
-        batch = pd.concat(list(frames)).sort_values(["ms", "seq"])
+        batch = pd.concat(list(frames)).sort_values(["us", "seq"])
         replaced = []
-        for value, ms in zip(batch["value"], batch["ms"], strict=True):
-            replaced.append(old if ends is not None and ends > ms else None)
-            old, ends = value, int(ms) + seconds * 1000
+        for value, us in zip(batch["value"], batch["us"], strict=True):
+            replaced.append(old if ends is not None and ends > us else None)
+            old, ends = value, int(us) + seconds * 1_000_000
         yield pd.DataFrame({"seq": batch["seq"], "key": key[0], "value": batch["value"], "replaced": replaced})
         state.update((old, ends))
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(-(-ends // 1000), state.getCurrentWatermarkMs() + 1))
 
-    timed = puts.withWatermark("at", delay).withColumn("ms", F.unix_millis("at"))
+    timed = puts.withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
     return timed.groupBy("key").applyInPandasWithState(put, "seq long, key string, value string, replaced string", "value string, ends long", "append", GroupStateTimeout.EventTimeTimeout)
 
 

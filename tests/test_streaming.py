@@ -43,6 +43,19 @@ def test_cache_entries_end(spark, tmp_path):
     assert cached(spark, tmp_path, stream, 60) == {1: None, 2: "x", 3: None, 4: None, 5: "w", 6: None, 7: "v", 8: None}
 
 
+def test_puts_of_one_millisecond_keep_their_order(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda us: datetime(2024, 1, 1) + timedelta(microseconds=us)
+    rows = [(1, "a", "later", at(900)), (2, "a", "sooner", at(100)), (3, "a", "at its end", at(60_000_900)), (4, "b", "x", at(0)), (5, "b", "y", at(59_999_999)), (6, "b", "z", at(120_000_000))]
+    stream = source(spark, str(tmp_path / "in"), rows, "seq long, key string, value string, at timestamp")
+    assert cached(spark, tmp_path, stream, 60) == {2: None, 1: "sooner", 3: None, 4: None, 5: "x", 6: None}
+    stream = source(spark, str(tmp_path / "in2"), [(1, "a", "x", at(500)), (2, "a", "y", at(60_000_499))], "seq long, key string, value string, at timestamp")
+    out = tmp_path / "second"
+    out.mkdir()
+    assert cached(spark, out, stream, 60) == {1: None, 2: "x"}
+
+
 def run_stream(df, out, state):
     df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
