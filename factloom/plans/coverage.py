@@ -31,25 +31,10 @@ SELECT p.material, p.process, count(DISTINCT doc_id) AS n_documents, count(DISTI
 FROM pairs p LEFT JOIN evidence e ON p.material = e.material AND p.process = e.process GROUP BY p.material, p.process"""
 
 
-def _open(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The axes of a search for gaps without given materials or processes: the most mentioned ones."""
-    lines = st.lines(spark, sf_dir)
-    out = []
-    for axis, name, column in zip(_axes(spark, sf_dir), ("material", "process"), ("p_brand", "l_suppkey"), strict=True):
-        mentions = lines.select(F.col(column).alias("entity_id"), "l_orderkey").distinct()
-        out.append(analytics.open_axis(axis.withColumnRenamed(name, "entity_id"), mentions).withColumnRenamed("entity_id", name))
-    return out[0], out[1]
-
-
-_OPEN = """material_axis AS (SELECT p_brand AS material, count(DISTINCT l_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 ORDER BY greatest(n, 1) DESC, material LIMIT 40),
-process_axis AS (SELECT s_suppkey AS process, count(DISTINCT l_orderkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1 ORDER BY greatest(n, 1) DESC, process LIMIT 40),"""
-
-
-@query(_GAPS.format(where="true").replace("pairs AS (", _OPEN + " pairs AS (").replace("(SELECT DISTINCT p_brand AS material FROM part) CROSS JOIN (SELECT s_suppkey AS process FROM supplier)", "material_axis CROSS JOIN process_axis")
-       + " ORDER BY n_documents, n_experiments, material, process LIMIT 50")
+@query(_GAPS.format(where="true") + " ORDER BY n_documents, n_experiments, material, process LIMIT 50")
 def find_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps between the most mentioned materials and processes, OPEN_AXIS of each."""
-    return analytics.top_gaps(analytics.find_gaps(*_open(spark, sf_dir), _evidence(spark, sf_dir)))
+    """The greatest gaps between all materials and all processes."""
+    return analytics.top_gaps(analytics.find_gaps(*_axes(spark, sf_dir), _evidence(spark, sf_dir)))
 
 
 @query(_GAPS.format(where="true"))
