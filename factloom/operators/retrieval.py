@@ -17,6 +17,8 @@ RRF_K = 60
 HASH_DIM = 512
 #: Queries whose vectors are one matrix in every task.
 QUERY_BLOCK = 4096
+#: Cosines that a task holds at a time.
+PRODUCTS = 1_000_000
 #: The cosine that a chunk found by its words alone is given.
 WORDS_ONLY_SCORE = 0.60
 
@@ -78,12 +80,29 @@ def shorten(vector: Column | str, dim: int) -> Column:
     return F.transform(head, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
 
 
+def _lengths(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(axis=1))
+    return np.where(n > 0, n, np.inf)
+
+
+def nearest(unit: np.ndarray, held: np.ndarray, keys: np.ndarray, k: int, digits: int, products: int = PRODUCTS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries (of length 1), keys and rounded cosines of the k rows of held nearest to each, ties by key; of some `products` pairs at a time."""
+    order = np.argsort(keys, kind="stable")
+    keys, held = keys[order], (held[order] / _lengths(held[order])[:, None]).T
+    step = max(1, products // max(1, len(keys)))
+    for at in range(0, len(unit), step):
+        scores = np.round(unit[at : at + step] @ held, digits)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(scores)), best.shape[1])
+        yield rows + at, keys[best.ravel()], scores[rows, best.ravel()]
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """query_id, key, score, rank: the k nearest rows of each query by cosine, compared with all rows in blocks.
 
     vectors: key, embedding. queries: query_id, embedding. Scores are rounded before they rank. Queries go to the tasks
-    as matrices of QUERY_BLOCK rows; a task multiplies them with its batches of vectors and passes on the k best per batch
-    and query, so pairs are never rows. One block is on the driver at a time: with several, each is searched and its best
+    as matrices of QUERY_BLOCK rows; a task multiplies them with its batches of vectors, PRODUCTS pairs at a time, and passes
+    on the k best per batch and query, so pairs are never rows. One block is on the driver at a time: with several, each is searched and its best
     rows are written before the next is fetched. A vector without length has cosine 0; a null vector, or one that holds a
     null, NaN or infinity, is never found and, as a query, finds nothing.
     """
@@ -94,27 +113,19 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "key"))}
 
-    def lengths(m: np.ndarray) -> np.ndarray:
-        n = np.sqrt((m * m).sum(axis=1))
-        return np.where(n > 0, n, np.inf)
-
     def search(block: int) -> DataFrame:
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").collect()
         asked = np.array([r["embedding"] for r in own], np.float64).reshape(len(own), -1)
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in own], asked / lengths(asked)[:, None]))
+        sent = spark.sparkContext.broadcast(([r["query_id"] for r in own], asked / _lengths(asked)[:, None]))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, unit = sent.value
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue
-                held = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                scores = np.round(unit @ (held / lengths(held)[:, None]).T, digits)
-                keys = pdf["key"].to_numpy()
-                order = np.argsort(keys, kind="stable")
-                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-                rows = np.repeat(np.arange(len(ids)), best.shape[1])
-                yield pd.DataFrame({"query_id": [ids[x] for x in rows], "key": keys[best.ravel()], "score": scores[rows, best.ravel()]})
+                held, keys = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["key"].to_numpy()
+                for rows, near, scores in nearest(unit, held, keys, k, digits):
+                    yield pd.DataFrame({"query_id": [ids[x] for x in rows], "key": near, "score": scores})
 
         found = vectors.select("key", "embedding").mapInPandas(run, f"query_id {kinds['query_id']}, key {kinds['key']}, score double")
         return top_per_query(found, k, "key")

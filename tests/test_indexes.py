@@ -98,3 +98,26 @@ def test_queries_of_several_blocks(spark, vectors, monkeypatch):
     # One without length scores 0 with all; the others find nothing.
     odd = rows_of(retrieval.vector_topk(vectors, vectors.where("key >= 3000").withColumnRenamed("key", "query_id"), 2), "key")
     assert odd == [(3001, 0, 0, 0.0), (3001, 1, 1, 0.0)]
+
+
+def test_a_task_holds_few_cosines_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+
+    from factloom.operators.retrieval import nearest
+
+    random = np.random.default_rng(7)
+    unit, held, keys = random.normal(size=(4096, 8)), random.integers(-2, 3, size=(10_000, 8)).astype(float), random.permutation(10_000)
+    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+    tracemalloc.start()
+    got = [[np.asarray(x) for x in part] for part in nearest(unit, held, keys, 15, 3)]
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+    rows, near, scores = (np.concatenate(x) for x in zip(*got, strict=True))
+    assert len(rows) == 4096 * 15
+    lengths = np.maximum(np.sqrt((held * held).sum(axis=1)), 1e-300)
+    for q in (0, 99, 100, 4095):
+        every = np.round(held @ unit[q] / lengths, 3)
+        want = sorted(zip(-every, keys, strict=True))[:15]
+        assert [(-a, b) for a, b in want] == list(zip(scores[rows == q], near[rows == q], strict=True))
