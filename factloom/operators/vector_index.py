@@ -22,11 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.retrieval import top_per_query
+from factloom.operators.retrieval import top_per_query, vector_topk
 from factloom.shipping import checkpoint, ship
 
 SAMPLE, MOST_CELLS, ROUNDS = 50_000, 4096, 12
 PART_ROWS, QUERY_ROWS = 8192, 1024
+#: Stored rows that are asked to find how many cells to probe, and the recall that they must reach: a little over what is promised.
+ASKED, WANTED = 256, 0.95
 
 
 @dataclass(frozen=True)
@@ -152,6 +154,30 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     return top_per_query(found, k, "key")
 
 
+def probes_for(index: VectorIndex, vectors: DataFrame, k: int, wanted: float = WANTED, asked: int = ASKED) -> int:
+    """How many cells to probe so that on average the share `wanted` of a query's k nearest rows is found.
+
+    Up to `asked` stored rows, taken by a hash, are compared with all vectors (key, embedding), themselves left out; where
+    the cell of each of their nearest rows stands among the cells nearest to them tells the number. Where vectors lie in no
+    clusters that is a large part of all cells.
+    """
+    spark = vectors.sparkSession
+    chosen = vectors.where(usable(F.col("embedding"))).orderBy(F.xxhash64("key", F.lit("asked")), "key").limit(asked)
+    sample = checkpoint(chosen.select(F.col("key").alias("query_id"), "embedding"))
+    hits = vector_topk(vectors, sample, k + 1).where("query_id != key").select("query_id", "key")
+    held = index.rows(spark).select("key", "cell").join(F.broadcast(hits), "key").select("query_id", "cell").toPandas()  # asked x (k + 1) rows
+    if not len(held):
+        return 1
+    own = sample.collect()
+    scores = _unit(np.array([r["embedding"] for r in own], np.float64)) @ index.centroids.T
+    place = np.argsort(np.argsort(-scores, axis=1, kind="stable"), axis=1)
+    at = {r["query_id"]: n for n, r in enumerate(own)}
+    rows = held["query_id"].map(at).to_numpy()
+    found = np.bincount(place[rows, held["cell"].to_numpy()], weights=1 / np.bincount(rows, minlength=len(own))[rows], minlength=len(index.centroids))
+    share = np.cumsum(found) / held["query_id"].nunique()
+    return int(min(np.searchsorted(share, wanted - 1e-9) + 1, len(index.centroids)))
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """query_id, recall: the share of a query's exact hits (query_id, key) that were found."""
     hit = exact.select("query_id", "key").join(found.select("query_id", "key", F.lit(1).alias("hit")), ["query_id", "key"], "left")

@@ -121,3 +121,15 @@ def test_a_task_holds_few_cosines_at_a_time():
         every = np.round(held @ unit[q] / lengths, 3)
         want = sorted(zip(-every, keys, strict=True))[:15]
         assert [(-a, b) for a, b in want] == list(zip(scores[rows == q], near[rows == q], strict=True))
+
+
+def test_cells_are_probed_until_recall_is_reached(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k, x.tolist()) for k, x in enumerate(rng.normal(size=(3000, 16)))]
+    vectors = spark.createDataFrame(rows, "key long, embedding array<double>").repartition(2).cache()
+    index = vector_index.write_index(vectors, str(tmp_path / "index"), cells=40)
+    probes = vector_index.probes_for(index, vectors, 10)
+    assert 4 < probes <= 40
+    asked = vectors.where("key % 50 = 0").withColumnRenamed("key", "query_id")
+    mean = lambda n: vector_index.recall(vector_index.search(index, asked, 10, n), retrieval.vector_topk(vectors, asked, 10)).agg(F.avg("recall")).first()[0]
+    assert mean(4) < 0.9 <= mean(probes)
