@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import tokens
-from factloom.operators.retrieval import EPSILON, K1, B, postings, top_per_query
+from factloom.operators.retrieval import EPSILON, K1, B, top_per_query
 from factloom.shipping import checkpoint
 
 RANGE_DOCS, BUCKETS = 1024, 32
+#: A task that counts terms holds about as many times RANGE_DOCS chunks.
+DEALT_RANGES = 4
 #: Ranges of each query that are scored before any is skipped.
 FIRST_RANGES = 4
 #: Scores this near are told apart by nothing: sums vary in order.
@@ -63,22 +65,29 @@ def add_segment(index: TextIndex, chunks: DataFrame, id_col: str = "chunk_id", t
 
 
 def _write_segment(chunks: DataFrame, path: str, segment: int, id_col: str, text_col: str) -> TextIndex:
-    """A null text has no terms, but counts as a chunk."""
+    """A null text has no terms, but counts as a chunk. An id stands once.
+
+    Texts are dealt by their range, and what stands in one range is counted where it lies: of the postings only whole blocks move.
+    """
     spark = chunks.sparkSession
     sought = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    post = checkpoint(postings(sought))
-    n, length = sought.count(), post.agg(F.sum("tf")).first()[0] or 0
+    n = sought.count()
     deals = max(1, n // RANGE_DOCS)
     # Chunks of like length share ranges, so that the least length of a range says something of all its chunks.
     in_range = F.concat_ws("-", F.floor(F.log2("dl")), F.pmod(F.xxhash64("chunk_id"), F.lit(deals)))
-    held = post.groupBy("term", in_range.alias("range")).agg(
-        F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("postings"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.count("*").alias("n")
+    lengths = sought.withColumn("dl", F.size(tokens("text")).cast("long")).where("dl > 0")
+    placed = lengths.withColumn("range", in_range).repartition(max(8, deals // DEALT_RANGES), "range")
+    each = placed.select("range", "chunk_id", "dl", F.explode(tokens("text")).alias("term"))
+    post = each.groupBy("range", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    held = post.groupBy("range", "term").agg(
+        F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("postings"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.count("*").alias("n"), F.sum("tf").alias("n_terms")
     )  # of the chunks of one range at most
     blocks = held.withColumn("segment", F.lit(segment)).withColumn("bucket", _bucket("term"))
     dealt = blocks.repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(max(1, deals // 64)))).sortWithinPartitions("bucket", "term")
     dealt.write.partitionBy("segment", "bucket").mode("append").parquet(f"{path}/blocks")
     written = spark.read.parquet(f"{path}/blocks").where(F.col("segment") == segment)
     written.groupBy("term").agg(F.sum("n").alias("df")).withColumn("segment", F.lit(segment)).write.partitionBy("segment").mode("append").parquet(f"{path}/terms")
+    length = written.agg(F.sum("n_terms")).first()[0] or 0
     # Last, as it makes the segment count.
     spark.range(1).select(F.lit(segment).alias("segment"), F.lit(n).cast("long").alias("n"), F.lit(length).cast("long").alias("total_length")).write.mode("append").parquet(f"{path}/stats")
     return open_index(spark, path)

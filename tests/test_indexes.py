@@ -133,3 +133,24 @@ def test_cells_are_probed_until_recall_is_reached(spark, tmp_path):
     asked = vectors.where("key % 50 = 0").withColumnRenamed("key", "query_id")
     mean = lambda n: vector_index.recall(vector_index.search(index, asked, 10, n), retrieval.vector_topk(vectors, asked, 10)).agg(F.avg("recall")).first()[0]
     assert mean(4) < 0.9 <= mean(probes)
+
+
+def test_postings_move_as_blocks_only(spark, tmp_path):
+    """What an index shuffles is its texts, its blocks and its dictionary, not a row for each posting."""
+    rng = random.Random(9)
+    words = [f"word{k:04d}" for k in range(3000)]
+    rows = [(k, " ".join(rng.sample(words[: 300 if k % 2 else 3000], 150))) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string").repartition(2)
+    tracker, seen = spark.sparkContext.statusTracker(), set()
+    spark.sparkContext.setJobGroup("text-index", "text-index")
+    index = text_index.create_index(docs, str(tmp_path / "index"))
+    jobs = tracker.getJobIdsForGroup("text-index")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    for job in jobs:
+        seen |= set(tracker.getJobInfo(job).stageIds)
+    moved = sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in seen if tracker.getStageInfo(k))
+    n_postings = index.table(spark, "blocks").agg(F.sum("n")).first()[0]
+    assert n_postings == 300_000 and index.mean_length == 150.0
+    n_blocks = index.table(spark, "blocks").count()
+    assert moved < n_postings and moved < 2000 + 2 * n_blocks + 20_000
