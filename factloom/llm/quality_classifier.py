@@ -102,14 +102,31 @@ def _dictionary(pieces: list[bytes]) -> bytes:
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps, slightly ridged; both classes weigh the same as they occur."""
+    """Logistic regression by Newton steps, slightly ridged; both classes weigh the same as they occur.
+
+    A step is halved until it lowers the loss as far as its slope promises. Whole steps may overshoot to where every score
+    is 0 or 1 and the curve is flat, and never come back.
+    """
     features = np.stack([np.ones(len(x)), x[:, 0], x[:, 0] * x[:, 1]], axis=1)
     w = np.zeros(3)
     ridge = np.diag([1e-3, 1e-4, 1e-4])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        step = np.linalg.solve(features.T @ (features * (p * (1 - p))[:, None]) + ridge, features.T @ (y - p) - ridge @ w)
-        w = w + np.clip(step, -20, 20)
+
+    def loss(v: np.ndarray) -> float:
+        z = features @ v
+        return float(np.sum(np.logaddexp(0, z) - y * z) + v @ ridge @ v / 2)
+
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(features @ w, -500, 500)))
+        slope = features.T @ (y - p) - ridge @ w
+        step = np.linalg.solve(features.T @ (features * (p * (1 - p))[:, None]) + ridge, slope)
+        size = 1.0
+        while size > 1e-12 and not loss(w + size * step) <= now - 1e-4 * size * float(slope @ step):
+            size /= 2
+        if size <= 1e-12:
+            break
+        w = w + size * step
+        now = loss(w)
         if np.abs(step).max() < 1e-8:
             break
     return tuple(float(v) for v in w)  # type: ignore[return-value]

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from factloom.llm import quality_classifier as qc
 
 
@@ -62,3 +64,17 @@ def test_held_out_labels_of_the_tables(spark):
     assert len(good) > 100 and len(bad) > 30
     above = sum((g.score > b.score) + (g.score == b.score) / 2 for g in good for b in bad) / (len(good) * len(bad))
     assert above > 0.98 and sum(r.predicted for r in good) / len(good) > 0.98 and sum(r.predicted for r in bad) / len(bad) < 0.3
+
+
+def test_the_curve_is_found_where_whole_newton_steps_overshoot():
+    for seed in (218, 339, 547, 693):
+        rng = np.random.default_rng(seed)
+        y = (np.arange(200) % 4 > 0).astype(float)
+        x = np.stack([np.where(y > 0, 0.08, -0.06) + rng.normal(0, 0.03, 200), rng.uniform(3, 11, 200)], 1)
+        far = rng.integers(0, 200, 6)
+        x[far, 0] = rng.uniform(-0.5, 0.3, 6)
+        a, b, c = qc._fit(x, y)
+        p = 1 / (1 + np.exp(-(a + b * x[:, 0] + c * x[:, 0] * x[:, 1])))
+        features = np.stack([np.ones(200), x[:, 0], x[:, 0] * x[:, 1]], 1)
+        assert np.abs(features.T @ (y - p) - np.array([1e-3, 1e-4, 1e-4]) * (a, b, c)).max() < 1e-4
+        assert ((p >= qc.THRESHOLD) != y).mean() < 0.1
