@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import column
+from factloom.functions.text import bind, column
 from factloom.operators.resolution import lookup
 from factloom.operators.units import parse_measurements
 from factloom.operators.validation import numbers_of_question
@@ -49,6 +49,8 @@ QUESTION_WORDS = (
     "help", "what", "how", "why", "which", "who", "when", "where", "can", "could", "tell", "explain", "show", "find",
 )
 TALK_LENGTH = 40
+#: Names of entities up to which they are sent to every task.
+MOST_SENT = 200_000
 
 
 def _any_of(text: Column, parts: tuple[str, ...]) -> Column:
@@ -88,6 +90,9 @@ def subqueries(parsed: DataFrame, names: DataFrame) -> DataFrame:
 
     names: entity_id, name_ru, name_en, a row per entity. Repeats in another case are left out.
     """
+    # Goals name few entities, so a shuffle by one would bring very many goals into one task.
+    if names.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        names = F.broadcast(names)
     for part in ("target", "process", "metric"):
         own = names.select(F.col("entity_id").alias(part), F.col("name_ru").alias(f"{part}_ru"), F.col("name_en").alias(f"{part}_en"))
         parsed = parsed.join(own, part, "left")
@@ -101,9 +106,10 @@ def subqueries(parsed: DataFrame, names: DataFrame) -> DataFrame:
             out = F.replace(out, F.lit("{" + key + "}"), value)
         return out
 
+    # Each list is made once, not anew for each of its elements.
     every = F.filter(F.array(F.trim(F.coalesce("text", F.lit(""))), *map(filled, SUBQUERIES)), lambda s: s != "")
-    low = F.transform(every, F.lower)
-    return parsed.select("goal_id", F.posexplode(F.filter(every, lambda s, i: F.array_position(low, F.lower(s)) == i + 1)).alias("ord", "subquery"))
+    once = bind(every, lambda e: bind(F.transform(e, F.lower), lambda low: F.filter(e, lambda s, i: F.array_position(low, low[i]) == i + 1)))
+    return parsed.select("goal_id", F.posexplode(once).alias("ord", "subquery"))
 
 
 def as_list(value: Column | str) -> Column:
