@@ -22,6 +22,8 @@ from factloom.shipping import checkpoint, ship
 
 #: Names up to which the automaton is built on the driver and sent to every task.
 MOST_SENT = 200_000
+#: Rows after which a task hands over what it found.
+ROWS_AT_ONCE = 10_000
 #: Characters after a parameter within which its value is looked for.
 REACH = 18
 
@@ -126,6 +128,19 @@ def without_overlaps(text: str, found: list[tuple[tuple[str, str, str], int, int
     return sorted(kept, key=lambda x: x[3])
 
 
+def found_in(batches: Iterator[pd.DataFrame], automaton: Automaton, id_col: str) -> Iterator[pd.DataFrame]:
+    """id_col and FOUND of texts, handed over by ROWS_AT_ONCE rows and what the last text has more, as a batch of texts may hold very many names."""
+    columns = [id_col, *(x.split()[0] for x in FOUND.split(", "))]
+    for pdf in batches:
+        out = []
+        for key, text in zip(pdf[id_col], pdf["text"], strict=True):
+            out += [(key, *x) for x in without_overlaps(text, [*automaton.scan(text)])]
+            if len(out) >= ROWS_AT_ONCE:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
+
+
 def find_names(texts: DataFrame, names: DataFrame, id_col: str = "chunk_id", text_col: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
     """id_col, entity_id, name, surface, start_at, end_at, value of the names (entity_id, type, name) in texts, without overlaps.
 
@@ -139,12 +154,7 @@ def find_names(texts: DataFrame, names: DataFrame, id_col: str = "chunk_id", tex
     if names.limit(most_sent + 1).count() <= most_sent:
         sent = texts.sparkSession.sparkContext.broadcast(Automaton.of([tuple(r) for r in names.collect()]))
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = [(key, *x) for key, text in zip(pdf[id_col], pdf["text"], strict=True) for x in without_overlaps(text, [*sent.value.scan(text)])]
-                yield pd.DataFrame(out, columns=[id_col, *(x.split()[0] for x in FOUND.split(", "))])
-
-        return rows.mapInPandas(scan, f"{id_col} {kind}, {FOUND}")
+        return rows.mapInPandas(lambda batches: found_in(batches, sent.value, id_col), f"{id_col} {kind}, {FOUND}")
 
     columns = [id_col, "times", *(x.split()[0] for x in FOUND.split(", "))]
 

@@ -17,3 +17,10 @@ def test_goals_meet_their_names_without_a_shuffle(spark):
     parsed = spark.createDataFrame([(1, "x", "m", None, None, "increase")], "goal_id long, text string, target string, process string, metric string, direction string")
     got = planning.subqueries(parsed, spark.createDataFrame([("m", "никель", "nickel")], "entity_id string, name_ru string, name_en string"))
     assert "SortMergeJoin" not in plan_of(got) and got.count() == 8
+
+
+def test_found_names_are_handed_over_in_parts():
+    made = names.Automaton.of([("a", "term", "word")])
+    texts = pd.DataFrame({"doc_id": range(300), "text": ["word " * 100] * 300})
+    sizes = [len(f) for f in names.found_in(iter([texts]), made, "doc_id")]
+    assert sum(sizes) == 30_000 and max(sizes) < names.ROWS_AT_ONCE + 100
