@@ -9,7 +9,7 @@ from factloom.operators import importing, lemmas, names, resolution, units
 from factloom.plans import standins as st
 from factloom.plans.registry import Catalogue
 from factloom.plans.texts import NORMAL_SQL
-from factloom.shipping import fresh_folder
+from factloom.shipping import checkpoint, fresh_folder
 from factloom.sources import files, yaml_tables
 
 CATALOGUE = Catalogue()
@@ -116,7 +116,9 @@ _INFLECTED = "CASE right(w, 1) " + " ".join(f"WHEN '{a}' THEN left(w, length(w)
 @query(r"""SELECT DISTINCT w AS lemma FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents)""")
 def lemma_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents, inflected and brought back by rules that were learned from one in five of them."""
-    every = st.table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).distinct()
+    words = st.table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
+    # The texts are read once; what is learned and looked up reads the distinct words many times.
+    every = checkpoint(words.distinct())
     pairs = every.select(F.expr(_INFLECTED).alias("word"), F.col("w").alias("lemma"))
     rules = lemmas.learn(pairs.where("crc32(lemma) % 5 = 0"))
     return lemmas.lemmas(pairs, rules).select("lemma")

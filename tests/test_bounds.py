@@ -24,3 +24,7 @@ def test_found_names_are_handed_over_in_parts():
     texts = pd.DataFrame({"doc_id": range(300), "text": ["word " * 100] * 300})
     sizes = [len(f) for f in names.found_in(iter([texts]), made, "doc_id")]
     assert sum(sizes) == 30_000 and max(sizes) < names.ROWS_AT_ONCE + 100
+
+
+def test_words_are_taken_from_the_texts_once(spark):
+    assert "regexp_extract_all" not in plan_of(ingest.lemma_words(spark, SF))
