@@ -70,22 +70,27 @@ def payload_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_extractions(cut, {"USES_MATERIAL": "USES_MATERIAL"}, tolerant=True)[0].select("doc_id", "to")
 
 
+#: Part keys whose units share files, one for each type, so that a file has a bounded length.
+_KEYS_A_FILE = 20_000
+
+
 def _write_yaml(lines: DataFrame, spark: SparkSession, name: str) -> str:
-    """Rows of file, ord and line as files."""
+    """Rows of file, ord and line as files, each `file` one of its own."""
     path = fresh_folder(spark, name)
     texts = lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("value"))
-    texts.repartition("file").select("value").write.option("lineSep", "\n").text(path)
+    texts.repartition("file").select("value").write.options(lineSep="\n", maxRecordsPerFile=1).text(path)
     return path
 
 
 @query("""WITH parts AS (SELECT p_partkey AS k, p_type AS category, p_size AS size FROM part), measured AS (SELECT l_linenumber, l_partkey, l_quantity AS q FROM lineitem)
 SELECT category, count(*) AS n, CAST(sum(CAST(q AS BIGINT) * size) AS DOUBLE) AS total FROM measured JOIN parts ON l_partkey = k GROUP BY category""")
 def units_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part as a unit of a YAML file, so many of its type's own one, read back, and all quantities converted by it."""
-    part = st.table(spark, sf_dir, "part")
-    heads = part.select("p_type").distinct().select(F.col("p_type").alias("file"), F.lit(0).alias("ord"), F.concat(F.lit("# units of one kind\ncategories:\n  "), "p_type", F.lit(":   # a category\n    canonical_unit: 'one "), "p_type", F.lit("'\n    abs_delta: null\nunits:")).alias("line"))
+    """Each part as a unit of a YAML file of its type and range of keys, so many of its type's own one, read back, and all quantities converted by it."""
+    file = F.concat("p_type", F.lit("/"), F.floor(F.col("p_partkey") / _KEYS_A_FILE).cast("string"))
+    part = st.table(spark, sf_dir, "part").withColumn("file", file)
+    heads = part.select("p_type", "file").distinct().select("file", F.lit(0).alias("ord"), F.concat(F.lit("# units of one kind\ncategories:\n  "), "p_type", F.lit(":   # a category\n    canonical_unit: 'one "), "p_type", F.lit("'\n    abs_delta: null\nunits:")).alias("line"))
     entry = F.concat(F.lit('  "u'), F.col("p_partkey").cast("string"), F.lit(' #1": {category: '), "p_type", F.lit(", multiplier: "), F.col("p_size").cast("string"), F.lit(",\n      offset: 0.0}  # one of many"))
-    written = heads.unionByName(part.select(F.col("p_type").alias("file"), (F.col("p_partkey") + 1).cast("int").alias("ord"), entry.alias("line")))
+    written = heads.unionByName(part.select("file", (F.col("p_partkey") % _KEYS_A_FILE + 1).cast("int").alias("ord"), entry.alias("line")))
     table = yaml_tables.units_of(yaml_tables.read_yaml(spark, _write_yaml(written, spark, "units")))
     lines = st.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("u"), F.col("l_partkey").cast("string"), F.lit(" #1")).alias("unit_raw"), F.col("l_quantity").cast("long").cast("string").alias("value_raw"), F.lit(None).cast("string").alias("operator_raw"))
     converted = units.parse_measurements(lines, table)

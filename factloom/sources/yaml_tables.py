@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from factloom.shipping import ship
 
+#: Rows that a task hands over at once.
+ROWS_AT_ONCE = 10_000
 LEAVES = "ord long, path array<string>, value string, is_text boolean, error string"
 
 _SPECIAL = re.compile(r"""["'#\[\]{}]""")
@@ -181,22 +183,24 @@ def leaves(text: str) -> list[Leaf]:
     return out
 
 
+def _leaves_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """source_path and LEAVES of files (source_path, value): the rows of one file are held at a time, and handed over by ROWS_AT_ONCE."""
+    for pdf in batches:
+        for name, text in zip(pdf["source_path"], pdf["value"], strict=True):
+            try:
+                rows = [(name, k, p, v, q, None) for k, (p, v, q) in enumerate(leaves(text))]
+            except ValueError as e:
+                rows = [(name, None, None, None, None, str(e))]
+            for at in range(0, len(rows), ROWS_AT_ONCE):
+                yield pd.DataFrame(rows[at : at + ROWS_AT_ONCE], columns=["source_path", *(x.split()[0] for x in LEAVES.split(", "))])
+
+
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     """source_path, ord, path, value (NULL where nothing is there), is_text (it was quoted) and error of all files at path."""
     ship(spark)
     found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), "value")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for name, text in zip(pdf["source_path"], pdf["value"], strict=True):
-                try:
-                    rows += [(name, k, p, v, q, None) for k, (p, v, q) in enumerate(leaves(text))]
-                except ValueError as e:
-                    rows.append((name, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["source_path", *(x.split()[0] for x in LEAVES.split(", "))])
-
-    return found.mapInPandas(run, f"source_path string, {LEAVES}")
+    return found.mapInPandas(_leaves_of, f"source_path string, {LEAVES}")
 
 
 def _fields(rows: DataFrame, keys: list[Column], **fields: str) -> DataFrame:

@@ -28,3 +28,16 @@ def test_found_names_are_handed_over_in_parts():
 
 def test_words_are_taken_from_the_texts_once(spark):
     assert "regexp_extract_all" not in plan_of(ingest.lemma_words(spark, SF))
+
+
+def test_leaves_are_handed_over_in_parts():
+    text = "\n".join(f"k{k}: {k}" for k in range(25_000))
+    files = pd.DataFrame({"source_path": ["a", "b", "c"], "value": [text, "x: 1", "x: ["]})
+    got = [*yaml_tables._leaves_of(iter([files]))]
+    assert [len(f) for f in got] == [10_000, 10_000, 5_000, 1, 1] and got[-1]["error"].notna().all()
+
+
+def test_each_yaml_file_is_a_file(spark):
+    rows = spark.createDataFrame([(f, k, f"k{k}: {f}") for f in range(20) for k in range(3)], "file long, ord int, line string")
+    path = ingest._write_yaml(rows, spark, "bounds")
+    assert sorted(r.value for r in spark.read.text(path, wholetext=True).collect()) == sorted(f"k0: {f}\nk1: {f}\nk2: {f}\n" for f in range(20))
