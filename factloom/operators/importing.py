@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.chunking import chunk_documents
@@ -36,7 +36,9 @@ def import_corpus(spark: SparkSession, root: str, dictionary: DataFrame, stored:
     stored = stored or {}
     work = fresh_folder(spark, "import")
     corpus = read_corpus(spark, root)
-    parsed = parse_documents(corpus).withColumn("doc_id", F.substring(F.sha2("source_path", 256), 1, 16))
+    # Files are counted while they are parsed: to open each once more takes as long.
+    files = Observation()
+    parsed = parse_documents(corpus.observe(files, F.count(F.lit(1)).alias("n"))).withColumn("doc_id", F.substring(F.sha2("source_path", 256), 1, 16))
     parsed.write.parquet(f"{work}/parsed")
     parsed = spark.read.parquet(f"{work}/parsed")
     # The first of each content is chosen among digests; texts follow by their document.
@@ -55,7 +57,7 @@ def import_corpus(spark: SparkSession, root: str, dictionary: DataFrame, stored:
     tables = save_tables(written.tables, f"{work}/tables")
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n")
     new = spark.read.parquet(f"{work}/chunks").select("doc_id").distinct()
-    parts = [count(corpus, "files"), count(parsed, "parsed"), count(docs, "contents"), count(new, "written"), count(tables["chunks"], "stored chunks"), count(tables["mentions"], "stored mentions")]
+    parts = [spark.createDataFrame([("files", files.get["n"])], "measure string, n long"), count(parsed, "parsed"), count(docs, "contents"), count(new, "written"), count(tables["chunks"], "stored chunks"), count(tables["mentions"], "stored mentions")]
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

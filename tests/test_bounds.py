@@ -41,3 +41,9 @@ def test_each_yaml_file_is_a_file(spark):
     rows = spark.createDataFrame([(f, k, f"k{k}: {f}") for f in range(20) for k in range(3)], "file long, ord int, line string")
     path = ingest._write_yaml(rows, spark, "bounds")
     assert sorted(r.value for r in spark.read.text(path, wholetext=True).collect()) == sorted(f"k0: {f}\nk1: {f}\nk2: {f}\n" for f in range(20))
+
+
+def test_documents_are_files_in_few_folders(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = [r.path.split("/") for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(ingest._as_files(docs, spark)).select("path").collect()]
+    assert len(found) == docs.count() and 8 < len({x[-2] for x in found}) <= 128
