@@ -40,14 +40,18 @@ def stream_ttl_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("seq long, key string, value string, replaced string").parquet(out).select(F.col("seq").alias("event_id"), F.col("replaced").cast("double").alias("replaced"))
 
 
+def _deltas(docs: DataFrame) -> DataFrame:
+    """The deltas of documents as answers, as answers.buffered takes them. A text is cut in one pass and stays behind: deltas carry no more than themselves."""
+    cut = docs.select(F.col("doc_id").cast("string").alias("answer_id"), F.regexp_extract_all("text", F.lit("(?s).{1,25}"), F.lit(0)).alias("parts"), F.ceil(F.length("text") / 25).cast("int").alias("n"))
+    deltas = cut.select("answer_id", "n", F.posexplode("parts").alias("k", "delta"))
+    return deltas.select("answer_id", (F.col("k") + 1).cast("long").alias("seq"), "delta", (F.col("k") + 1 == F.col("n")).alias("done"), F.timestamp_seconds(F.col("k") + 1).alias("at"))
+
+
 @query("""SELECT CAST(doc_id AS VARCHAR) AS answer_id, sha256(text) AS text_sha256, true AS all_long_enough FROM documents WHERE text <> ''""")
 def stream_answer_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an answer that comes in deltas of 25 characters, gathered into pieces of 40 and more: joined they are its text."""
     out = fresh_folder(spark, "answers")
-    docs = _stream(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", F.ceil(F.length("text") / 25).cast("int").alias("n"))
-    deltas = docs.select(F.col("doc_id").cast("string").alias("answer_id"), "text", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
-    timed = deltas.select("answer_id", F.col("k").cast("long").alias("seq"), F.substr("text", F.col("k") * 25 - 24, F.lit(25)).alias("delta"), (F.col("k") == F.col("n")).alias("done"), F.timestamp_seconds("k").alias("at"))
-    gathered = answers.buffered(timed, "1 hour", 600).writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_folder(spark, "answers-state"))
+    gathered = answers.buffered(_deltas(_stream(spark, sf_dir, "documents").where("text <> ''")), "1 hour", 600).writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_folder(spark, "answers-state"))
     gathered.trigger(availableNow=True).start().awaitTermination()
     held = spark.read.schema("answer_id string, piece long, text string").parquet(out)
     pieces = held.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("p"))

@@ -48,16 +48,18 @@ def buffered(deltas: DataFrame, delay: str, idle_seconds: int, flush_chars: int
             passed_on()
             state.remove()
         else:
-            batch = pd.concat(list(frames)).sort_values(["seq", "ms"])
-            for delta, done in zip(batch["delta"], batch["done"], strict=True):
+            # Plain rows: most answers have few, for which a frame that is joined and sorted costs far more than they do.
+            rows = [row for f in frames for row in zip(f["seq"].tolist(), f["ms"].tolist(), f["delta"].tolist(), f["done"].tolist(), strict=True)]
+            rows.sort(key=lambda row: row[:2])
+            for _, _, delta, done in rows:
                 held += delta or ""
                 if len(held) >= flush_chars or "\n" in held or done:
                     passed_on()
-            if batch["done"].any():
+            if any(row[3] for row in rows):
                 state.remove()
             else:
                 state.update((held, n))
-                state.setTimeoutTimestamp(max(int(batch["ms"].max()) + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+                state.setTimeoutTimestamp(max(max(row[1] for row in rows) + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["answer_id", "piece", "text"])
 

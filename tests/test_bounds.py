@@ -3,7 +3,7 @@
 import pandas as pd
 
 from factloom.operators import names, planning
-from factloom.plans import ingest
+from factloom.plans import ingest, streams
 from factloom.sources import yaml_tables
 
 from .duck import SF
@@ -47,3 +47,12 @@ def test_documents_are_files_in_few_folders(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = [r.path.split("/") for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(ingest._as_files(docs, spark)).select("path").collect()]
     assert len(found) == docs.count() and 8 < len({x[-2] for x in found}) <= 128
+
+
+def test_deltas_do_not_carry_their_text(spark):
+    docs = spark.createDataFrame([(1, "ab\n" * 30), (2, "x" * 25), (3, "\U0001f600" * 26)], "doc_id long, text string")
+    deltas = streams._deltas(docs)
+    exploded = [line for line in plan_of(deltas).splitlines() if "Generate" in line]
+    assert len(exploded) == 1 and "text" not in exploded[0] and "parts" not in exploded[0].split("), [", 1)[1].split("]")[0]
+    got = [(r.answer_id, r.seq, len(r.delta), r.done) for r in deltas.orderBy("answer_id", "seq").collect()]
+    assert got == [("1", 1, 25, False), ("1", 2, 25, False), ("1", 3, 25, False), ("1", 4, 15, True), ("2", 1, 25, True), ("3", 1, 25, False), ("3", 2, 1, True)]
