@@ -11,6 +11,8 @@ from factloom.shipping import checkpoint
 OPEN_AXIS, GAPS, RISKS = 40, 50, 20
 #: Facts of one key that may meet each other all, and how many of a larger key are one run of the sweep.
 HOT_FACTS, RUN_FACTS = 1000, 256
+#: Claims of one entity that meet its others in one block, and about how many pairs of claims one task holds.
+BLOCK_CLAIMS, PAIRS_A_TASK = 1000, 250_000
 
 
 def open_axis(entities: DataFrame, mentions: DataFrame, most: int = OPEN_AXIS) -> DataFrame:
@@ -150,16 +152,39 @@ def contradiction_edges(pairs: DataFrame, claims: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("claim_a"), F.greatest("x", "y").alias("claim_b")).distinct()
 
 
+def claims_met(about: DataFrame, entity: str = "entity_id", block: int = BLOCK_CLAIMS) -> tuple[DataFrame, int]:
+    """Rows entity, a, b of two claims on one entity, a's claim_id the lesser, and a number of partitions for them. about: claim_id, the entity and more, which a and b hold.
+
+    Claims of an entity of over `block` claims are dealt into blocks, and each block of a's meets each of b's by itself, so no
+    task has all its pairs. The partitions grow with the pairs, as these grow faster than the claims.
+    """
+    about = checkpoint(about)
+    counted = about.groupBy(entity).agg(F.count("*").alias("n"))
+    parts = (counted.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0) // (2 * PAIRS_A_TASK) + 1
+    sized = about.join(counted.select(entity, F.ceil(F.col("n") / block).alias("blocks")), entity)
+    row = F.struct(*[c for c in about.columns if c != entity])
+    own, every = F.pmod(F.xxhash64("claim_id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    a = sized.select(entity, own.alias("of_a"), every.alias("of_b"), row.alias("a"))
+    b = sized.select(entity, every.alias("of_a"), own.alias("of_b"), row.alias("b"))
+    key = [entity, "of_a", "of_b"]
+    met = a.repartition(parts, *key).join(b.repartition(parts, *key), key)
+    return met.where("a.claim_id < b.claim_id").select(entity, "a", "b"), parts
+
+
+def _opposite() -> Column:
+    return F.coalesce(F.array_sort(F.array("a.polarity", "b.polarity")) == F.array(F.lit("negative"), F.lit("positive")), F.lit(False))
+
+
 def opposing_claims(about: DataFrame, existing: DataFrame) -> DataFrame:
     """Pairs of claims on one entity from different documents without a contradiction yet; opposite polarities are marked.
 
-    about: claim_id, entity_id, doc_id, polarity. existing: claim_a, claim_b with a < b.
+    about: claim_id, entity_id, doc_id, polarity. existing: claim_a, claim_b with a < b. Known pairs meet the
+    others in partitions whose number grows with the pairs.
     """
-    a, b = about.alias("a"), about.alias("b")
-    pairs = a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.claim_id") < F.col("b.claim_id")) & (F.col("a.doc_id") != F.col("b.doc_id")))
-    opposite = F.array_sort(F.array("a.polarity", "b.polarity")) == F.array(F.lit("negative"), F.lit("positive"))
-    named = pairs.groupBy(F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b")).agg(F.max(F.coalesce(opposite, F.lit(False))).alias("opposite"))
-    return named.join(existing, ["claim_a", "claim_b"], "left_anti")
+    met, parts = claims_met(about)
+    pairs = met.where("a.doc_id != b.doc_id").select(F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b"), _opposite().alias("opposite"))
+    named = pairs.repartition(parts, "claim_a", "claim_b").groupBy("claim_a", "claim_b").agg(F.max("opposite").alias("opposite"))
+    return named.join(existing.select("claim_a", "claim_b").repartition(parts, "claim_a", "claim_b"), ["claim_a", "claim_b"], "left_anti")
 
 
 def opposing_pairs(claims: DataFrame, contradictions: DataFrame) -> DataFrame:
@@ -167,11 +192,10 @@ def opposing_pairs(claims: DataFrame, contradictions: DataFrame) -> DataFrame:
 
     Pairs of claims about one entity are the result, so an entity with very many claims gives very many pairs.
     """
-    x, y = claims.alias("x"), claims.alias("y")
-    pairs = x.join(y, (F.col("x.entity") == F.col("y.entity")) & (F.col("x.claim_id") < F.col("y.claim_id")) & (F.col("x.doc_id") != F.col("y.doc_id")))
-    opposite = F.coalesce(F.array_sort(F.array("x.polarity", "y.polarity")) == F.array(F.lit("negative"), F.lit("positive")), F.lit(False))
-    known = contradictions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.select(F.col("x.entity").alias("entity"), F.col("x.claim_id").alias("a"), F.col("y.claim_id").alias("b"), opposite.alias("opposite")).join(known, ["a", "b"], "left_anti").select("entity", "a", "b", "opposite")
+    met, parts = claims_met(claims, "entity")
+    pairs = met.where("a.doc_id != b.doc_id").select("entity", F.col("a.claim_id").alias("a"), F.col("b.claim_id").alias("b"), _opposite().alias("opposite"))
+    known = contradictions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition(parts, "a", "b").distinct()
+    return pairs.repartition(parts, "a", "b").join(known, ["a", "b"], "left_anti").select("entity", "a", "b", "opposite")
 
 
 def largest_public(docs: DataFrame, chunks: DataFrame, most: int) -> DataFrame:

@@ -129,8 +129,8 @@ def opposing_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxic documents as claims about their source; pairs whose ids add up to a multiple of 3 already contradict."""
     marks = st.table(spark, sf_dir, "labels").where("toxic = 1").join(st.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     about = marks.select(F.col("doc_id").alias("claim_id"), F.col("source").alias("entity_id"), "doc_id", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("polarity"))
-    a, b = about.select(F.col("claim_id").alias("claim_a"), "entity_id"), about.select(F.col("claim_id").alias("claim_b"), "entity_id")
-    existing = a.join(b, "entity_id").where("claim_a < claim_b AND (claim_a + claim_b) % 3 = 0").select("claim_a", "claim_b")
+    met, _ = analytics.claims_met(about.select("claim_id", "entity_id"))
+    existing = met.select(F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b")).where("(claim_a + claim_b) % 3 = 0")
     return analytics.opposing_claims(about, existing)
 
 

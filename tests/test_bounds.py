@@ -1,8 +1,9 @@
 """What a task holds, and how often tables are read, does not grow faster than the input."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from factloom.operators import names, planning
+from factloom.operators import analytics, names, planning
 from factloom.plans import ingest, streams
 from factloom.sources import yaml_tables
 
@@ -56,3 +57,20 @@ def test_deltas_do_not_carry_their_text(spark):
     assert len(exploded) == 1 and "text" not in exploded[0] and "parts" not in exploded[0].split("), [", 1)[1].split("]")[0]
     got = [(r.answer_id, r.seq, len(r.delta), r.done) for r in deltas.orderBy("answer_id", "seq").collect()]
     assert got == [("1", 1, 25, False), ("1", 2, 25, False), ("1", 3, 25, False), ("1", 4, 15, True), ("2", 1, 25, True), ("3", 1, 25, False), ("3", 2, 1, True)]
+
+
+def test_no_task_has_all_pairs_of_an_entity(spark, monkeypatch):
+    monkeypatch.setattr(analytics, "PAIRS_A_TASK", 500)
+    rows = [(c, "hot" if c % 10 else "cold", c // 2, "positive" if c % 3 else "negative") for c in range(200)] + [(5, "cold", 2, "positive"), (7, "cold", 90, "negative")]
+    about = spark.createDataFrame(rows, "claim_id long, entity_id string, doc_id long, polarity string")
+    met, parts = analytics.claims_met(about, block=20)
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert parts > 20 and sum(sizes) > 16_000 and max(sizes) < 4000
+    known = {(c, c + 4) for c in range(100)}
+    want = {}
+    for a, e, d, p in rows:
+        for b, f, g, q in rows:
+            if a < b and e == f and d != g and (a, b) not in known:
+                want[a, b] = want.get((a, b), False) or p != q
+    got = analytics.opposing_claims(about, spark.createDataFrame(sorted(known), "claim_a long, claim_b long")).collect()
+    assert len(got) == len(want) and {(r.claim_a, r.claim_b): r.opposite for r in got} == want
