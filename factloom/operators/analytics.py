@@ -13,6 +13,8 @@ OPEN_AXIS, GAPS, RISKS = 40, 50, 20
 HOT_FACTS, RUN_FACTS = 1000, 256
 #: Claims of one entity that meet its others in one block, and about how many pairs of claims one task holds.
 BLOCK_CLAIMS, PAIRS_A_TASK = 1000, 250_000
+#: About how many documents of experts one task holds with what they mention.
+DOCS_A_TASK = 100_000
 
 
 def open_axis(entities: DataFrame, mentions: DataFrame, most: int = OPEN_AXIS) -> DataFrame:
@@ -55,8 +57,15 @@ def share(rows: DataFrame, what: Column, name: str) -> DataFrame:
 
 
 def publications(authored: DataFrame, mentions: DataFrame) -> DataFrame:
-    """expert_id, entity_id, n_publications: documents by the expert that mention the entity."""
-    return authored.join(mentions, "doc_id").groupBy("expert_id", "entity_id").agg(F.countDistinct("doc_id").alias("n_publications"))
+    """expert_id, entity_id, n_publications: documents by the expert that mention the entity. Both tables may repeat rows.
+
+    Mentions are told apart where their document is, and counted after a second shuffle, as few of them share expert and
+    entity: each in as many partitions as the documents need.
+    """
+    parts = authored.count() // DOCS_A_TASK + 1
+    once, by = (rows.repartition(parts, "doc_id").distinct() for rows in (mentions.select("entity_id", "doc_id"), authored.select("expert_id", "doc_id")))
+    each = by.join(once, "doc_id").select("expert_id", "entity_id").repartition(parts, "expert_id", "entity_id")
+    return each.groupBy("expert_id", "entity_id").agg(F.count("*").alias("n_publications"))
 
 
 def stale_versions(docs: DataFrame) -> DataFrame:

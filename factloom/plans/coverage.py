@@ -104,7 +104,7 @@ def quality_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders JOIN mentions ON doc_id = o_orderkey WHERE entity_id LIKE 'mat:%' GROUP BY 1, 2""")
 def n_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     authored = st.table(spark, sf_dir, "orders").select(st.key("c", "o_custkey").alias("expert_id"), F.col("o_orderkey").alias("doc_id"))
-    return analytics.publications(authored, st.mentions(spark, sf_dir).where(F.col("entity_id").startswith("mat:")))
+    return analytics.publications(authored, st.mention_rows(spark, sf_dir).where(F.col("entity_id").startswith("mat:")))
 
 
 @query("""SELECT event_id AS doc_id, user_id AS source_path, ts AS imported_at FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS latest FROM events) WHERE ts < latest""")

@@ -31,10 +31,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
 
 
+def mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id, doc_id of every line's material and process: mentions may repeat."""
+    both = F.explode(F.array(key("mat", "p_brand"), key("proc", "l_suppkey")))
+    return lines(spark, sf_dir).select(both.alias("entity_id"), F.col("l_orderkey").alias("doc_id"))
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, doc_id: which materials and processes each document mentions."""
-    both = F.explode(F.array(key("mat", "p_brand"), key("proc", "l_suppkey")))
-    return lines(spark, sf_dir).select(both.alias("entity_id"), F.col("l_orderkey").alias("doc_id")).distinct()
+    return mention_rows(spark, sf_dir).distinct()
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

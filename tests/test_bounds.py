@@ -74,3 +74,17 @@ def test_no_task_has_all_pairs_of_an_entity(spark, monkeypatch):
                 want[a, b] = want.get((a, b), False) or p != q
     got = analytics.opposing_claims(about, spark.createDataFrame(sorted(known), "claim_a long, claim_b long")).collect()
     assert len(got) == len(want) and {(r.claim_a, r.claim_b): r.opposite for r in got} == want
+
+
+def test_publications_are_counted_in_partitions_that_grow(spark, monkeypatch):
+    monkeypatch.setattr(analytics, "DOCS_A_TASK", 10)
+    authored = [(f"c{d % 7}", d) for d in range(200)] + [("c1", 1), ("c2", 1), (None, 3), ("c1", None)]
+    mentions = [(f"e{(d * k) % 5}", d) for d in range(210) for k in range(4)] + [("e0", None)]
+    counted = analytics.publications(spark.createDataFrame(authored, "expert_id string, doc_id long"), spark.createDataFrame(mentions, "entity_id string, doc_id long"))
+    want = {}
+    for c, d in authored:
+        for e, of in mentions:
+            if d is not None and d == of:
+                want.setdefault((c, e), set()).add(d)
+    assert {(r.expert_id, r.entity_id): r.n_publications for r in counted.collect()} == {k: len(v) for k, v in want.items()}
+    assert counted.rdd.getNumPartitions() == len(authored) // 10 + 1
