@@ -24,6 +24,8 @@ from factloom.shipping import checkpoint, ship
 MOST_SENT = 200_000
 #: Rows after which a task hands over what it found.
 ROWS_AT_ONCE = 10_000
+#: Pieces of a text that are one row before its places are.
+BLOCK = 64
 #: Characters after a parameter within which its value is looked for.
 REACH = 18
 
@@ -174,25 +176,36 @@ def occurrences(texts: DataFrame, names: DataFrame, ids: list[str]) -> DataFrame
     """ids, entity_id, type, name, start_at, end_at: all places of all names, overlapping ones too, by joins alone. texts: ids (unique), text.
 
     Each place at which some name's first piece stands is joined with the names of each length (in pieces) that such a name
-    has, by the whole run of pieces: a first piece that many names share makes no product of its places and names.
+    has, by the whole run of pieces: a first piece that many names share makes no product of its places and names. A text
+    is cut into blocks of pieces within its own row, each with those that its last names may reach, so nothing is sorted by
+    place, and of at most MOST_SENT names nothing but the texts is shuffled.
     """
     low = F.regexp_extract_all(F.lower("name"), F.lit(_PIECE), F.lit(0))
-    listed = names.select("entity_id", "type", "name", F.array_join(low, "\x00").alias("run"), F.size(low).alias("n"), low[0].alias("first"))
-    lengths = listed.groupBy("first").agg(F.collect_set("n").alias("lengths"))
+    listed = checkpoint(names.select("entity_id", "type", "name", F.array_join(low, "\x00").alias("run"), F.size(low).alias("n"), low[0].alias("first")))
     exact = (F.length("name") <= 3) | F.col("name").rlike(r"\p{Nd}")
-    longest = listed.agg(F.max("n")).first()[0] or 1
-    exploded = texts.select(*ids, F.posexplode(F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0))).alias("k", "piece"))
-    # What stands before a piece and the pieces from it on, as many as the longest name has and one more.
-    in_text = Window.partitionBy(*ids).orderBy("k")
-    placed = exploded.withColumns({
-        "start_at": F.coalesce(F.sum(F.length("piece").cast("long")).over(in_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "before": F.lag("piece").over(in_text), "ahead": F.collect_list("piece").over(in_text.rowsBetween(0, longest)),
-    })
+    most = listed.agg(F.max("n").alias("n"), F.count("*").alias("names")).first()
+    longest = most.n or 1
+    sent = F.broadcast if most.names <= MOST_SENT else lambda df: df
+    lengths = sent(listed.groupBy("first").agg(F.collect_set("n").alias("lengths")))
+    size = max(BLOCK, longest)
+    # Few files may hold all texts.
+    cut = texts.repartition(*ids).select(*ids, F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0)).alias("pieces"))
+    nth = F.sequence(F.lit(0), F.greatest(F.floor((F.size("pieces") - 1) / size), F.lit(0)).cast("int"))
+    # A block begins with the piece before it, and has after it as many as the longest name and one more.
+    blocks = F.transform(nth, lambda b: F.slice(F.concat(F.array(F.lit("")), F.slice("pieces", F.greatest(b * size, F.lit(1)), size + longest + 1)), F.when(b > 0, 2).otherwise(1), size + longest + 1))
+    chars = F.transform(nth, lambda b: F.length(F.array_join(F.slice("pieces", b * size + 1, size), "")).cast("long"))
+    begins = F.aggregate(chars, F.array(F.lit(0).cast("long")), lambda held, n: F.concat(held, F.array(F.element_at(held, -1) + n)))
+    # There is one more beginning than blocks, and a text without pieces has a block without any.
+    blocked = cut.select(*ids, F.inline(F.zip_with(blocks, begins, lambda block, at: F.struct(block.alias("block"), at.alias("at"))))).where(F.size("block") > 1)
+    placed = blocked.select(*ids, "at", "block", F.explode(F.sequence(F.lit(2), F.least(F.lit(size), F.size("block") - 1) + 1)).alias("k")).select(
+        *ids, F.element_at("block", F.col("k")).alias("piece"), F.element_at("block", F.col("k") - 1).alias("before"), F.slice("block", F.col("k"), longest + 1).alias("ahead"),
+        (F.col("at") + F.length(F.array_join(F.slice("block", F.lit(2), F.col("k") - 2), ""))).alias("start_at"),
+    )
     started = placed.join(lengths, F.lower("piece") == F.col("first")).withColumn("n", F.explode("lengths")).where(F.col("n") <= F.size("ahead"))
     held = F.slice("ahead", F.lit(1), F.col("n"))
-    run = started.select(*ids, "start_at", F.array_join(held, "").alias("surface"), F.array_join(F.transform(held, F.lower), "\x00").alias("run"), "before", F.try_element_at("ahead", F.col("n") + 1).alias("after"))
+    run = started.select(*ids, "start_at", F.array_join(held, "").alias("surface"), F.lower(F.array_join(held, "\x00")).alias("run"), "before", F.try_element_at("ahead", F.col("n") + 1).alias("after"))
     word = f"({WORD})"
     own_first, own_last = F.substring("surface", 1, 1).rlike(word), F.substring("surface", -1, 1).rlike(word)
     free = (own_first | ~F.coalesce(F.col("before").rlike(word), F.lit(False))) & (own_last | ~F.coalesce(F.col("after").rlike(word), F.lit(False)))
-    met = run.join(listed, "run").where(free & (~exact | (F.col("surface") == F.col("name"))))
+    met = run.join(sent(listed.drop("n", "first")), "run").where(free & (~exact | (F.col("surface") == F.col("name"))))
     return met.select(*ids, "entity_id", "type", "name", "start_at", (F.col("start_at") + F.length("surface")).alias("end_at"))

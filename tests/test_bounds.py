@@ -88,3 +88,12 @@ def test_publications_are_counted_in_partitions_that_grow(spark, monkeypatch):
                 want.setdefault((c, e), set()).add(d)
     assert {(r.expert_id, r.entity_id): r.n_publications for r in counted.collect()} == {k: len(v) for k, v in want.items()}
     assert counted.rdd.getNumPartitions() == len(authored) // 10 + 1
+
+
+def test_places_of_names_are_not_sorted(spark):
+    text = " ".join(f"w{k}" for k in range(300))
+    texts = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, text string")
+    listed = spark.createDataFrame([(str(k), "x", f"w{k} w{k + 1} w{k + 2}") for k in range(298)], "entity_id string, type string, name string")
+    found = names.occurrences(texts, listed, ["id"])
+    assert "Window" not in plan_of(found)
+    assert sorted((r.id, r.name, r.start_at, r.end_at) for r in found.collect()) == sorted((1, n, text.index(n), text.index(n) + len(n)) for k in range(298) for n in [f"w{k} w{k + 1} w{k + 2}"])
