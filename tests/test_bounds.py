@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from factloom.operators import analytics, names, planning
+from factloom.operators import analytics, names, planning, validation
 from factloom.plans import ingest, streams
 from factloom.sources import yaml_tables
 
@@ -97,3 +97,12 @@ def test_places_of_names_are_not_sorted(spark):
     found = names.occurrences(texts, listed, ["id"])
     assert "Window" not in plan_of(found)
     assert sorted((r.id, r.name, r.start_at, r.end_at) for r in found.collect()) == sorted((1, n, text.index(n), text.index(n) + len(n)) for k in range(298) for n in [f"w{k} w{k + 1} w{k + 2}"])
+
+
+def test_only_words_of_the_quote_are_rows(spark):
+    rows = [(1, "Alpha beta", "x " * 5000 + "alphabet alphaſ ALPHA Beta"), (2, "kiloK.*", "(KILOK] kilok"), (3, "Ёлка 12", "ёЛКА 12 x12"), (4, ". a", "a"), (5, "mass", "maſs, mass"), (6, None, None)]
+    placed = validation.anchored_windows(spark.createDataFrame(rows, "fact_id long, quote string, text string"))
+    exploded = [line for line in plan_of(placed).splitlines() if "Generate" in line]
+    assert len(exploded) == 1 and "zip_with" in exploded[0]
+    got = {r.fact_id: (r.coverage, r.span) for r in placed.collect()}
+    assert got == {1: (1.0, "ALPHA Beta"), 2: (1.0, "KILOK"), 3: (1.0, "ёЛКА 12"), 4: (0.0, ""), 5: (1.0, "mass"), 6: (0.0, "")}
