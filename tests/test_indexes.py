@@ -59,6 +59,34 @@ def test_ranges_below_the_bound_are_skipped(spark, tmp_path, monkeypatch):
     assert len(read) == 2 and text_index.ranges_of(index, spark).count() > 60
 
 
+def test_postings_are_counted_where_they_are_written_and_read_without_a_shuffle(spark, texts, tmp_path, monkeypatch):
+    chunks, asked = texts
+    monkeypatch.setattr(text_index, "RANGE_DOCS", 16)
+    index = text_index.create_index(chunks, str(tmp_path / "index"))
+    task = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+    tasks = spark.read.parquet(f"{index.path}/blocks").groupBy("range").agg(F.countDistinct(task).alias("n"), F.count_distinct("bucket").alias("buckets"))
+    assert tasks.where("n > 1").count() == 0 < tasks.where("buckets > 8").count()
+    plans = []
+    plain = text_index.checkpoint
+    monkeypatch.setattr(text_index, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text_index.search(index, asked, 5, first_ranges=1).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    joined = [x for x in plans if "postings" in x]
+    assert joined and all("BroadcastHashJoin" in x and "SortMergeJoin" not in x and "ShuffledHashJoin" not in x for x in joined)
+
+
+def test_more_asked_terms_than_are_sent_join_by_shuffle(spark, texts, tmp_path, monkeypatch):
+    chunks, asked = texts
+    index = text_index.create_index(chunks, str(tmp_path / "index"))
+    want = rows_of(text_index.search(index, asked, 5, first_ranges=1), "chunk_id")
+    monkeypatch.setattr(text_index, "SENT_ROWS", 1)
+    assert rows_of(text_index.search(index, asked, 5, first_ranges=1), "chunk_id") == want
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(3)
