@@ -60,12 +60,14 @@ def content_hash(text: Column | str) -> Column:
 
 def count_matches(text: Column | str, pattern: str) -> Column:
     """How many characters of text are in the class `pattern`."""
-    return F.length(F.regexp_replace(column(text), f"[^{pattern}]", "")).cast("long")
+    return F.length(F.regexp_replace(column(text), f"[^{pattern}]+", "")).cast("long")
 
 
 def detect_lang(text: Column | str) -> Column:
-    """ru where Cyrillic letters are at least as many as Latin ones, else en."""
-    return F.when(count_matches(text, "Ѐ-ӿ") >= count_matches(text, "A-Za-z"), "ru").otherwise("en")
+    """ru where Cyrillic letters are at least as many as Latin ones, else en. They are counted only in a text that has both."""
+    cyrillic, latin = column(text).rlike("[Ѐ-ӿ]"), column(text).rlike("[A-Za-z]")
+    more = count_matches(text, "Ѐ-ӿ") >= count_matches(text, "A-Za-z")
+    return F.when(~latin, "ru").when(~cyrillic, "en").when(more, "ru").otherwise("en")
 
 
 def tokens(text: Column | str) -> Column:

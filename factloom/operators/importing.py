@@ -41,12 +41,12 @@ def import_corpus(spark: SparkSession, root: str, dictionary: DataFrame, stored:
     parsed = parse_documents(corpus.observe(files, F.count(F.lit(1)).alias("n"))).withColumn("doc_id", F.substring(F.sha2("source_path", 256), 1, 16))
     parsed.write.parquet(f"{work}/parsed")
     parsed = spark.read.parquet(f"{work}/parsed")
-    # The first of each content is chosen among digests; texts follow by their document.
-    chosen = first_of_each_content(parsed.select("doc_id", "content_hash", "source_path")).select("doc_id")
-    known = stored["documents"].select("doc_id", "content_hash") if "documents" in stored else parsed.select("doc_id", "content_hash").limit(0)
-    docs = parsed.join(chosen, "doc_id", "left_semi")
-    fresh = docs.join(known, ["doc_id", "content_hash"], "left_anti")
-    chunk_documents(fresh.select("doc_id", "text")).write.parquet(f"{work}/chunks")
+    # The first of each content is chosen among digests, once; texts follow by their document.
+    first_of_each_content(parsed.drop("text")).write.parquet(f"{work}/documents")
+    docs = spark.read.parquet(f"{work}/documents")
+    known = stored["documents"].select("doc_id", "content_hash") if "documents" in stored else docs.select("doc_id", "content_hash").limit(0)
+    fresh = docs.join(known, ["doc_id", "content_hash"], "left_anti").select("doc_id")
+    chunk_documents(parsed.select("doc_id", "text").join(fresh, "doc_id", "left_semi")).write.parquet(f"{work}/chunks")
     chunks = spark.read.parquet(f"{work}/chunks").withColumn("chunk_id", F.concat_ws("#", "doc_id", "idx"))
     found = find_names(chunks.select("chunk_id", "text"), dictionary).join(chunks.select("chunk_id", "doc_id", "idx"), "chunk_id")
     mentions = first_mentions(found.select("entity_id", "doc_id", F.col("idx").alias("chunk_idx"), F.col("start_at").alias("ord")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -90,21 +91,30 @@ class Automaton:
 
     def scan(self, text: str) -> Iterator[tuple[tuple[str, str, str], int, int]]:
         """Every name (entity_id, type, name) that stands in the text, with the places of its start and end, overlapping ones too."""
-        held = pieces_of(text)
-        state = 0
-        for k, (start, piece) in enumerate(held):
-            low = piece.lower()
-            while state and low not in self.nodes[state]:
-                state = self.fallback[state]
-            state = self.nodes[state].get(low, 0)
-            at = state if state in self.ends else self.shorter[state]
-            while at:
-                first = held[k - self.depth[at] + 1][0]
-                end = start + len(piece)
-                for entry in self.ends[at]:
-                    if fits(entry[2], text, first, end):
-                        yield entry, first, end
-                at = self.shorter[at]
+        held = _PIECES.findall(text)
+        low = [x.lower() for x in held]
+        begins = self.nodes[0]
+        firsts = [k for k, piece in enumerate(low) if piece in begins]
+        if not firsts:
+            return
+        starts = [0, *accumulate(map(len, held))]
+        read = 0
+        # Between names no state is kept, so only what a first piece begins is walked.
+        for first in firsts:
+            state, k = 0, max(first, read)
+            while k < len(held) and (state or k == first):
+                while state and low[k] not in self.nodes[state]:
+                    state = self.fallback[state]
+                state = self.nodes[state].get(low[k], 0)
+                at = state if state in self.ends else self.shorter[state]
+                while at:
+                    start, end = starts[k - self.depth[at] + 1], starts[k + 1]
+                    for entry in self.ends[at]:
+                        if fits(entry[2], text, start, end):
+                            yield entry, start, end
+                    at = self.shorter[at]
+                k += 1
+            read = max(read, k)
 
 
 def fits(name: str, text: str, start: int, end: int) -> bool:

@@ -136,13 +136,16 @@ _FOLDERS = 128
 def _as_files(docs: DataFrame, spark: SparkSession) -> str:
     """A text file for each document (doc_id, text), in a few folders that are listed side by side.
 
-    On a local disk files are written without a checksum file beside each, which costs more than the file itself.
+    On a disk that all share (file:) tasks write them by themselves, as there Spark's writer starts a process for each file
+    to set its mode. Few bytes are many files, so documents are dealt out by number.
     """
     root = fresh_folder(spark, "corpus")
-    plain = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("value"), F.pmod(F.xxhash64("doc_id"), F.lit(_FOLDERS)).alias("folder"))
-    # Dealt out by number, as to create a file takes longer than to fill it: few bytes are many files.
-    rows.repartition(_FOLDERS, "folder").write.partitionBy("folder").options(maxRecordsPerFile=1, **plain).text(root)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    if folder := files.local_path(root):
+        files.write_texts(rows.repartition(_FOLDERS, "doc_id"), folder)
+        return root
+    dealt = rows.select("value", F.pmod(F.xxhash64("doc_id"), F.lit(_FOLDERS)).alias("folder"))
+    dealt.repartition(_FOLDERS, "folder").write.partitionBy("folder").options(maxRecordsPerFile=1).text(root)
     return root
 
 

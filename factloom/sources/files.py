@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import unicodedata
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import text, tolerant_json
-from factloom.shipping import ship
+from factloom.shipping import checkpoint, ship
 
 TEXT_SUFFIXES = ("md", "txt")
 LEAST_CHARS = 100
+#: Files and bytes of files that a task opens, about, and that it hands over at a time.
+FILES_A_TASK, BYTES_A_TASK = 4000, 32_000_000
+FILES_AT_ONCE, BYTES_AT_ONCE = 1000, 16_000_000
+#: Tasks among which the folders of a level are dealt.
+LISTING_TASKS = 128
 
 EXTRACTION = T.StructType([
     T.StructField("entities", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("type", "name", "quote")]))),
@@ -33,19 +45,127 @@ def check_suffix(path: str) -> None:
         raise UnsupportedFormat(f"{suffix}: give its text as md or txt")
 
 
+def local_path(path: str) -> str | None:
+    """The path on disk of a file: path, None for any other."""
+    found = re.fullmatch(r"file:(?://)?(/(?!/).*)", path, re.S)
+    return found and found[1]
+
+
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """source_path, raw of all text files below root, temporary ones (~$) left out."""
-    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(TEXT_SUFFIXES) + "}")
-    named = found.select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("raw"))
+    """source_path, raw of all text files below root, temporary ones (~$), hidden and empty ones left out.
+
+    Of a folder on a disk (file:) that all share, tasks list the folders and open the files: Spark's reader would hold all
+    files' names on the driver, and takes longer to open a small file than to read it. Other roots are left to that reader.
+    """
+    folder = local_path(root)
+    if folder and os.path.isdir(folder) and not re.search(r"[{}\[\]*?\\]", folder):
+        named = _open_files(_list_files(spark, folder.rstrip("/")))
+    else:
+        found = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(TEXT_SUFFIXES) + "}")
+        named = found.select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("raw"))
     return named.where(~F.substring_index("source_path", "/", -1).startswith("~$"))
 
 
+def file_url(path: str) -> str:
+    """A path on disk as Spark's reader names it."""
+
+    def shown(c: str) -> str:
+        return c if c > "\x7f" and unicodedata.category(c) not in ("Zs", "Zl", "Zp", "Cc") else quote(c, safe="")
+
+    return "file:" + re.sub(r"[^A-Za-z0-9/_\-!.~'()*;:@&=+$,]", lambda m: shown(m[0]), path)
+
+
+def _list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, size of the text files below a folder, listed level by level. What Spark's reader takes for hidden is left out."""
+    ship(spark)
+    suffixes = tuple(f".{x}" for x in TEXT_SUFFIXES)
+    rows_of = lambda held: pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.string()), pa.array([n for _, n in held], pa.int64())], ["path", "size"])
+    at_once = FILES_AT_ONCE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                held: list[tuple[str, int | None]] = []
+                with os.scandir(path) as entries:
+                    for x in entries:
+                        if x.name.startswith(".") or x.name.startswith("_") and "=" not in x.name:
+                            continue
+                        if x.is_dir():
+                            held.append((x.path, None))
+                        elif x.name.endswith(suffixes) and (size := x.stat().st_size):
+                            held.append((x.path, size))
+                        if len(held) >= at_once:
+                            yield rows_of(held)
+                            held = []
+                yield rows_of(held)
+
+    level, every = spark.createDataFrame([(folder,)], "path string"), None
+    while every is None or not level.isEmpty():
+        found = checkpoint(level.mapInArrow(run, "path string, size long"))
+        files = found.where("size IS NOT NULL")
+        every = files if every is None else every.unionByName(files)
+        level = found.where("size IS NULL").select("path").repartition(LISTING_TASKS, "path")
+    return every
+
+
+def _open_files(files: DataFrame) -> DataFrame:
+    """source_path, raw of files (path, size), dealt out by their number and size."""
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(8, n // FILES_A_TASK, size // BYTES_A_TASK)
+    at_once = FILES_AT_ONCE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        urls, raw, held = [], [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    raw.append(f.read())
+                urls.append(file_url(path))
+                held += len(raw[-1])
+                if len(raw) >= at_once or held >= BYTES_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(raw, pa.binary())], ["source_path", "raw"])
+                    urls, raw, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(raw, pa.binary())], ["source_path", "raw"])
+
+    opened = files.select("path").repartition(tasks, "path").mapInArrow(run, "source_path string, raw binary")
+    return opened.select("source_path", F.col("raw").cast("string").alias("raw"))
+
+
+def write_texts(texts: DataFrame, folder: str) -> int:
+    """Writes each value, and a line end, as a text file below a folder on a disk that all share, and gives their number.
+
+    Each task fills a folder of its own, which gets its name when all is written, so that of a task's attempts one counts.
+    """
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        made, whole, n = f"{folder}/.attempt-{task.taskAttemptId()}", f"{folder}/folder={task.partitionId()}", 0
+        os.makedirs(made)
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                with open(f"{made}/{n}.txt", "wb") as out:
+                    out.write(value + b"\n")
+                n += 1
+        try:
+            os.rename(made, whole)
+        except OSError:
+            if not os.path.isdir(whole):
+                raise
+            shutil.rmtree(made)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return texts.select(F.col("value").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def parse_documents(corpus: DataFrame) -> DataFrame:
     """source_path, title, doc_type, lang, year, authority, access_level, text, content_hash: from front matter, then file name, then text."""
     stem = F.regexp_replace(F.substring_index("source_path", "/", -1), r"\.[^.]*\z", "")
-    read = corpus.select("source_path", stem.alias("stem"), text.front_matter("raw").alias("m"), text.file_name_facts(stem).alias("f"), text.normalize_text(text.body_after_front_matter("raw")).alias("text"))
+    # A text is made once and its length looked at there: before a filter, it would be made anew for the filter.
+    whole = F.explode(F.filter(F.array(text.normalize_text(text.body_after_front_matter("raw"))), lambda x: F.length(x) >= LEAST_CHARS))
+    read = corpus.select("source_path", "raw", whole.alias("text")).select("source_path", stem.alias("stem"), text.front_matter("raw").alias("m"), text.file_name_facts(stem).alias("f"), "text")
     get = lambda k: F.nullif(F.try_element_at("m", F.lit(k)), F.lit(""))
-    return read.where(F.length("text") >= LEAST_CHARS).select(
+    return read.select(
         "source_path", F.coalesce(get("title"), "stem").alias("title"), F.coalesce(get("doc_type"), "f.doc_type", F.lit("report")).alias("doc_type"),
         F.coalesce(get("lang"), "f.lang", text.detect_lang("text")).alias("lang"), F.coalesce(get("year").try_cast("int"), "f.year").alias("year"), F.coalesce(get("authority"), F.lit("normal")).alias("authority"),
         F.coalesce(get("access_level"), F.lit("public")).alias("access_level"), "text", F.sha2("text", 256).alias("content_hash"),

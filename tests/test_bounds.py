@@ -1,11 +1,13 @@
 """What a task holds, and how often tables are read, does not grow faster than the input."""
 
 import pandas as pd
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from factloom.operators import analytics, names, planning, validation
 from factloom.plans import ingest, streams
-from factloom.sources import yaml_tables
+from factloom.sources import files, yaml_tables
 
 from .duck import SF
 
@@ -50,6 +52,46 @@ def test_documents_are_files_in_few_folders(spark):
     assert len(found) == docs.count() and 8 < len({x[-2] for x in found}) <= 128
 
 
+@pytest.fixture
+def odd_corpus(tmp_path):
+    root = tmp_path / "a corpus"
+    for name in ("a b/c d%+#&é\u00a0слово.txt", "a b/folder=1/x.md", "_x/h.txt", ".y/h.txt", "_k=1/h.txt", "_z.txt", ".z.txt", "_z=.txt", "e.txt", "~$q.txt", "U.TXT", "dir.txt/in.txt", "p%20q.txt", "q'\"()[]{}^$@~!,;.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"{name}\n")
+    (root / "empty.txt").write_text("")
+    (root / "bad.txt").write_bytes(b"\xff\xfeab\xc3")
+    (root / "link.txt").symlink_to(root / "e.txt")
+    return root
+
+
+def test_files_of_a_shared_disk_are_listed_and_opened_by_tasks(spark, odd_corpus, monkeypatch):
+    plain = files.read_corpus(spark, str(odd_corpus))
+    held = files.read_corpus(spark, f"file://{odd_corpus}/")
+    assert "Scan text" in plan_of(plain) and "Scan text" not in plan_of(held)
+    want = sorted((r.source_path, r.raw) for r in plain.select("source_path", F.hex("raw").alias("raw")).collect())
+    monkeypatch.setattr(files, "FILES_AT_ONCE", 2)
+    assert sorted((r.source_path, r.raw) for r in files.read_corpus(spark, f"file:{odd_corpus}").select("source_path", F.hex("raw").alias("raw")).collect()) == want and len(want) == 10
+    assert sorted((r.source_path, r.raw) for r in held.select("source_path", F.hex("raw").alias("raw")).collect()) == want
+
+
+def test_documents_become_files_without_sparks_writer(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(DataFrameWriter, "text", lambda *a, **b: 1 / 0)
+    docs = spark.createDataFrame([(k, None if k == 3 else f"text {k}\r\n" * k) for k in range(300)], "doc_id long, text string")
+    read = files.read_corpus(spark, ingest._as_files(docs, spark))
+    assert sorted(r.raw for r in read.collect()) == sorted("\n" if k == 3 else f"text {k}\r\n" * k + "\n" for k in range(300))
+    # A second attempt of a task leaves what the first has written.
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("value")).repartition(3, "value")
+    assert [files.write_texts(texts, f"{tmp_path}/twice") for _ in range(2)] == [300, 300]
+    assert files.read_corpus(spark, f"file:{tmp_path}/twice").count() == 300 and not [*(tmp_path / "twice").glob(".attempt*")]
+
+
+def test_a_text_is_normalised_once_when_it_is_parsed(spark):
+    corpus = spark.createDataFrame([("file:/a.txt", "word " * 30), ("file:/b.txt", "word")], "source_path string, raw string")
+    parsed = files.parse_documents(corpus)
+    assert sum(line.count("\\p{Z}]+(") for line in plan_of(parsed).splitlines()) == 1
+    assert [r.source_path for r in parsed.collect()] == ["file:/a.txt"]
+
+
 def test_deltas_do_not_carry_their_text(spark):
     docs = spark.createDataFrame([(1, "ab\n" * 30), (2, "x" * 25), (3, "\U0001f600" * 26)], "doc_id long, text string")
     deltas = streams._deltas(docs)
