@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 from functools import reduce
 
@@ -73,14 +74,15 @@ class Written:
     left_out: DataFrame
 
 
-def write_documents(stored: dict[str, DataFrame], documents: DataFrame, tables: dict[str, DataFrame], provenance: str = "source_doc_id") -> Written:
+def write_documents(stored: dict[str, DataFrame], documents: DataFrame, tables: dict[str, DataFrame], provenance: str = "source_doc_id", of_changed: Collection[str] = ()) -> Written:
     """Replaces everything that documents (doc_id, content_hash) brought, in every stored table, by the rows of tables.
 
     stored and tables: by name, each with the provenance column, whose type is that of doc_id; stored["documents"] holds
     doc_id and content_hash of what was written before, and may be missing. Documents whose content is stored already are
     skipped with their rows (reason `unchanged`); rows of documents that are not written are not taken either (`unknown`).
     A changed document loses what it had in all stored tables, also in those that it brings no rows for. An id that stands
-    twice is refused, as one of its contents would be lost.
+    twice is refused, as one of its contents would be lost. The tables named in of_changed were made from changed documents
+    alone, so their rows are not compared with these once more.
     """
     assert_unique(documents, "doc_id")
     known = stored.get("documents", documents.select("doc_id", "content_hash").limit(0))
@@ -90,6 +92,9 @@ def write_documents(stored: dict[str, DataFrame], documents: DataFrame, tables:
     for name in sorted({*stored, *tables} - {"documents"}):
         held, incoming = stored.get(name), tables.get(name)
         held, incoming = (incoming.limit(0) if held is None else held), (held.limit(0) if incoming is None else incoming)
+        if name in of_changed:
+            out[name] = held.join(changed.select(F.col("doc_id").alias(provenance)), provenance, "left_anti").select(*held.columns).unionByName(incoming.select(*held.columns))
+            continue
         out[name] = replace_by_provenance(held, incoming, changed, provenance)
         others = incoming.join(changed.select(F.col("doc_id").alias(provenance)), provenance, "left_anti")
         named = others.join(documents.select(F.col("doc_id").alias(provenance), F.lit("unchanged").alias("reason")), provenance, "left")

@@ -137,12 +137,13 @@ def _as_files(docs: DataFrame, spark: SparkSession) -> str:
     """A text file for each document (doc_id, text), in a few folders that are listed side by side.
 
     On a disk that all share (file:) tasks write them by themselves, as there Spark's writer starts a process for each file
-    to set its mode. Few bytes are many files, so documents are dealt out by number.
+    to set its mode. Few bytes are many files, so documents are dealt out by number, there only where the table is in few parts.
     """
     root = fresh_folder(spark, "corpus")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
     if folder := files.local_path(root):
-        files.write_texts(rows.repartition(_FOLDERS, "doc_id"), folder)
+        few = rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+        files.write_texts(rows.repartition(_FOLDERS, "doc_id") if few else rows, folder)
         return root
     dealt = rows.select("value", F.pmod(F.xxhash64("doc_id"), F.lit(_FOLDERS)).alias("folder"))
     dealt.repartition(_FOLDERS, "folder").write.partitionBy("folder").options(maxRecordsPerFile=1).text(root)

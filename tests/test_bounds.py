@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from factloom.operators import analytics, names, planning, validation
+from factloom.operators import analytics, importing, mutation, names, planning, validation
 from factloom.plans import ingest, streams
 from factloom.sources import files, yaml_tables
 
@@ -92,6 +92,35 @@ def test_a_text_is_normalised_once_when_it_is_parsed(spark):
     assert [r.source_path for r in parsed.collect()] == ["file:/a.txt"]
 
 
+def test_rows_made_from_changed_documents_are_taken_without_a_join(spark):
+    docs = spark.createDataFrame([("a", "1"), ("b", "2")], "doc_id string, content_hash string")
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "source_doc_id string, text string")
+    first = mutation.write_documents({}, docs, {"chunks": chunks}, of_changed=("chunks",)).tables["chunks"]
+    assert "Join" not in plan_of(first) and sorted(map(tuple, first.collect())) == [("a", "x"), ("b", "y")]
+    stored = {"documents": docs, "chunks": chunks}
+    later = mutation.write_documents(stored, spark.createDataFrame([("a", "3"), ("b", "2")], docs.schema), {"chunks": spark.createDataFrame([("a", "z")], chunks.schema)}, of_changed=("chunks",))
+    assert sorted(map(tuple, later.tables["chunks"].collect())) == [("a", "z"), ("b", "y")]
+
+
+def test_texts_of_an_import_are_not_shuffled_for_a_few_copies(spark, monkeypatch, tmp_path):
+    for k in range(6):
+        (tmp_path / f"{k}.txt").write_text(f"Nickel matte {k % 4} is leached in sulphuric acid. " * 4)
+    names_of = spark.createDataFrame([("ni", "metal", "nickel")], "entity_id string, type string, name string")
+    plans, reports = [], []
+    plain = importing.chunk_documents
+    monkeypatch.setattr(importing, "chunk_documents", lambda df: plans.append(plan_of(df)) or plain(df))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (importing.SENT_ROWS, 1):
+            monkeypatch.setattr(importing, "SENT_ROWS", most)
+            reports.append(dict(map(tuple, importing.import_corpus(spark, f"file:{tmp_path}", names_of).report.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
+    assert reports[0] == reports[1] == {"files": 6, "parsed": 6, "contents": 4, "written": 4, "stored chunks": 4, "stored mentions": 4}
+
+
 def test_deltas_do_not_carry_their_text(spark):
     docs = spark.createDataFrame([(1, "ab\n" * 30), (2, "x" * 25), (3, "\U0001f600" * 26)], "doc_id long, text string")
     deltas = streams._deltas(docs)
